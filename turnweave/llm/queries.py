@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnweave.llm import bpe, langid, packing, token_counts, url_filter
+from turnweave.llm import bpe, langid, minhash, packing, token_counts, url_filter
 from turnweave.llm.common import read
 
 URL_RULES = [
@@ -39,12 +39,16 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents")
     return packing.pack_documents(documents, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op4_byte_bpe, op5_token_counts, op6_language_id, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op4_byte_bpe, op5_token_counts, op6_language_id, op8_near_duplicates, op9_packing)}
 
 SQL = {
     "op1_url_filter": """
