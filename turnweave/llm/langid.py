@@ -161,7 +161,7 @@ def predict_languages(documents: DataFrame, filters: LanguageFilters) -> DataFra
 def keep_identified(documents: DataFrame, filters: LanguageFilters, least_score: float = 0.0) -> DataFrame:
     """The rows, with all their columns, whose language is identified with ``least_score`` at least.
 
-    Rows without text or without any letter are not.
+    Rows without text or without any letter are not; if no language is known, all others stay.
     """
     shared = documents.sparkSession.sparkContext.broadcast(filters)
     at = documents.columns.index("text")
@@ -169,8 +169,12 @@ def keep_identified(documents: DataFrame, filters: LanguageFilters, least_score:
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            found = [model.predict(x.as_py()) for x in batch.column(at)]
-            yield batch.filter(pa.array([name != UNKNOWN and score >= least_score for name, score in found], pa.bool_()))
+            texts = [x.as_py() or "" for x in batch.column(at)]
+            if model.languages:
+                found = [name != UNKNOWN and score >= least_score for name, score in map(model.predict, texts)]
+            else:
+                found = [any(map(str.isalpha, x)) for x in texts]
+            yield batch.filter(pa.array(found, pa.bool_()))
 
     bound_batches(documents)
     return documents.mapInArrow(kept, documents.schema)

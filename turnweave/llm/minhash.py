@@ -272,3 +272,15 @@ def near_duplicates(documents: DataFrame, *, words: int = 5, percent: int = 80,
     linked = full.join(labels, "set_key").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     alone = sketches.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def without_near_duplicates(documents: DataFrame, **how: int) -> DataFrame:
+    """The rows of ``documents`` but those that are near a document with a smaller id.
+
+    Rows of one doc_id stay or go together; rows without an id stay.
+    """
+    found = near_duplicates(documents, **how)
+    gone = checkpointed(found.where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("gone_id")).distinct())
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return documents.join(gone, documents["doc_id"] == gone["gone_id"], "left_anti")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnweave.llm import bpe, langid, minhash, packing, token_counts, url_filter
+from turnweave.llm import bpe, langid, line_dedup, minhash, packing, token_counts, url_filter
 from turnweave.llm.common import read
 
 URL_RULES = [
@@ -48,7 +48,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op4_byte_bpe, op5_token_counts, op6_language_id, op8_near_duplicates, op9_packing)}
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(documents).select("doc_id", "text", "n_lines", "n_deleted")
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op4_byte_bpe, op5_token_counts, op6_language_id, op8_near_duplicates, op9_packing, op10_line_dedup)}
 
 SQL = {
     "op1_url_filter": """
