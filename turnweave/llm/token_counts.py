@@ -1,8 +1,8 @@
 """Exact token counts of every prefix of a text.
 
-``PrefixCounts`` holds the count at the start of every unit between white space (a
-running sum: units do not act on each other) and, for the unit a question falls into,
-the count at each of its characters. Any prefix count, budget cut or slice question is
+``PrefixCounts`` holds the count at the start of every unit of the tokenizer (a running
+sum: units do not act on each other) and, for the unit a question falls into, the count
+at each of its characters. Any prefix count, budget cut or slice question is
 answered from the table without encoding the text again. The counts are those of the
 tokenizer file's library without begin, end or added special tokens.
 
@@ -13,7 +13,6 @@ rows are counted one by one.
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnweave.llm.common import bound_batches
-from turnweave.llm.word_tokens import _CHUNK, WordTokens, own_merges, word_tokens
+from turnweave.llm.word_tokens import WordTokens, own_merges, word_tokens
 
 
 @lru_cache(maxsize=8)
@@ -36,11 +35,8 @@ class PrefixCounts:
 
     def __init__(self, text: str, tokens: WordTokens) -> None:
         self.text, self.tokens = text, tokens
-        spans = [x.span() for x in _CHUNK.finditer(text)]
-        self.starts = [i for i, _ in spans]
-        self.ends = [j for _, j in spans]
-        counts = (tokens.count(text[i:j]) for i, j in spans)
-        self.before = np.concatenate([[0], np.cumsum(np.fromiter(counts, np.int64, len(spans)))])
+        self.starts, self.ends, counts = tokens.spans(text)
+        self.before = np.concatenate([[0], np.cumsum(counts)])
         self.inner: dict[int, list[int]] = {}
 
     @property
@@ -57,7 +53,7 @@ class PrefixCounts:
     def at(self, n: int) -> int:
         """Tokens of the first n code points."""
         n = min(max(n, 0), len(self.text))
-        k = bisect_right(self.starts, n) - 1
+        k = int(np.searchsorted(self.starts, n, side="right")) - 1
         if k < 0:
             return 0
         if n >= self.ends[k]:
@@ -70,14 +66,14 @@ class PrefixCounts:
         if k >= len(self.starts):
             return len(self.text)
         fits = [i for i, count in enumerate(self._inside(k)) if self.before[k] + count <= budget]
-        return self.starts[k] + fits[-1]
+        return int(self.starts[k]) + fits[-1]
 
     def slices(self, budget: int) -> list[tuple[int, int]]:
         """The text from end to end as (start, end) of whole units, at most ``budget`` tokens each where a unit allows."""
         found, k = [], 0
         while k < len(self.starts):
             j = max(k + 1, int(np.searchsorted(self.before, self.before[k] + budget, side="right")) - 1)
-            found.append((self.starts[k], self.ends[j - 1]))
+            found.append((int(self.starts[k]), int(self.ends[j - 1])))
             k = j
         return found
 
@@ -93,10 +89,10 @@ def count_tokens(documents: DataFrame, path: str, limit: int = 2048) -> DataFram
             n_bytes, n_tokens, fit = [], [], []
             for value in batch.column(1):
                 text = value.as_py() or ""
-                total = tokens.count(text)
+                total = tokens.count(text)  # of the longest prefix
                 n_bytes.append(len(text) if text.isascii() else len(text.encode()))
                 n_tokens.append(total)
-                fit.append(_head(text, limit, tokens).longest(limit) if total > limit else None)
+                fit.append(PrefixCounts(text, tokens).longest(limit) if total > limit else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([x > limit for x in n_tokens], pa.bool_()), pa.array(fit, pa.int64())],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"],
@@ -106,13 +102,3 @@ def count_tokens(documents: DataFrame, path: str, limit: int = 2048) -> DataFram
     kind = documents.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean, fit_chars bigint"
     return documents.select("doc_id", F.col("text").cast("string")).mapInArrow(counted, schema)
-
-
-def _head(text: str, limit: int, tokens: WordTokens) -> PrefixCounts:
-    """The table of as much of the text as a cut at ``limit`` tokens can need: every unit has a token at least."""
-    end = 0
-    for k, unit in enumerate(_CHUNK.finditer(text)):
-        end = unit.end()
-        if k > limit:
-            break
-    return PrefixCounts(text[:end], tokens)

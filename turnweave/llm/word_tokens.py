@@ -176,6 +176,19 @@ class WordTokens:
             self._trim(table, missing, most)
         return found
 
+    def spans(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends, in code points, of what ``parts`` gives the ids of, and the number of ids of each."""
+        counts = np.fromiter(map(len, self.parts(text)), np.int64) // 4
+        if self._cut(text) is None:
+            found = np.array([x.span() for x in _CHUNK.finditer(text)], np.int64).reshape(-1, 2)
+            return found[:, 0], found[:, 1], counts
+        kinds = _KINDS[np.frombuffer(text.encode("latin-1"), np.uint8)]
+        inside = np.flatnonzero(_CUTS[4 * kinds[:-1] + kinds[1:]]) + 1
+        solid = np.concatenate([[False], kinds != _SPACE, [False]])
+        starts = np.flatnonzero(~solid[:-1] & solid[1:])
+        ends = np.flatnonzero(solid[:-1] & ~solid[1:])
+        return np.sort(np.concatenate([starts, inside])), np.sort(np.concatenate([ends, inside])), counts
+
     def ids(self, text: str) -> bytes:
         return b"".join(self.parts(text))
 
