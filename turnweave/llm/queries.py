@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnweave.llm import bpe, langid, line_dedup, minhash, packing, token_counts, url_filter
+from turnweave.llm import bpe, langid, line_dedup, minhash, packing, simhash, token_counts, url_filter
 from turnweave.llm.common import read
 
 URL_RULES = [
@@ -22,6 +22,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.edited_fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.token_digests(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -53,7 +57,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(documents).select("doc_id", "text", "n_lines", "n_deleted")
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op4_byte_bpe, op5_token_counts, op6_language_id, op8_near_duplicates, op9_packing, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op3_simhash, op4_byte_bpe, op5_token_counts, op6_language_id, op8_near_duplicates, op9_packing, op10_line_dedup)}
 
 SQL = {
     "op1_url_filter": """
