@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnweave.llm import bpe, langid, line_dedup, minhash, packing, simhash, token_counts, url_filter
+from turnweave.llm import bpe, html_text, langid, line_dedup, minhash, packing, simhash, token_counts, topk, url_filter
 from turnweave.llm.common import read
 
 URL_RULES = [
@@ -22,6 +22,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
 
 
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=5, scale=256, every=50)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.edited_fingerprints(read(spark, sf_dir, "documents"))
 
@@ -43,6 +47,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(read(spark, sf_dir, "pages").select("page_id", "html"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -57,7 +65,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(documents).select("doc_id", "text", "n_lines", "n_deleted")
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op3_simhash, op4_byte_bpe, op5_token_counts, op6_language_id, op8_near_duplicates, op9_packing, op10_line_dedup)}
+_ALL = (
+    op1_url_filter,
+    op2_top_k,
+    op3_simhash,
+    op4_byte_bpe,
+    op5_token_counts,
+    op6_language_id,
+    op7_html_text,
+    op8_near_duplicates,
+    op9_packing,
+    op10_line_dedup,
+)
+QUERIES = {query.__name__: query for query in _ALL}
 
 SQL = {
     "op1_url_filter": """
@@ -78,5 +98,16 @@ fits AS (
   FROM parts p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
 SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
 FROM parts p LEFT JOIN fits f ON p.page_id = f.page_id AND f.place = 1
+""",
+    "op2_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scores)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """,
 }
