@@ -54,16 +54,26 @@ def characters(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(text, ""), lambda x: x != ""))
 
 
+def form(text: Column | str) -> Column:
+    """What ``form_hit`` needs of a term or a text, made once: its compact form, that without fillers, its
+    characters, and whether it has to be met literally."""
+    a = compact(text)
+    exact = a.rlike(r"(?U)\d") | any_of(a, EXACT_MARKS) | (F.length(a) < 5)
+    return F.struct(a.alias("tight"), without_fillers(text).alias("rest"), characters(a).alias("chars"), exact.alias("exact"))
+
+
+def form_hit(a: Column, b: Column) -> Column:
+    """``text_hit`` of the forms of a term and a text."""
+    literal = F.contains(b["tight"], a["tight"]) | ((a["rest"] != "") & F.contains(b["rest"], a["rest"]))
+    own = F.size(a["chars"])
+    common = F.size(F.array_intersect(a["chars"], b["chars"]))
+    loose = ~a["exact"] & (common >= 4) & (common / own >= 0.90)
+    return (a["tight"] != "") & (b["tight"] != "") & (literal | loose)
+
+
 def text_hit(term: Column | str, text: Column | str) -> Column:
     """Whether the text expresses the term: literally, but for fillers, or by nearly all of its characters."""
-    a, b = compact(term), compact(text)
-    a2, b2 = without_fillers(term), without_fillers(text)
-    literal = F.contains(b, a) | ((a2 != "") & F.contains(b2, a2))
-    exact = a.rlike(r"(?U)\d") | any_of(a, EXACT_MARKS)
-    own = F.size(characters(a))
-    common = F.size(F.array_intersect(characters(a), characters(b)))
-    loose = ~exact & (F.length(a) >= 5) & (common >= 4) & (common / own >= 0.90)
-    return (a != "") & (b != "") & (literal | loose)
+    return form_hit(form(term), form(text))
 
 
 def strict_hit(term: Column | str, text: Column | str) -> Column:
@@ -75,7 +85,11 @@ def strict_hit(term: Column | str, text: Column | str) -> Column:
 
 def ordered_hit(term: Column | str, text: Column | str) -> Column:
     """Whether the characters of a long term follow each other in the text, each the next one of its kind, in small gaps."""
-    a, b = compact(term), compact(text)
+    return tight_ordered_hit(compact(term), compact(text))
+
+
+def tight_ordered_hit(a: Column, b: Column) -> Column:
+    """``ordered_hit`` of compact forms."""
 
     def follow(s: Column, x: Column) -> Column:
         rest = F.substring(b, s["at"] + 1, F.length(b))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnweave.functions.text import any_of, compact, dedupe_ordered
+from turnweave.functions.text import any_of, compact
 
 # Where sentences and clauses end, and what is stripped from their ends.
 SENTENCE_ENDS = r"[。！？!?；;\n]+"
@@ -37,23 +37,27 @@ TAGS = (
 )
 
 
-def spans(text: Column) -> Column:
-    """The whole text, then its sentences, cut into clauses where two clauses have two characters each; no repeats."""
-    raw = F.trim(F.coalesce(text, F.lit("")))
-    strip = lambda x: F.btrim(x, F.lit(EDGES))
-    parts = F.filter(F.transform(F.split(raw, SENTENCE_ENDS), strip), lambda x: x != "")
-
-    def clauses(part: Column) -> Column:
-        subs = F.filter(F.transform(F.split(part, CLAUSE_ENDS), strip), lambda x: F.length(compact(x)) >= 2)
-        return F.when(F.size(subs) <= 1, F.array(part)).otherwise(subs)
+def with_spans(turns: DataFrame) -> DataFrame:
+    """``turns`` with spans: the whole text, then its sentences, cut into clauses where two clauses have two
+    characters each, without repeats of a compact form.
 
-    whole = F.concat(F.array(raw), F.flatten(F.transform(parts, clauses)))
-    return F.when(raw == "", F.array().cast("array<string>")).otherwise(dedupe_ordered(whole))
+    Each step is a column of its own, so that no lambda works out another's array again.
+    """
+    strip = lambda x: F.btrim(x, F.lit(EDGES))
+    tight = lambda x: F.length(F.regexp_replace(x, r"(?U)\s+", "")) >= 2
+    raw = turns.withColumn("raw", F.trim(F.coalesce("text", F.lit(""))))
+    parts = raw.withColumn("parts", F.filter(F.transform(F.split("raw", SENTENCE_ENDS), strip), lambda x: x != ""))
+    cut = parts.withColumn("cut", F.transform("parts", lambda p: F.struct(p.alias("p"), F.filter(F.transform(F.split(p, CLAUSE_ENDS), strip), tight).alias("subs"))))
+    pieces = F.flatten(F.transform("cut", lambda x: F.when(F.size(x["subs"]) <= 1, F.array(x["p"])).otherwise(x["subs"])))
+    whole = cut.withColumn("whole", F.when(F.col("raw") == "", F.array().cast("array<string>")).otherwise(F.concat(F.array("raw"), pieces)))
+    keyed = whole.withColumn("keys", F.transform("whole", compact))
+    first = lambda x, i: (F.get("keys", i) != "") & (F.array_position("keys", F.get("keys", i)) == i + 1)
+    return keyed.withColumn("spans", F.filter("whole", first)).drop("raw", "parts", "cut", "whole", "keys")
 
 
-def tags(text: Column, speaker: Column) -> Column:
-    """General tags "type:value" of a span."""
-    raw, tight = F.coalesce(text, F.lit("")), compact(text)
+def tags(text: Column, tight: Column, speaker: Column) -> Column:
+    """General tags "type:value" of a span; ``tight``: its compact form."""
+    raw = F.coalesce(text, F.lit(""))
     asked = any_of(raw, QUESTION)
     found = [F.concat(F.lit("speaker_role:"), speaker), F.when(asked, "form:question"), F.when(asked, "intent:ask")]
     found.append(F.when(any_of(raw, ("您好", "你好", "早上好", "下午好")), "intent:greet"))
@@ -70,9 +74,11 @@ def atoms(turns: DataFrame) -> DataFrame:
 
     seq 0 is the whole turn. It is evidence only if its turn has no other span.
     """
-    cut = turns.select("dialogue_id", "turn_index", "speaker", spans(F.col("text")).alias("spans"))
+    cut = with_spans(turns).select("dialogue_id", "turn_index", "speaker", "spans")
     alone = F.size("spans") == 1
-    each = cut.select("dialogue_id", "turn_index", "speaker", alone.alias("alone"), F.posexplode("spans").alias("seq", "text"))
+    # The outer form: for the other, the optimizer would filter on the size of all that makes the spans.
+    each = cut.select("dialogue_id", "turn_index", "speaker", alone.alias("alone"), F.posexplode_outer("spans").alias("seq", "text"))
+    each = each.where("seq IS NOT NULL")
     return each.select(
         "dialogue_id",
         "turn_index",

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnweave.functions.text import compact, ordered_hit, text_hit
+from turnweave.functions.text import MODAL_MARKS, any_of, compact, form, form_hit, tight_ordered_hit
 from turnweave.operators.atoms import tags
 from turnweave.plans.catalogue import ROLES
 
@@ -29,13 +29,27 @@ def _is_role() -> Column:
     return F.col("type").isin(*ROLES)
 
 
+def element_terms(elements: DataFrame) -> DataFrame:
+    """A row per element and term, with the forms of the term that are compared."""
+    each = elements.select("rule_id", "rule_type", "group_id", "element_id", F.explode_outer("forms").alias("t")).where("t IS NOT NULL")
+    tight = F.col("t.tight")
+    in_order = (F.length(tight) >= 6) & ~tight.rlike(r"(?U)\d") & ~any_of(tight, MODAL_MARKS)
+    return each.withColumn("in_order", in_order & (F.col("rule_type") == "node_positive"))
+
+
 def element_hits(atoms: DataFrame, elements: DataFrame) -> DataFrame:
-    """(span, element) of every hit: an equal general tag, or a term that the text expresses."""
-    small = F.broadcast(elements.select("rule_id", "group_id", "element_id", "type", "value", "surface"))
-    tagged = atoms.withColumn("tags", tags(F.col("text"), F.col("speaker")))
-    same = F.array_contains(F.col("tags"), F.concat(F.col("type"), F.lit(":"), compact("value")))
-    said = F.exists("surface", lambda t: text_hit(t, F.col("text")))
-    return tagged.join(small, same | said).select(*SPAN, "speaker", "rule_id", "group_id", "element_id")
+    """(span, element) of every hit: an equal general tag, or a term that the text expresses.
+
+    Tags meet elements in a hash join. Terms meet texts in a nested loop over the broadcast
+    terms; what it compares is made once for a span and once for a term.
+    """
+    names = [*SPAN, "speaker", "rule_id", "group_id", "element_id"]
+    tag = F.concat(F.col("type"), F.lit(":"), compact("value")).alias("tag")
+    tagged = atoms.select(*SPAN, "speaker", F.explode(tags(F.col("text"), F.col("compact"), F.col("speaker"))).alias("tag"))
+    same = tagged.join(F.broadcast(elements.select(tag, "rule_id", "group_id", "element_id")), "tag").select(*names)
+    spans = atoms.select(*SPAN, "speaker", form("text").alias("form"))
+    said = spans.join(F.broadcast(element_terms(elements)), form_hit(F.col("t"), F.col("form"))).select(*names)
+    return said.union(same).distinct()
 
 
 def recall(atoms: DataFrame, elements: DataFrame, hits: DataFrame | None = None) -> DataFrame:
@@ -76,7 +90,7 @@ def windows(candidates: DataFrame, atoms: DataFrame, rules: DataFrame) -> DataFr
         spoken & (far <= 2),
     ]
     listed = F.array_compact(F.array(*[F.when(x, F.struct(F.lit(i).alias("window_ord"), F.lit(name).alias("window"), F.lit(factor).alias("factor"))) for i, (x, (name, factor)) in enumerate(zip(inside, WINDOWS, strict=True))]))
-    each = pairs.select("rule_id", "rule_type", "dialogue_id", "a_turn", "a_seq", "turn_index", "seq", F.inline(listed))
+    each = pairs.select("rule_id", "rule_type", "dialogue_id", "a_turn", "a_seq", "turn_index", "seq", F.inline_outer(listed)).where("window_ord IS NOT NULL")
     size = F.count("*").over(Window.partitionBy("rule_id", "dialogue_id", "a_turn", "a_seq", "window_ord"))
     return each.withColumn("size", size).where((F.col("window_ord") == 0) | (F.col("size") > 1))
 
@@ -89,8 +103,9 @@ def window_hits(members: DataFrame, hits: DataFrame, atoms: DataFrame, elements:
     inside = members.select(*KEY, *SPAN[1:]).join(hits.select("rule_id", *SPAN, "element_id"), ["rule_id", *SPAN]).select(*KEY, "element_id").distinct()
     wide = members.where("rule_type = 'node_positive' AND size > 1").join(atoms.select(*SPAN, "text"), SPAN)
     texts = wide.groupBy(*KEY).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn_index", "seq", "text"))), lambda x: x["text"]), " ").alias("joined"))
-    small = F.broadcast(elements.where("rule_type = 'node_positive'").select("rule_id", "element_id", "surface"))
-    over = texts.join(small, "rule_id").where(F.exists("surface", lambda t: text_hit(t, F.col("joined")) | ordered_hit(t, F.col("joined"))))
+    small = F.broadcast(element_terms(elements).where("rule_type = 'node_positive'").select("rule_id", "element_id", "t", "in_order"))
+    texts = texts.select(*KEY, form("joined").alias("form"))
+    over = texts.join(small, "rule_id").where(form_hit(F.col("t"), F.col("form")) | (F.col("in_order") & tight_ordered_hit(F.col("t.tight"), F.col("form.tight"))))
     return inside.union(over.select(*KEY, "element_id")).distinct()
 
 
@@ -181,8 +196,13 @@ def evaluate_windows(members: DataFrame, hits: DataFrame, atoms: DataFrame, elem
 
 
 def match_rules(atoms: DataFrame, elements: DataFrame) -> DataFrame:
-    """The best match of each rule in each dialogue where anything was recalled."""
-    hits = element_hits(atoms, elements)
+    """The best match of each rule in each dialogue where anything was recalled.
+
+    Spans, hits and windows are each read several times and are persisted (memory, then
+    disk); a lost part is made again from its input.
+    """
+    atoms = atoms.persist()
+    hits = element_hits(atoms, elements).persist()
     rules = elements.select("rule_id", "rule_type").distinct()
-    members = windows(recall(atoms, elements, hits), atoms, rules)
+    members = windows(recall(atoms, elements, hits), atoms, rules).persist()
     return best_matches(settle(evaluate_windows(members, hits, atoms, elements)))

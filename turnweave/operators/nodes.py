@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from turnweave.plans.local import local_table
+
 # Names of states, thresholds of node scores, types of nodes on the main line.
 DONE, PARTIAL, MISSING, INACTIVE = "已完成", "部分完成", "缺失", "未激活"
 SATISFIED, PARTLY, ZERO_CAP, LOCAL_HIT = 0.75, 0.35, 0.58, 0.72
@@ -68,17 +70,19 @@ def incoming_edges(edges: DataFrame) -> DataFrame:
 
 def closure(spark: SparkSession, edges: DataFrame, depth: int = 100) -> DataFrame:
     """(source, target) of all that can be reached, without the source itself; cycles end at ``depth``."""
-    # One row per node and distance at most: the union below keeps distinct pairs a step at a time.
-    seen = edges.select("source", "target").distinct()
-    step = seen
+    # Metadata: the pairs of one catalogue's nodes, worked out a step at a time where the plan is made.
+    known = edges.select("source", "target").distinct().collect()
+    behind: dict[str, set[str]] = {}
+    for row in known:
+        behind.setdefault(row.source, set()).add(row.target)
+    pairs = {(row.source, row.target) for row in known}
+    new = pairs
     for _ in range(depth):
-        step = step.alias("a").join(F.broadcast(edges).alias("b"), F.col("a.target") == F.col("b.source")).select(F.col("a.source"), F.col("b.target")).distinct()
-        step = step.join(seen, ["source", "target"], "left_anti")
-        rows = step.collect()  # metadata: pairs of nodes of one catalogue
-        if not rows:
+        new = {(a, c) for a, b in new for c in behind.get(b, ())} - pairs
+        if not new:
             break
-        step = spark.createDataFrame(rows, seen.schema)
-        seen = spark.createDataFrame(seen.union(step).collect(), seen.schema)
+        pairs |= new
+    seen = local_table(spark, sorted(pairs), "source string, target string")
     return seen.where("source <> target")
 
 

@@ -8,6 +8,7 @@ broadcast.
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 from typing import Any
@@ -15,7 +16,9 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnweave.functions.text import compact, is_precise
+from turnweave.functions.text import COUNTED, EXACT_MARKS, FILLERS, PRECISE_WORDS, compact
+from turnweave.operators.atoms import NEGATION
+from turnweave.plans.local import local_table
 
 #: Elements that are broadcast; larger catalogues are refused.
 MAX_ELEMENTS = 200_000
@@ -60,6 +63,11 @@ ELEMENT = (
     "element_id string, element_ord int, type string, value string, terms array<string>, surface array<string>, main boolean, fact boolean, cluster int"
 )
 
+WEIGHTED = ELEMENT + (
+    ", weight double, precise boolean, hit_main double, hit_group double, review_main double, review_group double, "
+    "forms array<struct<tight:string,rest:string,chars:array<string>,exact:boolean>>"
+)
+
 
 def _tight(x: Any) -> str:
     return re.sub(r"\s+", "", str(x or "")).lower()
@@ -139,7 +147,7 @@ def compile_rules(spark: SparkSession, rules: list[dict[str, Any]], nodes: list[
                 )
     if len(rows) > MAX_ELEMENTS:
         raise ValueError(f"{len(rows)} elements; at most {MAX_ELEMENTS} are broadcast")
-    elements = weighted(spark.createDataFrame(rows, ELEMENT))
+    elements = local_table(spark, _weighted(rows), WEIGHTED)
     node_rows = [(n["id"], n.get("type", "main"), n.get("mode", "always"), bool(n.get("required", True)), n.get("rules", [n["id"]]), n.get("trigger")) for n in nodes]
     known = {n["id"] for n in nodes}
     for e in edges:
@@ -148,8 +156,8 @@ def compile_rules(spark: SparkSession, rules: list[dict[str, Any]], nodes: list[
     edge_rows = [(e["source"], e["target"], edge_kind(e.get("type", "before")), float(e.get("weight", 1.0))) for e in edges]
     return Catalogue(
         elements,
-        spark.createDataFrame(node_rows, "node_id string, node_type string, mode string, required boolean, rules array<string>, trigger_rule string"),
-        spark.createDataFrame(edge_rows, "source string, target string, kind string, weight double"),
+        local_table(spark, node_rows, "node_id string, node_type string, mode string, required boolean, rules array<string>, trigger_rule string"),
+        local_table(spark, edge_rows, "source string, target string, kind string, weight double"),
         len(rows),
     )
 
@@ -170,29 +178,41 @@ def idf(elements: DataFrame) -> DataFrame:
     return counted.crossJoin(F.broadcast(n)).select("term", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
-def special_factor(value: str = "value", terms: str = "terms"):
+def _form(text: str) -> dict[str, Any]:
+    """What ``form_hit`` compares of a term."""
+    tight = rest = _tight(text)
+    for word in FILLERS:
+        rest = rest.replace(word, "")
+    exact = bool(re.search(r"\d", tight)) or any(x in tight for x in EXACT_MARKS) or len(tight) < 5
+    return {"tight": tight, "rest": rest, "chars": list(dict.fromkeys(tight)), "exact": exact}
+
+
+def _special(value: str, terms: list[str]) -> float:
     """How much more or less a term's form says."""
-    from turnweave.functions.text import any_of
-    from turnweave.operators.atoms import NEGATION
-
-    joined = F.array_join(terms, " ")
-    tight, own = compact(joined), compact(value)
-    number = joined.rlike(r"(?U)\d") | any_of(tight, NUMBER_MARKS)
-    negated = any_of(tight, NEGATION) | F.col(value).isin("否定", "negation")
-    out = F.when(number, F.lit(1.20)).otherwise(F.lit(1.0)) * F.when(negated, F.lit(1.15)).otherwise(F.lit(1.0))
-    return out * F.when(F.length(own) <= 1, F.lit(0.80)).otherwise(F.lit(1.0)) * F.when(own.isin(*WEAK), F.lit(0.85)).otherwise(F.lit(1.0))
-
-
-def weighted(elements: DataFrame) -> DataFrame:
-    """``elements`` with weight, precise, and the thresholds of their rule's type."""
-    each = elements.select("element_id", F.explode_outer("terms").alias("t")).withColumn("term", compact("t"))
-    best = each.join(idf(elements), "term", "left").groupBy("element_id").agg(F.coalesce(F.max("idf"), F.lit(1.0)).alias("idf"))
-    factor = F.when(F.col("main"), F.lit(1.5)).otherwise(F.lit(1.0)) * F.when(F.col("fact"), F.lit(1.25)).otherwise(F.lit(1.0))
-    weight = F.greatest(F.lit(0.2), F.least(F.lit(4.0), factor * F.col("idf") * special_factor()))
-    out = elements.join(best, "element_id").withColumn("weight", weight).withColumn("precise", is_precise(F.col("terms"))).drop("idf")
-    for i, name in enumerate(("hit_main", "hit_group", "review_main", "review_group")):
-        value = F.lit(PROFILES["default"][i])
-        for kind, profile in PROFILES.items():
-            value = F.when(F.col("rule_type") == kind, F.lit(profile[i])).otherwise(value)
-        out = out.withColumn(name, value)
+    joined, own = " ".join(terms), _tight(value)
+    tight = _tight(joined)
+    out = 1.20 if re.search(r"\d", joined) or any(x in tight for x in NUMBER_MARKS) else 1.0
+    out *= 1.15 if any(x in tight for x in NEGATION) or value in ("否定", "negation") else 1.0
+    return out * (0.80 if len(own) <= 1 else 1.0) * (0.85 if own in WEAK else 1.0)
+
+
+def _weighted(rows: list[tuple]) -> list[tuple]:
+    """Rows of ``ELEMENT`` with their weight, whether they are precise, the thresholds of their type and the forms of their terms."""
+    documents: dict[str, set[str]] = {}
+    for row in rows:
+        documents.setdefault(row[0], set()).update(_tight(t) for t in row[12])
+    df: dict[str, int] = {}
+    for terms in documents.values():
+        for term in terms:
+            df[term] = df.get(term, 0) + 1
+    n = max(1, len(documents))
+    out = []
+    for row in rows:
+        kind, value, terms, surface, main, fact = row[1], row[11], row[12], row[13], row[14], row[15]
+        rarest = max((math.log((n + 1) / (df[t] + 1)) + 1 for t in map(_tight, terms) if t in df), default=1.0)
+        weight = (1.5 if main else 1.0) * (1.25 if fact else 1.0) * rarest * _special(value, terms)
+        tight = _tight(" ".join(terms))
+        precise = bool(re.search(r"\d", tight) or re.search(COUNTED, tight)) or any(x in tight for x in PRECISE_WORDS)
+        profile = PROFILES.get(kind, PROFILES["default"])
+        out.append((*row, max(0.2, min(4.0, weight)), precise, *profile, [_form(t) for t in surface]))
     return out

@@ -22,11 +22,11 @@ def evaluate(turns: DataFrame, catalogue: Catalogue, requirements: DataFrame, fa
     ``requirements``: node_id, requirement_id (a rule), weight, required. ``facts``: fact_id,
     selector, correct, wrong (rules), severity. ``constraints``: constraint_id, trigger,
     negative, safe (rules), needs_trigger, severity. The spans and the best matches are each
-    used several times and are kept by the caller's choice of storage, not collected.
+    used several times and are persisted, not collected.
     """
     spark = turns.sparkSession
     spans = atoms(turns)
-    matches = match_rules(spans, catalogue.elements).cache()
+    matches = match_rules(spans, catalogue.elements).persist()
     dialogues = turns.select("dialogue_id").distinct()
     wanted = nodes.requirement_results(matches, requirements, dialogues)
     scores = nodes.node_scores(wanted)

@@ -203,7 +203,7 @@ TAGGED = "(VALUES (1, '您好，请问您是负责人吗', 'assistant', 'form:qu
 
 @query(f"SELECT id, expected AS tags FROM {TAGGED}")
 def f2_tags(spark, sf_dir):
-    return _values(spark, TAGGED).select("id", F.array_join(F.array_sort(tags(F.col("s"), F.col("who"))), ",").alias("tags"))
+    return _values(spark, TAGGED).select("id", F.array_join(F.array_sort(tags(F.col("s"), ft.compact("s"), F.col("who"))), ",").alias("tags"))
 
 
 @query("SELECT * FROM (VALUES (1, 'number:10:单,number:15:元'), (2, 'range:3~5:天'), (3, 'number:6:点'), (4, ''), (5, 'number:1.5:小时,number:30:分钟'), (6, 'number:18:点')) AS t(id, found)")

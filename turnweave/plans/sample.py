@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from turnweave.plans.catalogue import Catalogue, compile_rules
 from turnweave.plans.evaluate import evaluate
+from turnweave.plans.local import local_table
 
 
 def latin_rules(spark: SparkSession, values: str) -> Catalogue:
@@ -45,7 +46,7 @@ def catalogue(spark: SparkSession) -> Catalogue:
 
 
 def evaluated(spark: SparkSession, turns: DataFrame) -> dict[str, DataFrame]:
-    requirements = spark.createDataFrame([(n["id"], n["id"], 1.0, n["required"]) for n in NODES], "node_id string, requirement_id string, weight double, required boolean")
-    facts = spark.createDataFrame([("fact", "fact.selector", "fact.correct", "fact.wrong", "medium")], "fact_id string, selector string, correct string, wrong string, severity string")
-    constraints = spark.createDataFrame([("ban", None, "ban.negative", "ban.safe", False, "high")], "constraint_id string, trigger string, negative string, safe string, needs_trigger boolean, severity string")
+    requirements = local_table(spark, [(n["id"], n["id"], 1.0, n["required"]) for n in NODES], "node_id string, requirement_id string, weight double, required boolean")
+    facts = local_table(spark, [("fact", "fact.selector", "fact.correct", "fact.wrong", "medium")], "fact_id string, selector string, correct string, wrong string, severity string")
+    constraints = local_table(spark, [("ban", None, "ban.negative", "ban.safe", False, "high")], "constraint_id string, trigger string, negative string, safe string, needs_trigger boolean, severity string")
     return evaluate(turns, catalogue(spark), requirements, facts, constraints)
