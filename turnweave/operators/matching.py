@@ -64,49 +64,90 @@ def recall(atoms: DataFrame, elements: DataFrame, hits: DataFrame | None = None)
     return found.join(evidence, SPAN, "left_semi").select("rule_id", *SPAN, "speaker").distinct()
 
 
-def windows(candidates: DataFrame, atoms: DataFrame, rules: DataFrame) -> DataFrame:
-    """(rule, anchor span, window, factor, member span): the windows of every candidate.
+KEY = ["rule_id", "dialogue_id", "a_turn", "a_seq", "window_ord"]
 
-    Constraints have only the span itself; nodes also spans of the same speaker in
-    neighbouring turns. A window of one span is left out.
-    """
-    by_turn = Window.partitionBy("dialogue_id", "turn_index").orderBy("seq")
-    evidence = atoms.where("is_evidence").withColumn("place", F.row_number().over(by_turn))
-    own = evidence.select(*SPAN, "speaker", "place", "span_type")
-    anchors = candidates.drop("speaker").join(own.select(*SPAN, "speaker", "place"), SPAN).join(F.broadcast(rules), "rule_id")
-    anchors = anchors.select("rule_id", "rule_type", "dialogue_id", F.col("turn_index").alias("a_turn"), F.col("seq").alias("a_seq"), F.col("speaker").alias("a_speaker"), F.col("place").alias("a_place"))
-    members = own.select("dialogue_id", "turn_index", "seq", "place", "span_type", F.col("speaker").alias("m_speaker"))
-    far = F.abs(F.col("turn_index") - F.col("a_turn"))
-    near = F.abs(F.col("place") - F.col("a_place"))
-    same = F.col("turn_index") == F.col("a_turn")
-    spoken = (F.col("m_speaker") == F.col("a_speaker")) & (F.col("span_type") == "atom") & (F.col("rule_type") == "node_positive")
-    # A dialogue is the key of the join; the band on turns is part of its condition.
-    pairs = anchors.join(members, "dialogue_id").where((far <= 2) & (same | (F.col("rule_type") == "node_positive")))
-    inside = [
-        same & (near == 0),
-        same & (near <= 1) & ~F.col("rule_type").startswith("constraint_"),
-        same & (near <= 2) & ~F.col("rule_type").startswith("constraint_"),
-        spoken & (far <= 1),
-        spoken & (far <= 2),
-    ]
-    listed = F.array_compact(F.array(*[F.when(x, F.struct(F.lit(i).alias("window_ord"), F.lit(name).alias("window"), F.lit(factor).alias("factor"))) for i, (x, (name, factor)) in enumerate(zip(inside, WINDOWS, strict=True))]))
-    each = pairs.select("rule_id", "rule_type", "dialogue_id", "a_turn", "a_seq", "turn_index", "seq", F.inline_outer(listed)).where("window_ord IS NOT NULL")
-    size = F.count("*").over(Window.partitionBy("rule_id", "dialogue_id", "a_turn", "a_seq", "window_ord"))
-    return each.withColumn("size", size).where((F.col("window_ord") == 0) | (F.col("size") > 1))
 
+def _evidence(atoms: DataFrame) -> DataFrame:
+    """Evidence spans with their place in the turn, and how many spans stand near them.
+
+    n_turn: in the turn; near_1, near_2: spans that are no whole turn, of the same speaker,
+    at most one and two turns away.
+    """
+    in_turn = Window.partitionBy("dialogue_id", "turn_index")
+    by_speaker = Window.partitionBy("dialogue_id", "speaker").orderBy("turn_index")
+    part = (F.col("span_type") == "atom").cast("int")
+    rows = atoms.where("is_evidence").withColumn("place", F.row_number().over(in_turn.orderBy("seq"))).withColumn("n_turn", F.count("*").over(in_turn))
+    return rows.withColumn("near_1", F.sum(part).over(by_speaker.rangeBetween(-1, 1))).withColumn("near_2", F.sum(part).over(by_speaker.rangeBetween(-2, 2)))
 
-KEY = ["rule_id", "dialogue_id", "a_turn", "a_seq", "window_ord"]
 
+def windows(candidates: DataFrame, atoms: DataFrame, rules: DataFrame) -> DataFrame:
+    """(rule, anchor span, window, factor, size): the windows of every candidate.
 
-def window_hits(members: DataFrame, hits: DataFrame, atoms: DataFrame, elements: DataFrame) -> DataFrame:
-    """(window, element) of what is hit in a window: by a member, or over members in order (nodes only)."""
-    inside = members.select(*KEY, *SPAN[1:]).join(hits.select("rule_id", *SPAN, "element_id"), ["rule_id", *SPAN]).select(*KEY, "element_id").distinct()
-    wide = members.where("rule_type = 'node_positive' AND size > 1").join(atoms.select(*SPAN, "text"), SPAN)
-    texts = wide.groupBy(*KEY).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn_index", "seq", "text"))), lambda x: x["text"]), " ").alias("joined"))
+    Constraints have only the span itself; nodes also spans of the same speaker in
+    neighbouring turns. A window of one span is left out. Members are not listed: their
+    number follows from the span's place.
+    """
+    anchors = candidates.drop("speaker").join(_evidence(atoms), SPAN).join(F.broadcast(rules), "rule_id")
+    place, n = F.col("place"), F.col("n_turn")
+    around = lambda r: F.least(n, place + r) - F.greatest(F.lit(1), place - r) + 1
+    free, node = ~F.col("rule_type").startswith("constraint_"), F.col("rule_type") == "node_positive"
+    sizes = [F.lit(1), F.when(free, around(1)), F.when(free, around(2)), F.when(node, F.col("near_1")), F.when(node, F.col("near_2"))]
+    listed = [
+        F.when(F.lit(i == 0) | (size > 1), F.struct(F.lit(i).alias("window_ord"), F.lit(name).alias("window"), F.lit(factor).alias("factor"), size.cast("bigint").alias("size")))
+        for i, (size, (name, factor)) in enumerate(zip(sizes, WINDOWS, strict=True))
+    ]
+    out = anchors.select("rule_id", "rule_type", "dialogue_id", F.col("turn_index").alias("a_turn"), F.col("seq").alias("a_seq"), F.col("place").alias("a_place"), F.col("speaker").alias("a_speaker"), F.inline_outer(F.array_compact(F.array(*listed))))
+    return out.where("window_ord IS NOT NULL")
+
+
+def _inside(wins: DataFrame, hits: DataFrame, atoms: DataFrame) -> DataFrame:
+    """(window, element) where a member of the window has the hit. The turn is a part of the join's key."""
+    spans = _evidence(atoms).select(*SPAN, "speaker", "place", "span_type")
+    held = hits.select("rule_id", *SPAN, "element_id").join(spans, SPAN)
+    anchors = wins.select("rule_id", "rule_type", "dialogue_id", "a_turn", "a_seq", "a_place", "a_speaker").distinct()
+    node = F.col("rule_type") == "node_positive"
+    turns = F.when(node, F.sequence(F.col("a_turn") - 2, F.col("a_turn") + 2)).otherwise(F.array("a_turn"))
+    pairs = anchors.withColumn("turn_index", F.explode_outer(turns)).join(held, ["rule_id", "dialogue_id", "turn_index"])
+    same, near, far = F.col("turn_index") == F.col("a_turn"), F.abs(F.col("place") - F.col("a_place")), F.abs(F.col("turn_index") - F.col("a_turn"))
+    spoken = node & (F.col("speaker") == F.col("a_speaker")) & (F.col("span_type") == "atom")
+    holds = [same & (near == 0), same & (near <= 1), same & (near <= 2), spoken & (far <= 1), spoken]
+    ords = F.array_compact(F.array(*[F.when(x, F.lit(i)) for i, x in enumerate(holds)]))
+    found = pairs.select("rule_id", "dialogue_id", "a_turn", "a_seq", F.explode_outer(ords).alias("window_ord"), "element_id").where("window_ord IS NOT NULL")
+    return found.join(wins.select(*KEY), KEY, "left_semi").distinct()
+
+
+def _texts(atoms: DataFrame) -> DataFrame:
+    """(dialogue_id, a_turn, a_seq or a_speaker, window_ord, joined): the text of each window of several spans, once for all rules."""
+    evidence = atoms.where("is_evidence")
+    by_turn = Window.partitionBy("dialogue_id", "turn_index").orderBy("seq")
+    near = [F.struct(F.lit(r).alias("window_ord"), F.array_join(F.collect_list("text").over(by_turn.rowsBetween(-r, r)), " ").alias("joined")) for r in (1, 2)]
+    own = evidence.withColumn("w", F.array(*near)).select("dialogue_id", F.col("turn_index").alias("a_turn"), F.col("seq").alias("a_seq"), F.lit(None).cast("string").alias("a_speaker"), F.inline_outer("w"))
+    parts = F.collect_list(F.when(F.col("span_type") == "atom", F.struct("seq", "text")))
+    turns = evidence.groupBy("dialogue_id", "speaker", "turn_index").agg(F.transform(F.sort_array(parts), lambda x: x["text"]).alias("parts"))
+    by_speaker = Window.partitionBy("dialogue_id", "speaker").orderBy("turn_index")
+    far = [F.struct(F.lit(r + 2).alias("window_ord"), F.array_join(F.flatten(F.collect_list("parts").over(by_speaker.rangeBetween(-r, r))), " ").alias("joined")) for r in (1, 2)]
+    wide = turns.withColumn("w", F.array(*far)).select("dialogue_id", F.col("turn_index").alias("a_turn"), F.lit(None).cast("int").alias("a_seq"), F.col("speaker").alias("a_speaker"), F.inline_outer("w"))
+    return own.unionByName(wide)
+
+
+def window_hits(wins: DataFrame, hits: DataFrame, atoms: DataFrame, elements: DataFrame) -> DataFrame:
+    """(window, element) of what is hit in a window: by a member, or over its members' text (nodes only)."""
+    inside = _inside(wins, hits, atoms)
+    several = wins.where("rule_type = 'node_positive' AND size > 1")
+    narrow = F.col("window_ord") <= 2
+    of = several.select("rule_id", "dialogue_id", "a_turn", "window_ord", F.when(narrow, F.col("a_seq")).alias("t_seq"), F.when(~narrow, F.col("a_speaker")).alias("t_speaker"))
+    texts = _texts(atoms)
+    same = (
+        (of["dialogue_id"] == texts["dialogue_id"]) & (of["a_turn"] == texts["a_turn"]) & (of["window_ord"] == texts["window_ord"])
+        & of["t_seq"].eqNullSafe(texts["a_seq"]) & of["t_speaker"].eqNullSafe(texts["a_speaker"])
+    )
+    needed = of.distinct().join(texts, same).select(of["rule_id"], of["dialogue_id"], of["a_turn"], of["window_ord"], "t_seq", "t_speaker", form("joined").alias("form"))
     small = F.broadcast(element_terms(elements).where("rule_type = 'node_positive'").select("rule_id", "element_id", "t", "in_order"))
-    texts = texts.select(*KEY, form("joined").alias("form"))
-    over = texts.join(small, "rule_id").where(form_hit(F.col("t"), F.col("form")) | (F.col("in_order") & tight_ordered_hit(F.col("t.tight"), F.col("form.tight"))))
-    return inside.union(over.select(*KEY, "element_id")).distinct()
+    said = form_hit(F.col("t"), F.col("form")) | (F.col("in_order") & tight_ordered_hit(F.col("t.tight"), F.col("form.tight")))
+    over = needed.join(small, "rule_id").where(said).select("rule_id", "dialogue_id", "a_turn", "window_ord", "t_seq", "t_speaker", "element_id").distinct()
+    at = several.select(*KEY, F.when(narrow, F.col("a_seq")).alias("w_seq"), F.when(~narrow, F.col("a_speaker")).alias("w_speaker"))
+    back = at.join(over, ["rule_id", "dialogue_id", "a_turn", "window_ord"]).where(F.col("w_seq").eqNullSafe(F.col("t_seq")) & F.col("w_speaker").eqNullSafe(F.col("t_speaker")))
+    return inside.union(back.select(*KEY, "element_id")).distinct()
 
 
 def group_measures(hit_rows: DataFrame) -> DataFrame:
@@ -187,10 +228,10 @@ def best_matches(settled: DataFrame) -> DataFrame:
     return settled.groupBy("dialogue_id", "rule_id", "rule_type").agg(F.max_by(kept, order).alias("m")).select("dialogue_id", "rule_id", "rule_type", "m.*")
 
 
-def evaluate_windows(members: DataFrame, hits: DataFrame, atoms: DataFrame, elements: DataFrame) -> DataFrame:
+def evaluate_windows(wins: DataFrame, hits: DataFrame, atoms: DataFrame, elements: DataFrame) -> DataFrame:
     """One row per (window, group): verdicts of every group of a rule in every window."""
-    found = window_hits(members, hits, atoms, elements).withColumn("is_hit", F.lit(True))
-    each = members.select(*KEY, "window", "factor").distinct().join(F.broadcast(elements), "rule_id")
+    found = window_hits(wins, hits, atoms, elements).withColumn("is_hit", F.lit(True))
+    each = wins.select(*KEY, "window", "factor").join(F.broadcast(elements), "rule_id")
     rows = each.join(found, [*KEY, "element_id"], "left").withColumn("is_hit", F.coalesce("is_hit", F.lit(False)))
     return group_verdicts(group_measures(rows))
 
@@ -204,5 +245,5 @@ def match_rules(atoms: DataFrame, elements: DataFrame) -> DataFrame:
     atoms = atoms.persist()
     hits = element_hits(atoms, elements).persist()
     rules = elements.select("rule_id", "rule_type").distinct()
-    members = windows(recall(atoms, elements, hits), atoms, rules).persist()
-    return best_matches(settle(evaluate_windows(members, hits, atoms, elements)))
+    wins = windows(recall(atoms, elements, hits), atoms, rules).persist()
+    return best_matches(settle(evaluate_windows(wins, hits, atoms, elements)))

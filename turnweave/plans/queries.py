@@ -378,8 +378,7 @@ SELECT rule_id, dialogue_id, a_turn, a_seq, window_ord::INTEGER AS window_ord, c
 def w2_windows(spark, sf_dir):
     spans = atoms(_turns(spark, sf_dir))
     elements = sample.latin_rules(spark, TERMS).elements
-    members = matching.windows(matching.recall(spans, elements), spans, elements.select("rule_id", "rule_type").distinct())
-    return members.groupBy(*matching.KEY).agg(F.count("*").alias("size"))
+    return matching.windows(matching.recall(spans, elements), spans, elements.select("rule_id", "rule_type").distinct()).select(*matching.KEY, "size")
 
 
 MEASURES = """(VALUES
