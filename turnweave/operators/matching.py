@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from turnweave.functions.text import MODAL_MARKS, any_of, compact, form, form_hit, tight_ordered_hit
 from turnweave.operators.atoms import tags
 from turnweave.plans.catalogue import ROLES
+from turnweave.sources.shared import stored
 
 # Factors of windows, in the order in which they are tried.
 WINDOWS = (
@@ -67,17 +68,26 @@ def recall(atoms: DataFrame, elements: DataFrame, hits: DataFrame | None = None)
 KEY = ["rule_id", "dialogue_id", "a_turn", "a_seq", "window_ord"]
 
 
-def _evidence(atoms: DataFrame) -> DataFrame:
-    """Evidence spans with their place in the turn, and how many spans stand near them.
+def with_places(atoms: DataFrame) -> DataFrame:
+    """``atoms`` with the place of evidence spans in their turn, and how many spans stand near them.
 
     n_turn: in the turn; near_1, near_2: spans that are no whole turn, of the same speaker,
-    at most one and two turns away.
+    at most one and two turns away. All frames lie in one dialogue: one shuffle serves them.
     """
     in_turn = Window.partitionBy("dialogue_id", "turn_index")
     by_speaker = Window.partitionBy("dialogue_id", "speaker").orderBy("turn_index")
-    part = (F.col("span_type") == "atom").cast("int")
-    rows = atoms.where("is_evidence").withColumn("place", F.row_number().over(in_turn.orderBy("seq"))).withColumn("n_turn", F.count("*").over(in_turn))
-    return rows.withColumn("near_1", F.sum(part).over(by_speaker.rangeBetween(-1, 1))).withColumn("near_2", F.sum(part).over(by_speaker.rangeBetween(-2, 2)))
+    counts, part = F.col("is_evidence").cast("int"), (F.col("span_type") == "atom").cast("int")
+    return atoms.repartition("dialogue_id").select(
+        "*",
+        F.sum(counts).over(in_turn.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)).alias("place"),
+        F.sum(counts).over(in_turn).alias("n_turn"),
+        F.sum(part).over(by_speaker.rangeBetween(-1, 1)).alias("near_1"),
+        F.sum(part).over(by_speaker.rangeBetween(-2, 2)).alias("near_2"),
+    )
+
+
+def _evidence(atoms: DataFrame) -> DataFrame:
+    return (atoms if "place" in atoms.columns else with_places(atoms)).where("is_evidence")
 
 
 def windows(candidates: DataFrame, atoms: DataFrame, rules: DataFrame) -> DataFrame:
@@ -239,11 +249,11 @@ def evaluate_windows(wins: DataFrame, hits: DataFrame, atoms: DataFrame, element
 def match_rules(atoms: DataFrame, elements: DataFrame) -> DataFrame:
     """The best match of each rule in each dialogue where anything was recalled.
 
-    Spans, hits and windows are each read several times and are persisted (memory, then
-    disk); a lost part is made again from its input.
+    Spans, hits and windows are each read several times, with few of their columns: they
+    are stored.
     """
-    atoms = atoms.persist()
-    hits = element_hits(atoms, elements).persist()
+    atoms = stored(with_places(atoms))
+    hits = stored(element_hits(atoms, elements))
     rules = elements.select("rule_id", "rule_type").distinct()
-    wins = windows(recall(atoms, elements, hits), atoms, rules).persist()
+    wins = stored(windows(recall(atoms, elements, hits), atoms, rules))
     return best_matches(settle(evaluate_windows(wins, hits, atoms, elements)))

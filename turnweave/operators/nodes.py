@@ -13,16 +13,26 @@ SATISFIED, PARTLY, ZERO_CAP, LOCAL_HIT = 0.75, 0.35, 0.58, 0.72
 MAINLINE = ("", "start", "main", "mainline", "process", "normal", "core")
 
 
-def requirement_results(matches: DataFrame, requirements: DataFrame, dialogues: DataFrame) -> DataFrame:
+def by_dialogue(matches: DataFrame, dialogues: DataFrame) -> DataFrame:
+    """(dialogue, found): every dialogue once, with a map of its best matches by rule; a catalogue's rules bound its size."""
+    entry = F.struct("rule_id", F.struct("verdict", "score", "turn_index"))
+    found = matches.groupBy("dialogue_id").agg(F.map_from_entries(F.collect_list(entry)).alias("found"))
+    return dialogues.select("dialogue_id").distinct().join(found, "dialogue_id", "left")
+
+
+def of_rule(rule: Column) -> Column:
+    """A rule's best match in ``found``, or null."""
+    return F.try_element_at("found", rule)
+
+
+def requirement_results(found: DataFrame, requirements: DataFrame) -> DataFrame:
     """(dialogue, node, requirement, weight, required, score, matched, turn) for every dialogue; a match in review keeps its score."""
-    every = dialogues.select("dialogue_id").distinct().crossJoin(F.broadcast(requirements))
-    found = matches.select("dialogue_id", F.col("rule_id").alias("requirement_id"), "verdict", "score", "turn_index")
-    out = every.join(found, ["dialogue_id", "requirement_id"], "left")
+    out = found.crossJoin(F.broadcast(requirements)).withColumn("m", of_rule(F.col("requirement_id")))
     return out.select(
         "dialogue_id", "node_id", "requirement_id", "weight", "required",
-        F.when(F.col("verdict").isin("hit", "review"), F.least(F.lit(1.0), F.col("score"))).otherwise(F.lit(0.0)).alias("score"),
-        F.coalesce(F.col("verdict") == "hit", F.lit(False)).alias("matched"),
-        F.when(F.col("verdict") == "hit", F.col("turn_index")).alias("turn_index"),
+        F.when(F.col("m.verdict").isin("hit", "review"), F.least(F.lit(1.0), F.col("m.score"))).otherwise(F.lit(0.0)).alias("score"),
+        F.coalesce(F.col("m.verdict") == "hit", F.lit(False)).alias("matched"),
+        F.when(F.col("m.verdict") == "hit", F.col("m.turn_index")).alias("turn_index"),
     )
 
 

@@ -9,11 +9,13 @@ from turnweave.operators import judges, nodes, relations, scoring
 from turnweave.operators.atoms import atoms
 from turnweave.operators.matching import match_rules
 from turnweave.plans.catalogue import Catalogue
+from turnweave.sources.shared import stored
 
 
-def _sides(matches: DataFrame, items: DataFrame, side: str) -> DataFrame:
-    found = matches.select("dialogue_id", F.col("rule_id").alias(side), F.col("verdict").alias(f"{side}_verdict"))
-    return items.join(found, ["dialogue_id", side], "left").withColumn(f"{side}_verdict", F.coalesce(f"{side}_verdict", F.lit("miss")))
+def _sides(found: DataFrame, items: DataFrame, sides: tuple[str, ...]) -> DataFrame:
+    """Every dialogue with every item, and the verdicts of the item's sides; a side without a match is a miss."""
+    rows = found.crossJoin(F.broadcast(items))
+    return rows.select("dialogue_id", *items.columns, *[F.coalesce(nodes.of_rule(F.col(x))["verdict"], F.lit("miss")).alias(f"{x}_verdict") for x in sides])
 
 
 def evaluate(turns: DataFrame, catalogue: Catalogue, requirements: DataFrame, facts: DataFrame, constraints: DataFrame) -> dict[str, DataFrame]:
@@ -22,30 +24,27 @@ def evaluate(turns: DataFrame, catalogue: Catalogue, requirements: DataFrame, fa
     ``requirements``: node_id, requirement_id (a rule), weight, required. ``facts``: fact_id,
     selector, correct, wrong (rules), severity. ``constraints``: constraint_id, trigger,
     negative, safe (rules), needs_trigger, severity. The spans and the best matches are each
-    used several times and are persisted, not collected.
+    used several times and are stored, not collected.
     """
     spark = turns.sparkSession
     spans = atoms(turns)
-    matches = match_rules(spans, catalogue.elements).persist()
+    matches = stored(match_rules(spans, catalogue.elements))
     dialogues = turns.select("dialogue_id").distinct()
-    wanted = nodes.requirement_results(matches, requirements, dialogues)
-    scores = nodes.node_scores(wanted)
-    reach = nodes.closure(spark, catalogue.edges)
-    first = nodes.node_results(scores, catalogue.nodes, matches, catalogue.edges)
-    gone = nodes.suppressed_by_terminals(first, catalogue.edges, reach)
-    steps = nodes.node_results(scores, catalogue.nodes, matches, catalogue.edges, gone)
+    found = stored(nodes.by_dialogue(matches, dialogues))
+    scores = stored(nodes.node_scores(nodes.requirement_results(found, requirements)))
+    steps = nodes.node_results(scores, catalogue.nodes, matches, catalogue.edges)
+    if catalogue.ends:
+        gone = nodes.suppressed_by_terminals(steps, catalogue.edges, nodes.closure(spark, catalogue.edges))
+        steps = nodes.node_results(scores, catalogue.nodes, matches, catalogue.edges, gone)
+    steps = stored(steps)
     edges = relations.edge_results(steps, catalogue.edges)
 
-    every = dialogues.crossJoin(F.broadcast(facts))
-    for side in ("selector", "correct", "wrong"):
-        every = _sides(matches, every, side)
+    every = _sides(found, facts, ("selector", "correct", "wrong"))
     null = F.lit(None).cast("string")
     verdict = judges.knowledge_verdict(F.col("selector").isNotNull(), F.col("selector_verdict"), F.col("correct_verdict"), F.col("wrong_verdict"), F.col("wrong_verdict"), null, null)
     checks = every.withColumn("verdict", verdict).where("verdict IS NOT NULL").select("dialogue_id", "fact_id", "severity", "verdict")
 
-    rules = dialogues.crossJoin(F.broadcast(constraints))
-    for side in ("trigger", "negative", "safe"):
-        rules = _sides(matches, rules, side)
+    rules = _sides(found, constraints, ("trigger", "negative", "safe"))
     verdict = judges.constraint_verdict(F.col("needs_trigger"), F.col("trigger_verdict"), F.col("negative_verdict"), F.col("safe_verdict"), F.lit(False))
     limits = rules.withColumn("verdict", verdict).where("verdict IS NOT NULL").select("dialogue_id", "constraint_id", "severity", "verdict")
 
