@@ -111,7 +111,7 @@ def windows(candidates: DataFrame, atoms: DataFrame, rules: DataFrame) -> DataFr
 
 
 def _inside(wins: DataFrame, hits: DataFrame, atoms: DataFrame) -> DataFrame:
-    """(window, element) where a member of the window has the hit. The turn is a part of the join's key."""
+    """(window, element) where a member of the window has the hit, once for each member. The turn is a part of the join's key."""
     spans = _evidence(atoms).select(*SPAN, "speaker", "place", "span_type")
     held = hits.select("rule_id", *SPAN, "element_id").join(spans, SPAN)
     anchors = wins.select("rule_id", "rule_type", "dialogue_id", "a_turn", "a_seq", "a_place", "a_speaker").distinct()
@@ -123,7 +123,7 @@ def _inside(wins: DataFrame, hits: DataFrame, atoms: DataFrame) -> DataFrame:
     holds = [same & (near == 0), same & (near <= 1), same & (near <= 2), spoken & (far <= 1), spoken]
     ords = F.array_compact(F.array(*[F.when(x, F.lit(i)) for i, x in enumerate(holds)]))
     found = pairs.select("rule_id", "dialogue_id", "a_turn", "a_seq", F.explode_outer(ords).alias("window_ord"), "element_id").where("window_ord IS NOT NULL")
-    return found.join(wins.select(*KEY), KEY, "left_semi").distinct()
+    return found.join(wins.select(*KEY), KEY, "left_semi")
 
 
 def _texts(atoms: DataFrame) -> DataFrame:
@@ -145,13 +145,17 @@ def window_hits(wins: DataFrame, hits: DataFrame, atoms: DataFrame, elements: Da
     inside = _inside(wins, hits, atoms)
     several = wins.where("rule_type = 'node_positive' AND size > 1")
     narrow = F.col("window_ord") <= 2
-    of = several.select("rule_id", "dialogue_id", "a_turn", "window_ord", F.when(narrow, F.col("a_seq")).alias("t_seq"), F.when(~narrow, F.col("a_speaker")).alias("t_speaker"))
+    place = ["dialogue_id", "a_turn", "window_ord", "t_seq", "t_speaker"]
+    of = several.select("rule_id", *place[:3], F.when(narrow, F.col("a_seq")).alias("t_seq"), F.when(~narrow, F.col("a_speaker")).alias("t_speaker"))
+    # A text is prepared once for all the rules that ask for it; their number is the catalogue's.
+    asked = of.groupBy(*place).agg(F.collect_set("rule_id").alias("rules"))
     texts = _texts(atoms)
     same = (
-        (of["dialogue_id"] == texts["dialogue_id"]) & (of["a_turn"] == texts["a_turn"]) & (of["window_ord"] == texts["window_ord"])
-        & of["t_seq"].eqNullSafe(texts["a_seq"]) & of["t_speaker"].eqNullSafe(texts["a_speaker"])
+        (asked["dialogue_id"] == texts["dialogue_id"]) & (asked["a_turn"] == texts["a_turn"]) & (asked["window_ord"] == texts["window_ord"])
+        & asked["t_seq"].eqNullSafe(texts["a_seq"]) & asked["t_speaker"].eqNullSafe(texts["a_speaker"])
     )
-    needed = of.distinct().join(texts, same).select(of["rule_id"], of["dialogue_id"], of["a_turn"], of["window_ord"], "t_seq", "t_speaker", form("joined").alias("form"))
+    prepared = asked.join(texts, same).select(*[asked[c] for c in place], "rules", form("joined").alias("form"))
+    needed = prepared.select(*place, "form", F.explode("rules").alias("rule_id"))
     small = F.broadcast(element_terms(elements).where("rule_type = 'node_positive'").select("rule_id", "element_id", "t", "in_order"))
     said = form_hit(F.col("t"), F.col("form")) | (F.col("in_order") & tight_ordered_hit(F.col("t.tight"), F.col("form.tight")))
     over = needed.join(small, "rule_id").where(said).select("rule_id", "dialogue_id", "a_turn", "window_ord", "t_seq", "t_speaker", "element_id").distinct()
@@ -160,16 +164,21 @@ def window_hits(wins: DataFrame, hits: DataFrame, atoms: DataFrame, elements: Da
     return inside.union(back.select(*KEY, "element_id")).distinct()
 
 
+def with_core(elements: DataFrame) -> DataFrame:
+    """``elements`` with core (the main ones of a group, else all but roles, else all) and the group's n_clusters."""
+    of = Window.partitionBy("group_id")
+    plain = ~_is_role()
+    some = lambda c: F.max(c.cast("int")).over(of) == 1
+    core = F.when(some(F.col("main") & plain), F.col("main") & plain).when(some(plain), plain).otherwise(F.lit(True))
+    return elements.withColumn("core", core).withColumn("n_clusters", F.size(F.collect_set("cluster").over(of)))
+
+
 def group_measures(hit_rows: DataFrame) -> DataFrame:
-    """Of each (window, group) with one row per element and ``is_hit``: coverages and missing parts."""
+    """Of each (window, group) with one row per element of ``with_core`` and ``is_hit``: coverages and missing parts."""
     plain = ~_is_role()
-    has_main = F.max((F.col("main") & plain).cast("int")).over(Window.partitionBy(*KEY, "group_id")) == 1
-    has_plain = F.max(plain.cast("int")).over(Window.partitionBy(*KEY, "group_id")) == 1
-    rows = hit_rows.withColumn("core", F.when(has_main, F.col("main") & plain).when(has_plain, plain).otherwise(F.lit(True)))
     hit, w = F.col("is_hit"), F.col("weight")
     count = lambda c: F.sum(c.cast("int"))
-    cluster = F.when(F.col("cluster").isNotNull() & hit, F.col("cluster"))
-    return rows.groupBy(*KEY, "rule_type", "window", "factor", "group_id", "group_ord", "decisive", "require_all", "hit_main", "hit_group", "review_main", "review_group").agg(
+    return hit_rows.groupBy(*KEY, "rule_type", "window", "factor", "group_id", "group_ord", "decisive", "require_all", "hit_main", "hit_group", "review_main", "review_group").agg(
         (F.sum(F.when(hit, w).otherwise(0.0)) / F.sum(w)).alias("raw_group"),
         (F.sum(F.when(hit & F.col("core"), w).otherwise(0.0)) / F.sum(F.when(F.col("core"), w).otherwise(0.0))).alias("raw_core"),
         count(F.col("core")).alias("n_core"),
@@ -179,7 +188,7 @@ def group_measures(hit_rows: DataFrame) -> DataFrame:
         count(F.col("fact") & plain & ~hit).alias("n_fact_missing"),
         count(F.col("main") & ~F.col("fact") & plain & ~hit).alias("n_trunk_missing"),
         count(plain & (F.col("main") | F.col("fact")) & F.col("precise") & ~hit).alias("n_precise_missing"),
-        (F.count_distinct("cluster") - F.count_distinct(cluster)).alias("n_cluster_missing"),
+        (F.max("n_clusters") - F.size(F.collect_set(F.when(hit, F.col("cluster"))))).alias("n_cluster_missing"),
     )
 
 
@@ -241,7 +250,7 @@ def best_matches(settled: DataFrame) -> DataFrame:
 def evaluate_windows(wins: DataFrame, hits: DataFrame, atoms: DataFrame, elements: DataFrame) -> DataFrame:
     """One row per (window, group): verdicts of every group of a rule in every window."""
     found = window_hits(wins, hits, atoms, elements).withColumn("is_hit", F.lit(True))
-    each = wins.select(*KEY, "window", "factor").join(F.broadcast(elements), "rule_id")
+    each = wins.select(*KEY, "window", "factor").join(F.broadcast(with_core(elements).drop("forms", "terms", "surface")), "rule_id")
     rows = each.join(found, [*KEY, "element_id"], "left").withColumn("is_hit", F.coalesce("is_hit", F.lit(False)))
     return group_verdicts(group_measures(rows))
 
