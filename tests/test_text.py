@@ -89,8 +89,8 @@ def test_a_failing_arbiter_leaves_candidates_unsure(spark):
 
 def test_dialogue_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
-    (tmp_path / "sub/a.json").write_text('{"id": "a", "sample_type": "正样本", "turns": [{"role": "客服", "text": "好"}, {"speaker": "user", "content": "嗯"}]}', encoding="utf-8")
-    (tmp_path / "b.json").write_text('{"domain": "x", "label": "neg", "dialogue": [{"role": "system", "text": "t"}]}', encoding="utf-8")
+    (tmp_path / "sub/a.json").write_text('{"id": "a", "sample_type": "正包", "turns": [{"role": "客服", "text": "好"}, {"speaker": "user", "content": "嗯"}]}', encoding="utf-8")
+    (tmp_path / "b.json").write_text('{"domain": "x", "pack_type": "负包", "dialogue": [{"role": "system", "text": "t"}]}', encoding="utf-8")
     (tmp_path / "bad.json").write_text('{"id": ', encoding="utf-8")
     (tmp_path / "graph1.json").write_text('{"id": "g", "turns": []}', encoding="utf-8")
     rows = {r.dialogue_id: r.sample_type for r in read_dialogues(spark, str(tmp_path)).collect()}

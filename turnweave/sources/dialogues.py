@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 # Names of the two speakers, and of the two kinds of samples.
 ASSISTANT = ("客服", "assistant", "agent", "bot")
 USER = ("用户", "user", "customer")
-POSITIVE, NEGATIVE = ("positive", "pos", "正样本", "正例"), ("negative", "neg", "负样本", "负例")
+POSITIVE, NEGATIVE = ("positive", "e0", "perfect", "正包"), ("negative", "负包")
 
 _TURN = "struct<speaker:string,role:string,text:string,content:string>"
 #: Everything that is read of a dialogue file; other keys are ignored, missing ones are null.
 DIALOGUE = (
-    "id string, dialogue_id string, domain string, sample_type string, label string, type string, pack string, "
+    "id string, dialogue_id string, domain string, sample_type string, pack_type string, expected_quality string, quality string, "
     f"turns array<{_TURN}>, dialogue array<{_TURN}>, source_positive_id string, coverage_targets array<string>, "
-    "injected_errors array<struct<error_id:string,id:string,error_type:string,target_id:string,evidence_span:string,wrong_statement:string>>, "
+    "injected_errors array<struct<error_family:string,target_id:string,node_id:string,requirement_id:string,knowledge_id:string,constraint_id:string,"
+    "description:string,evidence_span:string,wrong_statement:string,evaluability:string,expected_detector:string>>, "
     "_corrupt_record string"
 )
 
@@ -35,7 +36,8 @@ def read_dialogues(spark: SparkSession, path: str) -> DataFrame:
     raw = raw.withColumn("file", F.col("_metadata.file_path"))
     name = F.regexp_extract("file", r"([^/]+)$", 1)
     turns = F.coalesce("turns", "dialogue")
-    kind = F.lower(F.coalesce("sample_type", "label", "type", "pack"))
+    # The first name that is not empty counts.
+    kind = F.lower(F.coalesce(*[F.when(F.col(x) != "", F.col(x)) for x in ("sample_type", "pack_type", "expected_quality", "quality")]))
     return raw.where(F.col("_corrupt_record").isNull() & ~name.startswith("graph") & turns.isNotNull()).select(
         F.coalesce("id", "dialogue_id", F.regexp_replace(name, r"\.json$", "")).alias("dialogue_id"),
         "domain",
