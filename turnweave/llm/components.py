@@ -1,8 +1,8 @@
 """Connected components by alternating large-star and small-star rounds.
 
 Each round is two aggregations and two joins over the links alone; the links of a node
-with very many neighbours are aggregated before they are shuffled, and its join is one
-that the engine may split. Lineage is cut after every round by a checkpoint.
+with very many neighbours are aggregated before they are shuffled, but its join keeps them
+in one task. Lineage is cut after every round by a checkpoint.
 """
 
 from __future__ import annotations
