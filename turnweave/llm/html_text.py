@@ -2,15 +2,18 @@
 
 A tree builder with implied end tags (p, li, dt, dd, option, tr, td, th, table parts,
 and what a block start or an ancestor's end closes) reads the tags; a renderer walks the
-tree. Elements that are never shown (head, script, style, template, noscript, ...) or are
-hidden (``hidden``, ``display: none``, ``visibility: hidden``, ``type=hidden``) give no
-text. Blocks start on a line of their own, paragraphs and headings stand between empty
-lines, br breaks a line, pre keeps its white space, list items get "- " or their number
-and two spaces of indent a level, and table cells are padded to their column's width.
+tree. Elements that are never shown (``NEVER_SHOWN``; desc and metadata in svg, annotations
+in math) or are hidden (``hidden``, ``display: none``, ``visibility: hidden``,
+``type=hidden``) give no text. Blocks start on a line of their own, paragraphs and headings
+stand between empty lines, br breaks a line, pre and textarea keep their white space, each
+option is a line, list items get "- " or their number and two spaces of indent a level, and
+table cells are padded to their column's width. Cells are found below any wrapper in a
+table; what stands in a table, row group or row outside of cells comes before the rows.
 
 Edge cases: null html gives null, no tags give the text itself, unclosed and misnested
 tags are repaired, character references are decoded once, an unclosed comment, script or
-tag ends with the page. Depth is bounded by ``MAX_DEPTH``: deeper elements are siblings.
+tag ends with the page. Depth is bounded by ``MAX_DEPTH``: the text of deeper elements is
+that of the last one within it, unless they are hidden.
 Repeated rows are rendered one by one; extra columns are not read.
 """
 
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,7 +33,9 @@ from turnweave.llm.common import bound_batches
 MAX_DEPTH = 200
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER_SHOWN = frozenset("head script style template noscript title iframe object svg math canvas audio video datalist textarea select".split())
+NEVER_SHOWN = frozenset("head script style template noscript title iframe object canvas audio video datalist".split())
+#: Not shown within the element named.
+_NOT_SHOWN_IN = {"desc": "svg", "metadata": "svg", "annotation": "math", "annotation-xml": "math"}
 RAW = frozenset("script style textarea title iframe noscript".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure ul ol dl table".split())
 BLOCK = SPACED | frozenset("address article aside body center dd details dialog div dt fieldset figcaption footer form header hgroup html legend li main menu nav section summary tr caption hr option".split())
@@ -83,17 +89,24 @@ def build_tree(page: str) -> Element:
     """The elements of a page, with implied tags closed."""
     root = Element("#root", True)
     stack = [root]
+    places: dict[str, list[int]] = {}  # where in the stack the open elements of a name are
+
+    def push(element: Element) -> None:
+        places.setdefault(element.name, []).append(len(stack))
+        stack.append(element)
+
+    def cut(at: int) -> None:
+        while len(stack) > at:
+            places[stack.pop().name].pop()
+
+    def last(names: set[str] | frozenset[str]) -> int:
+        return max((places[x][-1] for x in names if places.get(x)), default=0)
 
     def close(names: set[str] | frozenset[str], bounds: set[str] | frozenset[str]) -> None:
         """End the outermost open element of these names that is within the bounds, and all in it."""
-        cut = None
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in bounds:
-                break
-            if stack[i].name in names:
-                cut = i
-        if cut is not None:
-            del stack[cut:]
+        bound = last(bounds)
+        if last(names) > bound:
+            cut(min(own[bisect_right(own, bound)] for x in names if (own := places.get(x)) and own[-1] > bound))
 
     at, size = 0, len(page)
     while at < size:
@@ -108,29 +121,33 @@ def build_tree(page: str) -> Element:
             continue
         name = found[2].lower()
         if found[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    del stack[i:]
-                    break
-                if stack[i].name in _SCOPE and name not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                    break
+            opened = last({name})
+            if opened and (name in ("table", "tr", "tbody", "thead", "tfoot", "body", "html") or last(_SCOPE) <= opened):
+                cut(opened)
             continue
         if name in _ENDS_P:
             close({"p"}, _SCOPE)
         if name in _CLOSES:
             close(*_CLOSES[name])
         element = _element(name, _attributes(found[3]))
+        if places.get(_NOT_SHOWN_IN.get(name, "")):
+            element.shown = False
         if stack[-1].name == "head" and name not in ("base", "link", "meta", "title", "style", "script", "noscript", "template"):
-            stack.pop()
+            cut(len(stack) - 1)
         stack[-1].children.append(element)
         if name in VOID or (found[3].endswith("/") and name not in BLOCK and name not in RAW):
             continue
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-            element.children.append(page[at : end.start() if end else size])
+            text = page[at : end.start() if end else size]
+            element.children.append(html.unescape(text.removeprefix("\n")) if name == "textarea" else text)
             at = end.end() if end else size
-        elif len(stack) < MAX_DEPTH:
-            stack.append(element)
+        elif len(stack) < MAX_DEPTH or not element.shown:
+            push(element)
+        else:  # too deep: stands for its parent
+            below = Element(name, True)
+            below.children = stack[-1].children
+            push(below)
     return root
 
 
@@ -189,13 +206,30 @@ class _Lines:
         return self.lines
 
 
-def _rows(table: Element) -> Iterator[Element]:
-    for child in table.children:
-        if isinstance(child, Element) and child.shown:
+def _deal(element: Element, rows: list[list[Element]], row: list[Element] | None, loose: Element) -> None:
+    """The cells below a part of a table into ``rows``, all else that it shows into ``loose``."""
+    for child in element.children:
+        if isinstance(child, str):
+            loose.children.append(child)
+        elif not child.shown:
+            continue
+        elif child.name in ("td", "th"):
+            if row is None:
+                row = []
+                rows.append(row)
+            row.append(child)
+        elif child.name == "table" or not child.children:
+            loose.children.append(child)
+        else:
+            inner = row
+            if child.name in ("tr", "thead", "tbody", "tfoot"):
+                row = inner = None
             if child.name == "tr":
-                yield child
-            elif child.name in ("thead", "tbody", "tfoot"):
-                yield from _rows(child)
+                inner = []
+                rows.append(inner)
+            rest = Element(child.name, True, child.start)
+            loose.children.append(rest)
+            _deal(child, rows, inner, rest)
 
 
 def _laid(element: Element) -> list[str]:
@@ -206,11 +240,12 @@ def _laid(element: Element) -> list[str]:
 
 def _table(table: Element, out: _Lines) -> None:
     rest = Element("div", True)
-    rest.children = [x for x in table.children if not (isinstance(x, Element) and x.name in ("tr", "thead", "tbody", "tfoot"))]
+    cells: list[list[Element]] = []
+    _deal(table, cells, None, rest)
     for line in _laid(rest):
         out.add(line, pre=True)
         out.break_()
-    grid = [[_laid(c) for c in row.children if isinstance(c, Element) and c.name in ("td", "th") and c.shown] for row in _rows(table)]
+    grid = [[_laid(c) for c in row] for row in cells]
     widths: list[int] = []
     for row in grid:
         for i, cell in enumerate(row):
@@ -237,9 +272,9 @@ def _walk(element: Element, out: _Lines, pre: bool) -> None:
             out.newline()
             continue
         if name not in BLOCK:
-            if name in ("td", "th"):
+            if name in ("td", "th", "text"):  # text: of svg
                 out.space = True
-            _walk(child, out, pre)
+            _walk(child, out, pre or name == "textarea")
             continue
         gap = 2 if name in SPACED and not (name in ("ul", "ol") and element.name == "li") else 1
         out.break_(gap)
