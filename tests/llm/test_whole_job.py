@@ -1,6 +1,8 @@
 """Cases in which an operator did less than its whole job."""
 
-from turnweave.llm import html_text
+import numpy as np
+
+from turnweave.llm import html_text, topk
 
 
 def test_html_tables_keep_what_is_not_a_cell():
@@ -30,3 +32,16 @@ def test_html_hidden_below_the_greatest_depth():
     assert show(deep + "a" + "</div>" * 300 + "<p>b") == "a\n\nb"
     assert show("<table><tr><td>" * 300 + "x").strip() == "x"
     assert show("<div>" * 20_000 + "<p hidden>no</p>deep") == "deep"
+
+
+def test_top_k_with_many_rows_of_a_query_id():
+    random_ = np.random.default_rng(5)
+    for copies in (5, 6, 9, 150):
+        vectors = random_.integers(-9, 10, (400, 8))
+        ids = np.arange(400)
+        vectors[:copies], ids[:copies] = 90, 0  # the query's own rows have the largest products
+        found = topk.block_top_k(ids, vectors, ids[:1], vectors[:1], 5)
+        best = sorted((-int(vectors[i] @ vectors[0]), int(ids[i])) for i in range(copies, 400))[:5]
+        assert sorted((-int(s), int(i)) for _, i, s in found) == best
+    few = topk.block_top_k(np.array([0] * 97 + [1, 2, 3]), np.full((100, 4), 3), np.array([0]), np.full((1, 4), 3), 5)
+    assert sorted(int(i) for _, i, _ in few) == [1, 2, 3]

@@ -7,7 +7,7 @@ lists are read in steps of a share of their length (``DEPTHS``). After each step
 unseen entry is bounded by what was read last and by the list's end, and so every
 vector's score by a lower and an upper bound; both are sums over the lists, taken for all
 queries of the block at once. Vectors whose upper bound is below the k-th lower bound
-cannot qualify. When few are left (``RESOLVE``), or the lists are read to their end, the
+of those with other ids than the query's cannot qualify, and neither can those with its id. When few are left (``RESOLVE``), or the lists are read to their end, the
 rest get their final scores. Ties go to smaller ids, in a block and between blocks.
 
 Arithmetic is in integers, or in floats where all sums are integers that floats hold.
@@ -62,8 +62,7 @@ def block_top_k(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, que
     values = vectors.astype(kind)
     up, down = np.maximum(queries, 0).astype(kind).T, np.minimum(queries, 0).astype(kind).T
     open_, depths = np.arange(len(queries)), list(DEPTHS)
-    # A query's own vector may be among the k best lower bounds: one more is needed.
-    place = size - min(size, k + 1)
+    place = size - min(size, k)
     while len(open_) and depths:
         read = int(depths.pop(0) * size)
         last_high, last_low = lists[size - read], lists[read - 1]
@@ -71,14 +70,17 @@ def block_top_k(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, que
         positive, negative = up[:, open_], down[:, open_]
         upper = np.where(above, values, last_high) @ positive + np.where(below, values, last_low) @ negative
         lower = np.where(above, values, lists[0]) @ positive + np.where(below, values, lists[-1]) @ negative
+        own = ids[:, None] == query_ids[open_]
+        lower[own] = -np.inf
         least = np.partition(lower, place, axis=0)[place]
-        left = upper >= least
+        left = (upper >= least) & ~own
         done = left.sum(axis=0) <= RESOLVE
         for j in np.flatnonzero(done):
             resolve(open_[j], np.flatnonzero(left[:, j]))
         open_ = open_[~done]
     for part in np.array_split(open_, max(1, len(open_) // 128)):  # the lists' ends: bounds meet in the scores
         scores = values @ (up + down)[:, part]
+        scores[ids[:, None] == query_ids[part]] = -np.inf
         least = np.partition(scores, place, axis=0)[place]
         for j, q in enumerate(part):
             resolve(q, np.flatnonzero(scores[:, j] >= least[j]))
