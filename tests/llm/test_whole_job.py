@@ -1,8 +1,9 @@
 """Cases in which an operator did less than its whole job."""
 
 import numpy as np
+import pytest
 
-from turnweave.llm import html_text, topk
+from turnweave.llm import html_text, langid, topk
 
 
 def test_html_tables_keep_what_is_not_a_cell():
@@ -45,3 +46,16 @@ def test_top_k_with_many_rows_of_a_query_id():
         assert sorted((-int(s), int(i)) for _, i, s in found) == best
     few = topk.block_top_k(np.array([0] * 97 + [1, 2, 3]), np.full((100, 4), 3), np.array([0]), np.full((1, 4), 3), 5)
     assert sorted(int(i) for _, i, _ in few) == [1, 2, 3]
+
+
+def test_language_filters_hold_shared_grams():
+    model = langid.LanguageFilters.learn({"a": ["same abcd " * 9], "b": ["same wxyz " * 9], "c": ["other " * 9]})
+    gram = langid.gram_hashes("same")[1:2]
+    rows = [model.rows[model.places(gram, i, 18)] for i in range(2)]
+    assert (rows[0] & rows[1])[0] == 0b011
+    assert model.predict("same")[1] > 0 and model.predict("same wxyz")[0] == "b"
+    many = {f"l{i:02}": [f"x{chr(97 + i % 26)}{chr(97 + i // 26)}q same"] for i in range(64)}
+    wide = langid.LanguageFilters.learn(many)
+    assert wide.predict("xcaq")[0] == "l02" and wide.predict("xkcq")[0] == "l62"
+    with pytest.raises(ValueError):
+        langid.LanguageFilters.learn(many | {"more": ["text"]})

@@ -2,9 +2,10 @@
 
 All languages' filters have one size and one set of hash functions and are stored bit
 by bit: row r of the table holds, as a mask of languages, the bit r of every filter. The
-AND of an n-gram's rows is the mask of all languages that contain it. A text's n-grams
-are counted per language; the share is corrected for the language's rate of false
-positives (fill ** hashes), and the highest corrected share decides.
+AND of an n-gram's rows is the mask of all languages that contain it. A filter holds all
+n-grams of its language's sample. A text's n-grams are counted per language, those of
+several languages as an equal part for each; the share is corrected for the language's
+rate of false positives (fill ** hashes), and the highest corrected share decides.
 
 The model is learned from labelled documents only: ``sample_per_language`` of each
 language (the first by a hash of doc_id), whole texts. N-grams of letters with
@@ -12,7 +13,7 @@ one space at word bounds, lower-cased.
 
 Edge cases: a null text or one without any letter is ``und`` with score 0, and so is
 every text if nothing was learned; ties go to the language that sorts first; labels
-that are null teach nothing. Texts with no known n-gram get the first of the languages,
+that are null teach nothing; more than ``MAX_LANGUAGES`` languages are refused. Texts with no known n-gram get the first of the languages,
 score 0. Repeated rows are judged alike; extra columns are not read.
 """
 
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from turnweave.llm.common import bound_batches
 
 UNKNOWN = "und"
-#: Bounds of the sample that the filters are fitted on, and what a filter holds.
-SAMPLE_PER_LANGUAGE, GRAMS_PER_LANGUAGE, MAX_LANGUAGES = 250, 12_000, 64
+#: Bounds of the sample that the filters are fitted on.
+SAMPLE_PER_LANGUAGE, MAX_LANGUAGES = 250, 64
 #: Bits of a filter, as a power of two; hash functions; characters of an n-gram.
 BITS, HASHES, N = 18, 2, 4
 
@@ -73,28 +74,22 @@ class LanguageFilters:
         fill = np.array([((rows >> rows.dtype.type(k)) & rows.dtype.type(1)).mean() for k in range(len(languages))])
         self.false = fill**hashes
         if len(languages) <= 8:
-            self.of_mask = (np.arange(256)[:, None] >> np.arange(len(languages))) & 1
+            of_mask = (np.arange(256)[:, None] >> np.arange(len(languages))) & 1
+            self.of_mask = of_mask / np.maximum(1, of_mask.sum(axis=1, keepdims=True))
 
     @classmethod
-    def learn(cls, texts: dict[str, list[str]], grams: int = GRAMS_PER_LANGUAGE, bits: int = BITS, hashes: int = HASHES, n: int = N) -> LanguageFilters:
-        """From texts by language: each filter holds its language's most telling n-grams."""
-        languages = sorted(texts)[:MAX_LANGUAGES]
-        found = []
-        for language in languages:
-            parts = [gram_hashes(x, n) for x in texts[language]]
-            found.append(np.unique(np.concatenate(parts) if parts else np.empty(0, np.uint32), return_counts=True))
-        every = np.unique(np.concatenate([x for x, _ in found])) if found else np.empty(0, np.uint32)
-        share = np.zeros((len(languages), len(every)))
-        for k, (x, counts) in enumerate(found):
-            share[k, np.searchsorted(every, x)] = counts / max(1, counts.sum())
+    def learn(cls, texts: dict[str, list[str]], bits: int = BITS, hashes: int = HASHES, n: int = N) -> LanguageFilters:
+        """From texts by language: each filter holds all n-grams of its language's texts."""
+        if len(texts) > MAX_LANGUAGES:
+            raise ValueError(f"more than {MAX_LANGUAGES} languages")
+        languages = sorted(texts)
         kind = np.uint8 if len(languages) <= 8 else np.uint64
         rows = np.zeros(1 << bits, kind)
-        for k in range(len(languages)):
-            others = np.delete(share, k, axis=0).max(axis=0, initial=0) if len(languages) > 1 else 0
-            own = np.flatnonzero(share[k] > 2 * others)
-            best = own[np.argsort(-share[k, own], kind="stable")[:grams]]
-            for i in range(hashes):
-                rows[cls.places(every[best], i, bits)] |= kind(1 << k)
+        for k, language in enumerate(languages):
+            for text in texts[language]:
+                grams = np.unique(gram_hashes(text, n))
+                for i in range(hashes):
+                    rows[cls.places(grams, i, bits)] |= kind(1 << k)
         return cls(languages, rows, hashes, n)
 
     @staticmethod
@@ -114,7 +109,8 @@ class LanguageFilters:
         if len(self.languages) <= 8:
             counts = np.bincount(masks, minlength=256) @ self.of_mask
         else:
-            counts = np.array([((masks >> np.uint64(k)) & np.uint64(1)).sum() for k in range(len(self.languages))])
+            part = 1 / np.maximum(1, np.bitwise_count(masks))
+            counts = np.array([part @ ((masks >> np.uint64(k)) & np.uint64(1)) for k in range(len(self.languages))])
         share = counts / len(grams)
         return np.clip((share - self.false) / np.maximum(1e-9, 1 - self.false), 0, 1)
 
@@ -135,7 +131,10 @@ def learn_filters(documents: DataFrame, held_out: Column, sample_per_language: i
     known = documents.where(F.col("lang").isNotNull() & ~held_out)
     by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = known.select("lang", "doc_id").withColumn("place", F.row_number().over(by)).where(F.col("place") <= sample_per_language)
-    ids = [row.doc_id for row in chosen.select("doc_id").distinct().limit(sample_per_language * MAX_LANGUAGES).collect()]
+    most = sample_per_language * MAX_LANGUAGES
+    ids = [row.doc_id for row in chosen.select("doc_id").distinct().limit(most + 1).collect()]
+    if len(ids) > most:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     texts: dict[str, list[str]] = {}
     for row in known.where(F.col("doc_id").isin(ids)).select("doc_id", "lang", "text").limit(2 * len(ids) + 1).collect() if ids else []:
         texts.setdefault(row.lang, []).append(row.text or "")
