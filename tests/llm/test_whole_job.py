@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from turnweave.llm import html_text, langid, topk
+from turnweave.llm.queries import QUERIES
 
 
 def test_html_tables_keep_what_is_not_a_cell():
@@ -59,3 +60,11 @@ def test_language_filters_hold_shared_grams():
     assert wide.predict("xcaq")[0] == "l02" and wide.predict("xkcq")[0] == "l62"
     with pytest.raises(ValueError):
         langid.LanguageFilters.learn(many | {"more": ["text"]})
+
+
+def test_simhash_query_searches_the_radius(spark):
+    found = QUERIES["op3_simhash"](spark, "/root/testdata/sf0.001").collect()
+    prints = {int(r.fingerprint, 16) for r in found}
+    near = {x: sum(0 < (x ^ y).bit_count() <= 3 for y in prints) for x in prints}
+    assert all(r.n_near == near[int(r.fingerprint, 16)] for r in found)
+    assert any(near.values()) and any(x >> 63 for x in prints)

@@ -27,7 +27,7 @@ def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.edited_fingerprints(read(spark, sf_dir, "documents"))
+    return simhash.with_near(simhash.edited_fingerprints(read(spark, sf_dir, "documents")))
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

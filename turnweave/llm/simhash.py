@@ -26,6 +26,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnweave.llm.common import stored
+
 WORDS, BITS = 2, 64
 #: Blocks that have to agree in a table's key.
 MATCH = 3
@@ -172,3 +174,12 @@ def edited_fingerprints(documents: DataFrame, words: int = WORDS) -> DataFrame:
         likeness("_f0", "_f1").alias("near_edited"),
         likeness("_f0", "_following").alias("near_next"),
     )
+
+
+def with_near(fingerprints: DataFrame, radius: int = 3) -> DataFrame:
+    """``fingerprints``, of hexadecimal column fingerprint, and n_near: how many other fingerprints are within the radius of it."""
+    rows = stored(fingerprints.withColumn("_f", F.conv("fingerprint", 16, -10).cast("bigint")))
+    pairs = within_radius(rows.select(F.col("_f").alias("fingerprint")), radius)
+    near = stored(pairs.select(F.explode(F.array("a", "b")).alias("_f")).groupBy("_f").agg(F.count("*").alias("n_near")))
+    found = rows.join(near, "_f", "left").withColumn("n_near", F.coalesce("n_near", F.lit(0).cast("bigint")))
+    return found.select(*fingerprints.columns, "n_near")
