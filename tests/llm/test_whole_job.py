@@ -1,10 +1,12 @@
 """Cases in which an operator did less than its whole job."""
 
 import numpy as np
+import public_tokenizers
 import pytest
 
-from turnweave.llm import html_text, langid, topk
+from turnweave.llm import html_text, langid, token_counts, topk
 from turnweave.llm.queries import QUERIES
+from turnweave.llm.word_tokens import word_tokens
 
 
 def test_html_tables_keep_what_is_not_a_cell():
@@ -68,3 +70,14 @@ def test_simhash_query_searches_the_radius(spark):
     near = {x: sum(0 < (x ^ y).bit_count() <= 3 for y in prints) for x in prints}
     assert all(r.n_near == near[int(r.fingerprint, 16)] for r in found)
     assert any(near.values()) and any(x >> 63 for x in prints)
+
+
+def test_token_counts_come_from_one_table_of_prefixes(monkeypatch):
+    tokens = word_tokens(public_tokenizers.path("word_bpe_49k.json"), True)
+    text = "the quick brown fox jumps over it " * 9
+    total, spans, asked = tokens.count(text), tokens.spans, []
+    monkeypatch.setattr(tokens, "spans", lambda x: asked.append(x) or spans(x))
+    assert token_counts.measure(text, tokens, total) == (len(text), total, False, None)
+    n_bytes, n_tokens, over, fit = token_counts.measure(text, tokens, 10)
+    assert (n_bytes, n_tokens, over) == (len(text), total, True) and tokens.count(text[:fit]) <= 10 < tokens.count(text[: fit + 2])
+    assert asked == [text, text]

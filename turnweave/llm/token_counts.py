@@ -78,6 +78,13 @@ class PrefixCounts:
         return found
 
 
+def measure(text: str, tokens: WordTokens, limit: int) -> tuple[int, int, bool, int | None]:
+    """n_bytes, n_tokens, over_limit and fit_chars of a text, from one table of its prefixes."""
+    table = PrefixCounts(text, tokens)
+    over = table.total > limit
+    return len(text) if text.isascii() else len(text.encode()), table.total, over, table.longest(limit) if over else None
+
+
 def count_tokens(documents: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (more than ``limit`` tokens), and fit_chars: code
     points of the longest prefix within the limit, of the texts over it (else null)."""
@@ -86,15 +93,10 @@ def count_tokens(documents: DataFrame, path: str, limit: int = 2048) -> DataFram
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = word_tokens(path, quick)
         for batch in batches:
-            n_bytes, n_tokens, fit = [], [], []
-            for value in batch.column(1):
-                text = value.as_py() or ""
-                total = tokens.count(text)  # of the longest prefix
-                n_bytes.append(len(text) if text.isascii() else len(text.encode()))
-                n_tokens.append(total)
-                fit.append(PrefixCounts(text, tokens).longest(limit) if total > limit else None)
+            found = [measure(value.as_py() or "", tokens, limit) for value in batch.column(1)]
+            n_bytes, n_tokens, over, fit = ([x[i] for x in found] for i in range(4))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([x > limit for x in n_tokens], pa.bool_()), pa.array(fit, pa.int64())],
+                [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(over, pa.bool_()), pa.array(fit, pa.int64())],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"],
             )
 
