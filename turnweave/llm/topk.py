@@ -1,16 +1,19 @@
 """Exact top-k inner products by no-random-access aggregation over sorted lists.
 
 Vectors are blocks of rows; queries are blocks too, and each pair of blocks is a task's.
-In a block every dimension is a list of its vectors sorted by value, which a query reads
-from its own end: downwards where its component is positive, upwards where negative. The
-lists are read in steps of a share of their length (``DEPTHS``). After each step an
-unseen entry is bounded by what was read last and by the list's end, and so every
-vector's score by a lower and an upper bound; both are sums over the lists, taken for all
-queries of the block at once. Vectors whose upper bound is below the k-th lower bound
-of those with other ids than the query's cannot qualify, and neither can those with its id. When few are left (``RESOLVE``), or the lists are read to their end, the
-rest get their final scores. Ties go to smaller ids, in a block and between blocks.
-
-Arithmetic is in integers, or in floats where all sums are integers that floats hold.
+In a block every dimension is a list of (value, row) in the order of the values, which a
+query reads from its own end: downwards where its component is positive, upwards where it
+is negative; lists of components that are 0 are not read. All lists are read to the same
+depth, in the steps of ``DEPTHS``. A row's score is known from the lists in
+which it was met; in the others it is bounded by the value that was read last and by the
+list's other end. That gives each row a lower and an upper bound, rows not met yet too.
+Rows whose upper bound is below the k-th lower bound of those with other ids than the
+query's cannot qualify; reading stops when ``RESOLVE`` or fewer can, or at the lists' end,
+and the final scores of these are resolved. Ties go to smaller ids, in a block and between
+blocks. Each candidate goes to every block of queries, each query to every block of candidates.
+
+Components are whole numbers in doubles, bounds are doubles with room for their rounding,
+final scores are exact integers; those beyond a long are given, and rank, as its ends.
 
 Edge cases: vectors that are null, or hold null or non-finite components, take no part,
 and neither do rows without an id; shorter vectors count as padded with zeros; a query's
@@ -27,64 +30,79 @@ from pyspark.sql import functions as F
 
 #: Rows of a block of candidates and of a block of queries.
 CANDIDATES, QUERIES = 8192, 1024
-DEPTHS = (0.3, 0.6, 0.85)
-RESOLVE = 64
+#: Shares of the lists that are read before bounds are compared, and the number of rows left at which reading stops.
+DEPTHS, RESOLVE = (0.125, 0.5, 0.75, 0.875, 0.9375, 1.0), 64
+_LEAST, _MOST = -(2**63), 2**63 - 1
 
 
 def _matrix(vectors: list[np.ndarray], width: int) -> np.ndarray:
-    out = np.zeros((len(vectors), width), np.int64)
+    out = np.zeros((len(vectors), width))
     for i, x in enumerate(vectors):
         out[i, : len(x)] = x
     return out
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:k]
+def exact_scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products of whole numbers in doubles, as longs; beyond their range, its ends."""
+    bound = float(np.abs(vectors).max(initial=0)) * float(np.abs(query).max(initial=0)) * max(1, len(query))
+    if bound < 2**53:
+        return (vectors @ query).astype(np.int64)
+    own = [int(x) for x in query]
+    sums = (sum(int(x) * y for x, y in zip(row, own, strict=True)) for row in vectors)
+    return np.array([min(max(s, _LEAST), _MOST) for s in sums], np.int64)
+
+
+class SortedLists:
+    """A block's lists: of each dimension the rows in the order of their values, and these values."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        self.ids, self.vectors = ids, vectors
+        rows = np.argsort(vectors, axis=0, kind="stable").T
+        values = np.take_along_axis(vectors.T, rows, axis=1)
+        # Of each dimension the list upwards, and behind those of all dimensions the lists downwards.
+        self.rows = np.concatenate([rows, rows[:, ::-1]])
+        self.values = np.concatenate([values, values[:, ::-1]])
+        self.places = self.rows + np.tile(np.arange(rows.shape[0]) * len(ids), 2)[:, None]
+        self.met = np.zeros(vectors.T.shape)  # of a dimension and a row, whether the row was met in that list
+
+    def _of(self, lists: np.ndarray, values: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.met))
+        out[lists] = values
+        return out
+
+    def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[list[tuple[int, int]], float]:
+        """(id, score) of the query's k best, best first, and the part of the lists that was read."""
+        n = len(self.ids)
+        other = self.ids != query_id
+        lists = np.flatnonzero(query)
+        weights = query[lists]
+        own = lists + np.where(weights > 0, len(query), 0)
+        first, worst = (weights * self.values[own, i] if n and len(lists) else np.zeros(len(lists)) for i in (0, -1))
+        # Room for the rounding of sums of doubles; none of the bounds is beyond what a long holds.
+        slack = float(np.maximum(np.abs(first), np.abs(worst)).sum()) * max(1, len(query)) * 2.0**-50
+        known, met, met_at = np.zeros(n), self.met, self.met.ravel()
+        met[:] = 0
+        left, cursor, depths = np.flatnonzero(other), 0, iter(DEPTHS)
+        while len(left) > max(RESOLVE, k) and cursor < n and len(lists):
+            until = max(cursor + 1, int(n * next(depths)))
+            at = self.rows[own, cursor:until]
+            known += np.bincount(at.ravel(), (self.values[own, cursor:until] * weights[:, None]).ravel(), n)
+            met_at[self.places[own, cursor:until].ravel()] = 1
+            cursor = until
+            last = weights * self.values[own, cursor - 1]
+            upper = np.minimum(known + (last.sum() - self._of(lists, last) @ met) + slack, float(_MOST))[left]
+            lower = np.clip(known + (worst.sum() - self._of(lists, worst) @ met) - slack, float(_LEAST), float(_MOST))[left]
+            least = np.partition(lower, len(left) - k)[len(left) - k]
+            left = left[upper >= least]
+        scores = exact_scores(self.vectors[left], query)
+        best = np.lexsort((self.ids[left], -scores.astype(object) if (scores == _LEAST).any() else -scores))[:k]
+        return [(int(self.ids[left[j]]), int(scores[j])) for j in best], cursor / n if n else 0.0
 
 
 def block_top_k(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query id, id, score) of each query's k best of one block of integer vectors."""
-    found: list[tuple[int, int, int]] = []
-    size, width = vectors.shape
-    high = int(np.abs(vectors).max(initial=0)) * int(np.abs(queries).max(initial=0)) * max(1, width)
-
-    def resolve(q: int, at: np.ndarray) -> None:
-        at = at[ids[at] != query_ids[q]]
-        scores = vectors[at] @ queries[q]
-        found.extend((query_ids[q], ids[at[j]], scores[j]) for j in _best(ids[at], scores, k))
-
-    if size <= RESOLVE or high >= 1 << 53:
-        for q in range(len(queries)):
-            resolve(q, np.arange(size))
-        return found
-    kind = np.float32 if high < 1 << 24 else np.float64
-    lists = np.sort(vectors, axis=0).astype(kind)
-    values = vectors.astype(kind)
-    up, down = np.maximum(queries, 0).astype(kind).T, np.minimum(queries, 0).astype(kind).T
-    open_, depths = np.arange(len(queries)), list(DEPTHS)
-    place = size - min(size, k)
-    while len(open_) and depths:
-        read = int(depths.pop(0) * size)
-        last_high, last_low = lists[size - read], lists[read - 1]
-        above, below = values >= last_high, values <= last_low
-        positive, negative = up[:, open_], down[:, open_]
-        upper = np.where(above, values, last_high) @ positive + np.where(below, values, last_low) @ negative
-        lower = np.where(above, values, lists[0]) @ positive + np.where(below, values, lists[-1]) @ negative
-        own = ids[:, None] == query_ids[open_]
-        lower[own] = -np.inf
-        least = np.partition(lower, place, axis=0)[place]
-        left = (upper >= least) & ~own
-        done = left.sum(axis=0) <= RESOLVE
-        for j in np.flatnonzero(done):
-            resolve(open_[j], np.flatnonzero(left[:, j]))
-        open_ = open_[~done]
-    for part in np.array_split(open_, max(1, len(open_) // 128)):  # the lists' ends: bounds meet in the scores
-        scores = values @ (up + down)[:, part]
-        scores[ids[:, None] == query_ids[part]] = -np.inf
-        least = np.partition(scores, place, axis=0)[place]
-        for j, q in enumerate(part):
-            resolve(q, np.flatnonzero(scores[:, j] >= least[j]))
-    return found
+    """(query id, id, score) of each query's k best of one block of vectors of whole numbers."""
+    lists = SortedLists(ids, np.asarray(vectors, float))
+    return [(int(q), i, s) for q, query in zip(query_ids, np.asarray(queries, float), strict=True) for i, s in lists.top(q, query, k)[0]]
 
 
 def top_k(embeddings: DataFrame, *, k: int = 5, scale: int = 256, every: int = 50, candidates: int = CANDIDATES, queries: int = QUERIES) -> DataFrame:
@@ -94,7 +112,12 @@ def top_k(embeddings: DataFrame, *, k: int = 5, scale: int = 256, every: int = 5
     """
     sound = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     vectors = embeddings.where(F.col("vec_id").isNotNull() & sound)
-    vectors = vectors.select(F.col("vec_id").cast("bigint"), F.transform("embedding", lambda x: F.floor(scale * x.cast("double"))).alias("v"))
+
+    def whole(x):  # a double of 2**53 or more is a whole number already, and may be beyond a long
+        y = scale * x.cast("double")
+        return F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)
+
+    vectors = vectors.select(F.col("vec_id").cast("bigint"), F.transform("embedding", whole).alias("v"))
     n = embeddings.count()
     c_blocks, q_blocks = max(1, -(-n // candidates)), max(1, -(-n // (every * queries)))
     block = lambda blocks, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(blocks)).cast("int")
