@@ -8,8 +8,14 @@ given to the tokenizers library as it is. Both keep what they found in bounded t
 
 New units are merged by tiktoken, with an end mark in place of the file's word end.
 That gives the library's ids if every token of the file is rebuilt by its own merges
-(then two symbols whose joined bytes are a token can only be that token's own pair);
-``own_merges`` checks this for a file once, and without it the library is asked.
+(then two symbols whose joined bytes are a token can only be that token's own pair), and
+if the file normalizes and splits as is assumed here; ``own_merges`` checks both for a
+file once. Without them the library gets each whole text.
+
+``Merges`` counts the tokens of all prefixes of a unit in one pass. The last token of a
+prefix is the one token that ends there and stands its ground beside the last token of
+what is before it; so each place needs only the tokens that end at it, and nothing is
+encoded twice.
 
 Edge cases: a null text counts as empty and has no ids; white space of any kind and
 length gives no ids; one-word texts of any length are merged as a whole.
@@ -47,6 +53,9 @@ _CUTS = np.array([a != _SPACE and b != _SPACE and (a != b or a == _DIGIT) for a
 #: White space of the tokenizer; str.split() would also cut at U+001C to U+001F.
 _CHUNK = re.compile("[^\t-\r\x20\x85\xa0  -     　]+")
 _END = b"\xff"  # never part of UTF-8
+#: What the file has to say of normalization and splitting for the cuts made here.
+_NORMALIZER = ["NFC", "Replace", "Lowercase"]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def _char_bytes() -> dict[str, int]:
@@ -83,8 +92,21 @@ def _merge_ranks(path: str) -> tuple[dict[bytes, int], dict[int, int], list[tupl
     return ranks, ids, pairs
 
 
+def assumed_sections(path: str) -> bool:
+    """Whether the file lower-cases, drops white space and cuts units as this module does."""
+    with open(path, encoding="utf-8") as file:
+        found = json.load(file)
+    normalizer, cutter, model = found.get("normalizer") or {}, found.get("pre_tokenizer") or {}, found["model"]
+    steps = [x["type"] for x in normalizer.get("normalizers", [])]
+    cuts = cutter.get("pretokenizers") or [{}]
+    split = cuts[0].get("pattern", {}).get("Regex") == _SPLIT and cuts[0].get("invert") is True and [x.get("type") for x in cuts] == ["Split", "ByteLevel"]
+    return steps == _NORMALIZER and split and not cuts[1].get("add_prefix_space") and model.get("end_of_word_suffix") == "</w>" and not model.get("unk_token")
+
+
 def own_merges(path: str) -> bool:
-    """Whether every token of the file is rebuilt by its own merges, from its bytes."""
+    """Whether the file is of the assumed kind, and every token of it is rebuilt by its own merges from its bytes."""
+    if not assumed_sections(path):
+        return False
     _, _, pairs = _merge_ranks(path)
     order = {pair: k for k, pair in enumerate(pairs)}
     if len({a + b for a, b in pairs}) != len(pairs):
@@ -104,6 +126,77 @@ def own_merges(path: str) -> bool:
     return True
 
 
+class Merges:
+    """Tokens of the prefixes of a unit's bytes."""
+
+    #: Pairs of neighbouring tokens that are remembered.
+    CACHE_PAIRS = 1_000_000
+
+    def __init__(self, ranks: dict[bytes, int], merge) -> None:
+        self.ranks, self.merge = ranks, merge
+        self.longest = max(map(len, ranks))
+        self.suffixes = {token[i:] for token in ranks for i in range(len(token))}
+        #: Of what a token inside or at the end of a unit (without its mark) ends with: 1 if it is one inside, 2 if at the end.
+        self.kinds = {x.removesuffix(_END): 0 for x in self.suffixes}
+        for token in ranks:
+            self.kinds[token.removesuffix(_END)] |= 2 if token.endswith(_END) else 1
+        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+
+    def stay(self, a: bytes, b: bytes) -> bool:
+        """Whether two tokens side by side are not merged into others; nothing stands before the first."""
+        if not a:
+            return True
+        key = (a, b)
+        found = self.pairs.get(key)
+        if found is None:
+            if len(self.pairs) >= self.CACHE_PAIRS:
+                self.pairs.clear()
+            found = self.pairs[key] = self.merge(a + b) == [self.ranks[a], self.ranks[b]]
+        return found
+
+    def grow(self, raw: bytes, last: list[bytes], counts: list[int]) -> None:
+        """Extend the last token and the number of tokens of each prefix to the end of ``raw``."""
+        ranks, suffixes, stay, most = self.ranks, self.suffixes, self.stay, self.longest
+        for i in range(len(last), len(raw) + 1):
+            ends = []
+            for j in range(i - 1, max(-1, i - 1 - most), -1):
+                token = raw[j:i]
+                if token not in suffixes:
+                    break
+                if token in ranks:
+                    ends.append((j, token))
+            for j, token in reversed(ends):
+                if stay(last[j], token):
+                    last.append(token)
+                    counts.append(counts[j] + 1)
+                    break
+
+    def ended(self, raw: bytes, last: list[bytes], counts: list[int], i: int) -> int:
+        """Tokens of the first i bytes as a unit of their own, with the mark of its end."""
+        if i == 0:
+            return 0
+        ends = []
+        for j in range(i - 1, max(-1, i - 1 - self.longest), -1):
+            token = raw[j:i] + _END
+            if token not in self.suffixes:
+                break
+            if token in self.ranks:
+                ends.append((j, token))
+        return next(counts[j] + 1 for j, token in reversed(ends) if self.stay(last[j], token))
+
+    def prefixes(self, raw: bytes) -> tuple[list[bytes], list[int]]:
+        last, counts = [b""], [0]
+        self.grow(raw, last, counts)
+        return last, counts
+
+    def with_tail(self, raw: bytes, last: list[bytes], counts: list[int], i: int, tail: bytes) -> int:
+        """Tokens of the first i bytes and ``tail`` as one unit."""
+        low = max(0, i - self.longest)
+        near, near_last, near_counts = raw[low:i] + tail, last[low : i + 1], counts[low : i + 1]
+        self.grow(near, near_last, near_counts)
+        return self.ended(near, near_last, near_counts, len(near))
+
+
 class WordTokens:
     """Ids of texts. One of these belongs to one Python process."""
 
@@ -122,6 +215,7 @@ class WordTokens:
 
             ranks, ids, _ = _merge_ranks(path)
             self.merge = tiktoken.Encoding("units", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+            self.merges = Merges(ranks, self.merge)
             self.id_of = {rank: np.array(i, "<u4").tobytes() for rank, i in ids.items()}
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -163,6 +257,8 @@ class WordTokens:
 
     def parts(self, text: str) -> list[bytes]:
         """The ids of each unit or chunk of a text, in order, as little-endian unsigned 32-bit integers."""
+        if self.merge is None:
+            return self._library([text])
         units = self._cut(text)
         if units is not None:
             table, most, add = self.units, CACHE_UNITS, self._add_units
@@ -176,18 +272,18 @@ class WordTokens:
             self._trim(table, missing, most)
         return found
 
-    def spans(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts and ends, in code points, of what ``parts`` gives the ids of, and the number of ids of each."""
-        counts = np.fromiter(map(len, self.parts(text)), np.int64) // 4
-        if self._cut(text) is None:
+    def spans(self, text: str) -> tuple[list, np.ndarray, np.ndarray, bool]:
+        """Units (lower-cased, Latin-1 bytes) or chunks of a text, their starts and ends in code points, and which of both they are."""
+        units = self._cut(text)
+        if units is None:
             found = np.array([x.span() for x in _CHUNK.finditer(text)], np.int64).reshape(-1, 2)
-            return found[:, 0], found[:, 1], counts
+            return _CHUNK.findall(text), found[:, 0], found[:, 1], False
         kinds = _KINDS[np.frombuffer(text.encode("latin-1"), np.uint8)]
         inside = np.flatnonzero(_CUTS[4 * kinds[:-1] + kinds[1:]]) + 1
         solid = np.concatenate([[False], kinds != _SPACE, [False]])
         starts = np.flatnonzero(~solid[:-1] & solid[1:])
         ends = np.flatnonzero(solid[:-1] & ~solid[1:])
-        return np.sort(np.concatenate([starts, inside])), np.sort(np.concatenate([ends, inside])), counts
+        return units, np.sort(np.concatenate([starts, inside])), np.sort(np.concatenate([ends, inside])), True
 
     def ids(self, text: str) -> bytes:
         return b"".join(self.parts(text))
