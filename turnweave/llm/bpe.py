@@ -6,9 +6,11 @@ whole, and the ids of a frequent piece are looked up. The ids are those of the w
 text. Decoding joins the raw bytes of the ids, so that it is exact even where an id
 holds part of a character.
 
-Edge cases: a null text counts as empty (no ids); lone runs of white space of any
-length, texts of one word and texts without spaces are encoded whole or run by run;
-special strings are ordinary text. Repeated rows are encoded one by one.
+Edge cases: a null text counts as empty (no ids); runs of white space of any length are
+given to the merges without the pattern, whose engine overflows on them; texts of one word
+and texts without spaces are encoded whole; special strings are ordinary text. The cuts
+fit ``CUT_PATTERN`` alone: with another pattern each text is encoded as a whole. Repeated
+rows are encoded one by one.
 """
 
 from __future__ import annotations
@@ -29,10 +31,16 @@ from turnweave.llm.common import bound_batches
 #: Entries of the table of pieces of each Python worker, and the longest piece kept in it.
 CACHE_PIECES, CACHE_CHARS = 400_000, 40
 
+#: Fixed value: the pattern that the cuts below fit.
+CUT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: White space of the pattern; Python's own class has U+001C to U+001F besides.
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A space between white space is the one place where a cut before it could be inside a match.
-_INNER_SPACE = re.compile(r"\s \s")
+_INNER_SPACE = re.compile(f"[{_WHITE}] [{_WHITE}]")
 #: Before a space that ends its run of white space, a match always begins.
-_SAFE = re.compile(r"(?<=\s)(?= \S)|(?<=\S)(?=\s)")
+_SAFE = re.compile(f"(?<=[{_WHITE}])(?= [^{_WHITE}])|(?<=[^{_WHITE}])(?=[{_WHITE}])")
+#: Runs of white space that the pattern's engine is not asked for.
+_LONG = re.compile(f"[{_WHITE}]{{1000,}}")
 
 
 class BytePairs(dict):
@@ -48,9 +56,23 @@ class BytePairs(dict):
         for token, rank in ranks.items():
             self.token_bytes[rank] = token
         self.room = cache_pieces
+        self.cuts = pattern == CUT_PATTERN
+
+    def _ids(self, piece: str) -> bytes:
+        return array("I", self.encoding.encode_ordinary(piece)).tobytes()
+
+    def _with_long_runs(self, piece: str) -> bytes:
+        """A long run is one match up to its last character, which begins the next match if text follows."""
+        out, at = [], 0
+        for run in _LONG.finditer(piece):
+            start, end = run.span()
+            end -= end < len(piece)
+            out += [self._ids(piece[at:start]), array("I", self.encoding._encode_single_piece(piece[start:end].encode())).tobytes()]
+            at = end
+        return b"".join([*out, self._ids(piece[at:])])
 
     def __missing__(self, piece: str) -> bytes:
-        ids = array("I", self.encoding.encode_ordinary(piece)).tobytes()
+        ids = self._with_long_runs(piece) if len(piece) >= 1000 and _LONG.search(piece) else self._ids(piece)
         if len(piece) <= CACHE_CHARS and self.room > 0:
             self.room -= 1
             self[piece] = ids
@@ -58,6 +80,8 @@ class BytePairs(dict):
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text, as bytes."""
+        if not self.cuts:
+            return self._ids(text)
         if _INNER_SPACE.search(text):
             return b"".join(map(self.__getitem__, _SAFE.split(text)))
         first, *rest = text.split(" ")
