@@ -3,18 +3,25 @@
 A tree builder with implied end tags (p, li, dt, dd, option, tr, td, th, table parts,
 and what a block start or an ancestor's end closes) reads the tags; a renderer walks the
 tree. Elements that are never shown (``NEVER_SHOWN``; desc and metadata in svg, annotations
-in math) or are hidden (``hidden``, ``display: none``, ``visibility: hidden``,
-``type=hidden``) give no text. Blocks start on a line of their own, paragraphs and headings
-stand between empty lines, br breaks a line, pre and textarea keep their white space, each
-option is a line, list items get "- " or their number and two spaces of indent a level, and
-table cells are padded to their column's width. Cells are found below any wrapper in a
-table; what stands in a table, row group or row outside of cells comes before the rows.
+in math; a dialog that is not open) or are not displayed (``hidden``, ``display: none``,
+``type=hidden``) give no text, nor does anything in them. ``visibility: hidden`` or
+``collapse`` hides text, but not that of a descendant with ``visibility: visible``. Of a
+style's declarations for one property the last counts; style sheets are not read.
+
+Blocks start on a line of their own, paragraphs and headings stand between empty lines, br
+breaks a line, pre and textarea keep their white space, each option is a line, list items
+get "- " or their number, and lists, dd and blockquote two spaces of indent a level, up to
+``MAX_INDENT`` levels. Table cells start where their column starts; a column is as wide
+as its cells, and those that span several columns widen the last of them. Cells are found
+below any wrapper in a table; what stands in a table, row group or row outside of cells
+comes before the rows. In tables nested ``MAX_TABLES`` deep, cells are blocks.
+
+Tags follow the standard's tokenizer: a quote opens a quoted value right behind "=" only.
+Trees of any depth are built and walked without recursion, but for nested tables.
 
 Edge cases: null html gives null, no tags give the text itself, unclosed and misnested
 tags are repaired, character references are decoded once, an unclosed comment, script or
-tag ends with the page. Depth is bounded by ``MAX_DEPTH``: the text of deeper elements is
-that of the last one within it, unless they are hidden.
-Repeated rows are rendered one by one; extra columns are not read.
+tag ends with the page. Repeated rows are rendered one by one; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -30,10 +37,12 @@ from pyspark.sql import functions as F
 
 from turnweave.llm.common import bound_batches
 
-MAX_DEPTH = 200
+MAX_INDENT, MAX_TABLES = 40, 20
+#: Bounds of spans that the standard sets.
+MAX_COLSPAN, MAX_ROWSPAN = 1000, 65_534
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER_SHOWN = frozenset("head script style template noscript title iframe object canvas audio video datalist".split())
+NEVER_SHOWN = frozenset("head script style template noscript title iframe object canvas audio video datalist rp".split())
 #: Not shown within the element named.
 _NOT_SHOWN_IN = {"desc": "svg", "metadata": "svg", "annotation": "math", "annotation-xml": "math"}
 RAW = frozenset("script style textarea title iframe noscript".split())
@@ -56,38 +65,62 @@ _CLOSES = {
 _ENDS_P = BLOCK - frozenset("html body li dt dd tr caption option legend summary".split())
 _SCOPE = frozenset("table td th caption button".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
-_HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</(?:>|[^a-zA-Z>][^>]*(?:>|\Z))|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+#: One attribute, or nothing: behind "=", a quote opens a value that ends at the same quote, all else ends at white space or ">".
+_ATTRIBUTE = re.compile(r"[\s/]*(?:(=?[^\s/>=]+|=)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]*)))?)?")
 _WHITE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Element:
-    __slots__ = ("children", "name", "shown", "start")
+    """``shown``: whether it is displayed; ``visible``: what its own style says of visibility, or None."""
 
-    def __init__(self, name: str, shown: bool, start: int = 1) -> None:
-        self.name, self.shown, self.start = name, shown, start
+    __slots__ = ("children", "columns", "name", "rows", "shown", "start", "visible")
+
+    def __init__(self, name: str, shown: bool = True, visible: bool | None = None) -> None:
+        self.name, self.shown, self.visible = name, shown, visible
+        self.start = self.columns = self.rows = 1
         self.children: list[Element | str] = []
 
 
-def _attributes(text: str) -> dict[str, str]:
-    if not text.strip():
-        return {}
-    found: dict[str, str] = {}
-    for name, a, b, c in _ATTRIBUTE.findall(text):
-        found.setdefault(name.lower(), html.unescape(a or b or c))
-    return found
+def _number(text: str, least: int, most: int, default: int = 1) -> int:
+    found = re.match(r"\s*([+-]?\d{1,9})", text)
+    return min(max(int(found[1]), least), most) if found else default
 
 
 def _element(name: str, attributes: dict[str, str]) -> Element:
-    hidden = "hidden" in attributes or bool(_HIDDEN_STYLE.search(attributes.get("style", ""))) or (name == "input" and attributes.get("type", "").lower() == "hidden")
-    start = attributes.get("start", "")
-    return Element(name, not hidden and name not in NEVER_SHOWN, int(start) if name == "ol" and re.fullmatch(r"-?\d{1,9}", start) else 1)
+    style = {}
+    for declaration in attributes.get("style", "").lower().split(";"):
+        key, _, value = declaration.partition(":")
+        style[key.strip()] = value.replace("!important", "").strip()
+    hidden = "hidden" in attributes or style.get("display") == "none" or (name == "input" and attributes.get("type", "").lower() == "hidden")
+    hidden = hidden or (name == "dialog" and "open" not in attributes)
+    visible = {"visible": True, "hidden": False, "collapse": False}.get(style.get("visibility", ""))
+    out = Element(name, not hidden and name not in NEVER_SHOWN, visible)
+    if name == "ol":
+        out.start = _number(attributes.get("start", ""), -(10**9), 10**9)
+    elif name in ("td", "th"):
+        out.columns = _number(attributes.get("colspan", ""), 1, MAX_COLSPAN)
+        out.rows = _number(attributes.get("rowspan", ""), 0, MAX_ROWSPAN) or MAX_ROWSPAN  # 0: to the end
+    return out
+
+
+def _tag(page: str, at: int) -> tuple[dict[str, str], bool, int]:
+    """The attributes of a tag from behind its name, whether it closes itself, and where it ends."""
+    found: dict[str, str] = {}
+    closed = False
+    while True:
+        one = _ATTRIBUTE.match(page, at)
+        at = one.end()
+        if one[1] is None:
+            closed = page[at - 1 : at] == "/"
+            break
+        found.setdefault(one[1].lower(), html.unescape(one[2] or one[3] or one[4] or ""))
+    return found, closed, min(at + 1, len(page))
 
 
 def build_tree(page: str) -> Element:
     """The elements of a page, with implied tags closed."""
-    root = Element("#root", True)
+    root = Element("#root")
     stack = [root]
     places: dict[str, list[int]] = {}  # where in the stack the open elements of a name are
 
@@ -120,50 +153,60 @@ def build_tree(page: str) -> Element:
         if not found[2]:
             continue
         name = found[2].lower()
+        attributes, closed, at = _tag(page, at)
         if found[1]:
             opened = last({name})
             if opened and (name in ("table", "tr", "tbody", "thead", "tfoot", "body", "html") or last(_SCOPE) <= opened):
                 cut(opened)
+            elif name == "p":  # an end without a start is an empty paragraph
+                stack[-1].children.append(Element("p"))
+            elif name == "br":
+                stack[-1].children.append(Element("br"))
             continue
         if name in _ENDS_P:
             close({"p"}, _SCOPE)
         if name in _CLOSES:
             close(*_CLOSES[name])
-        element = _element(name, _attributes(found[3]))
+        element = _element(name, attributes)
         if places.get(_NOT_SHOWN_IN.get(name, "")):
             element.shown = False
         if stack[-1].name == "head" and name not in ("base", "link", "meta", "title", "style", "script", "noscript", "template"):
             cut(len(stack) - 1)
         stack[-1].children.append(element)
-        if name in VOID or (found[3].endswith("/") and name not in BLOCK and name not in RAW):
+        if name in VOID or (closed and (name in ("svg", "math") or places.get("svg") or places.get("math"))):
             continue
-        if name in RAW:
+        if name in RAW and not (places.get("svg") or places.get("math")):
             end = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             text = page[at : end.start() if end else size]
             element.children.append(html.unescape(text.removeprefix("\n")) if name == "textarea" else text)
             at = end.end() if end else size
-        elif len(stack) < MAX_DEPTH or not element.shown:
+        else:
             push(element)
-        else:  # too deep: stands for its parent
-            below = Element(name, True)
-            below.children = stack[-1].children
-            push(below)
     return root
 
 
 class _Lines:
-    """Text as it is laid out: lines, and what has to stand between blocks."""
+    """Text as it is laid out: lines, what has to stand between blocks, and what lines begin with."""
 
     def __init__(self) -> None:
         self.lines: list[str] = []
         self.now, self.gap, self.space = "", 0, False
+        self.prefix: list[str] = []  # of each level: the mark of an item that has no line yet, else spaces
+
+    def _end(self) -> None:
+        text = self.now.rstrip()
+        if text and self.prefix:
+            text = "".join(self.prefix) + text
+            self.prefix = ["  "] * len(self.prefix)
+        self.lines.append(text)
+        self.now = ""
 
     def add(self, text: str, pre: bool = False) -> None:
         if pre:
             first, *rest = text.split("\n")
             self._put(first)
             for line in rest:
-                self.lines.append(self.now)
+                self._end()
                 self.now = line
             return
         words = _WHITE.sub(" ", text)
@@ -188,28 +231,36 @@ class _Lines:
     def break_(self, gap: int = 1) -> None:
         """End the line; gap 2: an empty line before what comes next."""
         if self.now:
-            self.lines.append(self.now.rstrip())
-            self.now = ""
+            self._end()
         self.space = False
         self.gap = max(self.gap, gap)
 
     def newline(self) -> None:
-        self.lines.append(self.now.rstrip())
-        self.now, self.space = "", False
+        self._end()
+        self.space = False
 
     def done(self) -> list[str]:
         self.break_()
-        while self.lines and not self.lines[-1]:
-            self.lines.pop()
-        while self.lines and not self.lines[0]:
-            self.lines.pop(0)
-        return self.lines
-
-
-def _deal(element: Element, rows: list[list[Element]], row: list[Element] | None, loose: Element) -> None:
-    """The cells below a part of a table into ``rows``, all else that it shows into ``loose``."""
-    for child in element.children:
-        if isinstance(child, str):
+        first, end = 0, len(self.lines)
+        while end and not self.lines[end - 1]:
+            end -= 1
+        while first < end and not self.lines[first]:
+            first += 1
+        return self.lines[first:end]
+
+
+def _dealt(table: Element, visible: bool) -> tuple[list[list[tuple[Element, bool]]], Element]:
+    """The rows of cells below a table, each cell with whether it is visible, and an element of all else that the table shows."""
+    rows: list[list[tuple[Element, bool]]] = []
+    rest = Element("div", True, visible)
+    # What is left of an element, the row that its cells go to (None: of the element around), where all else goes.
+    stack = [(iter(table.children), None, rest, visible)]
+    while stack:
+        children, row, loose, seen = stack[-1]
+        child = next(children, None)
+        if child is None:
+            stack.pop()
+        elif isinstance(child, str):
             loose.children.append(child)
         elif not child.shown:
             continue
@@ -217,82 +268,125 @@ def _deal(element: Element, rows: list[list[Element]], row: list[Element] | None
             if row is None:
                 row = []
                 rows.append(row)
-            row.append(child)
+                stack[-1] = (children, row, loose, seen)
+            row.append((child, seen if child.visible is None else child.visible))
         elif child.name == "table" or not child.children:
             loose.children.append(child)
         else:
+            own = Element(child.name, True, child.visible)
+            own.start = child.start
+            loose.children.append(own)
             inner = row
             if child.name in ("tr", "thead", "tbody", "tfoot"):
-                row = inner = None
+                inner = None
+                stack[-1] = (children, None, loose, seen)  # cells behind it begin a row
             if child.name == "tr":
                 inner = []
                 rows.append(inner)
-            rest = Element(child.name, True, child.start)
-            loose.children.append(rest)
-            _deal(child, rows, inner, rest)
-
-
-def _laid(element: Element) -> list[str]:
-    out = _Lines()
-    _walk(element, out, False)
-    return out.done()
-
-
-def _table(table: Element, out: _Lines) -> None:
-    rest = Element("div", True)
-    cells: list[list[Element]] = []
-    _deal(table, cells, None, rest)
-    for line in _laid(rest):
+            stack.append((iter(child.children), inner, own, seen if child.visible is None else child.visible))
+    return rows, rest
+
+
+def _placed(rows: list[list[tuple[Element, bool]]], depth: int) -> list[list[tuple[int, int, list[str]]]]:
+    """Of each row's cells the column, the number of columns and the lines; cells leave out what a cell above reaches into."""
+    held: list[tuple[int, int, int]] = []  # columns from and to that cells of rows above reach into, for how many rows more
+    out = []
+    for row in rows:
+        at, i, placed, below = 0, 0, [], []
+        for cell, visible in row:
+            while i < len(held) and (held[i][1] <= at or held[i][0] < at + cell.columns):
+                at = max(at, held[i][1])
+                i += 1
+            placed.append((at, cell.columns, _laid(cell, visible, depth + 1)))
+            if cell.rows > 1:
+                below.append((at, at + cell.columns, cell.rows - 1))
+            at += cell.columns
+        held = sorted([(a, b, n - 1) for a, b, n in held if n > 1] + below)
+        out.append(placed)
+    return out
+
+
+def _table(table: Element, visible: bool, out: _Lines, depth: int) -> None:
+    rows, rest = _dealt(table, visible)
+    for line in _laid(rest, visible, depth):
         out.add(line, pre=True)
         out.break_()
-    grid = [[_laid(c) for c in row] for row in cells]
-    widths: list[int] = []
-    for row in grid:
-        for i, cell in enumerate(row):
-            if i == len(widths):
-                widths.append(0)
-            widths[i] = max([widths[i], *map(len, cell)])
-    for row in grid:
-        for k in range(max(map(len, row), default=0)):
-            line = "  ".join((cell[k] if k < len(cell) else "").ljust(widths[i]) for i, cell in enumerate(row))
-            out.add(line.rstrip(), pre=True)
+    placed = _placed(rows, depth)
+    widths: dict[int, int] = {}
+    cells = sorted(((n, at, lines) for row in placed for at, n, lines in row), key=lambda x: x[:2])
+    for n, at, lines in cells:  # those of one column first
+        need = max(map(len, lines), default=0)
+        own = [widths[c] for c in range(at, at + n) if widths.get(c)]
+        short = need - sum(own) - 2 * max(0, len(own) - 1)
+        if n == 1:
+            widths[at] = max(widths.get(at, 0), need)
+        elif short > 0:
+            widths[at + n - 1] = widths.get(at + n - 1, 0) + max(1, short - (0 if widths.get(at + n - 1) or not own else 2))
+    starts, x = {}, 0
+    used = {at for row in placed for at, _, _ in row}
+    for c in sorted(widths.keys() | used):
+        starts[c] = x
+        x += widths[c] + 2 if widths.get(c) else 0
+    for row in placed:
+        for k in range(max((len(lines) for _, _, lines in row), default=0)):
+            line = ""
+            for at, _, lines in row:
+                if k < len(lines) and lines[k]:
+                    line = line.ljust(starts[at]) + lines[k]
+            out.add(line, pre=True)
             out.break_()
 
 
-def _walk(element: Element, out: _Lines, pre: bool) -> None:
-    number = element.start
-    for child in element.children:
+def _laid(element: Element, visible: bool = True, depth: int = 0) -> list[str]:
+    """The lines of an element's content."""
+    out = _Lines()
+    # Open elements: children left, white space kept, visible, the number of the next item, what to do at the end.
+    stack: list[list] = [[iter(element.children), element, False, visible, element.start, None]]
+    while stack:
+        frame = stack[-1]
+        children, parent, pre, seen, number, ending = frame
+        child = next(children, None)
+        if child is None:
+            stack.pop()
+            if ending:
+                out.break_(ending[0])
+                del out.prefix[ending[1] :]
+            continue
         if isinstance(child, str):
-            out.add(child, pre)
+            if seen:
+                out.add(child, pre)
             continue
         if not child.shown:
             continue
         name = child.name
+        inside = seen if child.visible is None else child.visible
         if name == "br":
             out.newline()
             continue
         if name not in BLOCK:
             if name in ("td", "th", "text"):  # text: of svg
+                if name != "text" and depth >= MAX_TABLES:
+                    out.break_()
                 out.space = True
-            _walk(child, out, pre or name == "textarea")
+            stack.append([iter(child.children), child, pre or name == "textarea", inside, 1, None])
             continue
-        gap = 2 if name in SPACED and not (name in ("ul", "ol") and element.name == "li") else 1
+        gap = 2 if name in SPACED and not (name in ("ul", "ol") and parent.name == "li") else 1
         out.break_(gap)
-        if name == "table":
-            _table(child, out)
-        elif name == "li":
-            mark = f"{number}. " if element.name == "ol" else "- "
-            number += 1
-            for k, line in enumerate(_laid(child)):
-                out.add((mark if k == 0 else "  ") + line, pre=True)
-                out.break_()
+        if name == "table" and depth < MAX_TABLES:
+            _table(child, inside, out, depth)
+            out.break_(gap)
+            continue
+        level = len(out.prefix)
+        own = ""
+        if name == "li":
+            own = f"{number}. " if parent.name == "ol" else "- "
+            frame[4] += 1
         elif name in ("dd", "blockquote"):
-            for line in _laid(child):
-                out.add("  " + line if line else "", pre=True)
-                out.break_()
-        else:
-            _walk(child, out, pre or name == "pre")
-        out.break_(gap)
+            own = "  "
+        if own and level < MAX_INDENT:
+            out.prefix.append(own)
+        stack.append([iter(child.children), child, pre or name == "pre", inside, child.start, (gap, level)])
+    return out.done()
 
 
 def render(page: str | None) -> str | None:
