@@ -9,12 +9,19 @@ rate of false positives (fill ** hashes), and the highest corrected share decide
 
 The model is learned from labelled documents only: ``sample_per_language`` of each
 language (the first by a hash of doc_id), whole texts. N-grams of letters with
-one space at word bounds, lower-cased.
+one space at word bounds, lower-cased. Where the texts are read, each becomes the rows of
+the table that its n-grams set; what reaches the driver is the table, of 2 ** ``BITS`` rows.
+
+``keep_identified`` rejects texts that are in none of the learned languages: those whose
+share of n-grams in the best filter is below a floor, beyond doubt (``DOUBT`` standard
+deviations of a share of so many n-grams, so that short texts stay). The floor is ``FLOOR``
+of the median share of labelled texts that were kept aside from the filters.
 
 Edge cases: a null text or one without any letter is ``und`` with score 0, and so is
 every text if nothing was learned; ties go to the language that sorts first; labels
-that are null teach nothing; more than ``MAX_LANGUAGES`` languages are refused. Texts with no known n-gram get the first of the languages,
-score 0. Repeated rows are judged alike; extra columns are not read.
+that are null teach nothing; more than ``MAX_LANGUAGES`` languages are refused. Texts with
+no known n-gram get the first of the languages, score 0. Rows that repeat a chosen id teach
+too. Repeated rows are judged alike; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -34,6 +41,8 @@ UNKNOWN = "und"
 SAMPLE_PER_LANGUAGE, MAX_LANGUAGES = 250, 64
 #: Bits of a filter, as a power of two; hash functions; characters of an n-gram.
 BITS, HASHES, N = 18, 2, 4
+#: One in so many of the sample is kept aside for the floor; the floor's part of the median share; deviations.
+ASIDE, FLOOR, DOUBT = 5, 0.5, 4.0
 
 _STEPS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646D], np.uint32)
 
@@ -71,26 +80,30 @@ class LanguageFilters:
 
     def __init__(self, languages: list[str], rows: np.ndarray, hashes: int = HASHES, n: int = N) -> None:
         self.languages, self.rows, self.hashes, self.n = languages, rows, hashes, n
+        self.floor = 0.0
         fill = np.array([((rows >> rows.dtype.type(k)) & rows.dtype.type(1)).mean() for k in range(len(languages))])
         self.false = fill**hashes
         if len(languages) <= 8:
             of_mask = (np.arange(256)[:, None] >> np.arange(len(languages))) & 1
             self.of_mask = of_mask / np.maximum(1, of_mask.sum(axis=1, keepdims=True))
 
+    @classmethod
+    def of_rows(cls, languages: list[str], places: np.ndarray, masks: np.ndarray, bits: int = BITS, hashes: int = HASHES, n: int = N) -> LanguageFilters:
+        """From the rows of the table that are not 0."""
+        if len(languages) > MAX_LANGUAGES:
+            raise ValueError(f"more than {MAX_LANGUAGES} languages")
+        rows = np.zeros(1 << bits, np.uint64)
+        np.bitwise_or.at(rows, places, masks.astype(np.uint64))
+        return cls(languages, rows.astype(np.uint8) if len(languages) <= 8 else rows, hashes, n)
+
     @classmethod
     def learn(cls, texts: dict[str, list[str]], bits: int = BITS, hashes: int = HASHES, n: int = N) -> LanguageFilters:
         """From texts by language: each filter holds all n-grams of its language's texts."""
-        if len(texts) > MAX_LANGUAGES:
-            raise ValueError(f"more than {MAX_LANGUAGES} languages")
         languages = sorted(texts)
-        kind = np.uint8 if len(languages) <= 8 else np.uint64
-        rows = np.zeros(1 << bits, kind)
-        for k, language in enumerate(languages):
-            for text in texts[language]:
-                grams = np.unique(gram_hashes(text, n))
-                for i in range(hashes):
-                    rows[cls.places(grams, i, bits)] |= kind(1 << k)
-        return cls(languages, rows, hashes, n)
+        found = [(set_rows(text, bits, hashes, n), k) for k, language in enumerate(languages) for text in texts[language]]
+        places = np.concatenate([np.empty(0, np.int64), *(x for x, _ in found)])
+        masks = np.concatenate([np.empty(0, np.uint64), *(np.full(len(x), 1 << min(k, 63), np.uint64) for x, k in found)])
+        return cls.of_rows(languages, places, masks, bits, hashes, n)
 
     @staticmethod
     def places(grams: np.ndarray, i: int, bits: int) -> np.ndarray:
@@ -114,6 +127,24 @@ class LanguageFilters:
         share = counts / len(grams)
         return np.clip((share - self.false) / np.maximum(1e-9, 1 - self.false), 0, 1)
 
+    def known(self, text: str) -> tuple[float, int]:
+        """The share of the text's n-grams in the filter that holds most of them, without false positives, and their number."""
+        grams = gram_hashes(text, self.n)
+        if not len(grams) or not self.languages:
+            return 0.0, len(grams)
+        bits = len(self.rows).bit_length() - 1
+        masks = self.rows[self.places(grams, 0, bits)]
+        for i in range(1, self.hashes):
+            masks &= self.rows[self.places(grams, i, bits)]
+        kind = masks.dtype.type
+        held = np.array([((masks >> kind(k)) & kind(1)).mean() for k in range(len(self.languages))])
+        return float(np.clip((held - self.false) / np.maximum(1e-9, 1 - self.false), 0, 1).max()), len(grams)
+
+    def foreign(self, text: str) -> bool:
+        """Whether a text is in none of the languages, beyond doubt."""
+        share, n = self.known(text)
+        return n > 0 and share + DOUBT * (self.floor * (1 - self.floor) / n) ** 0.5 < self.floor
+
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, score): the winner's part of all languages' shares."""
         share = self.shares(text) if text and self.languages else None
@@ -123,22 +154,53 @@ class LanguageFilters:
         return self.languages[best], float(share[best] / share.sum()) if share[best] > 0 else 0.0
 
 
-def learn_filters(documents: DataFrame, held_out: Column, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageFilters:
+def set_rows(text: str, bits: int = BITS, hashes: int = HASHES, n: int = N) -> np.ndarray:
+    """The rows of the table in which a text's n-grams set a bit."""
+    grams = np.unique(gram_hashes(text, n))
+    return np.unique(np.concatenate([LanguageFilters.places(grams, i, bits) for i in range(hashes)])).astype(np.int64)
+
+
+def learn_filters(documents: DataFrame, held_out: Column, sample_per_language: int = SAMPLE_PER_LANGUAGE, with_floor: bool = False) -> LanguageFilters:
     """Filters of the languages of the labelled documents that are not held out.
 
-    Only ``sample_per_language`` texts of each of at most ``MAX_LANGUAGES`` languages reach the driver.
+    ``sample_per_language`` ids of each of at most ``MAX_LANGUAGES`` languages are chosen, and
+    joined back to their texts by a broadcast of this size. ``with_floor``: one in ``ASIDE``
+    of them does not teach, but gives the floor.
     """
-    known = documents.where(F.col("lang").isNotNull() & ~held_out)
+    known = documents.where(F.col("lang").isNotNull() & ~held_out).select("doc_id", "lang", F.col("text").cast("string"))
+    languages = sorted(row.lang for row in known.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
+    if len(languages) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    if not languages:
+        return LanguageFilters.learn({})
     by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = known.select("lang", "doc_id").withColumn("place", F.row_number().over(by)).where(F.col("place") <= sample_per_language)
-    most = sample_per_language * MAX_LANGUAGES
-    ids = [row.doc_id for row in chosen.select("doc_id").distinct().limit(most + 1).collect()]
-    if len(ids) > most:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    texts: dict[str, list[str]] = {}
-    for row in known.where(F.col("doc_id").isin(ids)).select("doc_id", "lang", "text").limit(2 * len(ids) + 1).collect() if ids else []:
-        texts.setdefault(row.lang, []).append(row.text or "")
-    return LanguageFilters.learn(texts)
+    chosen = chosen.groupBy("lang", "doc_id").agg(F.min("place").alias("place"))
+    aside = F.col("place") % ASIDE == 0 if with_floor else F.lit(False)
+    sample = known.join(F.broadcast(chosen), ["lang", "doc_id"]).select("lang", "text", aside.alias("aside"))
+
+    def rows_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << BITS, np.uint64)
+        for batch in batches:
+            for language, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                table[set_rows(text.as_py() or "")] |= np.uint64(1 << languages.index(language))
+        places = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(table[places].view(np.int64), pa.int64())], names=["place", "mask"])
+
+    bound_batches(documents)
+    taught = sample.where("NOT aside").select("lang", "text").mapInArrow(rows_set, "place bigint, mask bigint")
+    found = taught.groupBy("place").agg(F.bit_or("mask").alias("mask")).toArrow()
+    model = LanguageFilters.of_rows(languages, found["place"].to_numpy(), found["mask"].to_numpy().view(np.uint64))
+    if with_floor:
+        shared = documents.sparkSession.sparkContext.broadcast(model)
+
+        def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([shared.value.known(x.as_py() or "")[0] for x in batch.column(0)], pa.float64())], names=["share"])
+
+        median = sample.where("aside").select("text").mapInArrow(shares, "share double").agg(F.median("share")).first()[0]
+        model.floor = FLOOR * (median or 0.0)
+    return model
 
 
 def predict_languages(documents: DataFrame, filters: LanguageFilters) -> DataFrame:
@@ -157,10 +219,10 @@ def predict_languages(documents: DataFrame, filters: LanguageFilters) -> DataFra
     return documents.select("doc_id", F.col("text").cast("string")).mapInArrow(predicted, f"doc_id {kind}, lang_pred string, score double")
 
 
-def keep_identified(documents: DataFrame, filters: LanguageFilters, least_score: float = 0.0) -> DataFrame:
-    """The rows, with all their columns, whose language is identified with ``least_score`` at least.
+def keep_identified(documents: DataFrame, filters: LanguageFilters) -> DataFrame:
+    """The rows, with all their columns, of texts with a letter that are not foreign to all learned languages.
 
-    Rows without text or without any letter are not; if no language is known, all others stay.
+    If no language is known, all texts with a letter stay.
     """
     shared = documents.sparkSession.sparkContext.broadcast(filters)
     at = documents.columns.index("text")
@@ -169,11 +231,7 @@ def keep_identified(documents: DataFrame, filters: LanguageFilters, least_score:
         model = shared.value
         for batch in batches:
             texts = [x.as_py() or "" for x in batch.column(at)]
-            if model.languages:
-                found = [name != UNKNOWN and score >= least_score for name, score in map(model.predict, texts)]
-            else:
-                found = [any(map(str.isalpha, x)) for x in texts]
-            yield batch.filter(pa.array(found, pa.bool_()))
+            yield batch.filter(pa.array([len(gram_hashes(x)) > 0 and not model.foreign(x) for x in texts], pa.bool_()))
 
     bound_batches(documents)
     return documents.mapInArrow(kept, documents.schema)
