@@ -4,18 +4,23 @@ A text is lower-cased (A-Z) and cut into words at ASCII white space; its set is
 its distinct shingles of ``words`` words (with fewer words, the whole sequence is one).
 Documents are linked if their sets' Jaccard similarity reaches the threshold.
 
-1. Each set gets a 128-bit key, ``ROWS * BANDS`` universal hash minima, and from these a
-   bucket for each band. Equal sets are one class from here on, whatever their number.
-2. Of the buckets with the same members only one is kept, and of the classes in shared
-   buckets the whole sets are fetched. A bucket of more than ``BLOCK`` classes is cut
-   into blocks, and every pair of blocks is a task's own; nothing is capped.
-3. Within a block or pair of blocks, the candidates are compared exactly by an inverted
+1. Each set gets a 128-bit key, ``ROWS * BANDS`` universal hash minima (its signature), and
+   from these a bucket for each band. Equal sets are one class from here on, whatever
+   their number.
+2. Of the buckets with the same members only one is kept. A bucket of more than ``BLOCK``
+   classes, or of more than ``BLOCK_SHINGLES`` shingles, is cut into blocks, and every
+   pair of blocks is a task's own; nothing is capped.
+3. Signatures are verified there first: a class stays in a block or pair of blocks if its
+   signature has enough equal minima with another's (``least_equal``). Only the whole sets
+   of those that stay are fetched.
+4. Within a block or pair of blocks, the candidates are compared exactly by an inverted
    index; pairs that are connected there already are skipped. What comes out are the
    links of a spanning forest, not all pairs.
-4. Components by alternating large-star and small-star.
+5. Components by alternating large-star and small-star.
 
 A pair at the threshold t is missed by all bands with probability (1 - t ** ROWS) **
-BANDS: 4e-7 at 0.85, 5e-5 at 0.8; every link that is found is exact on 64-bit hashes.
+BANDS: 4e-7 at 0.85, 3e-5 at 0.8 (28 bands: 4e-7), and by the signatures with 1e-7 at most;
+every link that is found is exact on 64-bit hashes. A bucket of n blocks is read n times.
 
 Edge cases: a text that is null, empty or of white space only has an empty set and is
 linked with nothing; equal texts are one class; rows that repeat a doc_id count as one
@@ -26,6 +31,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -38,7 +44,9 @@ from pyspark.sql import functions as F
 from turnweave.llm.common import bound_batches, checkpointed
 from turnweave.llm.components import connected_components
 
-ROWS, BANDS, BLOCK = 4, 20, 1024
+ROWS, BANDS, BLOCK, BLOCK_SHINGLES = 4, 20, 1024, 4_000_000
+#: Standard deviations that the number of equal minima may be below its mean at the threshold.
+DEVIATIONS = 6.0
 #: Class ids (8 bytes each) up to this number are broadcast when sets are fetched; above, the join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -109,37 +117,45 @@ class Minima:
             np.minimum(least, (shingles[i : i + 2048] * self.factor + self.shift).min(axis=1), out=least)
         return least >> _U(32)
 
-    def buckets(self, shingles: np.ndarray) -> np.ndarray:
-        signature = self.signature(shingles).reshape(self.bands, self.rows)
+    def buckets(self, signature: np.ndarray) -> np.ndarray:
+        signature = signature.reshape(self.bands, self.rows)
         total = np.arange(1, self.bands + 1, dtype=_U)
         for i in range(self.rows):
             total = _mix(total * _MIX[4] + signature[:, i])
         return total.view(np.int64)
 
 
+def least_equal(threshold: float, minima: int) -> int:
+    """The least number of equal minima of two sets at the threshold, but for one case in 1e7."""
+    return max(1, math.floor(minima * threshold - DEVIATIONS * math.sqrt(minima * threshold * (1 - threshold))))
+
+
 def sketch(documents: DataFrame, words: int, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """doc_id, n_shingles, set_key and buckets; key and buckets are null for empty sets."""
+    """doc_id, n_shingles, set_key, buckets and signature (32 bits a minimum); all but the first two are null for empty sets."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minima = Minima(rows, bands)
         for batch in batches:
-            sizes, keys, buckets, known = [], [], [], {}
+            sizes, keys, buckets, signatures, known = [], [], [], [], {}
             for text in batch.column(1):
                 shingles = shingle_set(text.as_py(), words)
                 sizes.append(len(shingles))
                 key = xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
                 if key and key not in known:
-                    known[key] = minima.buckets(shingles)
+                    signature = minima.signature(shingles)
+                    known[key] = minima.buckets(signature), signature.astype("<u4").tobytes()
                 keys.append(key)
-                buckets.append(known.get(key))
+                found = known.get(key, (None, None))
+                buckets.append(found[0])
+                signatures.append(found[1])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "set_key", "buckets"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(buckets, pa.list_(pa.int64())), pa.array(signatures, pa.binary())],
+                names=["doc_id", "n_shingles", "set_key", "buckets", "signature"],
             )
 
     bound_batches(documents)
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", F.col("text").cast("string")).mapInArrow(sketched, f"doc_id {kind}, n_shingles bigint, set_key binary, buckets array<bigint>")
+    return documents.select("doc_id", F.col("text").cast("string")).mapInArrow(sketched, f"doc_id {kind}, n_shingles bigint, set_key binary, buckets array<bigint>, signature binary")
 
 
 def _whole_sets(documents: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -208,6 +224,45 @@ def spanning_links(sets: list[np.ndarray], sides: np.ndarray, least: Fraction, c
     return found
 
 
+def _agreeing(dealt: DataFrame, least: int, kind: str) -> DataFrame:
+    """The rows (bucket, one, two, side, rep) whose signature agrees with that of another class there; rows of one block stand together."""
+
+    def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def stay() -> list[int]:
+            if len(rows) < 2:
+                return []
+            found = np.zeros(len(rows), bool)
+            table = np.frombuffer(b"".join(signatures), "<u4").reshape(len(rows), -1)
+            sides = np.array([x[3] for x in rows])
+            for a in range(len(rows) - 1):
+                near = (table[a + 1 :] == table[a]).sum(axis=1) >= least
+                if now[1] != now[2]:
+                    near &= sides[a + 1 :] != sides[a]
+                if near.any():
+                    found[a] = True
+                    found[a + 1 :] |= near
+            return np.flatnonzero(found).tolist()
+
+        now, rows, signatures, kinds = None, [], [], None
+        for batch in batches:
+            kinds = batch.schema.types[:5]
+            kept = []
+            for *row, signature in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if tuple(row[:3]) != now:
+                    kept += [rows[i] for i in stay()]
+                    now, rows, signatures = tuple(row[:3]), [], []
+                rows.append(row)
+                signatures.append(signature)
+            yield made(kept, kinds)
+        if kinds:
+            yield made([rows[i] for i in stay()], kinds)
+
+    def made(kept: list[list], kinds: list[pa.DataType]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([row[i] for row in kept], kinds[i]) for i in range(5)], names=["bucket", "one", "two", "side", "rep"])
+
+    return dealt.mapInArrow(agreeing, f"bucket bigint, one int, two int, side int, rep {kind}")
+
+
 def _verified(candidates: DataFrame, least: Fraction, kind: str) -> DataFrame:
     """(a, b) of the links of each block or pair of blocks; rows of one stand together."""
 
@@ -218,9 +273,9 @@ def _verified(candidates: DataFrame, least: Fraction, kind: str) -> DataFrame:
             found = spanning_links(sets, np.array(sides), least, now[1] != now[2])
             return [(reps[a], reps[b]) for a, b in found if reps[a] != reps[b]]
 
-        now, reps, sets, sides = None, [], [], []
+        now, reps, sets, sides, own = None, [], [], [], pa.int64()
         for batch in batches:
-            found = []
+            found, own = [], batch.schema.types[4]
             flat = batch.column(5)
             values, offsets = flat.values.to_numpy(zero_copy_only=False), flat.offsets.to_numpy()
             keys = zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True)
@@ -231,32 +286,36 @@ def _verified(candidates: DataFrame, least: Fraction, kind: str) -> DataFrame:
                 reps.append(rep)
                 sides.append(side)
                 sets.append(values[offsets[k] : offsets[k + 1]].copy())
-            yield _pairs(found)
-        yield _pairs(compared())
+            yield _pairs(found, own)
+        if now:
+            yield _pairs(compared(), own)
 
-    def _pairs(found: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+    def _pairs(found: list[tuple], own: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], own), pa.array([b for _, b in found], own)], names=["a", "b"])
 
     return candidates.mapInArrow(links, f"a {kind}, b {kind}")
 
 
-def near_links(documents: DataFrame, classes: DataFrame, words: int, least: Fraction, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between classes (rep, buckets) that connect all similar ones."""
-    in_bucket = classes.select("rep", F.explode("buckets").alias("bucket"))
-    shared = in_bucket.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.min("rep").alias("hub")).where("n > 1")
-    shared = shared.groupBy("n", "x", "hub").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
-    members = checkpointed(in_bucket.join(shared, "bucket").select("bucket", "n", "rep"))
-    sets = _whole_sets(documents, members.select("rep").distinct(), words)
-    blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
+def near_links(documents: DataFrame, classes: DataFrame, words: int, least: Fraction, block: int = BLOCK, minima: int = ROWS * BANDS) -> DataFrame:
+    """Links (a, b) between classes (rep, n_shingles, buckets, signature) that connect all similar ones."""
+    kind = classes.schema["rep"].dataType.simpleString()
+    in_bucket = classes.select("rep", "n_shingles", F.explode("buckets").alias("bucket"))
+    size = F.sum("n_shingles").alias("size")
+    shared = in_bucket.groupBy("bucket").agg(F.count("*").alias("n"), size, F.bit_xor(F.xxhash64("rep")).alias("x"), F.min("rep").alias("hub")).where("n > 1")
+    shared = shared.groupBy("n", "x", "hub").agg(F.min("bucket").alias("bucket"), F.max("size").alias("size")).select("bucket", "n", "size")
+    members = checkpointed(in_bucket.join(shared, "bucket").select("bucket", "n", "size", "rep"))
+    blocks = F.ceil(F.greatest(F.col("n") / F.lit(block), F.col("size") / F.lit(BLOCK_SHINGLES))).cast("int")
     side = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     placed = members.withColumn("blocks", blocks).withColumn("side", side)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     placed = placed.where("blocks = 1").withColumn("other", F.lit(0)).unionByName(placed.where("blocks > 1").withColumn("other", other))
     placed = placed.select("bucket", F.least("side", "other").alias("one"), F.greatest("side", "other").alias("two"), "side", "rep")
-    dealt = placed.join(sets, "rep").select("bucket", "one", "two", "side", "rep", "shingles")
-    dealt = dealt.repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two")
-    kind = classes.schema["rep"].dataType.simpleString()
-    return _verified(dealt, least, kind)
+    key = ["bucket", "one", "two"]
+    signed = placed.join(classes.select("rep", "signature"), "rep").select(*key, "side", "rep", "signature")
+    agreeing = checkpointed(_agreeing(signed.repartition(*key).sortWithinPartitions(*key), least_equal(float(least), minima), kind))
+    sets = _whole_sets(documents, agreeing.select("rep").distinct(), words)
+    dealt = agreeing.join(sets, "rep").select(*key, "side", "rep", "shingles")
+    return _verified(dealt.repartition(*key).sortWithinPartitions(*key), least, kind)
 
 
 def near_duplicates(documents: DataFrame, *, words: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS, block: int = BLOCK) -> DataFrame:
@@ -264,8 +323,9 @@ def near_duplicates(documents: DataFrame, *, words: int = 5, percent: int = 80,
     bound_batches(documents)
     sketches = checkpointed(sketch(documents, words, rows, bands))
     full = sketches.where("n_shingles > 0")
-    classes = full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("buckets").alias("buckets"))
-    links = near_links(documents, classes.where("rep IS NOT NULL"), words, Fraction(percent, 100), block)
+    own = [F.first(x).alias(x) for x in ("n_shingles", "buckets", "signature")]
+    classes = full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), *own)
+    links = near_links(documents, classes.where("rep IS NOT NULL"), words, Fraction(percent, 100), block, rows * bands)
     nodes = connected_components(links)
     reps = full.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     labels = reps.join(nodes, reps["rep"] == nodes["node"], "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
