@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnweave.llm.common import bound_batches
+
 #: The trie is broadcast, so its size is bounded; larger lists are refused.
 MAX_RULES = 2_000_000
 
@@ -128,11 +130,12 @@ def judge_urls(
     rules = list(rules)
     if len(rules) > max_rules:
         raise ValueError(f"{len(rules)} rules; at most {max_rules} are broadcast")
-    trie = pages.sparkSession.sparkContext.broadcast(rules)
+    trie = pages.sparkSession.sparkContext.broadcast(UrlTrie(rules))
+    bound_batches(pages)
     id_type = pages.schema[id_column].dataType.simpleString()
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = UrlTrie(trie.value).find
+        find = trie.value.find
         for batch in batches:
             hosts, paths, found, verdicts = [], [], [], []
             for url in batch.column(1).to_pylist():
