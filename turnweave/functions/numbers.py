@@ -13,10 +13,10 @@ _RANGE = rf"(\d+(?:\.\d+)?)\s*(?:-|~|到|至)\s*(\d+(?:\.\d+)?)\s*({UNITS})?"
 _SINGLE = rf"(\d+(?:\.\d+)?)\s*({UNITS})?"
 # Words of days, by category.
 DAYS = {
-    "today": ("今天", "今日", "当天", "当日"),
-    "next_day": ("明天", "次日", "第二天"),
-    "previous_day": ("前一天", "昨日", "昨天"),
-    "immediate": ("立即", "马上", "立刻", "即时", "实时"),
+    "today": ("今天", "当天", "当日", "今日"),
+    "next_day": ("次日", "第二天", "隔天", "明天"),
+    "previous_day": ("前一天", "前日", "上一天", "前一日"),
+    "immediate": ("立即", "马上", "立刻", "当场"),
 }
 
 

@@ -30,6 +30,11 @@ TAGS = (
     (NEGATION, ("polarity:negation", "modality:negation", "intent:deny")),
     (GUARANTEE, ("modality:guarantee",)),
     ((*NO_GUARANTEE, "不可以", "不能"), ("intent:refuse",)),
+    (("为准", "以系统", "以页面", "按规则", "平台规则", "规则"), ("target:rule",)),
+    (("结果", "状态", "显示", "成功", "失败", "通过", "未通过", "可用", "不可用"), ("target:system_result",)),
+    (("人工", "帮你改", "协调", "我帮您改", "后台改", "后台", "手动", "我给你", "我帮你", "帮你", "我来", "留住", "保留", "搞定", "安排", "优先", "抹掉", "清除"), ("target:manual_intervention",)),
+    (("我给你", "我帮你", "帮你", "我来", "可以帮", "能帮", "给你安排", "给你留", "给你保", "我处理"), ("intent:claim",)),
+    (("说明", "告知", "同步", "通知", "提醒", "介绍", "讲一下", "说一下"), ("intent:inform",)),
     (("您先别急", "理解", "抱歉", "不好意思", "辛苦"), ("intent:reassure",)),
     (("再确认", "再说一下", "方便说下", "具体"), ("intent:clarify",)),
     (("不打扰", "再联系", "稍后联系", "祝", "再见", "结束", "先这样"), ("intent:close",)),

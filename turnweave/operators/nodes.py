@@ -78,22 +78,21 @@ def incoming_edges(edges: DataFrame) -> DataFrame:
     )
 
 
-def closure(spark: SparkSession, edges: DataFrame, depth: int = 100) -> DataFrame:
-    """(source, target) of all that can be reached, without the source itself; cycles end at ``depth``."""
-    # Metadata: the pairs of one catalogue's nodes, worked out a step at a time where the plan is made.
-    known = edges.select("source", "target").distinct().collect()
+def closure(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """(source, target) of all that can be reached, without the source itself; on a cycle each pair is found once."""
+    # Metadata: the pairs of one catalogue's nodes, worked out where the plan is made.
     behind: dict[str, set[str]] = {}
-    for row in known:
+    for row in edges.select("source", "target").distinct().collect():
         behind.setdefault(row.source, set()).add(row.target)
-    pairs = {(row.source, row.target) for row in known}
-    new = pairs
-    for _ in range(depth):
-        new = {(a, c) for a, b in new for c in behind.get(b, ())} - pairs
-        if not new:
-            break
-        pairs |= new
-    seen = local_table(spark, sorted(pairs), "source string, target string")
-    return seen.where("source <> target")
+    pairs = []
+    for source in behind:
+        seen, waiting = {source}, [source]
+        while waiting:
+            new = behind.get(waiting.pop(), set()) - seen
+            seen |= new
+            waiting += new
+        pairs += [(source, target) for target in seen - {source}]
+    return local_table(spark, sorted(pairs), "source string, target string")
 
 
 def node_results(scores: DataFrame, nodes: DataFrame, matches: DataFrame, edges: DataFrame, suppressed: DataFrame | None = None) -> DataFrame:

@@ -1,7 +1,8 @@
 """One query per operator, and the SQL that gives the same rows.
 
-Operators that need Chinese texts or hand-made verdicts run over small tables of literals
-that both sides share as one VALUES text; all others run over whole tables.
+All run over whole tables. Where an operator needs Chinese texts, verdicts or scores that no
+table has, a relation of ``plans.spoken`` makes them from the rows of a table. Small VALUES are
+catalogues: rules, terms and edges.
 """
 
 from __future__ import annotations
@@ -11,12 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from turnweave.functions import facts as ff
 from turnweave.functions import numbers as fn
 from turnweave.functions import text as ft
 from turnweave.operators import acceptance, context, judges, matching, nodes, relations, reports, routing, scoring
-from turnweave.operators.atoms import CLAUSE_ENDS, EDGES, SENTENCE_ENDS, atoms, tags
+from turnweave.operators.atoms import CLAUSE_ENDS, EDGES, GUARANTEE, NO_GUARANTEE, QUESTION, SENTENCE_ENDS, TAGS, atoms, tags
 from turnweave.plans import catalogue as cat
-from turnweave.plans import sample
+from turnweave.plans import sample, spoken
+from turnweave.plans.spoken import BAD, CALLS, CANDIDATES, ERRORS, EVENTS, FACTS, FAMILIES, GROUPS, LISTED, MEASURES, MEMBERS, NUMBERED, ORDERED, PAIRS, POSITIVE, RECORDED, REQUIREMENTS, RESULTS, SCORES, TAGGED, TEXTS
 from turnweave.sources.dialogues import turns_of_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,8 +44,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def _values(spark: SparkSession, values: str) -> DataFrame:
-    return spark.sql(f"SELECT * FROM {values}")
+_values = spoken.values
 
 
 def _text(words) -> str:
@@ -123,10 +125,6 @@ def s_labels_join(spark, sf_dir):
 
 # ------------------------------------------------------------------ projections and predicates
 
-TEXTS = "(VALUES (1, '我会 确认的'), (2, '就可以  取消了'), (3, 'A b\tC'), (4, ''), (5, '能够将来的事')) AS t(id, s)"
-PAIRS = """(VALUES (1, '次日生效', '取消后次日就会生效的'), (2, '10单', '10天以后'), (3, '确认您是负责人', '请问您是不是负责人呢我确认'), (4, '平台规则说明', '规则平台的说明如下'),
- (5, '', 'x'), (6, 'ABC', 'xx a b c'), (7, '取消报名操作入口', '您在入口操作报名之后再取消'), (8, '三点', '三天点'), (9, '可以', '不可以'), (10, '不用付钱的', '不 用付钱')) AS t(id, a, b)"""
-
 
 @query(f"SELECT dialogue_id, turn_index, {q_compact('text')} AS tight FROM ({'WITH ' + TURNS + ' SELECT * FROM turns'})")
 def p2_compact(spark, sf_dir):
@@ -135,7 +133,7 @@ def p2_compact(spark, sf_dir):
 
 @query(f"SELECT id, {q_fillers('s')} AS rest FROM {TEXTS}")
 def p3_without_fillers(spark, sf_dir):
-    return _values(spark, TEXTS).select("id", ft.without_fillers("s").alias("rest"))
+    return _values(spark, sf_dir, TEXTS).select("id", ft.without_fillers("s").alias("rest"))
 
 
 @query(f"WITH {TURNS} SELECT dialogue_id, turn_index, lower(trim(regexp_replace(translate(text, {_text(ft.MARKS)}, '{' ' * len(ft.MARKS)}'), '\\s+', ' ', 'g'))) AS plain FROM turns")
@@ -145,30 +143,31 @@ def p1_normalize(spark, sf_dir):
 
 @query(f"SELECT id, {q_text_hit('a', 'b')} AS hit FROM {PAIRS}")
 def p4_text_hit(spark, sf_dir):
-    return _values(spark, PAIRS).select("id", ft.text_hit("a", "b").alias("hit"))
+    return _values(spark, sf_dir, PAIRS).select("id", ft.text_hit("a", "b").alias("hit"))
 
 
 @query(f"SELECT id, {q_strict('a', 'b')} AS hit FROM {PAIRS}")
 def p6_strict_hit(spark, sf_dir):
-    return _values(spark, PAIRS).select("id", ft.strict_hit("a", "b").alias("hit"))
+    return _values(spark, sf_dir, PAIRS).select("id", ft.strict_hit("a", "b").alias("hit"))
 
 
 @query(f"SELECT id, length({q_compact('a')}) >= 4 AND contains({q_compact('b')}, substr({q_compact('a')}, 1, 2)) AS hit FROM {PAIRS}")
 def p7_object_hit(spark, sf_dir):
-    return _values(spark, PAIRS).select("id", ft.object_hit("a", "b").alias("hit"))
-
+    return _values(spark, sf_dir, PAIRS).select("id", ft.object_hit("a", "b").alias("hit"))
 
-ORDERED = "(VALUES (1, '取消操作次日生效', '取消的操作在次日才生效', true), (2, '取消操作次日生效', '生效次日操作取消', false), (3, '短语', '短语', false), (4, '不能保证一定收到', '不能保证一定收到', false), (5, '甲乙丙丁戊己', '甲12345678901234567890乙丙丁戊己', false)) AS t(id, a, b, expected)"
 
 
-@query(f"SELECT id, expected AS hit FROM {ORDERED}")
+@query(rf"""WITH RECURSIVE p AS (SELECT id, {q_compact('a')} AS a, {q_compact('b')} AS b FROM {ORDERED}),
+w(id, a, b, k, place, ok) AS (SELECT id, a, b, 0, 0, true FROM p UNION ALL
+  SELECT id, a, b, k + 1, place + f, ok AND f > 0 AND (place = 0 OR f - 1 <= {ft.MAX_GAP}) FROM (SELECT *, strpos(substr(b, place + 1), substr(a, k + 1, 1)) AS f FROM w WHERE k < length(a)))
+SELECT id, ok AND a <> '' AND b <> '' AND length(a) >= 6 AND NOT regexp_matches(a, '\\d') AND NOT {q_any('a', ft.MODAL_MARKS)} AS hit FROM w WHERE k = length(a)""")
 def p5_ordered_hit(spark, sf_dir):
-    return _values(spark, ORDERED).select("id", ft.ordered_hit("a", "b").alias("hit"))
+    return _values(spark, sf_dir, ORDERED).select("id", ft.ordered_hit("a", "b").alias("hit"))
 
 
 @query(rf"SELECT id, regexp_matches({q_compact('a')}, '\d') OR regexp_matches({q_compact('a')}, '{ft.COUNTED}') OR {q_any(q_compact('a'), ft.PRECISE_WORDS)} AS precise FROM {PAIRS}")
 def p9_precise(spark, sf_dir):
-    return _values(spark, PAIRS).select("id", ft.is_precise(F.array("a")).alias("precise"))
+    return _values(spark, sf_dir, PAIRS).select("id", ft.is_precise(F.array("a")).alias("precise"))
 
 
 @query(f"WITH {TURNS} SELECT dialogue_id, turn_index FROM turns WHERE contains(text, 'the') AND (contains(text, 'ing')::INT + contains(text, 'on')::INT + contains(text, 'er')::INT) >= 2 AND NOT contains(text, 'ß') AND regexp_matches(text, '(?:^A)|(?:ea)')")
@@ -177,12 +176,33 @@ def p18_pattern(spark, sf_dir):
     return _turns(spark, sf_dir).where(hit).select("dialogue_id", "turn_index")
 
 
-NUMBERED = "(VALUES (1, '满10单奖励15元'), (2, '3-5天到账'), (3, '下午6点前'), (4, '没有数字'), (5, '1.5小时或30分钟'), (6, '今天18点生效')) AS t(id, s)"
+
+def q_between(x: str) -> str:
+    return f"{x} BETWEEN 5.5 AND 40.0"
+
+
+#: Of a text s: its ranges, what is left without them, and the numbers of the rest, as pieces of text.
+NUMBER_PARTS = f"(SELECT *, regexp_extract_all(s, '{fn._RANGE}') AS ranges, regexp_extract_all(regexp_replace(s, '{fn._RANGE}', ' ', 'g'), '{fn._SINGLE}') AS singles FROM {NUMBERED})"
+
+
+def q_part(x: str, pattern: str, i: int) -> str:
+    return f"regexp_extract({x}, '{pattern}', {i})"
 
 
-@query(f"SELECT * FROM (VALUES (1, true), (2, false), (3, true), (4, false), (5, true), (6, true)) AS t(id, inside)")
+def q_shown(x: str) -> str:
+    return rf"regexp_replace(({x})::DOUBLE::VARCHAR, '\.0$', '')"
+
+
+def q_days(x: str) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN {q_any(x, words)} THEN '{name}' END" for name, words in fn.DAYS.items()) + "], lambda d: d IS NOT NULL)"
+
+
+@query(
+    f"SELECT id, len(list_filter(ranges, lambda x: {q_between(q_part('x', fn._RANGE, 1) + '::DOUBLE')} AND {q_between(q_part('x', fn._RANGE, 2) + '::DOUBLE')})) > 0"
+    f" OR len(list_filter(singles, lambda x: {q_between(q_part('x', fn._SINGLE, 1) + '::DOUBLE')})) > 0 AS inside FROM {NUMBER_PARTS}"
+)
 def p22_number_in_range(spark, sf_dir):
-    return _values(spark, NUMBERED).select("id", fn.number_in_range(fn.numbers("s"), 5.5, 40.0).alias("inside"))
+    return _values(spark, sf_dir, NUMBERED).select("id", fn.number_in_range(fn.numbers("s"), 5.5, 40.0).alias("inside"))
 
 
 @query(f"WITH {TURNS} SELECT dialogue_id, turn_index FROM turns WHERE speaker = 'assistant'")
@@ -198,33 +218,136 @@ def f1_spans(spark, sf_dir):
     return atoms(_turns(spark, sf_dir)).select("dialogue_id", "turn_index", "seq", "text", "span_type", "is_evidence")
 
 
-TAGGED = "(VALUES (1, '您好，请问您是负责人吗', 'assistant', 'form:question,intent:ask,intent:confirm,intent:greet,speaker_role:assistant,target:identity'), (2, '好的再见', 'user', 'intent:close,speaker_role:user'), (3, '开车呢', 'user', 'context_state:driving,form:question,intent:ask,speaker_role:user,target:safety'), (4, 'thank', 'unknown', 'speaker_role:unknown')) AS t(id, s, who, expected)"
+
+def _tag_rules() -> list[tuple[str, str]]:
+    """(test, tag) of all general tags of a span s with the compact form c."""
+    asked = q_any("s", QUESTION)
+    rules = [(asked, "form:question"), (asked, "intent:ask"), (q_any("s", ("您好", "你好", "早上好", "下午好")), "intent:greet")]
+    rules += [(q_any("c", words), name) for words, named in TAGS for name in named]
+    promised = f"({q_any('c', GUARANTEE)} AND NOT {q_any('c', NO_GUARANTEE)})"
+    return [*rules, (promised, "intent:promise"), (promised, "modality:certain")]
 
 
-@query(f"SELECT id, expected AS tags FROM {TAGGED}")
+@query(
+    "SELECT id, array_to_string(list_sort(list_distinct(list_filter(['speaker_role:' || who, " + ", ".join(f"CASE WHEN {test} THEN '{tag}' END" for test, tag in _tag_rules())
+    + f"], lambda x: x IS NOT NULL))), ',') AS tags FROM (SELECT *, {q_compact('s')} AS c FROM {TAGGED})"
+)
 def f2_tags(spark, sf_dir):
-    return _values(spark, TAGGED).select("id", F.array_join(F.array_sort(tags(F.col("s"), ft.compact("s"), F.col("who"))), ",").alias("tags"))
+    return _values(spark, sf_dir, TAGGED).select("id", F.array_join(F.array_sort(tags(F.col("s"), ft.compact("s"), F.col("who"))), ",").alias("tags"))
 
 
-@query("SELECT * FROM (VALUES (1, 'number:10:单,number:15:元'), (2, 'range:3~5:天'), (3, 'number:6:点'), (4, ''), (5, 'number:1.5:小时,number:30:分钟'), (6, 'number:18:点')) AS t(id, found)")
+@query(
+    f"SELECT id, array_to_string(list_concat(list_transform(ranges, lambda x: 'range:' || {q_shown(q_part('x', fn._RANGE, 1))} || '~' || {q_shown(q_part('x', fn._RANGE, 2))} || ':' || {q_part('x', fn._RANGE, 3)}),"
+    f" list_transform(singles, lambda x: 'number:' || {q_shown(q_part('x', fn._SINGLE, 1))} || ':' || {q_part('x', fn._SINGLE, 2)})), ',') AS found FROM {NUMBER_PARTS}"
+)
 def f3_numbers(spark, sf_dir):
     show = lambda x: F.regexp_replace(x.cast("string"), r"\.0$", "")
     one = lambda n: F.concat(n["type"], F.lit(":"), F.when(n["type"] == "range", F.concat(show(n["start"]), F.lit("~"), show(n["end"]))).otherwise(show(n["value"])), F.lit(":"), n["unit"])
-    return _values(spark, NUMBERED).select("id", F.array_join(F.transform(fn.numbers("s"), one), ",").alias("found"))
+    return _values(spark, sf_dir, NUMBERED).select("id", F.array_join(F.transform(fn.numbers("s"), one), ",").alias("found"))
 
 
-@query("SELECT * FROM (VALUES (1, ''), (2, ''), (3, ''), (4, ''), (5, ''), (6, 'today')) AS t(id, days)")
+@query(f"SELECT id, array_to_string({q_days('s')}, ',') AS days FROM {NUMBERED}")
 def f6_day_words(spark, sf_dir):
-    return _values(spark, NUMBERED).select("id", F.array_join(fn.day_words("s"), ",").alias("days"))
+    return _values(spark, sf_dir, NUMBERED).select("id", F.array_join(fn.day_words("s"), ",").alias("days"))
+
+
+
+def q_held_unit(x: str) -> str:
+    return "CASE " + " ".join(f"WHEN contains({x}, '{u}') THEN '{u}'" for u in ff.UNITS) + " END"
+
+
+def q_unit(x: str) -> str:
+    near, word = f"regexp_extract({x}, '{ff._NEAR}', 1)", f"regexp_extract({x}, '{ff._WORD_NEAR}', 2)"
+    return f"CASE WHEN contains({x}, '点') OR contains({x}, ':') THEN '点' ELSE coalesce({q_held_unit(near)}, {q_held_unit(word)}, {q_held_unit(x)}, '') END"
+
+
+def q_plain(x: str) -> str:
+    return rf"(CASE WHEN {x} = floor({x}) THEN {x}::BIGINT::VARCHAR ELSE regexp_replace(regexp_replace(printf('%.6f', {x}), '0+$', ''), '\.$', '') END)"
+
+
+def q_numbers(t: str, u: str) -> str:
+    """The values of a text with a unit, as a list of 'number unit'."""
+    numeral = lambda x: f"(CASE {x} " + " ".join(f"WHEN '{k}' THEN {v}e0" for k, v in ff.NUMERALS.items()) + " END)"
+    fits, short = lambda x: f"({u} = '' OR contains({x}, {u}))", lambda x: f"(CASE WHEN {u} <> '' THEN {u} ELSE substr({x}, 1, 1) END)"
+    late = lambda n: f"(CASE WHEN {u} = '点' AND {n} = 6 AND (contains({t}, '下午') OR contains({t}, '晚上')) THEN 18e0 ELSE {n} END)"
+
+    def ranges(pattern: str, value) -> str:
+        part = lambda i: q_part("x", pattern, i)
+        both = ", ".join(f"{q_plain(value(part(i)))} || ' ' || {short(part(3))}" for i in (1, 2))
+        return f"flatten(list_transform(list_filter(regexp_extract_all({t}, '{pattern}'), lambda x: {fits(part(3))}), lambda x: [{both}]))"
+
+    number, raw = q_part("x", ff._SINGLE, 1), q_part("x", ff._SINGLE, 2)
+    own = f"(CASE WHEN contains({raw}, ':') THEN '点' ELSE {raw} END)"
+    known = f"(CASE WHEN {u} = '' OR {own} = {u} THEN {own} WHEN {own} = '' AND {q_compact(t)} = {number} THEN {u} WHEN {u} = '点' AND ({number} IN ('18', '6') OR contains({t}, ':')) THEN {own} END)"
+    single = f"{q_plain(late(number + '::DOUBLE'))} || ' ' || (CASE WHEN {known} = '' THEN {u} ELSE {known} END)"
+    singles = f"list_filter(list_transform(regexp_extract_all({t}, '{ff._SINGLE}'), lambda x: CASE WHEN {known} IS NOT NULL THEN {single} END), lambda x: x IS NOT NULL)"
+    word, unit = q_part("x", ff._WORD_SINGLE, 1), q_part("x", ff._WORD_SINGLE, 2)
+    words = f"list_transform(list_filter(regexp_extract_all({t}, '{ff._WORD_SINGLE}'), lambda x: {fits(unit)}), lambda x: {q_plain(late(numeral(word)))} || ' ' || {short(unit)})"
+    six = f"(CASE WHEN {u} = '点' AND {q_any(t, ff.SIX)} THEN ['18 点'] ELSE [] END)"
+    parts = [ranges(ff._RANGE, lambda x: f"{x}::DOUBLE"), singles, ranges(ff._WORD_RANGE, numeral), words, six]
+    return f"list_concat({', '.join(parts)})"
+
+
+def q_once(x: str) -> str:
+    """A list without repeats, in order."""
+    return f"list_filter({x}, lambda v, i: list_position({x}, v) = i)"
+
 
+@query(f"SELECT id, {q_unit('actual')} AS unit, {q_unit('expected')} AS asked FROM {FACTS}")
+def f5_units(spark, sf_dir):
+    return _values(spark, sf_dir, FACTS).select("id", ff.unit_of("actual").alias("unit"), ff.unit_of("expected").alias("asked"))
 
-FACTS = "(VALUES (1, '次日生效', '今天生效', 'conflict'), (2, '10单', '10单或12单', 'support'), (3, '10元', '12元', 'conflict'), (4, '次日', '第二天', 'support'), (5, '好', '坏', 'unknown'), (6, '次日10元', '明天10元', 'support')) AS t(id, expected, actual, verdict)"
 
+@query(f"WITH u AS (SELECT id, actual, {q_unit('expected')} AS u FROM {FACTS}), p AS (SELECT id, {q_numbers('actual', 'u')} AS p FROM u) SELECT id, array_to_string({q_once('p')}, ',') AS pairs FROM p")
+def f4_number_units(spark, sf_dir):
+    pairs = ff.number_units("actual", ff.unit_of("expected"))
+    return _values(spark, sf_dir, FACTS).select("id", F.array_join(F.transform(pairs, lambda x: F.concat(x["number"], F.lit(" "), x["unit"])), ",").alias("pairs"))
 
-@query(f"SELECT id, verdict FROM {FACTS}")
+
+def q_compare(exp: str, exp_days: str, act: str, act_days: str) -> str:
+    common = lambda a, b: f"len(list_intersect({a}, {b}))"
+    some = f"len({exp_days}) > 0 AND len({act_days}) > 0"
+    within = f"({common(exp, act)} = len(list_distinct({act})) OR {common(exp, act)} = len(list_distinct({exp})))"
+    return f"CASE WHEN {some} AND {common(exp_days, act_days)} = 0 THEN 'conflict' WHEN len({exp}) > 0 AND len({act}) > 0 THEN CASE WHEN {within} THEN 'support' ELSE 'conflict' END WHEN {some} THEN 'support' ELSE 'unknown' END"
+
+
+PROFILES = f"""u AS (SELECT id, expected, actual, {q_unit('expected')} AS u FROM {FACTS}),
+p AS (SELECT id, expected, actual, u, list_transform({q_numbers('expected', 'u')}, lambda v: split_part(v, ' ', 1)) AS e, {q_days('expected')} AS ed,
+  list_transform({q_numbers('actual', "CASE WHEN u <> '' THEN u ELSE " + q_unit('actual') + " END")}, lambda v: split_part(v, ' ', 1)) AS a, {q_days('actual')} AS ad FROM u)"""
+
+
+@query(f"WITH {PROFILES} SELECT id, {q_compare('e', 'ed', 'a', 'ad')} AS verdict FROM p")
 def f7_compare_facts(spark, sf_dir):
-    verdict = fn.compare_facts(fn.day_words("expected"), fn.fact_values("expected"), fn.day_words("actual"), fn.fact_values("actual"))
-    return _values(spark, FACTS).select("id", verdict.alias("verdict"))
+    expected = ff.fact_profile("expected")
+    rows = _values(spark, sf_dir, FACTS).withColumn("e", expected)
+    return rows.select("id", ff.compare_profiles(F.col("e"), ff.fact_profile("actual", F.col("e.unit"))).alias("verdict"))
+
+
+def q_anchors(x: str) -> str:
+    out = rf"regexp_replace(regexp_replace({q_compact(x)}, '\d+(?:\.\d+)?', ' ', 'g'), '[一二三四五六七八九十百千万两]+', ' ', 'g')"
+    for words in (ff.DAY_PARTS, ff.PARTICLES):
+        for word in sorted(words, key=lambda w: -len(w)):
+            out = f"replace({out}, '{word}', ' ')"
+    return out
+
+
+@query(rf"WITH c AS (SELECT id, list_filter(regexp_split_to_array({q_anchors('b')}, '[\s，,。；;：:/、()（）\[\]{{}}]+'), lambda x: length(x) BETWEEN 2 AND 8) AS p FROM {PAIRS}) SELECT id, array_to_string(list_slice({q_once('p')}, 1, 4), ',') AS anchors FROM c")
+def f8_slot_anchors(spark, sf_dir):
+    return _values(spark, sf_dir, PAIRS).select("id", F.array_join(ff.slot_anchors("b"), ",").alias("anchors"))
+
+
+@query(f"""WITH {PROFILES}, c AS (SELECT *, list_filter(regexp_split_to_array({q_anchors('expected')}, '\\s+'), lambda x: length(x) BETWEEN 2 AND 8) AS anchors FROM p)
+SELECT id, (len(a) > 0 OR len(ad) > 0) AND (len(e) = 0 OR len(a) > 0) AND NOT {q_any('actual', ff.DENIED)}
+  AND NOT (len(e) = 0 AND len(ed) > 0 AND len(ad) > 0 AND len(anchors) > 0 AND len(list_filter(anchors, lambda x: contains(actual, x))) = 0) AS asserted FROM c""")
+def f9_asserted_facts(spark, sf_dir):
+    rows = _values(spark, sf_dir, FACTS).withColumn("e", ff.fact_profile("expected"))
+    rows = rows.withColumn("a", ff.fact_profile("actual", F.col("e.unit")))
+    return rows.select("id", ff.asserts_fact(F.col("expected"), F.col("e"), F.col("actual"), F.col("a")).alias("asserted"))
+
+
+@query(rf"SELECT id, length({q_compact('a')}) <= 2 OR {q_compact('a')} IN ({', '.join(_text(x) for x in ff.GENERAL_SLOTS)}) OR regexp_matches({q_compact('a')}, '(?:{'|'.join(ff.GENERAL_ENDS)})$') AS general, {q_any('b', ff.REWARDS)} AND NOT {q_any('a', ff.REWARDS)} AS other FROM {PAIRS}")
+def f10_slots(spark, sf_dir):
+    return _values(spark, sf_dir, PAIRS).select("id", ff.general_slot(F.col("a")).alias("general"), ff.other_slot(F.col("a"), F.col("b")).alias("other"))
 
 
 def q_bigrams(x: str) -> str:
@@ -233,7 +356,7 @@ def q_bigrams(x: str) -> str:
 
 @query(f"SELECT id, round(CASE WHEN least(len(x), len(y)) > 0 THEN len(list_intersect(x, y)) / least(len(x), len(y)) ELSE 0.0 END, 6) AS overlap FROM (SELECT id, {q_bigrams(q_compact('a'))} AS x, {q_bigrams(q_compact('b'))} AS y FROM {PAIRS})")
 def f16_overlap(spark, sf_dir):
-    return _values(spark, PAIRS).select("id", F.round(ft.overlap_coefficient(ft.bigrams("a"), ft.bigrams("b")), 6).alias("overlap"))
+    return _values(spark, sf_dir, PAIRS).select("id", F.round(ft.overlap_coefficient(ft.bigrams("a"), ft.bigrams("b")), 6).alias("overlap"))
 
 
 @query(f"WITH {TURNS}, p AS (SELECT *, lead(text) OVER (PARTITION BY dialogue_id ORDER BY turn_index) AS after FROM turns) SELECT dialogue_id, turn_index, round({q_jaccard('text', 'after')}, 6) AS similarity FROM p WHERE after IS NOT NULL")
@@ -250,7 +373,7 @@ def f22_rough_tokens(spark, sf_dir):
 
 @query(f"SELECT id, 'k_' || substr(sha1(a || '|' || b), 1, 10) AS stable FROM {PAIRS}")
 def f23_stable_ids(spark, sf_dir):
-    return _values(spark, PAIRS).select("id", ft.stable_id("k", "a", "b").alias("stable"))
+    return _values(spark, sf_dir, PAIRS).select("id", ft.stable_id("k", "a", "b").alias("stable"))
 
 
 @query(f"WITH {TURNS} SELECT dialogue_id, turn_index, CASE WHEN length(text) > 20 THEN substr(text, 1, 20) || '…' ELSE text END AS clipped FROM turns")
@@ -258,10 +381,9 @@ def t6_clip(spark, sf_dir):
     return _turns(spark, sf_dir).select("dialogue_id", "turn_index", ft.clip("text", 20).alias("clipped"))
 
 
-@query("SELECT * FROM (VALUES (1, 'A b|c'), (2, 'x')) AS t(id, kept)")
+@query(f"WITH x AS (SELECT id, unnest(items) AS v, generate_subscripts(items, 1) AS n FROM {LISTED.replace('array(', 'list_value(')}), k AS (SELECT id, trim(v) AS v, n, min(n) OVER (PARTITION BY id, {q_compact('v')}) AS first FROM x WHERE {q_compact('v')} <> '') SELECT id, string_agg(v, '|' ORDER BY n) AS kept FROM k WHERE n = first GROUP BY 1")
 def t1_dedupe_ordered(spark, sf_dir):
-    rows = spark.sql("SELECT * FROM VALUES (1, array('A b', 'ab', ' ', 'c', 'C')), (2, array('x', 'X ')) AS t(id, items)")
-    return rows.select("id", F.array_join(ft.dedupe_ordered("items"), "|").alias("kept"))
+    return _values(spark, sf_dir, LISTED).select("id", F.array_join(ft.dedupe_ordered("items"), "|").alias("kept"))
 
 
 # ------------------------------------------------------------------ joins
@@ -315,7 +437,7 @@ EDGES_V = "(VALUES ('a', 'b'), ('b', 'c'), ('c', 'd'), ('d', 'b'), ('x', 'y')) A
 
 @query(f"WITH RECURSIVE r AS (SELECT source, target FROM {EDGES_V} UNION SELECT r.source, e.target FROM r JOIN {EDGES_V} ON r.target = e.source) SELECT source, target FROM r WHERE source <> target")
 def j14_closure(spark, sf_dir):
-    return nodes.closure(spark, _values(spark, EDGES_V))
+    return nodes.closure(spark, _values(spark, sf_dir, EDGES_V))
 
 
 @query(f"WITH {TURNS}, a AS (SELECT *, row_number() OVER (PARTITION BY dialogue_id ORDER BY turn_index) AS n FROM turns WHERE speaker = 'assistant') SELECT a.dialogue_id, a.turn_index AS first, b.turn_index AS second, round({q_jaccard('a.text', 'b.text')}, 6) AS similarity FROM a JOIN a b ON a.dialogue_id = b.dialogue_id AND b.n BETWEEN a.n + 1 AND a.n + 3 WHERE {q_jaccard('a.text', 'b.text')} >= 0.8")
@@ -329,26 +451,35 @@ def j11_terminal_policies(spark, sf_dir):
     return context.terminal_policies(_turns(spark, sf_dir), holds("th"), holds("er"), holds("in"))
 
 
-ERRORS = "(VALUES ('d1', 'e1', 'knowledge', 'k1', '次日生效', true), ('d1', 'e2', 'flow', '', '取消入口', false), ('d2', 'e3', 'knowledge', 'k9', '十元奖励', false)) AS t(dialogue_id, error_id, family, target_id, span, eligible)"
-EVENTS = "(VALUES ('d1', 'knowledge', 'k7', 'k1', '我们是今天生效'), ('d1', 'flow', 'n3', '', '其他'), ('d2', 'knowledge', 'k2', '', '完全无关')) AS t(dialogue_id, family, event_target, alias, evidence)"
+
+def q_aligned(span: str, text: str, least: float) -> str:
+    x, y = q_bigrams(q_compact(span)), q_bigrams(q_compact(text))
+    return f"(({span} <> '' AND {text} <> '' AND (contains({text}, {span}) OR contains({span}, {text}))) OR (least(len({x}), len({y})) > 0 AND len(list_intersect({x}, {y})) / least(len({x}), len({y})) >= {least}))"
+
+
+NAMED = "x.target_id <> '' AND (x.target_id = e.event_target OR (e.alias <> '' AND x.target_id = e.alias))"
+RECONCILED = f"""ev AS (SELECT * FROM {EVENTS}), er AS (SELECT * FROM {ERRORS}),
+reconciled AS (SELECT x.dialogue_id, x.error_id, x.family, x.eligible, coalesce(bool_or(x.family = e.family AND (({NAMED}) OR {q_aligned('x.span', 'e.evidence', 0.4)})), false) AS matched
+  FROM er x LEFT JOIN ev e ON x.dialogue_id = e.dialogue_id GROUP BY ALL),
+surplus AS (SELECT e.* FROM ev e WHERE NOT EXISTS (SELECT 1 FROM er x WHERE x.dialogue_id = e.dialogue_id AND (({NAMED}) OR (x.family = e.family AND {q_aligned('x.span', 'e.evidence', 0.12)}))))"""
 
 
-def _events(spark):
-    return _values(spark, EVENTS).withColumn("aliases", F.filter(F.array("alias"), lambda x: x != "")).drop("alias")
+def _events(spark, sf_dir):
+    return _values(spark, sf_dir, EVENTS).withColumn("aliases", F.filter(F.array("alias"), lambda x: x != "")).drop("alias")
 
 
-def _errors(spark):
-    return _values(spark, ERRORS)
+def _errors(spark, sf_dir):
+    return _values(spark, sf_dir, ERRORS)
 
 
-@query("SELECT * FROM (VALUES ('d1', 'e1', true), ('d1', 'e2', false), ('d2', 'e3', false)) AS t(dialogue_id, error_id, matched)")
+@query(f"WITH {RECONCILED} SELECT dialogue_id, error_id, matched FROM reconciled")
 def j16_reconcile(spark, sf_dir):
-    return acceptance.reconcile(_errors(spark), _events(spark)).select("dialogue_id", "error_id", "matched")
+    return acceptance.reconcile(_errors(spark, sf_dir), _events(spark, sf_dir)).select("dialogue_id", "error_id", "matched")
 
 
-@query("SELECT * FROM (VALUES ('d1', 'n3'), ('d2', 'k2')) AS t(dialogue_id, event_target)")
+@query(f"WITH {RECONCILED} SELECT dialogue_id, event_id, event_target FROM surplus")
 def j17_unexpected(spark, sf_dir):
-    return acceptance.unexpected(_errors(spark), _events(spark)).select("dialogue_id", "event_target")
+    return acceptance.unexpected(_errors(spark, sf_dir), _events(spark, sf_dir)).select("dialogue_id", "event_id", "event_target")
 
 
 # ------------------------------------------------------------------ catalogue statistics
@@ -381,23 +512,16 @@ def w2_windows(spark, sf_dir):
     return matching.windows(matching.recall(spans, elements), spans, elements.select("rule_id", "rule_type").distinct()).select(*matching.KEY, "size")
 
 
-MEASURES = """(VALUES
- ('m1', 'node_positive', 'same_atom', 1e0, 0.8e0, 0.6e0, 2, 1, 1, 0, 0, 0, 0, 0, false, 'hit', 0.765e0),
- ('m2', 'node_positive', 'same_atom', 1e0, 0.8e0, 0.6e0, 2, 1, 1, 0, 0, 0, 1, 0, false, 'miss', 0.117e0),
- ('m3', 'knowledge_positive', 'same_atom', 1e0, 0.3e0, 0.9e0, 2, 2, 2, 1, 0, 0, 0, 0, false, 'hit', 0.79e0),
- ('m4', 'knowledge_positive', 'same_atom', 1e0, 0.9e0, 0.9e0, 2, 2, 2, 1, 1, 0, 0, 0, false, 'miss', 0.272e0),
- ('m5', 'knowledge_positive', 'same_atom', 1e0, 0.9e0, 0.9e0, 2, 2, 2, 1, 1, 1, 0, 0, false, 'miss', 0.238e0),
- ('m6', 'node_trigger', 'same_atom', 1e0, 0.9e0, 0.9e0, 2, 1, 1, 0, 0, 0, 0, 1, false, 'miss', 0.13e0),
- ('m7', 'node_trigger', 'same_atom', 1e0, 0.9e0, 0.9e0, 2, 1, 1, 0, 0, 0, 0, 0, true, 'miss', 0.15e0),
- ('m8', 'default', 'same_turn_adjacent_3', 0.82e0, 0.3e0, 0.2e0, 4, 0, 1, 0, 0, 0, 0, 0, false, 'miss', 0.1886e0),
- ('m9', 'default', 'same_turn_adjacent_2', 0.92e0, 1e0, 1e0, 2, 2, 2, 0, 0, 0, 0, 0, false, 'hit', 1e0),
- ('m10', 'default', 'same_atom', 1e0, 0.3e0, 0.4e0, 2, 1, 1, 0, 0, 0, 0, 0, false, 'review', 0.615e0)
-) AS t(group_id, rule_type, window_name, factor, raw_group, raw_core, n_core, n_core_hit, n_plain_hit, n_fact, n_fact_missing, n_trunk_missing, n_precise_missing, n_cluster_missing, require_all, verdict, score)"""
 
-
-@query(f"SELECT group_id, verdict, round(score, 6) AS score FROM {MEASURES}")
+@query(f"""WITH p(rule_type, hm, hg, rm, rg) AS (VALUES {', '.join(str((k, *v)) for k, v in cat.PROFILES.items())}),
+m AS (SELECT *, CASE WHEN n_core_hit > 0 THEN greatest(raw_core, 0.5 + 0.5 * n_core_hit / n_core) ELSE raw_core END AS raw_main, (starts_with(rule_type, 'knowledge_') OR starts_with(rule_type, 'constraint_')) AND n_fact > 0 AS facts FROM {MEASURES} JOIN p USING (rule_type)),
+c AS (SELECT *, starts_with(window_name, 'same_turn_adjacent') AND raw_group >= 0.999 AND raw_main >= 0.999 AS whole FROM m),
+v AS (SELECT *, CASE WHEN whole THEN 1 ELSE least(1, raw_main * factor) END AS mc, CASE WHEN whole THEN 1 ELSE least(1, raw_group * factor) END AS gc FROM c),
+z AS (SELECT *, CASE WHEN rule_type = 'node_positive' AND n_precise_missing > 0 THEN 0.65 WHEN facts AND n_trunk_missing > 0 THEN 0.7 WHEN facts AND n_fact_missing > 0 THEN 0.8 WHEN rule_type = 'node_trigger' AND n_cluster_missing > 0 THEN 0.65 WHEN require_all AND n_core_hit < n_core THEN 0.75 END AS veto FROM v)
+SELECT group_id, CASE WHEN veto IS NOT NULL THEN 'miss' WHEN mc >= hm AND n_plain_hit > 0 AND (facts OR gc >= hg) THEN 'hit' WHEN mc >= rm AND gc >= rg AND n_plain_hit > 0 THEN 'review' ELSE 'miss' END AS verdict,
+ round((CASE WHEN veto IS NULL THEN 0.7 * mc + 0.3 * gc ELSE least(0.7 * mc + 0.3 * gc, rg * veto) END)::DOUBLE, 6) AS score FROM z""")
 def a1_group_verdicts(spark, sf_dir):
-    rows = _values(spark, MEASURES).withColumnRenamed("window_name", "window").drop("verdict", "score")
+    rows = _values(spark, sf_dir, MEASURES).withColumnRenamed("window_name", "window").drop("verdict", "score")
     for i, name in enumerate(("hit_main", "hit_group", "review_main", "review_group")):
         value = F.lit(None).cast("double")
         for kind, profile in cat.PROFILES.items():
@@ -406,62 +530,56 @@ def a1_group_verdicts(spark, sf_dir):
     return matching.group_verdicts(rows).select("group_id", "verdict", F.round("score", 6).alias("score"))
 
 
-GROUPS = """(VALUES ('r', 'd', 1, 0, 0, true, 'hit', 0.6e0), ('r', 'd', 1, 0, 0, true, 'hit', 0.9e0), ('r', 'd', 1, 0, 0, false, 'miss', 0.1e0), ('r', 'd', 1, 1, 0, true, 'review', 0.5e0),
- ('r', 'd', 2, 0, 1, true, 'miss', 0.2e0), ('r', 'd', 2, 1, 0, true, 'hit', 0.74e0), ('s', 'd', 0, 0, 0, true, 'miss', 0.1e0)) AS t(rule_id, dialogue_id, a_turn, a_seq, window_ord, decisive, verdict, score)"""
-
 
-def _settled(spark):
-    rows = _values(spark, GROUPS).withColumn("rule_type", F.lit("default")).withColumn("window", F.lit("w"))
+def _settled(spark, sf_dir):
+    rows = _values(spark, sf_dir, GROUPS).withColumn("rule_type", F.lit("default")).withColumn("window", F.lit("w"))
     return matching.settle(rows.withColumn("hit_group", F.lit(0.46)).withColumn("review_group", F.lit(0.22)))
 
 
 SETTLED = f"""g AS (SELECT rule_id, dialogue_id, a_turn, a_seq, window_ord, max(score) FILTER (decisive AND verdict = 'hit') AS h, max(score) FILTER (decisive AND verdict = 'review') AS v,
  max(score) FILTER (decisive) AS a, avg(score) FILTER (NOT decisive) AS s FROM {GROUPS} GROUP BY ALL),
-x AS (SELECT *, CASE WHEN s IS NULL THEN coalesce(h, v, a) ELSE 0.8 * coalesce(h, v, a) + 0.2 * s END AS score FROM g),
+x AS (SELECT *, CASE WHEN s IS NULL THEN coalesce(h, v, a, 0) ELSE 0.8 * coalesce(h, v, a, 0) + 0.2 * s END AS score FROM g),
 settled AS (SELECT rule_id, dialogue_id, a_turn, a_seq, window_ord, round(score, 6) AS score, CASE WHEN h IS NOT NULL AND score >= 0.46 THEN 'hit' WHEN h IS NOT NULL OR v IS NOT NULL OR score >= 0.22 THEN 'review' ELSE 'miss' END AS verdict FROM x)"""
 
 
 @query(f"WITH {SETTLED} SELECT * FROM settled")
 def a2_settle(spark, sf_dir):
-    return _settled(spark).select(*matching.KEY, F.round("score", 6).alias("score"), "verdict")
+    return _settled(spark, sf_dir).select(*matching.KEY, F.round("score", 6).alias("score"), "verdict")
 
 
 @query(f"WITH {SETTLED}, r AS (SELECT *, row_number() OVER (PARTITION BY dialogue_id, rule_id ORDER BY CASE verdict WHEN 'hit' THEN 3 WHEN 'review' THEN 2 ELSE 1 END DESC, score DESC, a_turn, a_seq, window_ord) AS n FROM settled) SELECT dialogue_id, rule_id, verdict, score, a_turn AS turn_index, a_seq AS seq FROM r WHERE n = 1")
 def a3_best_match(spark, sf_dir):
-    return matching.best_matches(_settled(spark)).select("dialogue_id", "rule_id", "verdict", F.round("score", 6).alias("score"), "turn_index", "seq")
+    return matching.best_matches(_settled(spark, sf_dir)).select("dialogue_id", "rule_id", "verdict", F.round("score", 6).alias("score"), "turn_index", "seq")
 
 
 # ------------------------------------------------------------------ steps, relations, scores
 
-REQUIREMENTS = "(VALUES ('d', 'n1', 1e0, true, 1e0, true, 2), ('d', 'n1', 3e0, true, 0.6e0, true, 1), ('d', 'n2', 1e0, true, 0e0, false, NULL), ('d', 'n2', 1e0, true, 1e0, true, 4), ('d', 'n3', 1e0, false, 0.2e0, false, NULL)) AS t(dialogue_id, node_id, weight, required, score, matched, turn_index)"
-
 
 @query(f"WITH r AS (SELECT *, bool_or(required) OVER (PARTITION BY dialogue_id, node_id) AS need FROM {REQUIREMENTS}), m AS (SELECT dialogue_id, node_id, sum(score * weight) FILTER (required OR NOT need) / sum(weight) FILTER (required OR NOT need) AS mean, count(*) FILTER (required AND score <= 0.0001) AS z, min(turn_index) AS first_hit_turn FROM r GROUP BY ALL), s AS (SELECT *, CASE WHEN z > 0 THEN least(mean, 0.58) ELSE mean END AS score FROM m) SELECT dialogue_id, node_id, round(score, 6) AS score, first_hit_turn, CASE WHEN score >= 0.75 THEN '已完成' WHEN score >= 0.35 THEN '部分完成' ELSE '缺失' END AS status FROM s")
 def a8_node_scores(spark, sf_dir):
-    return nodes.node_scores(_values(spark, REQUIREMENTS)).select("dialogue_id", "node_id", F.round("score", 6).alias("score"), "first_hit_turn", "status")
+    return nodes.node_scores(_values(spark, sf_dir, REQUIREMENTS)).select("dialogue_id", "node_id", F.round("score", 6).alias("score"), "first_hit_turn", "status")
 
 
-RESULTS = "(VALUES ('d', 'a', true, 0.9e0, '已完成', 5), ('d', 'b', true, 0.8e0, '已完成', 3), ('d', 'c', true, 0.1e0, '缺失', NULL), ('d', 'e', false, 1e0, '未激活', NULL), ('d', 'f', true, 0.5e0, '部分完成', 9)) AS t(dialogue_id, node_id, active, score, status, first_hit_turn)"
 EDGE_ROWS = "(VALUES ('a', 'b', 'before', 1e0), ('a', 'b', 'strict_before', 2e0), ('c', 'b', 'condition_on', 1e0), ('b', 'c', 'before', 1e0), ('e', 'a', 'branch_choice', 1e0), ('a', 'e', 'condition_on', 1e0), ('a', 'f', 'optional_after', 1e0)) AS e(source, target, kind, weight)"
 
 
-@query("""SELECT * FROM (VALUES ('a', 'b', 'before', 0.85e0, 4e0), ('a', 'b', 'strict_before', 0.85e0, 20e0), ('c', 'b', 'condition_on', 0.45e0, 16e0), ('b', 'c', 'before', 0.45e0, 3e0), ('e', 'a', 'branch_choice', NULL, 8e0)) AS t(source, target, kind, pair_score, penalty)""")
+@query(f"""WITH r AS (SELECT * FROM {RESULTS}), x AS (SELECT a.dialogue_id, source, target, kind, weight, a.active AS aa, b.active AS ba, a.status = '缺失' AS am, b.status = '缺失' AS bm, a.score AS s1, b.score AS s2, coalesce(a.first_hit_turn > b.first_hit_turn, false) AS turned,
+  kind IN ('strict_before', 'condition_on', 'branch_choice') AS hard, kind IN ('before', 'strict_before') AS ordered
+ FROM r a JOIN {EDGE_ROWS} ON a.node_id = source JOIN r b ON b.dialogue_id = a.dialogue_id AND b.node_id = target WHERE kind <> 'optional_after' AND (b.active OR kind NOT IN ('condition_on', 'branch_choice')))
+SELECT dialogue_id, source, target, kind, round(CASE WHEN aa AND ba THEN (s1 + s2) / 2 END, 6)::DOUBLE AS pair_score, round(weight * (CASE WHEN ba AND hard AND (NOT aa OR am) THEN 8 ELSE 0 END + CASE WHEN aa AND ba THEN
+  CASE WHEN am AND NOT bm THEN CASE WHEN hard THEN 8 ELSE 4 END ELSE 0 END + CASE WHEN ordered AND bm AND NOT am THEN CASE WHEN hard THEN 6 ELSE 3 END ELSE 0 END + CASE WHEN turned THEN CASE WHEN hard THEN 10 ELSE 4 END ELSE 0 END ELSE 0 END), 6)::DOUBLE AS penalty FROM x""")
 def a10_edge_penalties(spark, sf_dir):
-    rows = relations.edge_results(_values(spark, RESULTS), _values(spark, EDGE_ROWS))
-    return rows.select("source", "target", "kind", F.round("pair_score", 6).alias("pair_score"), F.round("penalty", 6).alias("penalty"))
+    rows = relations.edge_results(_values(spark, sf_dir, RESULTS), _values(spark, sf_dir, EDGE_ROWS))
+    return rows.select("dialogue_id", "source", "target", "kind", F.round("pair_score", 6).alias("pair_score"), F.round("penalty", 6).alias("penalty"))
 
 
-MEMBERS = """(VALUES ('d', 'g1', 'sequential', 0, 0.9e0, '已完成', 5), ('d', 'g1', 'sequential', 1, 0.7e0, '部分完成', 3), ('d', 'g1', 'sequential', 2, 0.8e0, '已完成', NULL), ('d', 'g2', 'any_of', 0, 0.2e0, '缺失', NULL), ('d', 'g2', 'any_of', 1, 0.9e0, '已完成', 1),
- ('d', 'g3', 'exclusive_branch', 0, 0.9e0, '已完成', 1), ('d', 'g3', 'exclusive_branch', 1, 0.8e0, '已完成', 2), ('d', 'g4', 'all_of', 0, 0.5e0, '部分完成', 2)) AS t(dialogue_id, group_id, group_type, position, score, status, first_hit_turn)"""
 
-
-@query("SELECT * FROM (VALUES ('g1', 72e0), ('g2', 90e0), ('g3', 80e0), ('g4', 50e0)) AS t(group_id, score)")
+@query(f"""WITH m AS (SELECT *, coalesce(lag(first_hit_turn) OVER (PARTITION BY dialogue_id, group_id ORDER BY position) > first_hit_turn, false) AS turned FROM {MEMBERS}),
+g AS (SELECT dialogue_id, group_id, group_type, 100 * avg(score) AS mean, 100 * max(score) AS best, count(*) FILTER (turned) AS n, count(*) FILTER (first_hit_turn IS NOT NULL OR status IN ('已完成', '部分完成')) AS c FROM m GROUP BY ALL)
+SELECT dialogue_id, group_id, round(CASE group_type WHEN 'exclusive_branch' THEN greatest(0, best - 10 * greatest(0, c - 1)) WHEN 'sequential' THEN greatest(0, mean - 8 * n) ELSE mean END, 6)::DOUBLE AS score FROM g""")
 def a11_group_scores(spark, sf_dir):
-    return relations.group_scores(_values(spark, MEMBERS)).select("group_id", F.round("score", 6).alias("score"))
-
+    return relations.group_scores(_values(spark, sf_dir, MEMBERS)).select("dialogue_id", "group_id", F.round("score", 6).alias("score"))
 
-SCORES = """(VALUES ('d1', 100e0, 100e0, 100e0, 100e0, 100e0, 0, 0, 0, 0, 4, false), ('d2', 80e0, 90e0, 77.6e0, 100e0, 100e0, 3, 0, 0, 0, 4, false), ('d3', 70e0, 90e0, 100e0, 100e0, 100e0, 0, 0, 0, 1, 8, false),
- ('d4', 70e0, 90e0, 100e0, 55e0, 90e0, 0, 4, 2, 3, 8, true), ('d5', 95e0, 90e0, 100e0, 100e0, 100e0, 0, 0, 0, 0, 8, true)) AS t(dialogue_id, node_completion, relation_score, knowledge_score, constraint_score, soft_score, knowledge_worst, constraint_worst, missing_nodes, missing_required, n_required, context_problem)"""
 
 
 @query(f"""WITH f AS (SELECT *, (missing_nodes > 0 OR missing_required > 0) AS flow, (missing_nodes >= 2 OR missing_required >= 2 OR missing_required / n_required >= 0.25) AS many,
@@ -471,16 +589,14 @@ h AS (SELECT *, least(fl, k, c, CASE WHEN context_problem THEN CASE WHEN n >= 2
  0.5 * least(node_completion, fl) + 0.1 * least(relation_score, CASE WHEN context_problem THEN 62 END) + 0.2 * least(knowledge_score, k) + 0.15 * least(constraint_score, c) + 0.05 * soft_score AS u FROM g)
 SELECT dialogue_id, cap, round(u, 6) AS uncapped, round(least(u, cap), 6) AS total FROM h""")
 def a17_totals(spark, sf_dir):
-    out = scoring.totals(_values(spark, SCORES))
+    out = scoring.totals(_values(spark, sf_dir, SCORES))
     return out.select("dialogue_id", "cap", F.round("uncapped", 6).alias("uncapped"), F.round("total", 6).alias("total"))
 
 
-BAD = "(VALUES ('d1', 'low'), ('d1', 'high'), ('d2', 'critical'), ('d2', 'critical'), ('d2', 'critical'), ('d3', 'odd')) AS t(dialogue_id, severity)"
-
 
 @query(f"SELECT dialogue_id, round(greatest(0, 100 - sum(0.8 * CASE severity WHEN 'low' THEN 5 WHEN 'medium' THEN 12 WHEN 'high' THEN 28 WHEN 'critical' THEN 45 ELSE 12 END)), 6)::DOUBLE AS knowledge_score, max(CASE severity WHEN 'low' THEN 1 WHEN 'high' THEN 3 WHEN 'critical' THEN 4 ELSE 2 END)::INTEGER AS knowledge_worst, count(*) AS n_knowledge FROM {BAD} GROUP BY 1")
 def a14_severity(spark, sf_dir):
-    return scoring.event_scores(_values(spark, BAD), "knowledge").withColumn("knowledge_score", F.round("knowledge_score", 6))
+    return scoring.event_scores(_values(spark, sf_dir, BAD), "knowledge").withColumn("knowledge_score", F.round("knowledge_score", 6))
 
 
 @query(f"WITH {TURNS} SELECT dialogue_id, round(least(1.0, avg(contains(text, 'er')::INT) / 0.6), 6) AS score FROM turns WHERE speaker = 'assistant' GROUP BY 1")
@@ -537,18 +653,20 @@ def d2_node_active(spark, sf_dir):
 
 # ------------------------------------------------------------------ acceptance and routing
 
-POSITIVE = """(VALUES ('d1', 95e0, 90e0, 90e0, 100e0, 100e0, false, 0, 0, 0, false), ('d2', 85e0, 90e0, 90e0, 100e0, 100e0, true, 0, 0, 0, false), ('d3', 85e0, 70e0, 90e0, 100e0, 100e0, false, 1, 0, 2, false), ('d4', 99e0, 99e0, 99e0, 97e0, 100e0, false, 0, 1, 0, true))
- AS t(dialogue_id, total, node_completion, relation_score, knowledge_score, constraint_score, scenario, n_bad, missing_nodes, missing_required, context_problem)"""
 
-
-@query("SELECT * FROM (VALUES ('d1', true, ''), ('d2', true, ''), ('d3', false, 'total,node_completion,bad_event,missing_requirement'), ('d4', false, 'knowledge_score,missing_node,context')) AS t(dialogue_id, passed, reasons)")
+@query(
+    "WITH r AS (SELECT dialogue_id, concat_ws(',', CASE WHEN total < CASE WHEN scenario THEN 82 ELSE 90 END THEN 'total' END, "
+    + ", ".join(f"CASE WHEN {c} < {least} THEN '{c}' END" for c, least in acceptance.FLOORS.items())
+    + f", CASE WHEN n_bad > 0 THEN 'bad_event' END, CASE WHEN missing_nodes > 0 THEN 'missing_node' END, CASE WHEN missing_required > 0 THEN 'missing_requirement' END, CASE WHEN context_problem THEN 'context' END) AS reasons FROM {POSITIVE})"
+    " SELECT dialogue_id, reasons = '' AS passed, reasons FROM r"
+)
 def d15_positive_passes(spark, sf_dir):
-    return acceptance.positive_passes(_values(spark, POSITIVE)).select("dialogue_id", "passed", "reasons")
+    return acceptance.positive_passes(_values(spark, sf_dir, POSITIVE)).select("dialogue_id", "passed", "reasons")
 
 
-@query("SELECT * FROM (VALUES ('d1', 2, 1, 1, false), ('d2', 1, 0, 1, false)) AS t(dialogue_id, n_expected, n_matched, n_unexpected, passed)")
+@query(f"WITH {RECONCILED}, m AS (SELECT dialogue_id, count(*) AS n FROM surplus GROUP BY 1), r AS (SELECT dialogue_id, count(*)::INTEGER AS n_expected, count(*) FILTER (matched)::INTEGER AS n_matched, coalesce(max(n), 0)::INTEGER AS n_unexpected, bool_and(matched OR eligible) AS covered FROM reconciled LEFT JOIN m USING (dialogue_id) GROUP BY 1) SELECT dialogue_id, n_expected, n_matched, n_unexpected, covered AND n_unexpected <= 0 AS passed FROM r")
 def d16_negative_passes(spark, sf_dir):
-    out = acceptance.negative_passes(acceptance.reconcile(_errors(spark), _events(spark)), acceptance.unexpected(_errors(spark), _events(spark)))
+    out = acceptance.negative_passes(acceptance.reconcile(_errors(spark, sf_dir), _events(spark, sf_dir)), acceptance.unexpected(_errors(spark, sf_dir), _events(spark, sf_dir)))
     return out.select("dialogue_id", *[F.col(x).cast("int").alias(x) for x in ("n_expected", "n_matched", "n_unexpected")], "passed")
 
 
@@ -588,11 +706,10 @@ def d21_second_filter(spark, sf_dir):
     return rows.select(F.col("id").cast("bigint").alias("id"), F.round("margin", 6).alias("margin"), "decision")
 
 
-@query("SELECT * FROM (VALUES ('c1', 'hit', 0.9e0), ('c2', 'hit', 0.9e0), ('c3', 'uncertain', 0e0)) AS t(candidate_id, verdict, confidence)")
+@query(f"SELECT c.candidate_id, coalesce(verdict, 'uncertain') AS verdict, coalesce(confidence, 0)::DOUBLE AS confidence FROM {CANDIDATES.replace(' AS t', ' AS c')} LEFT JOIN {RECORDED.replace(' AS t', ' AS r')} ON r.candidate_id = coalesce(merged_into, c.candidate_id)")
 def j19_replay(spark, sf_dir):
-    candidates = _values(spark, "(VALUES ('c1', NULL), ('c2', 'c1'), ('c3', NULL)) AS t(candidate_id, merged_into)")
-    answers = _values(spark, "(VALUES ('c1', 'hit', 0.9e0)) AS t(candidate_id, verdict, confidence)")
-    return routing.replay(candidates, answers).select("candidate_id", "verdict", "confidence")
+    answers = _values(spark, sf_dir, RECORDED)
+    return routing.replay(_values(spark, sf_dir, CANDIDATES), answers).select("candidate_id", "verdict", "confidence")
 
 
 # ------------------------------------------------------------------ sets, reports, quality checks
@@ -608,7 +725,7 @@ def u2_union(spark, sf_dir):
 @query(f"SELECT id, list_sort(list_intersect(x, y)).array_to_string('') AS common, list_sort(list_filter(x, lambda c: NOT list_contains(y, c))).array_to_string('') AS only_a FROM (SELECT id, {q_chars('a')} AS x, {q_chars('b')} AS y FROM {PAIRS})")
 def u4_set_compare(spark, sf_dir):
     x, y = ft.characters(F.col("a")), ft.characters(F.col("b"))
-    return _values(spark, PAIRS).select("id", F.array_join(F.array_sort(F.array_intersect(x, y)), "").alias("common"), F.array_join(F.array_sort(F.array_except(x, y)), "").alias("only_a"))
+    return _values(spark, sf_dir, PAIRS).select("id", F.array_join(F.array_sort(F.array_intersect(x, y)), "").alias("common"), F.array_join(F.array_sort(F.array_except(x, y)), "").alias("only_a"))
 
 
 def _records(spark, sf_dir):
@@ -632,12 +749,10 @@ def a24_score_gap(spark, sf_dir):
     return rows.select("domain", *[F.round(x, 6).alias(x) for x in ("positive_mean", "negative_mean", "gap")], "band")
 
 
-FAMILIES = "(VALUES ('d1', 'flow'), ('d1', 'knowledge'), ('d1', 'flow'), ('d2', 'flow'), ('d3', 'knowledge'), ('d3', 'flow')) AS t(dialogue_id, family)"
-
 
 @query(f"WITH f AS (SELECT dialogue_id, string_agg(DISTINCT family, ' + ' ORDER BY family) AS families FROM {FAMILIES} GROUP BY 1) SELECT families, count(*) AS n_dialogues FROM f GROUP BY 1")
 def a25_issue_families(spark, sf_dir):
-    return reports.issue_families(_values(spark, FAMILIES))
+    return reports.issue_families(_values(spark, sf_dir, FAMILIES))
 
 
 @query(f"WITH {RECORDS} SELECT coalesce(domain, '*') AS domain, coalesce(sample_type, '*') AS sample_type, count(*) AS n, round(avg(total), 6) AS avg_total, (grouping(domain) * 2 + grouping(sample_type))::BIGINT AS level FROM records GROUP BY ROLLUP(domain, sample_type)")
@@ -645,12 +760,10 @@ def a23_rollup(spark, sf_dir):
     return reports.rollup(_records(spark, sf_dir)).withColumn("avg_total", F.round("avg_total", 6))
 
 
-CALLS = "(VALUES ('build', 10, 5), ('build', 7, 3), ('verify', 1, 2)) AS t(purpose, prompt_tokens, completion_tokens)"
-
 
 @query(f"SELECT coalesce(purpose, 'total') AS purpose, count(*) AS n_calls, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(completion_tokens)::BIGINT AS completion_tokens FROM {CALLS} GROUP BY ROLLUP(purpose)")
 def a28_usage(spark, sf_dir):
-    return reports.usage(_values(spark, CALLS))
+    return reports.usage(_values(spark, sf_dir, CALLS))
 
 
 @query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON b.text <> '' AND contains(d.text, b.text)")

@@ -9,26 +9,25 @@ from turnweave.functions import cues
 from turnweave.functions.text import overlap_coefficient
 from turnweave.operators import judges, ledger, requirements
 from turnweave.plans import queries as base
+from turnweave.plans.spoken import ACTIVE_NODES, ANSWERS, ASKED, CHECKED, CONTEXT, FLAT, FOUND, LABELS, LEDGER, LIMITED, NAMES, PENALTIES, SAID, STEPS, TURNED
 from turnweave.plans.queries import PAIRS, TURNS, _documents, _text, _turns, _values, q_any, q_chars, q_compact, q_strict, query
 
 # ------------------------------------------------------------------ cues
 
-SAID = "(VALUES (1, '您知道这个规则吗'), (2, '好的'), (3, '嗯 没有'), (4, '你说吧，我在听'), (5, '先挂了，你说也没用'), (6, '生效'), (7, ''), (8, '请问有没有 确认过'), (9, '为什么要这样做呢，我觉得不太合适吧是不是'), (10, '对')) AS t(id, s)"
-
 
 @query(f"SELECT id, {q_any(q_compact('s'), cues.INQUIRY)} AND {q_any(q_compact('s'), cues.AWARENESS)} AS hit FROM {SAID}")
 def p24_generic_inquiry(spark, sf_dir):
-    return _values(spark, SAID).select("id", cues.generic_inquiry("s").alias("hit"))
+    return _values(spark, sf_dir, SAID).select("id", cues.generic_inquiry("s").alias("hit"))
 
 
 @query(f"SELECT id, {q_compact('s')} <> '' AND length({q_compact('s')}) <= 16 AND NOT {q_any(q_compact('s'), cues.ACK_NO)} AND {q_any(q_compact('s'), cues.ACK_YES)} AS hit FROM {SAID}")
 def p23_short_affirmation(spark, sf_dir):
-    return _values(spark, SAID).select("id", cues.short_affirmation("s").alias("hit"))
+    return _values(spark, sf_dir, SAID).select("id", cues.short_affirmation("s").alias("hit"))
 
 
 @query(f"SELECT id, regexp_full_match({q_compact('s')}, '[一-鿿]{{1,2}}') AS hit FROM {SAID}")
 def p25_short_predicate(spark, sf_dir):
-    return _values(spark, SAID).select("id", cues.short_predicate("s").alias("hit"))
+    return _values(spark, sf_dir, SAID).select("id", cues.short_predicate("s").alias("hit"))
 
 
 @query(f"WITH {TURNS} SELECT dialogue_id, turn_index, {q_any('text', cues.QUESTION)} AS asks FROM turns")
@@ -38,7 +37,7 @@ def p26_questionish(spark, sf_dir):
 
 @query(f"SELECT id, NOT {q_any(q_compact('s'), cues.STOP)} AND {q_any(q_compact('s'), cues.CONTINUE)} AS hit FROM {SAID}")
 def p27_allows_continue(spark, sf_dir):
-    return _values(spark, SAID).select("id", cues.allows_continue("s").alias("hit"))
+    return _values(spark, sf_dir, SAID).select("id", cues.allows_continue("s").alias("hit"))
 
 
 @query(f"WITH {TURNS} SELECT DISTINCT dialogue_id FROM turns WHERE speaker = 'user' AND turn_index IN (1, 2) AND (contains(text, 'er') OR contains(text, 'the'))")
@@ -59,7 +58,7 @@ def q_fuzzy(a: str, b: str) -> str:
 
 @query(f"SELECT id, {q_fuzzy('a', 'b')} AS hit FROM {PAIRS}")
 def p21_fuzzy_hit(spark, sf_dir):
-    return _values(spark, PAIRS).select("id", cues.fuzzy_hit("a", "b").alias("hit"))
+    return _values(spark, sf_dir, PAIRS).select("id", cues.fuzzy_hit("a", "b").alias("hit"))
 
 
 @query(f"WITH {TURNS}, p AS (SELECT *, lead(text) OVER (PARTITION BY dialogue_id ORDER BY turn_index) AS after FROM turns) SELECT dialogue_id, turn_index FROM p WHERE after IS NOT NULL AND {q_compact('text')} <> '' AND {q_compact('after')} <> '' AND (contains({q_compact('after')}, {q_compact('text')}) OR {q_loose('text', 'after', 0.95)})")
@@ -73,7 +72,7 @@ def p30_loose_hit(spark, sf_dir):
     f" SELECT id, x <> '' AND y <> '' AND ({q_strict('a', 'b')} OR (length(x) >= 4 AND ((len(parts) >= 2 AND len(list_filter(parts, lambda p: NOT contains(y, p))) = 0) OR (contains(y, left(x, 2)) AND contains(y, right(x, 2)))))) AS hit FROM x"
 )
 def p8_anchor_hit(spark, sf_dir):
-    return _values(spark, PAIRS).select("id", cues.anchor_hit("a", "b").alias("hit"))
+    return _values(spark, sf_dir, PAIRS).select("id", cues.anchor_hit("a", "b").alias("hit"))
 
 
 @query(f"WITH {TURNS}, k AS (SELECT *, list_distinct(list_concat(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9一-鿿]+'), lambda x: x <> ''), regexp_extract_all(lower(text), '[a-z0-9]+'))) AS toks FROM turns), p AS (SELECT *, lead(toks) OVER (PARTITION BY dialogue_id ORDER BY turn_index) AS after FROM k) SELECT dialogue_id, turn_index, round(CASE WHEN least(len(toks), len(after)) > 0 THEN len(list_intersect(toks, after)) / least(len(toks), len(after)) ELSE 0 END, 6)::DOUBLE AS similarity FROM p WHERE after IS NOT NULL")
@@ -83,20 +82,25 @@ def f16_mixed_tokens(spark, sf_dir):
     return rows.select("dialogue_id", "turn_index", F.round(overlap_coefficient(F.col("toks"), F.col("after")), 6).alias("similarity"))
 
 
-ANSWERS = "(VALUES (1, 'Yes', 'confirmed_issue'), (2, '问题不成立', 'no_issue'), (3, '不确定', 'uncertain'), (4, '我认为问题成立', 'confirmed_issue'), (5, 'this is no issue', 'no_issue'), (6, 'looks like an issue', 'confirmed_issue'), (7, NULL, 'uncertain'), (8, '证据不足，待查', 'uncertain'), (9, 'safe enough', 'no_issue')) AS t(id, answer, verdict)"
-
 
-@query(f"SELECT id, verdict FROM {ANSWERS}")
+@query(
+    f"WITH a AS (SELECT id, lower(trim(coalesce(answer, ''))) AS a FROM {ANSWERS}) SELECT id, CASE WHEN a IN {cues.CONFIRMED} THEN 'confirmed_issue' WHEN a IN {cues.REFUSED} THEN 'no_issue' WHEN a IN {cues.OPEN} THEN 'uncertain'"
+    f" WHEN {q_any('a', cues.HOLDS_CONFIRMED)} THEN 'confirmed_issue' WHEN {q_any('a', cues.HOLDS_REFUSED)} THEN 'no_issue' WHEN {q_any('a', cues.HOLDS_OPEN)} THEN 'uncertain'"
+    " WHEN contains(a, 'confirm') OR (contains(a, 'issue') AND NOT contains(a, 'no')) THEN 'confirmed_issue' WHEN contains(a, 'no') OR contains(a, 'safe') THEN 'no_issue' ELSE 'uncertain' END AS verdict FROM a"
+)
 def f24_arbiter_verdict(spark, sf_dir):
-    return _values(spark, ANSWERS).select("id", cues.arbiter_verdict("answer").alias("verdict"))
+    return _values(spark, sf_dir, ANSWERS).select("id", cues.arbiter_verdict("answer").alias("verdict"))
 
 
-NAMES = "(VALUES (1, 'Flow', '', 'flow_missing'), (2, 'boundary', '', 'constraint_violation'), (3, '', '知识冲突', 'knowledge_violation'), (4, 'odd', '', 'odd'), (5, NULL, NULL, 'unknown'), (6, 'x', '上下文', 'context_violation'), (7, '知识错误', '限制', 'knowledge_violation')) AS t(id, name, kind, family)"
 
-
-@query(f"SELECT id, family FROM {NAMES}")
+@query(
+    f"WITH n AS (SELECT id, lower(trim(coalesce(name, ''))) AS n, coalesce(kind, '') AS k FROM {NAMES}) SELECT id, CASE "
+    + " ".join(f"WHEN list_contains({list(names)}, n) THEN '{family}'" for family, names in cues.FAMILIES.items())
+    + " " + " ".join(f"WHEN contains(k, '{word}') THEN '{family}'" for word, family in cues.KINDS)
+    + " WHEN n <> '' THEN n ELSE 'unknown' END AS family FROM n"
+)
 def f25_error_family(spark, sf_dir):
-    return _values(spark, NAMES).select("id", cues.error_family("name", F.col("kind")).alias("family"))
+    return _values(spark, sf_dir, NAMES).select("id", cues.error_family("name", F.col("kind")).alias("family"))
 
 
 # ------------------------------------------------------------------ requirements
@@ -123,13 +127,13 @@ WORDS = "(VALUES ('g1', 'p1', 'the'), ('g1', 'p2', 'tion'), ('g1', 'p3', 'ung'),
 
 @query(f"WITH {TURNS}, h AS (SELECT DISTINCT dialogue_id, group_id, pattern_id FROM turns, {WORDS} WHERE contains(text, word)) SELECT dialogue_id, group_id, count(*) AS n_hits, least(1.0, count(*) / 2)::DOUBLE AS score, count(*) >= 2 AS matched FROM h GROUP BY ALL")
 def a20_pattern_groups(spark, sf_dir):
-    hits = _turns(spark, sf_dir).join(F.broadcast(_values(spark, WORDS)), F.contains("text", F.col("word")))
-    return requirements.pattern_groups(hits, _values(spark, "(VALUES ('g1', 2), ('g2', 2)) AS g(group_id, min_hits)"))
+    hits = _turns(spark, sf_dir).join(F.broadcast(_values(spark, sf_dir, WORDS)), F.contains("text", F.col("word")))
+    return requirements.pattern_groups(hits, _values(spark, sf_dir, "(VALUES ('g1', 2), ('g2', 2)) AS g(group_id, min_hits)"))
 
 
 @query(f"SELECT word AS term, count(DISTINCT group_id) AS n_groups FROM {WORDS} GROUP BY 1 HAVING count(DISTINCT group_id) >= 2")
 def a21_broad_terms(spark, sf_dir):
-    return requirements.broad_terms(_values(spark, WORDS).withColumnRenamed("word", "term"))
+    return requirements.broad_terms(_values(spark, sf_dir, WORDS).withColumnRenamed("word", "term"))
 
 
 @query("""WITH r AS (SELECT user_id, event_type, event_id, (event_id % 97) / 600.0::DOUBLE AS s FROM events), b AS (SELECT *, max(s) OVER w AS best FROM r WINDOW w AS (PARTITION BY user_id, event_type)),
@@ -141,67 +145,85 @@ def w5_routed_answers(spark, sf_dir):
     return requirements.routed(rows).select("dialogue_id", "node_id", "requirement_id")
 
 
-FOUND = "(VALUES ('d', 'n', 'a', true, 3), ('d', 'n', 'b', true, 2), ('d', 'n', 'c', false, NULL), ('d', 'n', 'e', true, 3), ('d', 'm', 'a', false, NULL)) AS t(dialogue_id, node_id, requirement_id, matched, turn_index)"
 RELATIONS = """(VALUES ('n', 'r1', 'any_of', array(), array(), array('c'), NULL), ('n', 'r2', 'all_of', array(), array(), array('a', 'c', 'zz'), NULL), ('n', 'r3', 'condition_on', array('a'), array('c'), array(), 9.0D),
  ('n', 'r4', 'before', array('a'), array('b'), array(), NULL), ('n', 'r5', 'before_or_same_turn', array('a'), array('e'), array(), NULL), ('n', 'r6', 'strict_before', array('a'), array('e'), array(), NULL), ('n', 'r7', 'before', array('c'), array('a'), array(), NULL),
  ('n', 'r8', 'blocking', array('b'), array('a', 'c'), array(), NULL), ('n', 'r9', 'any_of', array('a'), array(), array(), NULL), ('m', 'r10', 'any_of', array(), array(), array('a'), NULL)) AS t(node_id, relation_id, type, left, right, options, own)"""
 
 
-@query("SELECT * FROM (VALUES ('d', 'n', 'r1', 6e0), ('d', 'n', 'r2', 4e0), ('d', 'n', 'r3', 9e0), ('d', 'n', 'r4', 7e0), ('d', 'n', 'r6', 7e0), ('d', 'n', 'r7', 5e0), ('d', 'n', 'r8', 8e0)) AS t(dialogue_id, node_id, relation_id, penalty)")
+@query(f"""WITH l(node_id, relation_id, type, a, b, opts, own) AS (VALUES ('n', 'r1', 'any', [], [], ['c'], NULL), ('n', 'r2', 'all', [], [], ['a', 'c', 'zz'], NULL), ('n', 'r3', 'cond', ['a'], ['c'], [], 9), ('n', 'r4', 'before', ['a'], ['b'], [], NULL),
+ ('n', 'r5', 'same', ['a'], ['e'], [], NULL), ('n', 'r6', 'before', ['a'], ['e'], [], NULL), ('n', 'r7', 'before', ['c'], ['a'], [], NULL), ('n', 'r8', 'block', ['b'], ['a', 'c'], [], NULL), ('n', 'r9', 'any', ['a'], [], [], NULL), ('m', 'r10', 'any', [], [], ['a'], NULL)),
+f AS (SELECT * FROM {FOUND}),
+s AS (SELECT f.dialogue_id, node_id, list(requirement_id) AS known, list(requirement_id) FILTER (matched) AS ok, max(turn_index) FILTER (matched AND requirement_id = 'a') AS ta, max(turn_index) FILTER (matched AND requirement_id = 'b') AS tb,
+  max(turn_index) FILTER (matched AND requirement_id = 'c') AS tc, max(turn_index) FILTER (matched AND requirement_id = 'e') AS te FROM f JOIN (SELECT * FROM {ACTIVE_NODES}) x USING (dialogue_id, node_id) WHERE x.active GROUP BY ALL),
+t AS (SELECT *, CASE a[1] WHEN 'a' THEN ta WHEN 'b' THEN tb WHEN 'c' THEN tc WHEN 'e' THEN te END AS t1, CASE b[1] WHEN 'a' THEN ta WHEN 'b' THEN tb WHEN 'c' THEN tc WHEN 'e' THEN te END AS t2, coalesce(ok, []) AS m FROM s JOIN l USING (node_id)),
+p AS (SELECT dialogue_id, node_id, relation_id, CASE type
+ WHEN 'any' THEN CASE WHEN len(list_intersect(CASE WHEN len(opts) > 0 THEN opts ELSE a END, m)) = 0 THEN coalesce(own, 6) END
+ WHEN 'all' THEN coalesce(own, 4) * len(list_filter(opts, lambda x: list_contains(known, x) AND NOT list_contains(m, x)))
+ WHEN 'cond' THEN CASE WHEN len(list_intersect(a, m)) > 0 AND len(list_filter(b, lambda x: list_contains(known, x) AND NOT list_contains(m, x))) > 0 THEN coalesce(own, 6) END
+ WHEN 'block' THEN CASE WHEN coalesce(ta > t1, false) OR coalesce(tc > t1, false) THEN coalesce(own, 8) END
+ ELSE CASE WHEN list_contains(m, b[1]) AND NOT list_contains(m, a[1]) THEN coalesce(own, 5) WHEN CASE type WHEN 'same' THEN t1 > t2 ELSE t1 >= t2 END THEN coalesce(own, 7) END END::DOUBLE AS penalty FROM t)
+SELECT * FROM p WHERE penalty > 0""")
 def a12_requirement_relations(spark, sf_dir):
-    listed = _values(spark, RELATIONS)
+    listed = _values(spark, sf_dir, RELATIONS)
     for c in ("left", "right", "options"):
         listed = listed.withColumn(c, F.col(c).cast("array<string>"))
-    active = _values(spark, "(VALUES ('d', 'n', true), ('d', 'm', false)) AS t(dialogue_id, node_id, active)")
-    return requirements.relation_penalties(_values(spark, FOUND), listed.withColumn("own", F.col("own").cast("double")), active)
-
-
-FLAT = "(VALUES ('r', 1, 1e0, false, true, 2), ('r', 1, 1e0, false, false, 2), ('r', 2, 1e0, true, true, 0), ('r', 2, 1e0, false, false, 0), ('r', 3, 3e0, false, true, 9), ('r', 3, 0.01e0, false, false, 9), ('r', 4, 1e0, false, true, 0), ('r', 4, 2e0, false, false, 0)) AS t(rule_id, span_id, weight, is_role, is_hit, n_pool_hits)"
+    return requirements.relation_penalties(_values(spark, sf_dir, FOUND), listed.withColumn("own", F.col("own").cast("double")), _values(spark, sf_dir, ACTIVE_NODES))
 
 
 @query(f"WITH x AS (SELECT rule_id, span_id, bool_or(is_hit AND NOT is_role) AS said, sum(CASE WHEN is_hit THEN greatest(0.1, weight) ELSE 0 END) / sum(greatest(0.1, weight)) AS r, max(n_pool_hits) AS n FROM {FLAT} GROUP BY ALL), y AS (SELECT *, CASE WHEN said THEN least(1.0, r + least(0.25, 0.05 * n)) ELSE 0 END AS s FROM x) SELECT rule_id, span_id, round(s, 6)::DOUBLE AS score, CASE WHEN said AND s >= 0.46 THEN 'hit' WHEN said AND s >= 0.22 THEN 'review' ELSE 'miss' END AS verdict FROM y")
 def a4_flat_score(spark, sf_dir):
-    return requirements.flat_score(_values(spark, FLAT), 0.46, 0.22).withColumn("score", F.round("score", 6))
+    return requirements.flat_score(_values(spark, sf_dir, FLAT), 0.46, 0.22).withColumn("score", F.round("score", 6))
 
 
-CONTEXT = "(VALUES ('d', 'p1', '未处理', 2, NULL), ('d', 'p2', '已处理', 3, 5), ('d', 'p3', '未处理', 7, NULL), ('e', 'p1', '处理后推进', 1, 2), ('e', 'p2', '未处理', 4, NULL)) AS t(dialogue_id, policy_id, status, trigger_turn, safe_turn)"
 
-
-@query("SELECT * FROM (VALUES ('d', 'p1', '已处理', 5), ('d', 'p2', '已处理', 5), ('d', 'p3', '未处理', NULL), ('e', 'p1', '处理后推进', 2), ('e', 'p2', '未处理', NULL)) AS t(dialogue_id, policy_id, status, safe_turn)")
+@query(f"WITH c AS (SELECT *, max(safe_turn) FILTER (status = '已处理') OVER (PARTITION BY dialogue_id) AS last FROM {CONTEXT}), x AS (SELECT *, status = '未处理' AND coalesce(trigger_turn <= last, false) AS covered FROM c) SELECT dialogue_id, policy_id, CASE WHEN covered THEN '已处理' ELSE status END AS status, CASE WHEN covered THEN last ELSE safe_turn END AS safe_turn FROM x")
 def w8_handled_later(spark, sf_dir):
-    return requirements.handled_later(_values(spark, CONTEXT)).select("dialogue_id", "policy_id", "status", "safe_turn")
+    return requirements.handled_later(_values(spark, sf_dir, CONTEXT)).select("dialogue_id", "policy_id", "status", "safe_turn")
 
 
 @query(f"SELECT dialogue_id, sum(CASE status WHEN '未处理' THEN 12 WHEN '处理后推进' THEN 18 ELSE 0 END)::DOUBLE AS penalty FROM {CONTEXT} GROUP BY 1")
 def a13_context_penalties(spark, sf_dir):
-    return requirements.context_penalties(_values(spark, CONTEXT))
+    return requirements.context_penalties(_values(spark, sf_dir, CONTEXT))
+
 
 
-TURNED = """(VALUES (1, '外卖价格更低，堂食也可以', '外卖价格', '价格较高', '高低方向反转'), (2, '外卖价格，堂食更低', '外卖价格', '价格较高', NULL), (3, '这个不适合您', '套餐内容', '适合您', '适用性反转'), (4, '规则未生效', '规则说明', '已生效', '状态反转'),
- (5, '规则未知但有效', '规则说明', '已生效', NULL), (6, '网络没区别', '', '更流畅', '互动/效果优势反转'), (7, '完全没用', '规则', '有帮助', '作用/影响方向反转'), (8, '价格更低', '', '价格更低', NULL)) AS t(id, s, subject, expected, label)"""
+def _direction_sql() -> str:
+    """The first pair of directions, by a CASE over all of them."""
+    cases = []
+    for wanted, opposite, label in judges.DIRECTIONS:
+        said = []
+        for word in opposite:
+            here = f"contains(s, '{word}')"
+            if label == judges.HIGH_LOW:
+                clause = f"list_filter(regexp_split_to_array(s, '{judges.CLAUSE}'), lambda c: contains(c, '{word}'))[1]"
+                here += f" AND (length(subject) < 3 OR coalesce(contains({clause}, subject), false))"
+            elif label == judges.STATUS:
+                here += f" AND (NOT {q_any('expected', judges.STATES)} OR contains(s, '{word}' || right(expected, 2)) OR contains(s, '{word}' || expected))"
+            said.append(f"({here})")
+        cases.append(f"WHEN {q_any('expected', wanted)} AND ({' OR '.join(said)}) THEN '{label}'")
+    return f"SELECT id, CASE {' '.join(cases)} END AS label FROM {TURNED}"
 
 
-@query(f"SELECT id, label FROM {TURNED}")
+@query(_direction_sql())
 def d9_direction_conflict(spark, sf_dir):
     subjects = F.filter(F.array("subject"), lambda x: x != "")
-    return _values(spark, TURNED).select("id", judges.direction_conflict(F.col("s"), subjects, F.array("expected")).alias("label"))
+    return _values(spark, sf_dir, TURNED).select("id", judges.direction_conflict(F.col("s"), subjects, F.array("expected")).alias("label"))
 
 
 # ------------------------------------------------------------------ ledgers and routing
 
-LEDGER = "(VALUES ('d', 'k', '支持', '次日 生效'), ('d', 'k', '冲突', '今天生效'), ('d', 'k', '证据不足', '以后'), ('d', 'k', '支持', '今天生效'), ('d', 'c', '安全', '以后'), ('d', 'k', '别的', '其他')) AS t(dialogue_id, family, verdict, evidence)"
-ASKED = "(VALUES ('c1', 'd', 'k', '次日生效'), ('c2', 'd', 'k', '今天 生效'), ('c3', 'd', 'k', '以后'), ('c4', 'd', 'k', '从未'), ('c5', 'd', 'c', '以后'), ('c6', 'd', 'k', ''), ('c7', 'd', 'k', '其他')) AS t(candidate_id, dialogue_id, family, evidence)"
 
-
-@query("SELECT * FROM (VALUES ('c1', 'support'), ('c2', 'issue'), ('c3', 'insufficient_only'), ('c4', 'unknown'), ('c5', 'support'), ('c6', 'unknown'), ('c7', 'neutral')) AS t(candidate_id, relation)")
+@query(f"""WITH a AS (SELECT *, regexp_replace(evidence, '\\s+', '', 'g') AS k FROM {ASKED}), l AS (SELECT DISTINCT dialogue_id, family, verdict, regexp_replace(evidence, '\\s+', '', 'g') AS k FROM {LEDGER}),
+r AS (SELECT a.candidate_id, CASE WHEN bool_or(verdict IN ('冲突', '违规')) THEN 'issue' WHEN bool_or(verdict IN ('支持', '安全', '已处理')) THEN 'support' WHEN bool_and(verdict IN ('证据不足', '未提及', '')) THEN 'insufficient_only' ELSE 'neutral' END AS relation FROM a JOIN l USING (dialogue_id, family, k) WHERE k <> '' GROUP BY 1)
+SELECT candidate_id, coalesce(relation, 'unknown') AS relation FROM a LEFT JOIN r USING (candidate_id)""")
 def j18_same_evidence(spark, sf_dir):
-    asked = _values(spark, ASKED).withColumn("evidence", F.array("evidence"))
-    return ledger.same_evidence(asked, _values(spark, LEDGER)).select("candidate_id", "relation")
+    asked = _values(spark, sf_dir, ASKED).withColumn("evidence", F.array("evidence"))
+    return ledger.same_evidence(asked, _values(spark, sf_dir, LEDGER)).select("candidate_id", "relation")
 
 
-@query("SELECT * FROM (VALUES ('knowledge', 2, 1), ('flow', 1, 1)) AS t(family, n_expected, n_missed)")
+@query(f"WITH {base.RECONCILED} SELECT family, count(*) AS n_expected, count(*) FILTER (NOT matched) AS n_missed FROM reconciled GROUP BY 1")
 def a29_miss_audit(spark, sf_dir):
-    return ledger.miss_audit(base.j16_reconcile(spark, sf_dir).join(base._errors(spark).select("error_id", "family"), "error_id"))
+    return ledger.miss_audit(base.j16_reconcile(spark, sf_dir).join(base._errors(spark, sf_dir).select("error_id", "family"), "error_id"))
 
 
 @query(f"WITH e AS (SELECT event_type AS family, user_id AS event_target, count(*) AS n FROM events GROUP BY ALL) SELECT * FROM e ORDER BY n DESC, family, event_target LIMIT 50")
@@ -233,25 +255,23 @@ def d23_domain_routing(spark, sf_dir):
     return ledger.domain_scores(docs, INSTRUCTION).withColumn("score", F.round("score", 6))
 
 
-LABELS = """(VALUES ('d1', 'negative', '我们 今天生效', 'knowledge', '', '', '', '', '今天 生效', ''), ('d2', 'negative', '好', 'knowledge_error', 'k1', '', '', '', '不在', ''), ('d3', 'negative', '好', 'flow', '', '', 'n1', '', '', ''),
- ('d4', 'negative', '保证收到', '限制违规', '', 'c1', '', '', '', '保证收到'), ('d5', 'positive', '好', 'knowledge', '', '', '', '', '', ''), ('d6', 'negative', '好', 'constraint', '', '', '', '', NULL, NULL)) AS t(dialogue_id, sample_type, said, error_family, knowledge_id, constraint_id, node_id, requirement_id, evidence_span, wrong_statement)"""
-
 
-@query("SELECT * FROM (VALUES ('d1', 'no_knowledge_id'), ('d2', 'span_not_said'), ('d3', 'no_requirement_id'), ('d6', 'no_constraint_id'), ('d6', 'no_span')) AS t(dialogue_id, issue)")
+@query(f"""WITH f AS (SELECT *, CASE WHEN error_family IN ('knowledge', 'knowledge_error') THEN 'k' WHEN error_family = 'flow' THEN 'f' ELSE 'c' END AS fam, {q_compact("coalesce(CASE WHEN coalesce(evidence_span, '') <> '' THEN evidence_span END, wrong_statement)")} AS span FROM {LABELS} WHERE sample_type = 'negative'),
+i AS (SELECT dialogue_id, unnest([CASE WHEN fam = 'k' AND knowledge_id = '' THEN 'no_knowledge_id' END, CASE WHEN fam = 'c' AND constraint_id = '' THEN 'no_constraint_id' END, CASE WHEN fam = 'f' AND node_id = '' THEN 'no_node_id' END, CASE WHEN fam = 'f' AND requirement_id = '' THEN 'no_requirement_id' END,
+  CASE WHEN fam <> 'f' AND span = '' THEN 'no_span' END, CASE WHEN fam <> 'f' AND span <> '' AND NOT contains({q_compact('said')}, span) THEN 'span_not_said' END]) AS issue FROM f)
+SELECT dialogue_id, issue FROM i WHERE issue IS NOT NULL""")
 def q1_impure_labels(spark, sf_dir):
     fields = ("error_family", "knowledge_id", "constraint_id", "node_id", "requirement_id", "evidence_span", "wrong_statement")
     turn = F.struct(F.lit("assistant").alias("speaker"), F.col("said").alias("text"))
-    rows = _values(spark, LABELS).select("dialogue_id", "sample_type", F.array(turn).alias("turns"), F.array(F.struct(*fields)).alias("injected_errors"))
+    rows = _values(spark, sf_dir, LABELS).select("dialogue_id", "sample_type", F.array(turn).alias("turns"), F.array(F.struct(*fields)).alias("injected_errors"))
     return ledger.impure_labels(rows).select("dialogue_id", "issue")
 
 
-STEPS = "(VALUES ('d', 'a', true, 0.4e0, '部分完成'), ('d', 'b', true, 0.9e0, '已完成'), ('d', 'c', false, 1e0, '未激活'), ('e', 'a', true, 0e0, '缺失')) AS t(dialogue_id, node_id, active, score, status)"
-CHECKED = "(VALUES ('d', 'f1', 'high', '冲突'), ('d', 'f2', 'low', '支持')) AS t(dialogue_id, fact_id, severity, verdict)"
-LIMITED = "(VALUES ('e', 'x', 'critical', '违规'), ('e', 'y', 'low', '安全')) AS t(dialogue_id, constraint_id, severity, verdict)"
-PENALTIES = "(VALUES ('d', 'a', 'b', 'before', 4e0), ('d', 'b', 'c', 'before', 0e0)) AS t(dialogue_id, source, target, kind, penalty)"
-
 
-@query("SELECT * FROM (VALUES ('d', 'flow', 'a', '部分完成', 60e0), ('e', 'flow', 'a', '缺失', 100e0), ('d', 'relation', 'a->b', 'before', 4e0), ('d', 'knowledge', 'f1', '冲突', 22.4e0), ('e', 'constraint', 'x', '违规', 45e0)) AS t(dialogue_id, family, target, verdict, loss)")
+@query(f"""SELECT dialogue_id, 'flow' AS family, node_id AS target, status AS verdict, round(100 * (1 - score), 6) AS loss FROM {STEPS} WHERE active AND status IN ('缺失', '部分完成') UNION ALL
+SELECT dialogue_id, 'relation', source || '->' || target, kind, penalty FROM {PENALTIES} WHERE penalty > 0 UNION ALL
+SELECT dialogue_id, 'knowledge', fact_id, verdict, round(0.8 * CASE severity WHEN 'low' THEN 5 WHEN 'medium' THEN 12 WHEN 'high' THEN 28 ELSE 45 END, 6)::DOUBLE FROM {CHECKED} WHERE verdict = '冲突' UNION ALL
+SELECT dialogue_id, 'constraint', constraint_id, verdict, CASE severity WHEN 'low' THEN 5 WHEN 'medium' THEN 12 WHEN 'high' THEN 28 ELSE 45 END::DOUBLE FROM {LIMITED} WHERE verdict = '违规'""")
 def d25_losses(spark, sf_dir):
-    rows = ledger.losses(_values(spark, STEPS), _values(spark, PENALTIES), _values(spark, CHECKED), _values(spark, LIMITED))
+    rows = ledger.losses(_values(spark, sf_dir, STEPS), _values(spark, sf_dir, PENALTIES), _values(spark, sf_dir, CHECKED), _values(spark, sf_dir, LIMITED))
     return rows.withColumn("loss", F.round("loss", 6))
