@@ -38,7 +38,7 @@ def terminal_policies(turns: DataFrame, trigger: Column, safe: Column, forbidden
     out = later.groupBy("dialogue_id", "trigger_turn").agg(safe_turn.alias("safe_turn"), F.collect_list(F.when(own & forbidden, F.col("turn_index"))).alias("f"))
     bad = F.array_min(F.filter("f", lambda x: F.col("safe_turn").isNull() | (x > F.col("safe_turn"))))
     out = out.withColumn("forbidden_turn", bad).drop("f")
-    return out.withColumn("status", F.when(F.col("safe_turn").isNull(), "未处理").when(F.col("forbidden_turn").isNotNull(), "处理后推进").otherwise("已处理"))
+    return out.withColumn("status", F.when(F.col("safe_turn").isNull(), "触发但未处理").when(F.col("forbidden_turn").isNotNull(), "已处理但后续违背转场").otherwise("已处理"))
 
 
 def band_members(turns: DataFrame, reach: int) -> DataFrame:

@@ -73,15 +73,15 @@ def repeated_replies(turns: DataFrame, threshold: float = 0.8, reach: int = 3) -
     return pairs.where(F.col("similarity") >= threshold).select("dialogue_id", "first", "second", "similarity")
 
 
-def value_scope(selected: DataFrame, turns: DataFrame, reach: int = 2) -> DataFrame:
-    """(dialogue, turn_index, scope_ord): the selected assistant turn, then the next and the previous one in reach."""
+def value_scope(selected: DataFrame, turns: DataFrame, reach: int = 2, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(dialogue, keys, turn_index, scope_ord): the selected assistant turn, then the next and the previous one in reach."""
     by = Window.partitionBy("dialogue_id").orderBy("turn_index")
     own = turns.where("speaker = 'assistant'").select("dialogue_id", "turn_index").distinct()
     near = own.withColumn("after", F.lead("turn_index").over(by)).withColumn("before", F.lag("turn_index").over(by))
-    at = near.join(selected.select("dialogue_id", "turn_index").distinct(), ["dialogue_id", "turn_index"])
+    at = near.join(selected.select("dialogue_id", *keys, "turn_index").distinct(), ["dialogue_id", "turn_index"])
     keep = lambda c: F.when(F.abs(F.col(c) - F.col("turn_index")) <= reach, F.col(c))
-    each = at.select("dialogue_id", F.posexplode(F.array("turn_index", keep("after"), keep("before"))).alias("scope_ord", "scope_turn"))
-    return each.where("scope_turn IS NOT NULL").groupBy("dialogue_id", F.col("scope_turn").alias("turn_index")).agg(F.min("scope_ord").alias("scope_ord"))
+    each = at.select("dialogue_id", *keys, F.posexplode(F.array("turn_index", keep("after"), keep("before"))).alias("scope_ord", "scope_turn"))
+    return each.where("scope_turn IS NOT NULL").groupBy("dialogue_id", *keys, F.col("scope_turn").alias("turn_index")).agg(F.min("scope_ord").alias("scope_ord"))
 
 
 # Pairs of directions (what is expected, what contradicts it, name), separators of clauses, words of states.

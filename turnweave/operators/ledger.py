@@ -60,6 +60,22 @@ def warnings(records: DataFrame, low: float = 10.0) -> DataFrame:
     return domains.union(failing)
 
 
+def nothing_matched(negatives: DataFrame) -> DataFrame:
+    """(warning, n) where negative samples expect errors and not one is found: their ids and the graph's do not belong together.
+
+    ``negatives``: n_matched and n_open (missing or left to arbitration) of each negative dialogue.
+    """
+    found = negatives.agg(F.count("*").alias("n"), F.sum("n_matched").alias("matched"), F.sum("n_open").alias("open"))
+    return found.where("matched = 0 AND open > 0").select(F.lit("nothing_matched").alias("warning"), "n")
+
+
+def grey_share(dialogues: DataFrame, most: float = 0.12) -> DataFrame:
+    """(n, n_grey, share, too_many) of negative dialogues (sample_type, grey) that may be left to arbitration."""
+    out = dialogues.where(F.lower("sample_type").isin("negative", "负包")).agg(F.count("*").alias("n"), F.sum(F.coalesce(F.col("grey"), F.lit(False)).cast("int")).cast("bigint").alias("n_grey"))
+    share = F.when(F.col("n") > 0, F.col("n_grey") / F.col("n")).otherwise(F.lit(0.0))
+    return out.select("n", "n_grey", share.alias("share"), (share > most).alias("too_many"))
+
+
 def domain_scores(dialogues: DataFrame, instruction: str, first: int = 28, least: float = 0.06, lead: float = 1.25) -> DataFrame:
     """(domain, score, selected) of the cosine of pairs of characters and words between an instruction and the
     ``first`` dialogues of each domain (domain, place, text); the best is selected if it is clear."""

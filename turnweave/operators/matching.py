@@ -38,18 +38,31 @@ def element_terms(elements: DataFrame) -> DataFrame:
     return each.withColumn("in_order", in_order & (F.col("rule_type") == "node_positive"))
 
 
+def span_keys(of: Column) -> Column:
+    """What a text may share with the keys of a term: its characters, and its pairs of characters with and without fillers."""
+
+    def pairs(text: Column, mark: str) -> Column:
+        made = F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.concat(F.lit(mark), F.substring(text, i, F.lit(2))))
+        return F.when(F.length(text) > 1, made).otherwise(F.array().cast("array<string>"))
+
+    chars = F.transform(of["chars"], lambda x: F.concat(F.lit("c"), x))
+    return F.array_distinct(F.concat(chars, pairs(of["tight"], "b"), pairs(of["rest"], "r")))
+
+
 def element_hits(atoms: DataFrame, elements: DataFrame) -> DataFrame:
     """(span, element) of every hit: an equal general tag, or a term that the text expresses.
 
-    Tags meet elements in a hash join. Terms meet texts in a nested loop over the broadcast
-    terms; what it compares is made once for a span and once for a term.
+    Both are hash joins with the broadcast catalogue: tags meet elements, and a span meets the terms that
+    share one of its keys, and only with these is it compared.
     """
     names = [*SPAN, "speaker", "rule_id", "group_id", "element_id"]
     tag = F.concat(F.col("type"), F.lit(":"), compact("value")).alias("tag")
     tagged = atoms.select(*SPAN, "speaker", F.explode(tags(F.col("text"), F.col("compact"), F.col("speaker"))).alias("tag"))
     same = tagged.join(F.broadcast(elements.select(tag, "rule_id", "group_id", "element_id")), "tag").select(*names)
     spans = atoms.select(*SPAN, "speaker", form("text").alias("form"))
-    said = spans.join(F.broadcast(element_terms(elements)), form_hit(F.col("t"), F.col("form"))).select(*names)
+    keyed = element_terms(elements).withColumn("key", F.explode("t.keys"))
+    near = spans.withColumn("key", F.explode(span_keys(F.col("form")))).join(F.broadcast(keyed), "key")
+    said = near.where(form_hit(F.col("t"), F.col("form"))).select(*names)
     return said.union(same).distinct()
 
 
@@ -62,7 +75,14 @@ def recall(atoms: DataFrame, elements: DataFrame, hits: DataFrame | None = None)
     telling = mains.union(plain.join(F.broadcast(without), "rule_id").select("rule_id", "element_id"))
     found = hits.join(F.broadcast(telling), ["rule_id", "element_id"], "left_semi")
     evidence = atoms.where("is_evidence").select(*SPAN)
-    return found.join(evidence, SPAN, "left_semi").select("rule_id", *SPAN, "speaker").distinct()
+    found = found.join(evidence, SPAN, "left_semi").select("rule_id", *SPAN, "speaker").distinct()
+    # A rule with a scope takes spans of its speaker; with a fallback, all of a dialogue in which this speaker says nothing.
+    scopes = elements.where("scope IS NOT NULL").select("rule_id", "scope", "fallback").distinct()
+    rows = found.join(F.broadcast(scopes), "rule_id", "left")
+    own = rows.where("scope IS NULL OR speaker = scope")
+    other = rows.where("speaker <> scope AND fallback")
+    heard = atoms.select("dialogue_id", F.col("speaker").alias("scope")).distinct()
+    return own.unionByName(other.join(heard, ["dialogue_id", "scope"], "left_anti")).select("rule_id", *SPAN, "speaker")
 
 
 KEY = ["rule_id", "dialogue_id", "a_turn", "a_seq", "window_ord"]
@@ -186,6 +206,7 @@ def group_measures(hit_rows: DataFrame) -> DataFrame:
         count(plain & hit).alias("n_plain_hit"),
         count(F.col("fact") & plain).alias("n_fact"),
         count(F.col("fact") & plain & ~hit).alias("n_fact_missing"),
+        F.coalesce(F.bool_or(F.col("fact") & hit), F.lit(False)).alias("fact_hit"),
         count(F.col("main") & ~F.col("fact") & plain & ~hit).alias("n_trunk_missing"),
         count(plain & (F.col("main") | F.col("fact")) & F.col("precise") & ~hit).alias("n_precise_missing"),
         (F.max("n_clusters") - F.size(F.collect_set(F.when(hit, F.col("cluster"))))).alias("n_cluster_missing"),
@@ -228,6 +249,7 @@ def settle(groups: DataFrame) -> DataFrame:
         best(review).alias("best_review"),
         best(F.lit(True)).alias("best_any"),
         F.avg(F.when(~F.col("decisive"), F.col("score"))).alias("support"),
+        *([F.coalesce(F.bool_or(F.col("fact_hit") & hit), F.lit(False)).alias("fact_hit")] if "fact_hit" in groups.columns else []),
     )
     decided = F.coalesce("best_hit", "best_review", "best_any", F.lit(0.0))
     out = out.withColumn("score", F.when(F.col("support").isNotNull(), 0.80 * decided + 0.20 * F.col("support")).otherwise(decided))
@@ -255,8 +277,8 @@ def evaluate_windows(wins: DataFrame, hits: DataFrame, atoms: DataFrame, element
     return group_verdicts(group_measures(rows))
 
 
-def match_rules(atoms: DataFrame, elements: DataFrame) -> DataFrame:
-    """The best match of each rule in each dialogue where anything was recalled.
+def settled_windows(atoms: DataFrame, elements: DataFrame) -> DataFrame:
+    """The verdict of each rule in each window where anything was recalled, with fact_hit: whether a group that was hit has a fact hit.
 
     Spans, hits and windows are each read several times, with few of their columns: they
     are stored.
@@ -265,4 +287,15 @@ def match_rules(atoms: DataFrame, elements: DataFrame) -> DataFrame:
     hits = stored(element_hits(atoms, elements))
     rules = elements.select("rule_id", "rule_type").distinct()
     wins = stored(windows(recall(atoms, elements, hits), atoms, rules))
-    return best_matches(settle(evaluate_windows(wins, hits, atoms, elements)))
+    return settle(evaluate_windows(wins, hits, atoms, elements))
+
+
+def match_rules(atoms: DataFrame, elements: DataFrame) -> DataFrame:
+    """The best match of each rule in each dialogue where anything was recalled."""
+    return best_matches(settled_windows(atoms, elements))
+
+
+def candidate_audit(settled: DataFrame, k: int = 5) -> DataFrame:
+    """(dialogue, rule, place, ...): the ``k`` best windows of each rule in each dialogue, by verdict and score, the first of equal ones."""
+    by = Window.partitionBy("dialogue_id", "rule_id").orderBy(verdict_rank(F.col("verdict")).desc(), F.desc("score"), "a_turn", "a_seq", "window_ord")
+    return settled.withColumn("place", F.row_number().over(by)).where(F.col("place") <= k)

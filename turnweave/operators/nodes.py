@@ -55,7 +55,7 @@ def node_scores(requirements: DataFrame, keys: tuple[str, ...] = ("dialogue_id",
 
 
 def is_active(mode: Column, node_type: Column, required: Column, trigger: Column, local: Column, incoming: Column, unconditional: Column, conditional: Column) -> Column:
-    """Whether a node takes part: by mode, type, trigger, local evidence and incoming edges."""
+    """Whether a node takes part: by mode, type, trigger, local evidence and incoming edges; terminal nodes only by their trigger."""
     main = node_type.isin(*MAINLINE)
     t = F.when(node_type == "terminal", trigger).otherwise(trigger | (local & node_type.isin("faq", "out_of_scope")))
     promoted = main & required & ((unconditional & ~conditional) | ~incoming)

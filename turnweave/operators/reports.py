@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+COMPONENTS = ("total", "node_completion", "relation_score", "knowledge_score", "constraint_score")
+
+
+def result_breakdown(records: DataFrame) -> DataFrame:
+    """By domain and sample type: how many, how many of each result (passed, arbitrated, pending, failed), and the five mean scores."""
+    count = lambda name: F.sum((F.col("result") == name).cast("int")).cast("bigint").alias(f"n_{name}")
+    named = records.withColumn("domain", F.coalesce("domain", F.lit("未标注"))).withColumn("sample_type", F.coalesce("sample_type", F.lit("未标注")))
+    means = [F.avg(c).alias(f"avg_{c}") for c in COMPONENTS]
+    return named.groupBy("domain", "sample_type").agg(F.count("*").alias("n"), *map(count, ("passed", "arbitrated", "pending", "failed")), *means)
+
+
 def breakdown(records: DataFrame) -> DataFrame:
     """Counts and averages by domain and sample type."""
     return records.groupBy("domain", "sample_type").agg(
@@ -39,7 +50,41 @@ def usage(calls: DataFrame) -> DataFrame:
     return out.withColumn("purpose", F.coalesce("purpose", F.lit("total")))
 
 
+#: Passages of this number at most are broadcast; more are joined by a shuffle. Passages without an inner word: this many at most.
+MAX_BROADCAST, MAX_SHORT = 1_000_000, 1_000
+
+
+def _runs(words: Column, n: int) -> Column:
+    """Hashes of the runs of n words."""
+    made = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.xxhash64(*[F.element_at(words, i + k) for k in range(n)]))
+    return F.when(F.size(words) >= n, made).otherwise(F.array().cast("array<bigint>"))
+
+
 def leaks(documents: DataFrame, passages: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, item_id) of documents that hold a passage; the passages are few and broadcast."""
-    few = F.broadcast(passages.select("item_id", F.col("text").alias("passage")))
-    return documents.join(few, (F.col("passage") != "") & F.contains(F.col(text), F.col("passage"))).select("doc_id", "item_id")
+    """(doc_id, item_id) of documents that hold a passage.
+
+    A text that holds a passage holds the passage's inner words (all but its first and last, which may be parts of words there) as words.
+    So documents and passages meet by the hash of three neighbouring inner words, or of one where there are fewer, and are then compared.
+    """
+    known = passages.select("item_id", F.col("text").alias("passage")).where("passage <> ''")
+    words = F.filter(F.split("passage", r"\s+"), lambda x: x != "")
+    inner = F.slice(words, 2, F.greatest(F.lit(0), F.size(words) - 2))
+    keyed = known.withColumn("inner", inner).withColumn("n", F.when(F.size("inner") >= 3, 3).when(F.size("inner") >= 1, 1).otherwise(0))
+    keyed = keyed.withColumn("key", F.when(F.col("n") == 3, F.array_min(_runs(F.col("inner"), 3))).when(F.col("n") == 1, F.array_min(_runs(F.col("inner"), 1)))).drop("inner")
+    sizes = {row.n: row["count"] for row in keyed.groupBy("n").count().collect()}
+    small = F.broadcast if sum(sizes.values()) <= MAX_BROADCAST else (lambda x: x)
+    own = documents.select("doc_id", F.col(text).alias("body")).withColumn("own", F.filter(F.split("body", r"\s+"), lambda x: x != ""))
+    found = None
+    for n in (3, 1):
+        if sizes.get(n):
+            rows = own.select("doc_id", "body", F.explode(F.array_distinct(_runs(F.col("own"), n))).alias("key"))
+            met = rows.join(small(keyed.where(F.col("n") == n)), "key").where(F.contains("body", F.col("passage"))).select("doc_id", "item_id")
+            found = met if found is None else found.unionByName(met)
+    if sizes.get(0):
+        if sizes[0] > MAX_SHORT:
+            raise ValueError(f"more than {MAX_SHORT} passages of one or two words")
+        met = own.join(F.broadcast(keyed.where("n = 0")), F.contains("body", F.col("passage"))).select("doc_id", "item_id")
+        found = met if found is None else found.unionByName(met)
+    if found is None:
+        return documents.limit(0).select("doc_id").join(known.limit(0).select("item_id"), F.lit(True))
+    return found

@@ -11,7 +11,7 @@ from turnweave.operators.context import replies_within
 
 # Penalties of relations between requirements, of context, and bounds of routing.
 PENALTY = {"any_of": 6.0, "all_of": 4.0, "condition_on": 6.0, "lacking": 5.0, "order": 7.0, "blocking": 8.0}
-UNHANDLED, BROKEN, HANDLED = "未处理", "处理后推进", "已处理"
+UNHANDLED, BROKEN, HANDLED = "触发但未处理", "已处理但后续违背转场", "已处理"
 CONTEXT_PENALTY = {UNHANDLED: 12.0, BROKEN: 18.0}
 ROUTED, LEAST, SHARE = 0.10, 0.06, 0.55
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 from typing import Any
 
@@ -60,12 +61,12 @@ PRONOUNS = ("我", "你", "您", "对方")
 
 ELEMENT = (
     "rule_id string, rule_type string, rule_ord int, group_id string, group_ord int, role string, decisive boolean, require_all boolean, "
-    "element_id string, element_ord int, type string, value string, terms array<string>, surface array<string>, main boolean, fact boolean, cluster int"
+    "element_id string, element_ord int, type string, value string, terms array<string>, surface array<string>, main boolean, fact boolean, cluster int, scope string, fallback boolean"
 )
 
 WEIGHTED = ELEMENT + (
     ", weight double, precise boolean, hit_main double, hit_group double, review_main double, review_group double, "
-    "forms array<struct<tight:string,rest:string,chars:array<string>,exact:boolean>>"
+    "forms array<struct<tight:string,rest:string,chars:array<string>,exact:boolean,keys:array<string>>>"
 )
 
 
@@ -82,25 +83,28 @@ def _terms(items: list[Any]) -> list[str]:
     return list(found.values())
 
 
+def _names_participant(e: dict) -> bool:
+    value = _tight(e["value"])
+    return value in PARTICIPANTS or (len(value) <= 4 and any(_tight(x) in PRONOUNS for x in e["terms"][1:]))
+
+
 def _clusters(elements: list[dict]) -> dict[int, int]:
-    """Of a trigger's main elements, which state each stands for: nested values are one; mere participants stand for none."""
-    mains = [(i, e) for i, e in enumerate(elements) if e["main"] and e["type"] not in ROLES]
-
-    def participant(e: dict) -> bool:
-        value = _tight(e["value"])
-        return value in PARTICIPANTS or (len(value) <= 4 and any(_tight(x) in PRONOUNS for x in e["terms"][1:]))
-
-    telling = [x for x in mains if not participant(x[1])] or mains
-    found: dict[int, int] = {}
-    for i, e in telling:
-        if i in found:
-            continue
-        number = len(set(found.values()))
-        for j, other in telling:
-            a, b = _tight(e["value"]), _tight(other["value"])
-            if j == i or (j not in found and a and b and (a in b or b in a)):
-                found[j] = number
-    return found
+    """The states that a trigger's main elements stand for, by element.
+
+    A state is named by its first element and has all later ones whose value holds the first one's or is held by it. Elements that
+    name a participant stand for no state, unless all do.
+    """
+    mains = {i: _tight(e["value"]) for i, e in enumerate(elements) if e["main"] and e["type"] not in ROLES}
+    waiting = [i for i in mains if not _names_participant(elements[i])] or list(mains)
+    states: dict[int, int] = {}
+    number = 0
+    while waiting:
+        head, *rest = waiting
+        alike = {i for i in rest if mains[head] and mains[i] and (mains[head] in mains[i] or mains[i] in mains[head])}
+        states |= {i: number for i in (head, *alike)}
+        waiting = [i for i in rest if i not in alike]
+        number += 1
+    return states
 
 
 @dataclass
@@ -145,10 +149,11 @@ def compile_rules(spark: SparkSession, rules: list[dict[str, Any]], nodes: list[
             for k, e in enumerate(elements):
                 rows.append(
                     (rule["id"], kind, r, f"{rule['id']}.g{g}", g, roles[g], decisive[g], bool(group.get("require_all", False)))
-                    + (f"{rule['id']}.g{g}.e{k}", k, e["type"], e["value"], e["terms"], e["surface"], e["main"], e["fact"], clusters.get(k))
+                    + (f"{rule['id']}.g{g}.e{k}", k, e["type"], e["value"], e["terms"], e["surface"], e["main"], e["fact"], clusters.get(k), rule.get("scope"), bool(rule.get("fallback", False)))
                 )
-    if len(rows) > MAX_ELEMENTS:
-        raise ValueError(f"{len(rows)} elements; at most {MAX_ELEMENTS} are broadcast")
+    for name, n in (("elements", len(rows)), ("nodes", len(nodes)), ("edges", len(edges))):
+        if n > MAX_ELEMENTS:
+            raise ValueError(f"{n} {name}; at most {MAX_ELEMENTS} are broadcast")
     elements = local_table(spark, _weighted(rows), WEIGHTED)
     node_rows = [(n["id"], n.get("type", "main"), n.get("mode", "always"), bool(n.get("required", True)), n.get("rules", [n["id"]]), n.get("trigger")) for n in nodes]
     known = {n["id"] for n in nodes}
@@ -167,7 +172,10 @@ def compile_rules(spark: SparkSession, rules: list[dict[str, Any]], nodes: list[
 
 # Kinds of edges that end what is behind their target, and other names of kinds.
 ENDS = ("terminal_after", "suppress_after")
-EDGE_KINDS = {"required_after": "before", "soft_order": "before", "strict_order": "strict_before", "ordered": "strict_before", "branch": "branch_choice", "choice": "branch_choice"}
+EDGE_KINDS = {
+    "required_after": "before", "soft_order": "before", "strict_order": "strict_before", "ordered": "strict_before", "conditional": "condition_on", "if_then": "condition_on",
+    "branch": "branch_choice", "choice": "branch_choice", "terminal": "terminal_after", "stop_after": "suppress_after",
+}
 
 
 def edge_kind(name: str) -> str:
@@ -191,6 +199,28 @@ def _form(text: str) -> dict[str, Any]:
     return {"tight": tight, "rest": rest, "chars": list(dict.fromkeys(tight)), "exact": exact}
 
 
+def _pairs(text: str) -> list[str]:
+    return [text[i : i + 2] for i in range(len(text) - 1)]
+
+
+def _with_keys(forms: list[dict[str, Any]], often: Counter) -> list[dict[str, Any]]:
+    """Forms with keys, one of which every text has that expresses the term (``matching.span_keys``).
+
+    A text that holds the term has its rarest pair of characters, or its one character; and one with nine tenths of its characters has
+    one of the rarest tenth and one more.
+    """
+    for form in forms:
+        keys = []
+        for mark, text in (("b", form["tight"]), ("r", form["rest"])):
+            if text:
+                keys.append(min((f"{mark}{x}" for x in _pairs(text)), key=lambda x: often[x[1:]]) if len(text) > 1 else f"c{text}")
+        if not form["exact"]:
+            rare = sorted(form["chars"], key=lambda x: often[x])
+            keys += [f"c{x}" for x in rare[: len(rare) // 10 + 1]]
+        form["keys"] = list(dict.fromkeys(keys))
+    return forms
+
+
 def _special(value: str, terms: list[str]) -> float:
     """How much more or less a term's form says."""
     joined, own = " ".join(terms), _tight(value)
@@ -210,6 +240,7 @@ def _weighted(rows: list[tuple]) -> list[tuple]:
         for term in terms:
             df[term] = df.get(term, 0) + 1
     n = max(1, len(documents))
+    often = Counter(x for row in rows for t in row[13] for text in [_tight(t)] for x in [*_pairs(text), *text])
     out = []
     for row in rows:
         kind, value, terms, surface, main, fact = row[1], row[11], row[12], row[13], row[14], row[15]
@@ -218,5 +249,5 @@ def _weighted(rows: list[tuple]) -> list[tuple]:
         tight = _tight(" ".join(terms))
         precise = bool(re.search(r"\d", tight) or re.search(COUNTED, tight)) or any(x in tight for x in PRECISE_WORDS)
         profile = PROFILES.get(kind, PROFILES["default"])
-        out.append((*row, max(0.2, min(4.0, weight)), precise, *profile, [_form(t) for t in surface]))
+        out.append((*row, max(0.2, min(4.0, weight)), precise, *profile, _with_keys([_form(t) for t in surface], often)))
     return out

@@ -445,7 +445,7 @@ def j15_repeated_replies(spark, sf_dir):
     return judges.repeated_replies(_turns(spark, sf_dir), 0.8, 3).withColumn("similarity", F.round("similarity", 6))
 
 
-@query(f"WITH {TURNS}, f AS (SELECT dialogue_id, min(turn_index) AS trigger_turn FROM turns WHERE speaker = 'user' AND contains(text, 'th') GROUP BY 1), l AS (SELECT t.*, trigger_turn FROM turns t JOIN f USING (dialogue_id) WHERE t.turn_index > f.trigger_turn), s AS (SELECT dialogue_id, trigger_turn, min(turn_index) FILTER (speaker = 'assistant' AND contains(text, 'er')) AS safe_turn FROM l GROUP BY ALL), b AS (SELECT s.*, (SELECT min(l.turn_index) FROM l WHERE l.dialogue_id = s.dialogue_id AND l.speaker = 'assistant' AND contains(l.text, 'in') AND (s.safe_turn IS NULL OR l.turn_index > s.safe_turn)) AS forbidden_turn FROM s) SELECT *, CASE WHEN safe_turn IS NULL THEN '未处理' WHEN forbidden_turn IS NOT NULL THEN '处理后推进' ELSE '已处理' END AS status FROM b")
+@query(f"WITH {TURNS}, f AS (SELECT dialogue_id, min(turn_index) AS trigger_turn FROM turns WHERE speaker = 'user' AND contains(text, 'th') GROUP BY 1), l AS (SELECT t.*, trigger_turn FROM turns t JOIN f USING (dialogue_id) WHERE t.turn_index > f.trigger_turn), s AS (SELECT dialogue_id, trigger_turn, min(turn_index) FILTER (speaker = 'assistant' AND contains(text, 'er')) AS safe_turn FROM l GROUP BY ALL), b AS (SELECT s.*, (SELECT min(l.turn_index) FROM l WHERE l.dialogue_id = s.dialogue_id AND l.speaker = 'assistant' AND contains(l.text, 'in') AND (s.safe_turn IS NULL OR l.turn_index > s.safe_turn)) AS forbidden_turn FROM s) SELECT *, CASE WHEN safe_turn IS NULL THEN '触发但未处理' WHEN forbidden_turn IS NOT NULL THEN '已处理但后续违背转场' ELSE '已处理' END AS status FROM b")
 def j11_terminal_policies(spark, sf_dir):
     holds = lambda w: F.contains("text", F.lit(w))
     return context.terminal_policies(_turns(spark, sf_dir), holds("th"), holds("er"), holds("in"))
@@ -776,7 +776,7 @@ def q2_leaks(spark, sf_dir):
 
 @query()
 def e1_evaluate(spark, sf_dir):
-    return sample.evaluated(spark, _turns(spark, sf_dir))["scores"].select("dialogue_id", "node_completion", "relation_score", "knowledge_score", "constraint_score", "missing_nodes", F.round("total", 6).alias("total"))
+    return sample.evaluated(spark, _turns(spark, sf_dir))["scores"].select("dialogue_id", *[F.round(c, 6).alias(c) for c in ("node_completion", "relation_score", "knowledge_score", "constraint_score", "soft_score")], "missing_nodes", "context_problem", F.round("total", 6).alias("total"))
 
 
 @query()

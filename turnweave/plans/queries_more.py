@@ -176,12 +176,12 @@ def a4_flat_score(spark, sf_dir):
 
 
 
-@query(f"WITH c AS (SELECT *, max(safe_turn) FILTER (status = '已处理') OVER (PARTITION BY dialogue_id) AS last FROM {CONTEXT}), x AS (SELECT *, status = '未处理' AND coalesce(trigger_turn <= last, false) AS covered FROM c) SELECT dialogue_id, policy_id, CASE WHEN covered THEN '已处理' ELSE status END AS status, CASE WHEN covered THEN last ELSE safe_turn END AS safe_turn FROM x")
+@query(f"WITH c AS (SELECT *, max(safe_turn) FILTER (status = '已处理') OVER (PARTITION BY dialogue_id) AS last FROM {CONTEXT}), x AS (SELECT *, status = '触发但未处理' AND coalesce(trigger_turn <= last, false) AS covered FROM c) SELECT dialogue_id, policy_id, CASE WHEN covered THEN '已处理' ELSE status END AS status, CASE WHEN covered THEN last ELSE safe_turn END AS safe_turn FROM x")
 def w8_handled_later(spark, sf_dir):
     return requirements.handled_later(_values(spark, sf_dir, CONTEXT)).select("dialogue_id", "policy_id", "status", "safe_turn")
 
 
-@query(f"SELECT dialogue_id, sum(CASE status WHEN '未处理' THEN 12 WHEN '处理后推进' THEN 18 ELSE 0 END)::DOUBLE AS penalty FROM {CONTEXT} GROUP BY 1")
+@query(f"SELECT dialogue_id, sum(CASE status WHEN '触发但未处理' THEN 12 WHEN '已处理但后续违背转场' THEN 18 ELSE 0 END)::DOUBLE AS penalty FROM {CONTEXT} GROUP BY 1")
 def a13_context_penalties(spark, sf_dir):
     return requirements.context_penalties(_values(spark, sf_dir, CONTEXT))
 

@@ -1,4 +1,4 @@
-"""A small catalogue over the words of the test tables, for queries, benches and tests."""
+"""A small rule graph over the words of the test tables, for queries, benches and tests."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from turnweave.plans.catalogue import Catalogue, compile_rules
 from turnweave.plans.evaluate import evaluate
-from turnweave.plans.local import local_table
+from turnweave.plans.graph import Graph, compile_graph
 
 
 def latin_rules(spark: SparkSession, values: str) -> Catalogue:
@@ -18,35 +18,51 @@ def latin_rules(spark: SparkSession, values: str) -> Catalogue:
     return compile_rules(spark, rules)
 
 
-def _group(*main: str, other: tuple[str, ...] = ()) -> list[dict]:
-    return [{"elements": [{"value": x, "main": True} for x in main] + [{"value": x} for x in other]}]
+def _group(*main: str, other: tuple[str, ...] = (), fact: tuple[str, ...] = ()) -> list[dict]:
+    return [{"elements": [{"value": x, "main": True} for x in main] + [{"value": x} for x in other] + [{"value": x, "fact": True} for x in fact]}]
 
 
-RULES = [
-    {"id": "greet", "type": "node_positive", "groups": _group("the", other=("and",))},
-    {"id": "explain", "type": "node_positive", "groups": _group("tion", "ing", other=("of",))},
-    {"id": "close", "type": "node_positive", "groups": _group("that", other=("with",))},
-    {"id": "busy", "type": "node_trigger", "groups": _group("ungen")},
-    {"id": "fact.selector", "type": "knowledge_selector", "groups": _group("ent")},
-    {"id": "fact.correct", "type": "knowledge_positive", "groups": _group("the", "ent")},
-    {"id": "fact.wrong", "type": "knowledge_negative", "groups": _group("eaux")},
-    {"id": "ban.negative", "type": "constraint_negative", "groups": _group("schlich")},
-    {"id": "ban.safe", "type": "constraint_positive", "groups": _group("nicht")},
-]
-NODES = [
-    {"id": "greet", "type": "start", "required": True},
-    {"id": "explain", "type": "main", "required": True},
-    {"id": "close", "type": "terminal", "mode": "optional", "required": False, "trigger": "busy"},
-]
-EDGES = [{"source": "greet", "target": "explain", "type": "strict_before"}, {"source": "explain", "target": "close", "type": "before"}]
+def _step(name: str, *requirements: list[dict], **more) -> dict:
+    return {"id": name, "name": name, "requirements": [{"id": f"{name}.{k}", "text": name, "element_groups": g} for k, g in enumerate(requirements)], **more}
+
+
+GRAPH = {
+    "nodes": [
+        _step("greet", _group("the", other=("and",)), _group("er"), type="start", atom_relations=[{"id": "greet.order", "type": "before", "left": "greet.0", "right": "greet.1"}]),
+        _step("explain", _group("tion", "ing", other=("of",)), type="main"),
+        _step("answers", _group("que"), _group("und"), _group("los"), type="faq", activation={"mode": "optional", "trigger_groups": _group("est")}),
+        _step("close", _group("that", other=("with",)), type="terminal", required=False, activation={"mode": "optional", "trigger_groups": _group("ungen")}),
+    ],
+    "edges": [
+        {"source": "greet", "target": "explain", "type": "strict_order"},
+        {"source": "explain", "target": "answers", "type": "before"},
+        {"source": "explain", "target": "close", "type": "terminal_after"},
+        {"source": "close", "target": "answers", "type": "optional_after"},
+    ],
+    "relation_groups": [{"id": "main", "type": "sequential", "nodes": ["greet", "explain"]}, {"id": "one", "type": "any_of", "nodes": ["answers", "close"]}],
+    "knowledge_table": [
+        {"id": "fact", "severity": "medium", "selector_groups": _group("ent"), "correct_groups": _group("the", "ent"), "wrong_groups": _group("eaux")},
+        {"id": "other", "severity": "high", "selector_groups": _group("er"), "correct_groups": _group("er", fact=("an",)), "wrong_groups": _group("er", fact=("schlich",))},
+    ],
+    "hard_constraint_table": [
+        {"id": "ban", "severity": "high", "negative_groups": _group("schlich"), "safe_groups": _group("nicht")},
+        {"id": "later", "severity": "low", "trigger_policy": "requires_user_trigger", "trigger_groups": _group("on"), "negative_groups": _group("eaux")},
+    ],
+    "soft_constraint_table": [
+        {"id": "kind", "global_elements": [{"value": "er"}, {"value": "est"}], "metric": {"direction": "higher_better", "good_threshold": 0.9}},
+        {"id": "short", "metric": {"type": "max_chars_per_assistant_turn", "max_chars": 150}},
+    ],
+    "terminal_policies": [{"id": "stop", "trigger": [{"any": ["eau"]}], "safe_response": [{"any": ["ing", "ung"]}], "forbidden_after_safe_response": [{"any": ["schlich"]}], "suppress_nodes": ["close"]}],
+}
+
+
+def graph(spark: SparkSession) -> Graph:
+    return compile_graph(spark, GRAPH)
 
 
 def catalogue(spark: SparkSession) -> Catalogue:
-    return compile_rules(spark, RULES, NODES, EDGES)
+    return graph(spark).catalogue
 
 
 def evaluated(spark: SparkSession, turns: DataFrame) -> dict[str, DataFrame]:
-    requirements = local_table(spark, [(n["id"], n["id"], 1.0, n["required"]) for n in NODES], "node_id string, requirement_id string, weight double, required boolean")
-    facts = local_table(spark, [("fact", "fact.selector", "fact.correct", "fact.wrong", "medium")], "fact_id string, selector string, correct string, wrong string, severity string")
-    constraints = local_table(spark, [("ban", None, "ban.negative", "ban.safe", False, "high")], "constraint_id string, trigger string, negative string, safe string, needs_trigger boolean, severity string")
-    return evaluate(turns, catalogue(spark), requirements, facts, constraints)
+    return evaluate(turns, graph(spark))

@@ -127,7 +127,7 @@ FOUND = (
 ACTIVE_NODES = f"(SELECT {DIALOGUE}, 'n' AS node_id, {_FIRST} % 4 > 0 AS active FROM events GROUP BY user_id) AS t"
 FLAT = f"(SELECT {pick(['r', 's'])} AS rule_id, user_id AS span_id, {pick([1.0, 0.01, 3.0, 2.0], 2)} AS weight, {flag(5)} AS is_role, {flag(3, 2)} AS is_hit, user_id % 9 AS n_pool_hits FROM events) AS t"
 CONTEXT = (
-    f"(SELECT {DIALOGUE}, CAST(event_id AS STRING) AS policy_id, {pick(['未处理', '已处理', '处理后推进'])} AS status, CAST({step(3)} % 20 AS INT) AS trigger_turn, CASE WHEN event_id % 3 > 0 THEN CAST({step(3)} % 20 + event_id % 5 AS INT) END AS safe_turn FROM events WHERE event_id % 4 = 0) AS t"
+    f"(SELECT {DIALOGUE}, CAST(event_id AS STRING) AS policy_id, {pick(['触发但未处理', '已处理', '已处理但后续违背转场'])} AS status, CAST({step(3)} % 20 AS INT) AS trigger_turn, CASE WHEN event_id % 3 > 0 THEN CAST({step(3)} % 20 + event_id % 5 AS INT) END AS safe_turn FROM events WHERE event_id % 4 = 0) AS t"
 )
 TURNED = (
     f"(SELECT event_id AS id, {pick(['外卖价格', '这个', '规则', '网络', '堂食', '价格，'])} || {pick(['更低', '不适合您', '未生效', '没区别', '略高', '也可以'], 6)} || {pick(['，堂食更低', '', '，完全没用', '；已显示'], 36)} AS s, "
