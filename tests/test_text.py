@@ -79,7 +79,7 @@ def test_diverse_budget_is_the_round_robin(spark):
 def test_a_failing_arbiter_leaves_candidates_unsure(spark):
     def arbiter(batch):
         if any(x["candidate_id"] == "bad" for x in batch):
-            raise RuntimeError("no answer")
+            raise OSError("no answer")
         return [{"candidate_id": x["candidate_id"], "verdict": "hit", "confidence": 0.9} for x in batch]
 
     df = spark.createDataFrame([("a",), ("bad",), ("c",)], "candidate_id string").coalesce(1)

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnweave.sources.shared import join_counted, stored_with
+
 # Gates of schema, evidence and margin scores.
 NOISE, WEAK, GATE = (0.30, 0.25, 0.35), (0.55, 0.45), (0.80, 0.58, 0.70)
 
@@ -22,12 +24,15 @@ def top_per_dialogue(candidates: DataFrame, k: int = 3) -> DataFrame:
 def representatives(candidates: DataFrame) -> DataFrame:
     """``candidates`` with merged_into (null for a representative) and merged_count, by route_key in order of priority.
 
-    Representatives are found by aggregation and joined back, so that a frequent key is no single task's.
+    Representatives are found by aggregation, stored and joined back; a frequent key is dealt to many tasks.
     """
     order = F.struct(F.col("priority"), F.col("candidate_id"))
-    best = candidates.groupBy("route_key").agg(F.min(order).alias("best"), F.count("*").alias("merged_count"))
-    out = candidates.join(best, "route_key")
-    return out.withColumn("merged_into", F.when(F.col("candidate_id") != F.col("best.candidate_id"), F.col("best.candidate_id"))).drop("best")
+    keyed = candidates.withColumn("_key", F.xxhash64("route_key"))
+    best, seen = stored_with(keyed.groupBy("route_key", "_key").agg(F.min(order).alias("best"), F.count("*").alias("n")), F.sum("n").alias("rows"), F.max("n").alias("most"))
+    named = best.withColumnRenamed("route_key", "_same")
+    out = join_counted(keyed, named, ["_key"], ["candidate_id"], seen["rows"] or 0, seen["most"] or 0).where(F.col("route_key").eqNullSafe(F.col("_same")))
+    out = out.withColumn("merged_into", F.when(F.col("candidate_id") != F.col("best.candidate_id"), F.col("best.candidate_id")))
+    return out.withColumnRenamed("n", "merged_count").drop("best", "_key", "_same")
 
 
 def diverse_budget(candidates: DataFrame, budget: int, bucket: list[str]) -> DataFrame:
@@ -77,8 +82,21 @@ def replay(candidates: DataFrame, answers: DataFrame) -> DataFrame:
     return rows.withColumn("verdict", F.coalesce("a_verdict", F.lit("uncertain"))).withColumn("confidence", F.coalesce("a_confidence", F.lit(0.0))).drop("a_verdict", "a_confidence")
 
 
-def arbitrate(candidates: DataFrame, arbiter: Callable[[list[dict]], list[dict]], batch: int = 8) -> DataFrame:
-    """Verdicts of a pluggable arbiter, ``batch`` candidates a call; a failed call leaves its candidates uncertain."""
+def arbitrate(candidates: DataFrame, arbiter: Callable[[list[dict]], list[dict]], batch: int = 8, attempts: int = 2) -> DataFrame:
+    """candidate_id, verdict, confidence and failure of a pluggable arbiter, ``batch`` candidates a call.
+
+    A call that fails with an ``OSError`` or ``ValueError`` (the service, or its answer) is tried again, then each candidate alone;
+    one that still fails is uncertain, and failure says why. Other errors are the arbiter's own, and end the job.
+    """
+
+    def asked(part: list[dict]) -> tuple[dict, str | None]:
+        reason = None
+        for _ in range(attempts):
+            try:
+                return {x["candidate_id"]: x for x in arbiter(part)}, None
+            except (OSError, ValueError) as error:
+                reason = f"{type(error).__name__}: {error}"
+        return {}, reason
 
     def judged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -86,13 +104,11 @@ def arbitrate(candidates: DataFrame, arbiter: Callable[[list[dict]], list[dict]]
             found = []
             for i in range(0, len(rows), batch):
                 part = rows[i : i + batch]
-                try:
-                    answers = {x["candidate_id"]: x for x in arbiter(part)}
-                except Exception:  # noqa: BLE001  an arbiter is a remote service
-                    answers = {}
+                answers, reason = asked(part)
                 for row in part:
-                    x = answers.get(row["candidate_id"], {})
-                    found.append((row["candidate_id"], x.get("verdict", "uncertain"), float(x.get("confidence", 0.0))))
-            yield pd.DataFrame(found, columns=["candidate_id", "verdict", "confidence"])
+                    own, failure = (answers, None) if reason is None else asked([row])
+                    x = own.get(row["candidate_id"], {})
+                    found.append((row["candidate_id"], x.get("verdict", "uncertain"), float(x.get("confidence", 0.0)), failure))
+            yield pd.DataFrame(found, columns=["candidate_id", "verdict", "confidence", "failure"])
 
-    return candidates.mapInPandas(judged, "candidate_id string, verdict string, confidence double")
+    return candidates.mapInPandas(judged, "candidate_id string, verdict string, confidence double, failure string")

@@ -80,7 +80,7 @@ def q_words(x: str) -> str:
 
 
 NEAREST = f"""users AS (SELECT dialogue_id, turn_index, text, {q_words('text')} AS toks, {q_any('text', ('?', '？'))} AS asks FROM turns WHERE speaker = 'user'),
-sims AS (SELECT dialogue_id, node_id, turn_index, text, asks, max(CASE WHEN least(len(toks), len({q_words('hint')})) > 0 THEN len(list_intersect(toks, {q_words('hint')})) / least(len(toks), len({q_words('hint')})) ELSE 0 END) + CASE WHEN asks THEN 0.04 ELSE 0 END AS score FROM users, {HINTS} GROUP BY ALL),
+sims AS (SELECT dialogue_id, node_id, turn_index, text, asks, max(CASE WHEN least(len(toks), len({q_words('hint')})) > 0 THEN len(list_intersect(toks, {q_words('hint')})) / least(len(toks), len({q_words('hint')})) ELSE 0 END + CASE WHEN asks THEN 0.04 ELSE 0 END) AS score FROM users, {HINTS} GROUP BY ALL),
 ranked AS (SELECT *, max(score) OVER w AS best, bool_or(asks) OVER w AS asked, row_number() OVER (PARTITION BY dialogue_id, node_id ORDER BY score DESC, turn_index) AS r1, row_number() OVER (PARTITION BY dialogue_id, node_id ORDER BY asks DESC, turn_index DESC) AS r2,
   row_number() OVER (PARTITION BY dialogue_id, node_id ORDER BY turn_index DESC) AS r3 FROM sims WINDOW w AS (PARTITION BY dialogue_id, node_id)),
 nearest AS (SELECT dialogue_id, node_id, turn_index, text FROM ranked WHERE CASE WHEN best >= 0.08 THEN r1 <= 2 WHEN asked THEN asks AND r2 <= 2 ELSE r3 <= 2 END)"""
@@ -460,9 +460,9 @@ def c14_atom_batches(spark, sf_dir):
     return local_table(spark, gr.atoms_of(gr.normalized(RAW), 2), "kind string, owner string, atom string, batch int")
 
 
-@query(f"""WITH n AS (SELECT n, coalesce(n->'activation'->>'mode', 'always') AS mode FROM {q_table('nodes', 'n')}), i AS (SELECT 'conditional_without_trigger' AS type FROM n WHERE mode IN ('user_triggered', 'condition') AND n->'activation'->'trigger_groups' IS NULL AND n->'activation'->'patterns' IS NULL
- UNION ALL SELECT 'empty_terminal_made_optional' FROM n WHERE n->>'type' = 'terminal' AND n->'requirements' IS NULL AND n->'atoms' IS NULL
- UNION ALL SELECT 'requirement_without_element_rule' FROM (SELECT n, unnest(json_extract(n, '$.requirements[*]')) AS r FROM n) WHERE n->'atoms' IS NULL AND r->'element_groups' IS NULL AND r->'evidence_groups' IS NULL
+@query(f"""WITH n AS (SELECT n, coalesce(n->'activation'->>'mode', 'always') AS mode FROM {q_table('nodes', 'n')}), i AS (SELECT 'conditional_without_trigger' AS type FROM n WHERE mode IN ('user_triggered', 'condition') AND (n->'activation'->'trigger_groups') IS NULL AND (n->'activation'->'patterns') IS NULL
+ UNION ALL SELECT 'empty_terminal_made_optional' FROM n WHERE (n->>'type') = 'terminal' AND (n->'requirements') IS NULL AND (n->'atoms') IS NULL
+ UNION ALL SELECT 'requirement_without_element_rule' FROM (SELECT n, unnest(json_extract(n, '$.requirements[*]')) AS r FROM n) WHERE (n->'atoms') IS NULL AND (r->'element_groups') IS NULL AND (r->'evidence_groups') IS NULL
  UNION ALL SELECT 'relation_group_optional_nodes_repaired' FROM {q_table('relation_groups', 'g')} WHERE (g->>'min_completed')::INT > (SELECT count(*) FROM n WHERE mode <> 'optional' AND list_contains(json_extract_string(g, '$.nodes[*]'), n->>'id')))
 SELECT type, count(*)::INTEGER AS n FROM i GROUP BY 1""")
 def a31_lint_counts(spark, sf_dir):
