@@ -21,6 +21,27 @@ def losses(steps: DataFrame, edges: DataFrame, checks: DataFrame, limits: DataFr
     return flow.union(order).union(bad(checks, "fact_id", CONFLICT, "knowledge")).union(bad(limits, "constraint_id", VIOLATION, "constraint"))
 
 
+def evidence_ledger(checks: DataFrame, limits: DataFrame, events: DataFrame, steps: DataFrame) -> DataFrame:
+    """(dialogue, family, target, verdict, turn_index, effect) of everything that was judged, good and bad: facts, constraints, policies and steps.
+
+    effect: against, for or open.
+    """
+    against, for_ = (CONFLICT, VIOLATION, MISSING, PARTIAL, "触发但未处理", "已处理但后续违背转场"), (SUPPORT, SAFE, "已完成", "已处理")
+    effect = F.when(F.col("verdict").isin(*against), "against").when(F.col("verdict").isin(*for_), "for").otherwise("open")
+    part = lambda rows, family, target, turn, verdict="verdict": rows.select("dialogue_id", F.lit(family).alias("family"), F.col(target).alias("target"), F.col(verdict).alias("verdict"), F.col(turn).alias("turn_index"))
+    out = part(checks, "knowledge", "fact_id", "turn_index").unionByName(part(limits, "constraint", "constraint_id", "turn_index"))
+    out = out.unionByName(part(events, "context", "policy_id", "trigger_turn", "status")).unionByName(part(steps.where("active"), "flow", "node_id", "first_hit_turn", "status"))
+    return out.withColumn("effect", effect)
+
+
+def element_digest(audit: DataFrame, most: int = 6) -> DataFrame:
+    """(dialogue, rule_id, verdict, n_hit, n_missing, hits, missing) of rows (dialogue, rule, verdict, value, is_hit): what was and was not met, joined and cut."""
+    some = lambda hit: F.filter(F.sort_array(F.collect_set(F.when(F.col("is_hit") == hit, F.col("value")))), lambda x: x.isNotNull())
+    out = audit.groupBy("dialogue_id", "rule_id", "verdict").agg(some(True).alias("h"), some(False).alias("m"))
+    shown = lambda c: F.array_join(F.slice(c, 1, most), ",")
+    return out.select("dialogue_id", "rule_id", "verdict", F.size("h").alias("n_hit"), F.size("m").alias("n_missing"), shown("h").alias("hits"), shown("m").alias("missing"))
+
+
 def same_evidence(candidates: DataFrame, ledger: DataFrame) -> DataFrame:
     """``candidates`` (candidate_id, dialogue_id, family, evidence array) with relation to what the ledger
     (dialogue_id, family, verdict, evidence) says of the same evidence: issue, support, insufficient_only, neutral or unknown."""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from turnweave.functions.text import MODAL_MARKS, any_of, compact, form, form_hit, tight_ordered_hit
 from turnweave.operators.atoms import tags
+from turnweave.operators.requirements import flat_score
 from turnweave.plans.catalogue import ROLES
 from turnweave.sources.shared import stored
 
@@ -290,9 +291,51 @@ def settled_windows(atoms: DataFrame, elements: DataFrame) -> DataFrame:
     return settle(evaluate_windows(wins, hits, atoms, elements))
 
 
+def pool_hits(atoms: DataFrame, elements: DataFrame) -> DataFrame:
+    """(span, rule_id, term) of the pool terms (all but an element's value) that evidence spans express."""
+    pooled = elements.withColumn("forms", F.slice("forms", 2, F.greatest(F.lit(0), F.size("forms") - 1)))
+    keyed = element_terms(pooled).withColumn("key", F.explode("t.keys"))
+    spans = atoms.where("is_evidence").select(*SPAN, form("text").alias("form"))
+    near = spans.withColumn("key", F.explode(span_keys(F.col("form")))).join(F.broadcast(keyed), "key")
+    return near.where(form_hit(F.col("t"), F.col("form"))).select(*SPAN, "rule_id", F.col("t.tight").alias("term")).distinct()
+
+
+def flat_matches(atoms: DataFrame, elements: DataFrame) -> DataFrame:
+    """The best span of each flat rule (elements without groups) in each dialogue: weighted share of its elements, more for pool terms."""
+    return flat_matches_with_pools(atoms, elements, pool_hits(atoms, elements))
+
+
+def flat_matches_with_pools(atoms: DataFrame, elements: DataFrame, pooled_hits: DataFrame) -> DataFrame:
+    hits = element_hits(atoms.where("is_evidence"), elements).select(*SPAN, "rule_id", "element_id").withColumn("is_hit", F.lit(True))
+    spans = hits.select(*SPAN, "rule_id").distinct()
+    own = elements.select("rule_id", "element_id", "weight", _is_role().alias("is_role"), "hit_group", "review_group")
+    rows = spans.join(F.broadcast(own), "rule_id").join(hits, [*SPAN, "rule_id", "element_id"], "left").withColumn("is_hit", F.coalesce("is_hit", F.lit(False)))
+    pooled = pooled_hits.groupBy(*SPAN, "rule_id").agg(F.count("*").alias("n_pool_hits"))
+    rows = rows.join(pooled, [*SPAN, "rule_id"], "left").withColumn("n_pool_hits", F.coalesce("n_pool_hits", F.lit(0).cast("bigint")))
+    keyed = rows.withColumn("span_id", F.struct(*SPAN))
+    bounds = elements.select("rule_id", "rule_type", "hit_group", "review_group").distinct()
+    scored = flat_score(keyed, 0.0, 0.0).drop("verdict").join(F.broadcast(bounds), "rule_id")
+    verdict = F.when(F.col("score") <= 0, "miss").when(F.col("score") >= F.col("hit_group"), "hit").when(F.col("score") >= F.col("review_group"), "review").otherwise("miss")
+    scored = scored.withColumn("verdict", verdict).select("rule_id", "rule_type", "score", "verdict", "span_id.*")
+    order = F.struct(verdict_rank(F.col("verdict")), "score", -F.col("turn_index"), -F.col("seq"))
+    kept = F.struct("verdict", "score", "turn_index", "seq", F.lit("same_atom").alias("window"))
+    return scored.groupBy("dialogue_id", "rule_id", "rule_type").agg(F.max_by(kept, order).alias("m")).select("dialogue_id", "rule_id", "rule_type", "m.*")
+
+
 def match_rules(atoms: DataFrame, elements: DataFrame) -> DataFrame:
-    """The best match of each rule in each dialogue where anything was recalled."""
-    return best_matches(settled_windows(atoms, elements))
+    """The best match of each rule in each dialogue where anything was recalled: of grouped rules by windows, of flat ones by spans."""
+    grouped = best_matches(settled_windows(atoms, elements.where("NOT flat")))
+    return grouped.unionByName(flat_matches(atoms, elements.where("flat")))
+
+
+def scoped(atoms: DataFrame, speaker: str | None, fallback: bool = True) -> DataFrame:
+    """The spans of a speaker, None: all; with ``fallback``, all spans of dialogues in which this speaker says nothing."""
+    if speaker is None:
+        return atoms
+    own = atoms.where(F.col("speaker") == speaker)
+    if not fallback:
+        return own
+    return own.unionByName(atoms.join(own.select("dialogue_id").distinct(), "dialogue_id", "left_anti"))
 
 
 def candidate_audit(settled: DataFrame, k: int = 5) -> DataFrame:

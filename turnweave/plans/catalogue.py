@@ -61,7 +61,7 @@ PRONOUNS = ("我", "你", "您", "对方")
 
 ELEMENT = (
     "rule_id string, rule_type string, rule_ord int, group_id string, group_ord int, role string, decisive boolean, require_all boolean, "
-    "element_id string, element_ord int, type string, value string, terms array<string>, surface array<string>, main boolean, fact boolean, cluster int, scope string, fallback boolean"
+    "element_id string, element_ord int, type string, value string, terms array<string>, surface array<string>, main boolean, fact boolean, cluster int, scope string, fallback boolean, flat boolean"
 )
 
 WEIGHTED = ELEMENT + (
@@ -129,7 +129,9 @@ def compile_rules(spark: SparkSession, rules: list[dict[str, Any]], nodes: list[
             raise ValueError(f"two rules are named {rule['id']}")
         seen.add(rule["id"])
         kind = rule.get("type", "node_positive")
-        groups = rule.get("groups") or []
+        # A rule with elements of its own is a flat one: its elements stand for one group, and spans are scored by themselves.
+        flat = bool(rule.get("elements")) and not rule.get("groups")
+        groups = rule.get("groups") or ([{"elements": rule["elements"]}] if flat else [])
         default = next((name for name in ("negative", "positive", "trigger", "selector") if name in kind), "main")
         roles = [g.get("role") or ("main" if kind == "node_positive" else default) for g in groups]
         allowed = DECISIVE.get(kind, ("main", "required"))
@@ -149,7 +151,7 @@ def compile_rules(spark: SparkSession, rules: list[dict[str, Any]], nodes: list[
             for k, e in enumerate(elements):
                 rows.append(
                     (rule["id"], kind, r, f"{rule['id']}.g{g}", g, roles[g], decisive[g], bool(group.get("require_all", False)))
-                    + (f"{rule['id']}.g{g}.e{k}", k, e["type"], e["value"], e["terms"], e["surface"], e["main"], e["fact"], clusters.get(k), rule.get("scope"), bool(rule.get("fallback", False)))
+                    + (f"{rule['id']}.g{g}.e{k}", k, e["type"], e["value"], e["terms"], e["surface"], e["main"], e["fact"], clusters.get(k), rule.get("scope"), bool(rule.get("fallback", False)), flat)
                 )
     for name, n in (("elements", len(rows)), ("nodes", len(nodes)), ("edges", len(edges))):
         if n > MAX_ELEMENTS:

@@ -491,3 +491,52 @@ UNION ALL SELECT 'nodes.' || (n->>'id') || '.' || (r->>'id'), unnest(CASE WHEN l
 UNION ALL SELECT 'knowledge.' || coalesce(a->>'id', k->>'id'), 'selector_without_main' FROM {q_table('knowledge_table', 'k')} LEFT JOIN LATERAL (SELECT unnest(json_extract(k, '$.atoms[*]')) AS a) ON true WHERE len(list_filter(json_extract_string(coalesce(a, k), '$.selector_groups[*].elements[*].main'), lambda x: x = 'true')) = 0""")
 def q4_contract_issues(spark, sf_dir):
     return local_table(spark, ck.contract_issues(RAW), "path string, issue string")
+
+
+# ------------------------------------------------------------------ flat rules, scopes, ledgers
+
+FLAT_TERMS = "(VALUES ('f1', 'the', 0), ('f1', 'ungen', 1), ('f2', 'eau', 0)) AS r(rule_id, term, n)"
+
+
+@query(f"""WITH {base.ATOMS}, e AS (SELECT *, seq > 0 OR n_spans = 1 AS ev FROM atoms), t AS (SELECT *, count(*) OVER (PARTITION BY rule_id) AS m FROM {FLAT_TERMS}),
+h AS (SELECT rule_id, dialogue_id, turn_index, seq, count(*) AS k, any_value(m) AS m FROM e, t WHERE ev AND {q_text_hit('term', 'text')} GROUP BY ALL),
+p AS (SELECT rule_id, dialogue_id, turn_index, seq, count(*) AS n FROM e, (VALUES ('f1', 'that'), ('f2', 'que')) AS x(rule_id, term) WHERE ev AND {q_text_hit('term', 'text')} GROUP BY ALL),
+s AS (SELECT h.*, coalesce(n, 0) AS n FROM h LEFT JOIN p USING (rule_id, dialogue_id, turn_index, seq)), v AS (SELECT *, least(1, k / m + least(0.25, 0.05 * n)) AS score FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY rule_id, dialogue_id ORDER BY score >= 0.46 DESC, score >= 0.22 DESC, score DESC, turn_index, seq) AS o FROM v)
+SELECT dialogue_id, rule_id, CASE WHEN score >= 0.46 THEN 'hit' WHEN score >= 0.22 THEN 'review' ELSE 'miss' END AS verdict, round(score, 6)::DOUBLE AS score, turn_index, seq FROM r WHERE o = 1""")
+def a5_flat_matches(spark, sf_dir):
+    from turnweave.operators.atoms import atoms
+    from turnweave.plans.catalogue import compile_rules
+
+    rules = [
+        {"id": "f1", "type": "default", "elements": [{"value": "the", "main": True, "pool": []}, {"value": "ungen", "main": True}]},
+        {"id": "f2", "type": "default", "elements": [{"value": "eau", "main": True}]},
+    ]
+    elements = compile_rules(spark, rules).elements.withColumn("weight", F.lit(1.0))
+    pooled = {"f1": "that", "f2": "que"}
+    extra = compile_rules(spark, [{"id": k, "type": "default", "elements": [{"value": "zzzz", "pool": [v], "type": "surface"}]} for k, v in pooled.items()]).elements
+    spans = atoms(_turns(spark, sf_dir))
+    return matching.flat_matches_with_pools(spans, elements, matching.pool_hits(spans, extra)).select("dialogue_id", "rule_id", "verdict", F.round("score", 6).alias("score"), "turn_index", "seq")
+
+
+@query(f"WITH {TURNS} SELECT dialogue_id, turn_index FROM turns t WHERE speaker = 'unknown' OR NOT EXISTS (SELECT 1 FROM turns u WHERE u.dialogue_id = t.dialogue_id AND u.speaker = 'unknown')")
+def p15_scope_with_fallback(spark, sf_dir):
+    return matching.scoped(_turns(spark, sf_dir), "unknown").select("dialogue_id", "turn_index")
+
+
+@query(f"""SELECT dialogue_id, 'knowledge' AS family, fact_id AS target, verdict, 1 AS turn_index, CASE verdict WHEN '冲突' THEN 'against' WHEN '支持' THEN 'for' ELSE 'open' END AS effect FROM {base.spoken.CHECKED}
+UNION ALL SELECT dialogue_id, 'constraint', constraint_id, verdict, 2, CASE verdict WHEN '违规' THEN 'against' ELSE 'for' END FROM {base.spoken.LIMITED}
+UNION ALL SELECT dialogue_id, 'context', policy_id, status, trigger_turn, CASE status WHEN '已处理' THEN 'for' ELSE 'against' END FROM {base.spoken.CONTEXT} UNION ALL SELECT dialogue_id, 'flow', node_id, status, 3, CASE status WHEN '已完成' THEN 'for' ELSE 'against' END FROM {base.spoken.STEPS} WHERE active""")
+def d25_ledger(spark, sf_dir):
+    rows = lambda x: _values(spark, sf_dir, x)
+    checks, limits = rows(base.spoken.CHECKED).withColumn("turn_index", F.lit(1)), rows(base.spoken.LIMITED).withColumn("turn_index", F.lit(2))
+    return ledger.evidence_ledger(checks, limits, rows(base.spoken.CONTEXT), rows(base.spoken.STEPS).withColumn("first_hit_turn", F.lit(3)))
+
+
+AUDITED = f"(SELECT {DIALOGUE}, {pick(['r1', 'r2'])} AS rule_id, 'review' AS verdict, {pick(['甲', '乙', '丙'], 2)} AS value, {flag(3, 5)} AS is_hit FROM events) AS t"
+
+
+@query(f"""WITH g AS (SELECT dialogue_id, rule_id, verdict, list_sort(list(DISTINCT value) FILTER (is_hit)) AS h, list_sort(list(DISTINCT value) FILTER (NOT is_hit)) AS m FROM {AUDITED} GROUP BY ALL)
+SELECT dialogue_id, rule_id, verdict, coalesce(len(h), 0)::INTEGER AS n_hit, coalesce(len(m), 0)::INTEGER AS n_missing, coalesce(array_to_string(h[1:2], ','), '') AS hits, coalesce(array_to_string(m[1:2], ','), '') AS missing FROM g""")
+def d18_element_digest(spark, sf_dir):
+    return ledger.element_digest(_values(spark, sf_dir, AUDITED), 2)
