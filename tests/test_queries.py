@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from turnweave.plans import queries_more  # noqa: F401  registers its queries beside the others
+from turnweave.plans import queries_graph, queries_more  # noqa: F401  they register their queries beside the others
 from turnweave.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"

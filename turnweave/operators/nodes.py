@@ -10,6 +10,8 @@ from turnweave.plans.local import local_table
 # Names of states, thresholds of node scores, types of nodes on the main line.
 DONE, PARTIAL, MISSING, INACTIVE = "已完成", "部分完成", "缺失", "未激活"
 SATISFIED, PARTLY, ZERO_CAP, LOCAL_HIT = 0.75, 0.35, 0.58, 0.72
+#: Pairs of a closure that are broadcast; graphs with more are refused.
+MAX_PAIRS = 1_000_000
 MAINLINE = ("", "start", "main", "mainline", "process", "normal", "core")
 
 
@@ -92,6 +94,8 @@ def closure(spark: SparkSession, edges: DataFrame) -> DataFrame:
             seen |= new
             waiting += new
         pairs += [(source, target) for target in seen - {source}]
+        if len(pairs) > MAX_PAIRS:
+            raise ValueError(f"more than {MAX_PAIRS} pairs of nodes, which are broadcast")
     return local_table(spark, sorted(pairs), "source string, target string")
 
 

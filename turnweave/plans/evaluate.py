@@ -101,7 +101,8 @@ def _fact_checks(spans: DataFrame, settled: DataFrame, graph: Graph) -> DataFram
     rows = stored(rows)
     # Values and directions: in the scope of a selector that was met, otherwise over all the assistant says.
     opened = rows.where("selector_m.verdict IN ('hit', 'review')").select("dialogue_id", "fact_id")
-    judged = graph.facts.select("fact_id")
+    # Only facts with values or directions to compare.
+    judged = graph.facts.join(graph.values.select("fact_id", F.lit(True).alias("valued")), "fact_id", "left").where("valued OR size(expected) > 0").select("fact_id")
     wide = own.select("dialogue_id", "turn_index", "seq", "text").join(F.broadcast(judged), F.lit(True)).join(opened, ["dialogue_id", "fact_id"], "left_anti").withColumn("scope_ord", F.lit(0))
     narrow = own.select("dialogue_id", "turn_index", "seq", "text").join(scope, ["dialogue_id", "turn_index"])
     checked = narrow.select("dialogue_id", "fact_id", "turn_index", "seq", "text", "scope_ord").unionByName(wide.select("dialogue_id", "fact_id", "turn_index", "seq", "text", "scope_ord"))
