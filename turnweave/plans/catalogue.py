@@ -119,8 +119,8 @@ class Catalogue:
     ends: bool = False
 
 
-def compile_rules(spark: SparkSession, rules: list[dict[str, Any]], nodes: list[dict[str, Any]] = (), edges: list[dict[str, Any]] = ()) -> Catalogue:
-    """Tables of rules like {"id", "type", "groups": [{"role", "require_all", "elements": [{"type", "value", "pool", "main", "fact"}]}]}."""
+def rule_rows(rules: list[dict[str, Any]]) -> list[tuple]:
+    """The elements of rules as rows of ``WEIGHTED``; see ``compile_rules``."""
     rows, seen = [], set()
     for r, rule in enumerate(rules):
         if not rule.get("id"):
@@ -153,10 +153,16 @@ def compile_rules(spark: SparkSession, rules: list[dict[str, Any]], nodes: list[
                     (rule["id"], kind, r, f"{rule['id']}.g{g}", g, roles[g], decisive[g], bool(group.get("require_all", False)))
                     + (f"{rule['id']}.g{g}.e{k}", k, e["type"], e["value"], e["terms"], e["surface"], e["main"], e["fact"], clusters.get(k), rule.get("scope"), bool(rule.get("fallback", False)), flat)
                 )
+    return _weighted(rows)
+
+
+def compile_rules(spark: SparkSession, rules: list[dict[str, Any]], nodes: list[dict[str, Any]] = (), edges: list[dict[str, Any]] = ()) -> Catalogue:
+    """Tables of rules like {"id", "type", "groups": [{"role", "require_all", "elements": [{"type", "value", "pool", "main", "fact"}]}]}."""
+    rows = rule_rows(rules)
     for name, n in (("elements", len(rows)), ("nodes", len(nodes)), ("edges", len(edges))):
         if n > MAX_ELEMENTS:
             raise ValueError(f"{n} {name}; at most {MAX_ELEMENTS} are broadcast")
-    elements = local_table(spark, _weighted(rows), WEIGHTED)
+    elements = local_table(spark, rows, WEIGHTED)
     node_rows = [(n["id"], n.get("type", "main"), n.get("mode", "always"), bool(n.get("required", True)), n.get("rules", [n["id"]]), n.get("trigger")) for n in nodes]
     known = {n["id"] for n in nodes}
     for e in edges:

@@ -587,8 +587,8 @@ def _general(e: dict) -> bool:
     return len(value) <= 2 or value.endswith(GENERAL_ENDS)
 
 
-def compile_graph(spark: SparkSession, source: dict) -> Graph:
-    """The tables of a graph; larger ones than ``MAX_ROWS`` of a kind are refused."""
+def graph_rows(source: dict) -> tuple[Parts, list[dict], dict[str, list]]:
+    """A graph's parts, its rules, and the rows of its other tables by name; more than ``MAX_ROWS`` of a kind are refused."""
     parts = normalized(from_legacy(source))
     if max(len(parts.nodes), len(parts.edges), len(parts.facts), len(parts.constraints), sum(len(n["requirements"]) for n in parts.nodes)) > MAX_ROWS:
         raise ValueError(f"more than {MAX_ROWS} rows of one kind")
@@ -629,16 +629,23 @@ def compile_graph(spark: SparkSession, source: dict) -> Graph:
             rule(f"{c['id']}.soft", "soft_global", [{"elements": [e], "role": "global"} for g in c["global"] for e in g["elements"]], "assistant")
     edges = [{"source": e["source"], "target": e["target"], "type": e["type"], "weight": e["weight"]} for e in parts.edges]
     member_rows = [(g["id"], g["type"], i, n) for g in parts.groups for i, n in enumerate(g["nodes"])]
-    table = lambda rows, schema: local_table(spark, rows, schema)
+    rows = {"nodes": node_rows, "edges": edges, "requirements": requirement_rows, "relations": relation_rows, "members": member_rows, "facts": fact_rows, "values": value_rows, "constraints": constraint_rows}
+    return parts, rules, rows
+
+
+def compile_graph(spark: SparkSession, source: dict) -> Graph:
+    """The tables of a graph; larger ones than ``MAX_ROWS`` of a kind are refused."""
+    parts, rules, rows = graph_rows(source)
+    table = lambda name, schema: local_table(spark, rows[name], schema)
     return Graph(
         parts,
-        compile_rules(spark, rules, node_rows, edges),
-        table(requirement_rows, "node_id string, requirement_id string, weight double, required boolean, text string"),
-        table(relation_rows, "node_id string, relation_id string, type string, left array<string>, right array<string>, options array<string>, own double"),
-        table(member_rows, "group_id string, group_type string, position int, node_id string"),
-        table(fact_rows, "fact_id string, selector string, correct string, wrong string, severity string, subjects array<string>, expected array<string>, carries boolean"),
-        table(value_rows, VALUE_FACT),
-        table(constraint_rows, "constraint_id string, trigger string, negative string, safe string, needs_trigger boolean, severity string"),
+        compile_rules(spark, rules, rows["nodes"], rows["edges"]),
+        table("requirements", "node_id string, requirement_id string, weight double, required boolean, text string"),
+        table("relations", "node_id string, relation_id string, type string, left array<string>, right array<string>, options array<string>, own double"),
+        table("members", "group_id string, group_type string, position int, node_id string"),
+        table("facts", "fact_id string, selector string, correct string, wrong string, severity string, subjects array<string>, expected array<string>, carries boolean"),
+        table("values", VALUE_FACT),
+        table("constraints", "constraint_id string, trigger string, negative string, safe string, needs_trigger boolean, severity string"),
     )
 
 

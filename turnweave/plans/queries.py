@@ -769,16 +769,3 @@ def a28_usage(spark, sf_dir):
 @query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON b.text <> '' AND contains(d.text, b.text)")
 def q2_leaks(spark, sf_dir):
     return reports.leaks(_documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-
-
-# ------------------------------------------------------------------ the whole evaluation
-
-
-@query()
-def e1_evaluate(spark, sf_dir):
-    return sample.evaluated(spark, _turns(spark, sf_dir))["scores"].select("dialogue_id", *[F.round(c, 6).alias(c) for c in ("node_completion", "relation_score", "knowledge_score", "constraint_score", "soft_score")], "missing_nodes", "context_problem", F.round("total", 6).alias("total"))
-
-
-@query()
-def e2_matches(spark, sf_dir):
-    return matching.match_rules(atoms(_turns(spark, sf_dir)), sample.catalogue(spark).elements)

@@ -13,6 +13,7 @@ from turnweave.operators.values import VALUE_FACT
 from turnweave.plans import graph as gr
 from turnweave.plans import checks as ck
 from turnweave.plans import queries as base
+from turnweave.plans import whole_sql
 from turnweave.plans.local import local_table
 from turnweave.plans.queries import FACTS, PAIRS, SETTLED, TURNS, _documents, _text, _turns, _values, q_any, q_bigrams, q_chars, q_compact, q_compare, q_days, q_numbers, q_text_hit, q_unit, query
 from turnweave.plans.spoken import DIALOGUE, flag, pick, step
@@ -540,3 +541,23 @@ AUDITED = f"(SELECT {DIALOGUE}, {pick(['r1', 'r2'])} AS rule_id, 'review' AS ver
 SELECT dialogue_id, rule_id, verdict, coalesce(len(h), 0)::INTEGER AS n_hit, coalesce(len(m), 0)::INTEGER AS n_missing, coalesce(array_to_string(h[1:2], ','), '') AS hits, coalesce(array_to_string(m[1:2], ','), '') AS missing FROM g""")
 def d18_element_digest(spark, sf_dir):
     return ledger.element_digest(_values(spark, sf_dir, AUDITED), 2)
+
+
+# ------------------------------------------------------------------ the whole evaluation
+
+
+@query(whole_sql.E2)
+def e2_matches(spark, sf_dir):
+    from turnweave.operators.atoms import atoms
+    from turnweave.plans import sample
+
+    rows = matching.match_rules(atoms(_turns(spark, sf_dir)), sample.catalogue(spark).elements)
+    return rows.withColumn("score", F.round("score", 6))
+
+
+@query(whole_sql.E1)
+def e1_evaluate(spark, sf_dir):
+    from turnweave.plans import sample
+
+    columns = ("node_completion", "relation_score", "knowledge_score", "constraint_score", "soft_score", "total")
+    return sample.evaluated(spark, _turns(spark, sf_dir))["scores"].select("dialogue_id", *[F.round(c, 6).alias(c) for c in columns], "missing_nodes", "context_problem")
