@@ -37,6 +37,15 @@ def test_sides_pools_and_speakers():
     assert held[0]["elements"][0]["pool"] == ["价格"]
 
 
+def test_patterns_as_they_are_executed():
+    p = gr.pattern({"any": ["取消", "次日", "费用"]}, "assistant")
+    made = gr.executable(p, "说明取消后次日生效", frozenset({"费用"}))
+    assert made[0]["any"] == ["取消", "次日"] and made[0]["least"] == 2 and made[1]["window_union"] and len(made) == 2
+    assert gr.executable(p, "核对身份")[-1]["cross_turn"] and gr.pattern({}) is None and gr.pattern("x")["any"] == ["x"]
+    row = gr.constraint({"id": "c", "negative_object": {"surface_forms": ["保证收到"]}, "trigger_object": {"elements": ["在开车"]}}, "hard")
+    assert row["negative"][0]["elements"][0]["main"] and row["trigger"][0]["elements"][0]["value"] == "在开车"
+
+
 def test_tables_are_flattened_merged_and_capped():
     table = [{"id": "p", "severity": "high", "atoms": [{"id": "x"}, {"id": "y", "severity": "low"}]}, {"id": "z"}]
     assert [(r["id"], r.get("severity")) for r in gr.flattened(table)] == [("x", "high"), ("y", "low"), ("z", None)]

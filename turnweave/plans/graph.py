@@ -206,6 +206,34 @@ def patterns(x: Any, speaker: str = "") -> list[dict]:
     return [p for p in (pattern(r, speaker) for r in listed) if p]
 
 
+def executable(p: dict, description: str, trigger_words: frozenset[str] = frozenset()) -> list[dict]:
+    """A requirement's pattern as it is executed, and what may stand for it.
+
+    Words of the trigger that the description does not name are no evidence; of the words that it names all are needed; what needs
+    several words may come over several turns, and who somebody is may be asked and answered.
+    """
+    out = dict(p)
+    own = [w for w in p["any"] if w not in trigger_words or w in description]
+    out["any"] = own or p["any"]
+    named = [w for w in out["any"] if w in description]
+    if not p["all"] and p["least"] < 2 and len(named) >= 2:
+        out["least"] = len(named)
+    made = [out]
+    if out["speaker"] in ("", "assistant") and out["least"] >= 2 and len(out["any"]) >= 2 and not out.get("window_union"):
+        made.append({**out, "speaker": "assistant", "all": [], "none": [], "regex_any": [], "window_union": True})
+    if any(w in description for w in ("身份", "本人")):
+        made.append({**out, "any": [], "all": [], "none": [], "least": 1, "regex_any": ["确认.{0,12}本人", "是.{0,12}本人", "本人.{0,6}吗", "接听.{0,8}吗"], "cross_turn": "assistant_ask_user_affirm"})
+    return made
+
+
+def object_groups(x: Any) -> list[dict]:
+    """Groups of an object that a constraint names by its elements or by the texts that express it."""
+    own = x if isinstance(x, dict) else {}
+    found = groups(_first(own, "primary_elements", "required_elements", "elements") or [])
+    texts = [t for k in ("forbidden_surface_forms", "surface_forms", "semantic_equivalents", "trigger_context", "forbidden_action") for t in _words(own.get(k))]
+    return found or groups(texts)
+
+
 def activation(node: dict) -> dict:
     """When a node takes part: its mode, and the groups, patterns, object and hint of its trigger."""
     own = node.get("activation")
@@ -296,8 +324,8 @@ def constraint(row: dict, enforcement: str) -> dict:
     name = _text(_first(row, "id", "constraint_id"))
     if not name:
         raise ValueError("a constraint needs an id")
-    trigger = with_main(groups(_first(row, "trigger_groups", "trigger_element_groups") or []))
-    negative = with_main(groups(_first(row, "negative_groups", "negative_element_groups", "element_groups", "negative_elements") or []))
+    trigger = with_main(groups(_first(row, "trigger_groups", "trigger_element_groups") or []) or object_groups(_first(row, "trigger_object", "trigger_target")))
+    negative = with_main(groups(_first(row, "negative_groups", "negative_element_groups", "element_groups", "negative_elements") or []) or object_groups(row.get("negative_object")))
     safe = with_main(groups(_first(row, "safe_groups", "positive_element_groups", "safe_element_groups", "positive_elements") or []))
     scope = row.get("detection_scope") if isinstance(row.get("detection_scope"), dict) else {}
     return {
