@@ -21,7 +21,7 @@ Edge cases: a null text or one without any letter is ``und`` with score 0, and s
 every text if nothing was learned; ties go to the language that sorts first; labels
 that are null teach nothing; more than ``MAX_LANGUAGES`` languages are refused. Texts with
 no known n-gram get the first of the languages, score 0. Rows that repeat a chosen id teach
-too. Repeated rows are judged alike; extra columns are not read.
+too, rows without an id do not. Repeated rows are judged alike; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -167,7 +167,7 @@ def learn_filters(documents: DataFrame, held_out: Column, sample_per_language: i
     joined back to their texts by a broadcast of this size. ``with_floor``: one in ``ASIDE``
     of them does not teach, but gives the floor.
     """
-    known = documents.where(F.col("lang").isNotNull() & ~held_out).select("doc_id", "lang", F.col("text").cast("string"))
+    known = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out).select("doc_id", "lang", F.col("text").cast("string"))
     languages = sorted(row.lang for row in known.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
