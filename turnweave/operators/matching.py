@@ -43,13 +43,23 @@ def span_keys(of: Column) -> Column:
     """What a text may share with the keys of a term: its characters, and its pairs of characters with and without fillers."""
 
     def pairs(text: Column, mark: str) -> Column:
-        made = F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.concat(F.lit(mark), F.substring(text, i, F.lit(2))))
-        return F.when(F.length(text) > 1, made).otherwise(F.array().cast("array<string>"))
+        # Both arrays are arguments, not parts of the lambda: that would make the text again for each pair.
+        letters = F.filter(F.split(text, ""), lambda x: x != "")
+        n = F.greatest(F.size(letters) - 1, F.lit(0))
+        return F.zip_with(F.slice(letters, F.lit(1), n), F.slice(letters, F.lit(2), n), lambda x, y: F.concat(F.lit(mark), x, y))
 
     chars = F.transform(of["chars"], lambda x: F.concat(F.lit("c"), x))
     return F.array_distinct(F.concat(chars, pairs(of["tight"], "b"), pairs(of["rest"], "r")))
 
 
+def _sharing_keys(spans: DataFrame, terms: DataFrame) -> DataFrame:
+    """``spans`` (with form) joined with the terms that share a key with them."""
+    keyed = terms.withColumn("key", F.explode("t.keys"))
+    # The outer form: for the other, the optimizer would filter on the size of all that makes the keys.
+    each = spans.withColumn("keys", span_keys(F.col("form"))).withColumn("key", F.explode_outer("keys")).drop("keys").where("key IS NOT NULL")
+    return each.join(F.broadcast(keyed), "key")
+
+
 def element_hits(atoms: DataFrame, elements: DataFrame) -> DataFrame:
     """(span, element) of every hit: an equal general tag, or a term that the text expresses.
 
@@ -60,9 +70,7 @@ def element_hits(atoms: DataFrame, elements: DataFrame) -> DataFrame:
     tag = F.concat(F.col("type"), F.lit(":"), compact("value")).alias("tag")
     tagged = atoms.select(*SPAN, "speaker", F.explode(tags(F.col("text"), F.col("compact"), F.col("speaker"))).alias("tag"))
     same = tagged.join(F.broadcast(elements.select(tag, "rule_id", "group_id", "element_id")), "tag").select(*names)
-    spans = atoms.select(*SPAN, "speaker", form("text").alias("form"))
-    keyed = element_terms(elements).withColumn("key", F.explode("t.keys"))
-    near = spans.withColumn("key", F.explode(span_keys(F.col("form")))).join(F.broadcast(keyed), "key")
+    near = _sharing_keys(atoms.select(*SPAN, "speaker", form("text").alias("form")), element_terms(elements))
     said = near.where(form_hit(F.col("t"), F.col("form"))).select(*names)
     return said.union(same).distinct()
 
@@ -80,10 +88,12 @@ def recall(atoms: DataFrame, elements: DataFrame, hits: DataFrame | None = None)
     # A rule with a scope takes spans of its speaker; with a fallback, all of a dialogue in which this speaker says nothing.
     scopes = elements.where("scope IS NOT NULL").select("rule_id", "scope", "fallback").distinct()
     rows = found.join(F.broadcast(scopes), "rule_id", "left")
-    own = rows.where("scope IS NULL OR speaker = scope")
-    other = rows.where("speaker <> scope AND fallback")
-    heard = atoms.select("dialogue_id", F.col("speaker").alias("scope")).distinct()
-    return own.unionByName(other.join(heard, ["dialogue_id", "scope"], "left_anti")).select("rule_id", *SPAN, "speaker")
+    heard = atoms.select("dialogue_id", F.col("speaker").alias("scope"), F.lit(True).alias("heard")).distinct()
+    if scopes.isEmpty():
+        return rows.select("rule_id", *SPAN, "speaker")
+    rows = rows.join(heard, ["dialogue_id", "scope"], "left")
+    own = F.col("scope").isNull() | (F.col("speaker") == F.col("scope")) | (F.col("fallback") & F.col("heard").isNull())
+    return rows.where(own).select("rule_id", *SPAN, "speaker")
 
 
 KEY = ["rule_id", "dialogue_id", "a_turn", "a_seq", "window_ord"]
@@ -294,9 +304,7 @@ def settled_windows(atoms: DataFrame, elements: DataFrame) -> DataFrame:
 def pool_hits(atoms: DataFrame, elements: DataFrame) -> DataFrame:
     """(span, rule_id, term) of the pool terms (all but an element's value) that evidence spans express."""
     pooled = elements.withColumn("forms", F.slice("forms", 2, F.greatest(F.lit(0), F.size("forms") - 1)))
-    keyed = element_terms(pooled).withColumn("key", F.explode("t.keys"))
-    spans = atoms.where("is_evidence").select(*SPAN, form("text").alias("form"))
-    near = spans.withColumn("key", F.explode(span_keys(F.col("form")))).join(F.broadcast(keyed), "key")
+    near = _sharing_keys(atoms.where("is_evidence").select(*SPAN, form("text").alias("form")), element_terms(pooled))
     return near.where(form_hit(F.col("t"), F.col("form"))).select(*SPAN, "rule_id", F.col("t.tight").alias("term")).distinct()
 
 
