@@ -101,6 +101,16 @@ def test_manifest_upper_levels_in_rounds(spark, monkeypatch):
     assert sorted(map(tuple, merkle.audit(documents).collect())) == sorted(audited(rows))
 
 
+def test_manifest_where_a_session_deals_to_more_partitions(spark, monkeypatch):
+    from pyspark import RDD
+
+    monkeypatch.setattr(merkle, "PART_ROWS", 19)
+    deal = RDD.partitionBy
+    monkeypatch.setattr(RDD, "partitionBy", lambda self, n, *rest: deal(self, max(n, 11), *rest))
+    documents = spark.createDataFrame(CASES[3], "doc_id long, source string, lang string, n_chars long, text string")
+    assert sorted(map(tuple, merkle.audit(documents).collect()), key=str) == sorted(audited(CASES[3]), key=str)
+
+
 def test_proofs_have_levels(spark):
     rows = [(i, "s", None, i, "t") for i in range(10)]
     documents = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string")

@@ -291,14 +291,17 @@ def _built(leaves: DataFrame, rows: int) -> tuple[RDD, RDD, RDD, dict]:
     return placed, given, only("whole").union(cut), at
 
 
-def _by_part(pairs: RDD, parts: int) -> RDD:
-    """For each partition the list of what it is given."""
-    return pairs.partitionBy(parts, int).mapPartitions(lambda it: [[value for _, value in it]])
+def _by_part(rows: RDD, pairs: RDD) -> tuple[RDD, RDD]:
+    """``rows`` and, for each partition, the list of what it is given; both with empty partitions more if a session deals to more."""
+    given = pairs.partitionBy(rows.getNumPartitions(), int).mapPartitions(lambda it: [[value for _, value in it]])
+    more = given.getNumPartitions() - rows.getNumPartitions()
+    # One element a partition on both sides, as is asked of what is zipped.
+    empty = rows.context.parallelize(range(more), more).map(lambda _: []) if more else None
+    return rows if empty is None else rows.union(empty), given
 
 
 def _finished(placed: RDD, given: RDD, tops: RDD, at: dict) -> RDD:
     """(row, subroot, root, proof) of all rows; ``tops``: (partition, (group, subroot, root, levels above the subroot))."""
-    parts = placed.getNumPartitions()
     shared = placed.context.broadcast(at)
 
     def rows(part: int, pairs: Iterator[tuple]) -> Iterator[tuple]:
@@ -314,7 +317,9 @@ def _finished(placed: RDD, given: RDD, tops: RDD, at: dict) -> RDD:
                     yield row, subroot, root, proof + tuple(upper)
 
     whole = placed.mapPartitions(lambda it: [list(it)])
-    return whole.zip(_by_part(given, parts)).zip(_by_part(tops, parts)).mapPartitionsWithIndex(rows)
+    for pairs in (given, tops):
+        whole = RDD.zip(*_by_part(whole, pairs))
+    return whole.mapPartitionsWithIndex(rows)
 
 
 def manifest(documents: DataFrame, group: str = "source", key: str = "doc_id", fields: tuple[str, ...] = FIELDS, claimed: Column | None = None) -> DataFrame:
