@@ -100,20 +100,25 @@ KEY = ["rule_id", "dialogue_id", "a_turn", "a_seq", "window_ord"]
 
 
 def with_places(atoms: DataFrame) -> DataFrame:
-    """``atoms`` with the place of evidence spans in their turn, and how many spans stand near them.
+    """``atoms`` with the place of evidence spans in their turn, how many spans stand near them, and the first of these.
 
     n_turn: in the turn; near_1, near_2: spans that are no whole turn, of the same speaker,
-    at most one and two turns away. All frames lie in one dialogue: one shuffle serves them.
+    at most one and two turns away; first_1 to first_4: the first span (turn, seq) of the windows of several spans.
+    All frames lie in one dialogue: one shuffle serves them.
     """
     in_turn = Window.partitionBy("dialogue_id", "turn_index")
     by_speaker = Window.partitionBy("dialogue_id", "speaker").orderBy("turn_index")
     counts, part = F.col("is_evidence").cast("int"), (F.col("span_type") == "atom").cast("int")
+    at = F.struct("turn_index", "seq")
+    inside = lambda r: F.min(F.when(F.col("is_evidence"), at)).over(in_turn.orderBy("seq").rowsBetween(-r, 0))
+    around = lambda r: F.min(F.when(F.col("span_type") == "atom", at)).over(by_speaker.rangeBetween(-r, r))
     return atoms.repartition("dialogue_id").select(
         "*",
         F.sum(counts).over(in_turn.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)).alias("place"),
         F.sum(counts).over(in_turn).alias("n_turn"),
         F.sum(part).over(by_speaker.rangeBetween(-1, 1)).alias("near_1"),
         F.sum(part).over(by_speaker.rangeBetween(-2, 2)).alias("near_2"),
+        *[x.alias(f"first_{i}") for i, x in enumerate((inside(1), inside(2), around(1), around(2)), 1)],
     )
 
 
@@ -122,7 +127,7 @@ def _evidence(atoms: DataFrame) -> DataFrame:
 
 
 def windows(candidates: DataFrame, atoms: DataFrame, rules: DataFrame) -> DataFrame:
-    """(rule, anchor span, window, factor, size): the windows of every candidate.
+    """(rule, anchor span, window, factor, size, first): the windows of every candidate; first: their first span.
 
     Constraints have only the span itself; nodes also spans of the same speaker in
     neighbouring turns. A window of one span is left out. Members are not listed: their
@@ -133,8 +138,9 @@ def windows(candidates: DataFrame, atoms: DataFrame, rules: DataFrame) -> DataFr
     around = lambda r: F.least(n, place + r) - F.greatest(F.lit(1), place - r) + 1
     free, node = ~F.col("rule_type").startswith("constraint_"), F.col("rule_type") == "node_positive"
     sizes = [F.lit(1), F.when(free, around(1)), F.when(free, around(2)), F.when(node, F.col("near_1")), F.when(node, F.col("near_2"))]
+    firsts = [F.struct("turn_index", "seq"), *[F.col(f"first_{i}") for i in range(1, 5)]]
     listed = [
-        F.when(F.lit(i == 0) | (size > 1), F.struct(F.lit(i).alias("window_ord"), F.lit(name).alias("window"), F.lit(factor).alias("factor"), size.cast("bigint").alias("size")))
+        F.when(F.lit(i == 0) | (size > 1), F.struct(F.lit(i).alias("window_ord"), F.lit(name).alias("window"), F.lit(factor).alias("factor"), size.cast("bigint").alias("size"), firsts[i].alias("first")))
         for i, (size, (name, factor)) in enumerate(zip(sizes, WINDOWS, strict=True))
     ]
     out = anchors.select("rule_id", "rule_type", "dialogue_id", F.col("turn_index").alias("a_turn"), F.col("seq").alias("a_seq"), F.col("place").alias("a_place"), F.col("speaker").alias("a_speaker"), F.inline_outer(F.array_compact(F.array(*listed))))
@@ -142,7 +148,7 @@ def windows(candidates: DataFrame, atoms: DataFrame, rules: DataFrame) -> DataFr
 
 
 def _inside(wins: DataFrame, hits: DataFrame, atoms: DataFrame) -> DataFrame:
-    """(window, element) where a member of the window has the hit, once for each member. The turn is a part of the join's key."""
+    """(window, element, at): elements that a member of the window hits, and the first such span. The turn is a part of the join's key."""
     spans = _evidence(atoms).select(*SPAN, "speaker", "place", "span_type")
     held = hits.select("rule_id", *SPAN, "element_id").join(spans, SPAN)
     anchors = wins.select("rule_id", "rule_type", "dialogue_id", "a_turn", "a_seq", "a_place", "a_speaker").distinct()
@@ -153,8 +159,8 @@ def _inside(wins: DataFrame, hits: DataFrame, atoms: DataFrame) -> DataFrame:
     spoken = node & (F.col("speaker") == F.col("a_speaker")) & (F.col("span_type") == "atom")
     holds = [same & (near == 0), same & (near <= 1), same & (near <= 2), spoken & (far <= 1), spoken]
     ords = F.array_compact(F.array(*[F.when(x, F.lit(i)) for i, x in enumerate(holds)]))
-    found = pairs.select("rule_id", "dialogue_id", "a_turn", "a_seq", F.explode_outer(ords).alias("window_ord"), "element_id").where("window_ord IS NOT NULL")
-    return found.join(wins.select(*KEY), KEY, "left_semi")
+    found = pairs.select("rule_id", "dialogue_id", "a_turn", "a_seq", F.explode_outer(ords).alias("window_ord"), "element_id", F.struct("turn_index", "seq").alias("at")).where("window_ord IS NOT NULL")
+    return found.groupBy(*KEY, "element_id").agg(F.min("at").alias("at")).join(wins.select(*KEY), KEY, "left_semi")
 
 
 def _texts(atoms: DataFrame) -> DataFrame:
@@ -172,7 +178,7 @@ def _texts(atoms: DataFrame) -> DataFrame:
 
 
 def window_hits(wins: DataFrame, hits: DataFrame, atoms: DataFrame, elements: DataFrame) -> DataFrame:
-    """(window, element) of what is hit in a window: by a member, or over its members' text (nodes only)."""
+    """(window, element, at) of what is hit in a window: by a member, or over its members' text (nodes only), then at its first span."""
     inside = _inside(wins, hits, atoms)
     several = wins.where("rule_type = 'node_positive' AND size > 1")
     narrow = F.col("window_ord") <= 2
@@ -190,9 +196,10 @@ def window_hits(wins: DataFrame, hits: DataFrame, atoms: DataFrame, elements: Da
     small = F.broadcast(element_terms(elements).where("rule_type = 'node_positive'").select("rule_id", "element_id", "t", "in_order"))
     said = form_hit(F.col("t"), F.col("form")) | (F.col("in_order") & tight_ordered_hit(F.col("t.tight"), F.col("form.tight")))
     over = needed.join(small, "rule_id").where(said).select("rule_id", "dialogue_id", "a_turn", "window_ord", "t_seq", "t_speaker", "element_id").distinct()
-    at = several.select(*KEY, F.when(narrow, F.col("a_seq")).alias("w_seq"), F.when(~narrow, F.col("a_speaker")).alias("w_speaker"))
+    at = several.select(*KEY, F.when(narrow, F.col("a_seq")).alias("w_seq"), F.when(~narrow, F.col("a_speaker")).alias("w_speaker"), "first")
     back = at.join(over, ["rule_id", "dialogue_id", "a_turn", "window_ord"]).where(F.col("w_seq").eqNullSafe(F.col("t_seq")) & F.col("w_speaker").eqNullSafe(F.col("t_speaker")))
-    return inside.union(back.select(*KEY, "element_id")).distinct()
+    either = inside.withColumn("later", F.lit(False)).unionByName(back.select(*KEY, "element_id", F.col("first").alias("at"), F.lit(True).alias("later")))
+    return either.groupBy(*KEY, "element_id").agg(F.min_by("at", "later").alias("at"))
 
 
 def with_core(elements: DataFrame) -> DataFrame:
@@ -209,7 +216,8 @@ def group_measures(hit_rows: DataFrame) -> DataFrame:
     plain = ~_is_role()
     hit, w = F.col("is_hit"), F.col("weight")
     count = lambda c: F.sum(c.cast("int"))
-    return hit_rows.groupBy(*KEY, "rule_type", "window", "factor", "group_id", "group_ord", "decisive", "require_all", "hit_main", "hit_group", "review_main", "review_group").agg(
+    return hit_rows.groupBy(*KEY, "rule_type", "window", "factor", "group_id", "group_ord", "decisive", "require_all", "hit_main", "hit_group", "review_main", "review_group", *[c for c in ("first",) if c in hit_rows.columns]).agg(
+        *([F.min_by("at", F.when(F.col("at").isNotNull(), F.col("element_ord"))).alias("at")] if "at" in hit_rows.columns else []),
         (F.sum(F.when(hit, w).otherwise(0.0)) / F.sum(w)).alias("raw_group"),
         (F.sum(F.when(hit & F.col("core"), w).otherwise(0.0)) / F.sum(F.when(F.col("core"), w).otherwise(0.0))).alias("raw_core"),
         count(F.col("core")).alias("n_core"),
@@ -252,10 +260,16 @@ def group_verdicts(measures: DataFrame) -> DataFrame:
 
 
 def settle(groups: DataFrame) -> DataFrame:
-    """One row per window: the decisive groups are alternatives, the others support."""
+    """One row per window: the decisive groups are alternatives, the others support.
+
+    m_turn, m_seq: where the match stands, at the first span that the first hit element of the first group with one meets, otherwise
+    at the anchor; first_turn: where the window begins. Groups without places stand at their anchor.
+    """
     best = lambda of: F.max(F.when(F.col("decisive") & of, F.col("score")))
     hit, review = F.col("verdict") == "hit", F.col("verdict") == "review"
-    out = groups.groupBy(*KEY, "rule_type", "window", "hit_group", "review_group").agg(
+    placed = "at" in groups.columns
+    out = groups.groupBy(*KEY, "rule_type", "window", "hit_group", "review_group", *(["first"] if placed else [])).agg(
+        *([F.min_by("at", F.when(F.col("at").isNotNull(), F.col("group_ord"))).alias("at")] if placed else []),
         best(hit).alias("best_hit"),
         best(review).alias("best_review"),
         best(F.lit(True)).alias("best_any"),
@@ -266,7 +280,10 @@ def settle(groups: DataFrame) -> DataFrame:
     out = out.withColumn("score", F.when(F.col("support").isNotNull(), 0.80 * decided + 0.20 * F.col("support")).otherwise(decided))
     some = F.col("best_hit").isNotNull() | F.col("best_review").isNotNull()
     verdict = F.when(F.col("best_hit").isNotNull() & (F.col("score") >= F.col("hit_group")), "hit").when(some | (F.col("score") >= F.col("review_group")), "review").otherwise("miss")
-    return out.withColumn("verdict", verdict)
+    out = out.withColumn("verdict", verdict)
+    if not placed:
+        return out.withColumns({"m_turn": F.col("a_turn"), "m_seq": F.col("a_seq"), "first_turn": F.col("a_turn")})
+    return out.withColumns({"m_turn": F.coalesce("at.turn_index", "a_turn"), "m_seq": F.coalesce("at.seq", "a_seq"), "first_turn": F.col("first.turn_index")}).drop("at", "first")
 
 
 def verdict_rank(verdict: Column) -> Column:
@@ -274,16 +291,16 @@ def verdict_rank(verdict: Column) -> Column:
 
 
 def best_matches(settled: DataFrame) -> DataFrame:
-    """(dialogue, rule, verdict, score, turn, seq, window): the best window; of equal ones the first."""
+    """(dialogue, rule, verdict, score, turn, seq, window, first_turn): the best window; of equal ones the first by anchors."""
     order = F.struct(verdict_rank(F.col("verdict")), "score", -F.col("a_turn"), -F.col("a_seq"), -F.col("window_ord"))
-    kept = F.struct("verdict", "score", F.col("a_turn").alias("turn_index"), F.col("a_seq").alias("seq"), "window")
+    kept = F.struct("verdict", "score", F.col("m_turn").alias("turn_index"), F.col("m_seq").alias("seq"), "window", "first_turn")
     return settled.groupBy("dialogue_id", "rule_id", "rule_type").agg(F.max_by(kept, order).alias("m")).select("dialogue_id", "rule_id", "rule_type", "m.*")
 
 
 def evaluate_windows(wins: DataFrame, hits: DataFrame, atoms: DataFrame, elements: DataFrame) -> DataFrame:
     """One row per (window, group): verdicts of every group of a rule in every window."""
     found = window_hits(wins, hits, atoms, elements).withColumn("is_hit", F.lit(True))
-    each = wins.select(*KEY, "window", "factor").join(F.broadcast(with_core(elements).drop("forms", "terms", "surface")), "rule_id")
+    each = wins.select(*KEY, "window", "factor", "first").join(F.broadcast(with_core(elements).drop("forms", "terms", "surface")), "rule_id")
     rows = each.join(found, [*KEY, "element_id"], "left").withColumn("is_hit", F.coalesce("is_hit", F.lit(False)))
     return group_verdicts(group_measures(rows))
 
@@ -326,7 +343,7 @@ def flat_matches_with_pools(atoms: DataFrame, elements: DataFrame, pooled_hits:
     verdict = F.when(F.col("score") <= 0, "miss").when(F.col("score") >= F.col("hit_group"), "hit").when(F.col("score") >= F.col("review_group"), "review").otherwise("miss")
     scored = scored.withColumn("verdict", verdict).select("rule_id", "rule_type", "score", "verdict", "span_id.*")
     order = F.struct(verdict_rank(F.col("verdict")), "score", -F.col("turn_index"), -F.col("seq"))
-    kept = F.struct("verdict", "score", "turn_index", "seq", F.lit("same_atom").alias("window"))
+    kept = F.struct("verdict", "score", "turn_index", "seq", F.lit("same_atom").alias("window"), F.col("turn_index").alias("first_turn"))
     return scored.groupBy("dialogue_id", "rule_id", "rule_type").agg(F.max_by(kept, order).alias("m")).select("dialogue_id", "rule_id", "rule_type", "m.*")
 
 

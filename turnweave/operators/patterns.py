@@ -101,9 +101,19 @@ def turn_matches(pattern: dict, text: Column, speaker: Column, fuzzy: bool = Fal
     return out
 
 
-def pattern_turns(turns: DataFrame, pattern: dict, fuzzy: bool = False) -> DataFrame:
-    """(dialogue, turn_index) of the turns in which a pattern is met; asks that a short yes answers stand at the answer."""
+def pattern_turns(turns: DataFrame, pattern: dict, fuzzy: bool = False, node_text: str | None = None) -> DataFrame:
+    """(dialogue, turn_index) of the turns in which a pattern is met; asks that a short yes answers stand at the answer.
+
+    ``node_text``: of the step that the pattern triggers; turns that name only its neutral object are left out.
+    """
     text, speaker = F.col("text"), F.col("speaker")
+    if node_text is not None:
+        met = pattern_turns(turns, pattern, fuzzy)
+        words = [*pattern["any"], *pattern["all"]]
+        if not asks_for_repair(node_text, words):
+            return met
+        neutral = turns.where(only_neutral(node_text, words, text)).select("dialogue_id", "turn_index")
+        return met.join(neutral, ["dialogue_id", "turn_index"], "left_anti")
     if pattern.get("cross_turn") in ASKED:
         ask = turn_matches({**pattern, "speaker": "", "cross_turn": None}, text, speaker, fuzzy)
         return replies_within(turns, ask, short_affirmation("text"), pattern["within"]).select("dialogue_id", F.col("reply_turn").alias("turn_index"))
@@ -148,10 +158,15 @@ def scan_objects(turns: DataFrame, objects: DataFrame) -> DataFrame:
     return best.select("dialogue_id", "object_id", "b.*")
 
 
+def asks_for_repair(node_text: str, words: list[str]) -> bool:
+    """Whether a step repairs something, and its pattern has words of a problem."""
+    tight = ["".join(w.split()) for w in words]
+    return any(w in node_text.lower() for w in REPAIRS) and any(p in w for p in NEUTRAL_PROBLEMS for w in tight)
+
+
 def only_neutral(node_text: str, words: list[str], text: Column) -> Column:
     """Whether a turn names only the neutral object of a repair step, and not the problem that the step is for."""
-    tight = ["".join(w.split()) for w in words]
-    if not any(w in node_text.lower() for w in REPAIRS) or not any(p in w for p in NEUTRAL_PROBLEMS for w in tight):
+    if not asks_for_repair(node_text, words):
         return F.lit(False)
     said = F.regexp_replace(text, r"(?U)\s+", "")
     return any_of(said, NEUTRAL_SEEN) | ~any_of(said, NEUTRAL_PROBLEMS)

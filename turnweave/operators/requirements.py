@@ -27,7 +27,7 @@ def relation_penalties(requirements: DataFrame, relations: DataFrame, active: Da
     rows = state.join(active.where("active").select("dialogue_id", "node_id"), ["dialogue_id", "node_id"], "left_semi").join(F.broadcast(relations), "node_id")
     at = lambda x: F.try_element_at("of", x)
     matched = lambda x: F.coalesce(at(x)["matched"], F.lit(False))
-    turn = lambda x: F.when(matched(x), at(x)["turn_index"])
+    turn = lambda x: at(x)["turn_index"]
     kind, left, right, options = F.col("type"), F.col("left"), F.col("right"), F.col("options")
     lacking = lambda xs: F.filter(xs, lambda x: at(x).isNotNull() & ~matched(x))
     own = lambda name: F.coalesce(F.col("own"), F.lit(PENALTY[name]))

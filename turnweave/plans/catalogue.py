@@ -168,13 +168,13 @@ def compile_rules(spark: SparkSession, rules: list[dict[str, Any]], nodes: list[
     for e in edges:
         if e["source"] not in known or e["target"] not in known:
             raise ValueError(f"an edge names an unknown node: {e['source']} -> {e['target']}")
-    edge_rows = [(e["source"], e["target"], edge_kind(e.get("type", "before")), float(e.get("weight", 1.0))) for e in edges]
+    edge_rows = [(e["source"], e["target"], edge_kind(e.get("type", "before")), float(e.get("weight", 1.0)), list(e.get("suppress", ()))) for e in edges]
     return Catalogue(
         elements,
         local_table(spark, node_rows, "node_id string, node_type string, mode string, required boolean, rules array<string>, trigger_rule string"),
-        local_table(spark, edge_rows, "source string, target string, kind string, weight double"),
+        local_table(spark, edge_rows, "source string, target string, kind string, weight double, suppress array<string>"),
         len(rows),
-        any(kind in ENDS for _, _, kind, _ in edge_rows),
+        any(e[2] in ENDS for e in edge_rows),
     )
 
 

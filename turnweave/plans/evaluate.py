@@ -66,7 +66,8 @@ def policy_events(turns: DataFrame, policies: list[dict]) -> DataFrame:
 def _suppressed_by_policies(events: DataFrame, found: DataFrame, graph: Graph) -> DataFrame:
     """(dialogue, node_id) that a handled policy ends: those it names, conditional and terminal ones, and those without a hit up to its handling."""
     spark = events.sparkSession
-    handled = events.where(F.col("status") == requirements.HANDLED).groupBy("dialogue_id").agg(F.max("safe_turn").alias("until"), F.collect_set("policy_id").alias("policies"))
+    # A step that has no hit up to one policy's handling is ended by it: the first handling ends the most.
+    handled = events.where(F.col("status") == requirements.HANDLED).groupBy("dialogue_id").agg(F.min("safe_turn").alias("until"), F.collect_set("policy_id").alias("policies"))
     named = local_table(spark, [(p["id"], n) for p in graph.parts.policies for n in p["suppress"]], "policy_id string, node_id string")
     own = handled.select("dialogue_id", F.explode("policies").alias("policy_id")).join(F.broadcast(named), "policy_id").select("dialogue_id", "node_id")
     always = [n["id"] for n in graph.parts.nodes if n["type"] == "terminal" or n["activation"]["mode"] in ("user_triggered", "condition")]
@@ -86,7 +87,7 @@ def _fact_checks(spans: DataFrame, settled: DataFrame, graph: Graph) -> DataFram
     near = selected.withColumn("best", best).where(F.col("score") >= F.greatest(F.lit(SCOPE_LEAST), SCOPE_SHARE * F.col("best")))
     scope = stored(judges.value_scope(near.select("dialogue_id", "fact_id", F.col("a_turn").alias("turn_index")), own, keys=("fact_id",)))
     place = F.struct(matching.verdict_rank(F.col("verdict")), "score", -F.col("a_turn"), -F.col("a_seq"), -F.col("window_ord"))
-    kept = F.struct("verdict", F.col("a_turn").alias("turn"), F.col("a_seq").alias("seq"))
+    kept = F.struct("verdict", F.col("m_turn").alias("turn"), F.col("m_seq").alias("seq"))
     top = lambda rows, name: rows.groupBy("dialogue_id", "fact_id").agg(F.max_by(kept, place).alias(name))
     in_scope = scope.select("dialogue_id", "fact_id", F.col("turn_index").alias("a_turn"))
     sides = [top(of_side("selector"), "selector_m")]
@@ -126,7 +127,12 @@ def _fact_checks(spans: DataFrame, settled: DataFrame, graph: Graph) -> DataFram
     rows = rows.withColumn("p_turn", F.col("correct_m.turn")).withColumn("p_seq", F.col("correct_m.seq")).join(at, ["dialogue_id", "p_turn", "p_seq"], "left")
     verdict_of = lambda m: F.coalesce(F.col(f"{m}.verdict"), F.lit("miss"))
     denies = any_of(F.coalesce("p_text", F.lit("")), NEGATION)
-    probe = values.negation_probe(verdict_of("correct_m"), F.col("p_text"), denies, F.lit(False))
+    # Whether a span of a fact's scope denies something; without a selector all that the assistant says is its scope.
+    denying = own.where(any_of(F.col("text"), NEGATION)).select("dialogue_id", "turn_index").distinct()
+    scoped = denying.join(scope.select("dialogue_id", "fact_id", "turn_index").distinct(), ["dialogue_id", "turn_index"]).select("dialogue_id", "fact_id", F.lit(True).alias("near_denies")).distinct()
+    rows = rows.join(scoped, ["dialogue_id", "fact_id"], "left").join(denying.select("dialogue_id", F.lit(True).alias("any_denies")).distinct(), "dialogue_id", "left")
+    nearby = F.when(F.col("has_selector"), F.col("near_denies")).otherwise(F.col("any_denies"))
+    probe = values.negation_probe(verdict_of("correct_m"), F.col("p_text"), denies, F.coalesce(nearby, F.lit(False)))
     wrong = F.when(~F.col("has_wrong"), probe).when(F.col("carried") & (verdict_of("wrong_m") == "miss"), "hit").otherwise(verdict_of("wrong_m"))
     verdict = judges.knowledge_verdict(F.col("has_selector"), verdict_of("selector_m"), verdict_of("correct_m"), wrong, verdict_of("all_m"), F.col("value"), F.col("direction"))
     turn = F.coalesce(F.when(wrong == "hit", F.col("wrong_m.turn")), F.when(F.col("value") == "conflict", F.col("value_turn")), "turned_turn", "correct_m.turn", "value_turn", "selector_m.turn")
@@ -204,6 +210,46 @@ def _routed(turns: DataFrame, found: DataFrame, graph: Graph, results: DataFrame
     return rows.select(*[F.when(skipped, over[c]).otherwise(F.col(c)).alias(c) if c in over else c for c in results.columns])
 
 
+#: Modes of nodes that the user's words can trigger.
+TRIGGERED = ("user_triggered", "condition", "optional")
+
+
+def _node_text(n: dict) -> str:
+    return " ".join(["".join([n["id"], n["name"], *n["aliases"]]), *[f"{r['id']} {r['text']}" for r in n["requirements"]]])
+
+
+def _asked(triggers: DataFrame, graph: Graph) -> DataFrame:
+    """``triggers`` of nodes whose mode knows triggers."""
+    return triggers.where(F.col("node_id").isin(*[n["id"] for n in graph.parts.nodes if n["activation"]["mode"] in TRIGGERED]))
+
+
+def _branches(turns: DataFrame, triggers: DataFrame, graph: Graph) -> DataFrame:
+    """(dialogue, node_id, trigger_turn, handled) of triggered branches; handled: a later turn of the assistant takes the trigger's words up."""
+    asked = _asked(triggers, graph)
+    words = [(n["id"], w) for n in graph.parts.nodes for p in n["activation"]["patterns"] for w in (*p["any"], *p["all"])]
+    if not words:
+        return asked.withColumn("handled", F.lit(False))
+    taken = activation.handled_branches(turns, asked, local_table(turns.sparkSession, words, "node_id string, word string")).withColumn("handled", F.lit(True))
+    return asked.join(taken, ["dialogue_id", "node_id"], "left")
+
+
+def _with_conditional(turns: DataFrame, results: DataFrame, graph: Graph) -> DataFrame:
+    """``results`` in which requirements that hold for calls that go on are required where no user stops early."""
+    stopped = requirements.early_stops(turns).withColumn("stopped", F.lit(True))
+    named = F.col("requirement_id").isin(*[r["id"] for n in graph.parts.nodes for r in n["requirements"] if r["conditional"]])
+    rows = results.join(stopped, "dialogue_id", "left")
+    return rows.select(*[(F.col(c) | (F.coalesce(named, F.lit(False)) & F.col("stopped").isNull())).alias(c) if c == "required" else c for c in results.columns])
+
+
+def _with_empty_groups(rows: DataFrame, dialogues: DataFrame, graph: Graph) -> DataFrame:
+    """``rows`` of members and one inactive member for each group that has none."""
+    empty = [(g["id"], g["type"]) for g in graph.parts.groups if not g["nodes"]]
+    if not empty:
+        return rows
+    listed = F.broadcast(local_table(dialogues.sparkSession, empty, "group_id string, group_type string"))
+    return rows.unionByName(dialogues.crossJoin(listed).withColumn("active", F.lit(False)), allowMissingColumns=True)
+
+
 def evaluate(turns: DataFrame, graph: Graph, given_satisfies: bool = False) -> dict[str, DataFrame]:
     """Result tables by name: matches, steps, edges, groups, inner, events, checks, limits, scores.
 
@@ -223,7 +269,7 @@ def evaluate(turns: DataFrame, graph: Graph, given_satisfies: bool = False) -> d
     by_pattern, scanned = none, none.drop("pattern_ord")
     for n in graph.parts.nodes:
         for k, p in enumerate(n["activation"]["patterns"]):
-            met = patterns.pattern_turns(turns, {**p, "speaker": p["speaker"] or "user"}).select("dialogue_id", F.lit(n["id"]).alias("node_id"), F.lit(k).alias("pattern_ord"), "turn_index")
+            met = patterns.pattern_turns(turns, {**p, "speaker": p["speaker"] or "user"}, node_text=_node_text(n)).select("dialogue_id", F.lit(n["id"]).alias("node_id"), F.lit(k).alias("pattern_ord"), "turn_index")
             by_pattern = by_pattern.unionByName(met)
     objects = [(n["id"], "user", *_object_terms(n["activation"]["object"])) for n in graph.parts.nodes if n["activation"]["object"]]
     if objects:
@@ -231,37 +277,43 @@ def evaluate(turns: DataFrame, graph: Graph, given_satisfies: bool = False) -> d
         scanned = patterns.scan_objects(turns, listed).where("matched").select("dialogue_id", F.col("object_id").alias("node_id"), "turn_index")
     triggers = stored(activation.first_triggers(by_pattern, fired, scanned))
 
-    results = _routed(turns, found, graph, nodes.requirement_results(found, graph.requirements), triggers)
+    raw = nodes.requirement_results(found, graph.requirements)
+    clear = raw.where(F.col("matched") & (F.col("score") >= nodes.LOCAL_HIT)).select("dialogue_id", "node_id").distinct()
+    if any(r["conditional"] for n in graph.parts.nodes for r in n["requirements"]):
+        raw = _with_conditional(turns, raw, graph)
+    results = _routed(turns, found, graph, raw, triggers)
     if given_satisfies:
         asked = local_table(spark, [(r["id"], r["text"], [t for g in r["groups"] for e in g["elements"] if e["main"] for t in (e["value"], *e["pool"])]) for n in graph.parts.nodes for r in n["requirements"]], "requirement_id string, text string, terms array<string>")
         given = activation.given_unasked(turns.where("speaker = 'user'").select("dialogue_id", "text"), asked).withColumn("given", F.lit(True))
         rows = results.join(given, ["dialogue_id", "requirement_id"], "left")
         results = rows.select(*[F.when(F.coalesce("given", F.lit(False)), F.lit(1.0 if c == "score" else True)).otherwise(F.col(c)).alias(c) if c in ("score", "matched") else c for c in results.columns])
     results = stored(results)
-    scores = stored(nodes.node_scores(results))
+    scores = stored(nodes.node_scores(results, branches=_branches(turns, triggers, graph)))
     trigger_rows = triggers.select("dialogue_id", "node_id", F.lit("hit").alias("verdict")).join(F.broadcast(catalogue.nodes.select("node_id", F.concat(F.lit("trigger::"), "node_id").alias("rule_id"))), "node_id")
     triggered_nodes = catalogue.nodes.withColumn("trigger_rule", F.concat(F.lit("trigger::"), "node_id"))
 
     events = policy_events(turns, graph.parts.policies) if graph.parts.policies else local_table(spark, [], "dialogue_id string, policy_id string, trigger_turn int, safe_turn int, forbidden_turn int, status string")
     events = stored(events)
     gone = _suppressed_by_policies(events, found, graph) if graph.parts.policies else None
-    steps = nodes.node_results(scores, triggered_nodes, trigger_rows, catalogue.edges, gone)
+    steps = nodes.node_results(scores, triggered_nodes, trigger_rows, catalogue.edges, gone, clear)
     reach = nodes.closure(spark, catalogue.edges) if catalogue.ends else None
     if reach is not None:
-        ended = nodes.suppressed_by_terminals(steps, catalogue.edges, reach)
+        ended = nodes.suppressed_by_terminals(steps, catalogue.edges, reach, _asked(triggers, graph))
         gone = ended if gone is None else gone.union(ended).distinct()
-        steps = nodes.node_results(scores, triggered_nodes, trigger_rows, catalogue.edges, gone)
+        steps = nodes.node_results(scores, triggered_nodes, trigger_rows, catalogue.edges, gone, clear)
     steps = stored(steps)
 
     edges = relations.edge_results(steps, catalogue.edges)
     members = F.broadcast(graph.members)
-    grouped = relations.group_scores(steps.where("active").join(members, "node_id").select("dialogue_id", "group_id", "group_type", "position", "score", "status", "first_hit_turn")) if graph.parts.groups else None
+    in_groups = ["dialogue_id", "group_id", "group_type", "position", "active", "score", "status", "first_hit_turn"]
+    grouped = relations.group_scores(_with_empty_groups(steps.join(members, "node_id").select(*in_groups), dialogues, graph)) if graph.parts.groups else None
+    told = relations.group_events(grouped, graph.groups) if grouped is not None else local_table(spark, [], "dialogue_id string, group_id string, relation string, penalty double")
     inner = requirements.relation_penalties(results, graph.relations, steps.select("dialogue_id", "node_id", "active"))
     less = inner.select("dialogue_id", "penalty").unionByName(requirements.context_penalties(events))
     if reach is not None:
         less = less.unionByName(relations.continued_after_end(steps, catalogue.edges, reach).select("dialogue_id", "penalty"))
     less = less.groupBy("dialogue_id").agg(F.sum("penalty").alias("more"))
-    related = relations.relation_scores(dialogues, edges, grouped).join(less, "dialogue_id", "left")
+    related = relations.relation_scores(dialogues, edges, grouped, graph.groups).join(less, "dialogue_id", "left")
     related = related.select("dialogue_id", F.greatest(F.lit(0.0), F.col("relation_score") - F.coalesce("more", F.lit(0.0))).alias("relation_score"))
 
     checks = stored(_fact_checks(spans, settled, graph)) if graph.parts.facts else local_table(spark, [], "dialogue_id string, fact_id string, severity string, verdict string, turn_index int, correct string, wrong string, selector string")
@@ -284,7 +336,7 @@ def evaluate(turns: DataFrame, graph: Graph, given_satisfies: bool = False) -> d
     # Soft constraints that a dialogue has no row of are met: metrics make rows only where they are broken.
     full = F.coalesce("soft", F.lit(0.0)) + 100.0 * (n_soft - F.coalesce("n_soft", F.lit(0)))
     rows = rows.withColumn("soft_score", full / n_soft if n_soft else F.lit(100.0)).drop("soft", "n_soft")
-    return {"matches": matches, "steps": steps, "requirements": results, "edges": edges, "inner": inner, "events": events, "checks": checks, "limits": limits, "scores": scoring.totals(rows)}
+    return {"matches": matches, "steps": steps, "requirements": results, "edges": edges, "groups": told, "inner": inner, "events": events, "checks": checks, "limits": limits, "scores": scoring.totals(rows)}
 
 
 def _object_terms(x: dict) -> tuple[list[str], list[list[str]], list[str], int]:

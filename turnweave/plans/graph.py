@@ -254,6 +254,8 @@ def requirement(row: dict, node_id: str, k: int) -> dict:
         "weight": float(weight) if isinstance(weight, (int, float)) and weight > 0 else 1.0,
         "groups": own,
         "aliases": _words(row.get("aliases")),
+        # An optional requirement that is a required one if the user does not stop the call at its start.
+        "conditional": isinstance(row.get("match_policy"), dict) and bool(row["match_policy"].get("conditional_required_when_no_early_user_stop")),
     }
 
 
@@ -292,7 +294,15 @@ def edge(row: dict, known: set[str]) -> dict:
 
 def relation_group(row: dict, known: set[str], k: int) -> dict:
     """A group of nodes; names that no node has are left out."""
-    return {"id": _text(row.get("id")) or f"group{k}", "type": _text(_first(row, "type", "group_type")) or "all_of", "nodes": [n for n in _words(_first(row, "nodes", "members")) if n in known]}
+    weight, least = row.get("weight"), row.get("min_completed")
+    return {
+        "id": _text(row.get("id")) or f"group{k}",
+        "type": (_text(_first(row, "type", "group_type")) or "all_of").lower(),
+        "nodes": [n for n in _words(_first(row, "nodes", "members")) if n in known],
+        "weight": float(weight) if isinstance(weight, (int, float)) else 1.0,
+        "required": row.get("required", True) is not False,
+        "least": int(least) if isinstance(least, (int, float)) else None,
+    }
 
 
 def flattened(table: Any) -> list[dict]:
@@ -605,6 +615,7 @@ class Graph:
     requirements: DataFrame
     relations: DataFrame
     members: DataFrame
+    groups: DataFrame
     facts: DataFrame
     values: DataFrame
     constraints: DataFrame
@@ -635,7 +646,9 @@ def graph_rows(source: dict) -> tuple[Parts, list[dict], dict[str, list]]:
         node_rows.append({"id": n["id"], "type": n["type"], "mode": own["mode"], "required": n["required"], "rules": [r["id"] for r in n["requirements"]], "trigger": trigger})
         for r in n["requirements"]:
             rule(r["id"], "node_positive", r["groups"], requested_speaker(r["groups"], "assistant"), True)
-            requirement_rows.append((n["id"], r["id"], r["weight"], r["required"], r["text"]))
+            requirement_rows.append((n["id"], r["id"], r["weight"], r["required"], r["text"], r["conditional"]))
+        if not n["requirements"]:
+            requirement_rows.append((n["id"], None, 0.0, False, "", False))
         relation_rows += [(x["node_id"], x["id"], x["type"], x["left"], x["right"], x["options"], float(x["own"]) if isinstance(x["own"], (int, float)) else None) for x in n["relations"]]
     fact_rows, value_rows = [], []
     for f in parts.facts:
@@ -655,9 +668,10 @@ def graph_rows(source: dict) -> tuple[Parts, list[dict], dict[str, list]]:
             constraint_rows.append((c["id"], *sides, c["needs_trigger"], c["severity"]))
         elif c["enforcement"] == "soft" and c["global"] and not c["metric"].get("type"):
             rule(f"{c['id']}.soft", "soft_global", [{"elements": [e], "role": "global"} for g in c["global"] for e in g["elements"]], "assistant")
-    edges = [{"source": e["source"], "target": e["target"], "type": e["type"], "weight": e["weight"]} for e in parts.edges]
+    edges = [{"source": e["source"], "target": e["target"], "type": e["type"], "weight": e["weight"], "suppress": e["suppress"]} for e in parts.edges]
     member_rows = [(g["id"], g["type"], i, n) for g in parts.groups for i, n in enumerate(g["nodes"])]
-    rows = {"nodes": node_rows, "edges": edges, "requirements": requirement_rows, "relations": relation_rows, "members": member_rows, "facts": fact_rows, "values": value_rows, "constraints": constraint_rows}
+    group_rows = [(g["id"], g["type"], g["weight"], g["required"], g["least"]) for g in parts.groups]
+    rows = {"nodes": node_rows, "edges": edges, "requirements": requirement_rows, "relations": relation_rows, "members": member_rows, "groups": group_rows, "facts": fact_rows, "values": value_rows, "constraints": constraint_rows}
     return parts, rules, rows
 
 
@@ -668,9 +682,10 @@ def compile_graph(spark: SparkSession, source: dict) -> Graph:
     return Graph(
         parts,
         compile_rules(spark, rules, rows["nodes"], rows["edges"]),
-        table("requirements", "node_id string, requirement_id string, weight double, required boolean, text string"),
+        table("requirements", "node_id string, requirement_id string, weight double, required boolean, text string, conditional boolean"),
         table("relations", "node_id string, relation_id string, type string, left array<string>, right array<string>, options array<string>, own double"),
         table("members", "group_id string, group_type string, position int, node_id string"),
+        table("groups", "group_id string, group_type string, weight double, required boolean, least int"),
         table("facts", "fact_id string, selector string, correct string, wrong string, severity string, subjects array<string>, expected array<string>, carries boolean"),
         table("values", VALUE_FACT),
         table("constraints", "constraint_id string, trigger string, negative string, safe string, needs_trigger boolean, severity string"),
@@ -691,7 +706,7 @@ def compile_graph_file(spark: SparkSession, path: str, out: str | None = None) -
     source = read_graph(path)
     graph = compile_graph(spark, source)
     if out:
-        for name in ("requirements", "relations", "members", "facts", "values", "constraints"):
+        for name in ("requirements", "relations", "members", "groups", "facts", "values", "constraints"):
             getattr(graph, name).write.mode("overwrite").parquet(f"{out}/{version(source)}/{name}")
         for name in ("elements", "nodes", "edges"):
             getattr(graph.catalogue, name).write.mode("overwrite").parquet(f"{out}/{version(source)}/{name}")

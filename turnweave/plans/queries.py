@@ -19,6 +19,7 @@ from turnweave.operators import acceptance, context, judges, matching, nodes, re
 from turnweave.operators.atoms import CLAUSE_ENDS, EDGES, GUARANTEE, NO_GUARANTEE, QUESTION, SENTENCE_ENDS, TAGS, atoms, tags
 from turnweave.plans import catalogue as cat
 from turnweave.plans import sample, spoken
+from turnweave.plans.local import local_table
 from turnweave.plans.spoken import BAD, CALLS, CANDIDATES, ERRORS, EVENTS, FACTS, FAMILIES, GROUPS, LISTED, MEASURES, MEMBERS, NUMBERED, ORDERED, PAIRS, POSITIVE, RECORDED, REQUIREMENTS, RESULTS, SCORES, TAGGED, TEXTS
 from turnweave.sources.dialogues import turns_of_table
 
@@ -539,23 +540,24 @@ def _settled(spark, sf_dir):
 SETTLED = f"""g AS (SELECT rule_id, dialogue_id, a_turn, a_seq, window_ord, max(score) FILTER (decisive AND verdict = 'hit') AS h, max(score) FILTER (decisive AND verdict = 'review') AS v,
  max(score) FILTER (decisive) AS a, avg(score) FILTER (NOT decisive) AS s FROM {GROUPS} GROUP BY ALL),
 x AS (SELECT *, CASE WHEN s IS NULL THEN coalesce(h, v, a, 0) ELSE 0.8 * coalesce(h, v, a, 0) + 0.2 * s END AS score FROM g),
-settled AS (SELECT rule_id, dialogue_id, a_turn, a_seq, window_ord, round(score, 6) AS score, CASE WHEN h IS NOT NULL AND score >= 0.46 THEN 'hit' WHEN h IS NOT NULL OR v IS NOT NULL OR score >= 0.22 THEN 'review' ELSE 'miss' END AS verdict FROM x)"""
+settled AS (SELECT rule_id, dialogue_id, a_turn, a_seq, window_ord, round(score, 12) AS score, CASE WHEN h IS NOT NULL AND score >= 0.46 THEN 'hit' WHEN h IS NOT NULL OR v IS NOT NULL OR score >= 0.22 THEN 'review' ELSE 'miss' END AS verdict FROM x)"""
 
 
 @query(f"WITH {SETTLED} SELECT * FROM settled")
 def a2_settle(spark, sf_dir):
-    return _settled(spark, sf_dir).select(*matching.KEY, F.round("score", 6).alias("score"), "verdict")
+    # Scores are multiples of a part of 1/128: rounded to fewer places, some are ties that the noise of floats decides.
+    return _settled(spark, sf_dir).select(*matching.KEY, F.round("score", 12).alias("score"), "verdict")
 
 
 @query(f"WITH {SETTLED}, r AS (SELECT *, row_number() OVER (PARTITION BY dialogue_id, rule_id ORDER BY CASE verdict WHEN 'hit' THEN 3 WHEN 'review' THEN 2 ELSE 1 END DESC, score DESC, a_turn, a_seq, window_ord) AS n FROM settled) SELECT dialogue_id, rule_id, verdict, score, a_turn AS turn_index, a_seq AS seq FROM r WHERE n = 1")
 def a3_best_match(spark, sf_dir):
-    return matching.best_matches(_settled(spark, sf_dir)).select("dialogue_id", "rule_id", "verdict", F.round("score", 6).alias("score"), "turn_index", "seq")
+    return matching.best_matches(_settled(spark, sf_dir)).select("dialogue_id", "rule_id", "verdict", F.round("score", 12).alias("score"), "turn_index", "seq")
 
 
 # ------------------------------------------------------------------ steps, relations, scores
 
 
-@query(f"WITH r AS (SELECT *, bool_or(required) OVER (PARTITION BY dialogue_id, node_id) AS need FROM {REQUIREMENTS}), m AS (SELECT dialogue_id, node_id, sum(score * weight) FILTER (required OR NOT need) / sum(weight) FILTER (required OR NOT need) AS mean, count(*) FILTER (required AND score <= 0.0001) AS z, min(turn_index) AS first_hit_turn FROM r GROUP BY ALL), s AS (SELECT *, CASE WHEN z > 0 THEN least(mean, 0.58) ELSE mean END AS score FROM m) SELECT dialogue_id, node_id, round(score, 6) AS score, first_hit_turn, CASE WHEN score >= 0.75 THEN '已完成' WHEN score >= 0.35 THEN '部分完成' ELSE '缺失' END AS status FROM s")
+@query(f"WITH m AS (SELECT dialogue_id, node_id, CASE WHEN count(*) FILTER (required) = 0 THEN 1 ELSE sum(score * weight) FILTER (required) / sum(weight) FILTER (required) END AS mean, count(*) FILTER (required AND score <= 0.0001) AS z, count(*) FILTER (required) AS k, min(turn_index) AS first_hit_turn FROM {REQUIREMENTS} GROUP BY ALL), s AS (SELECT *, CASE WHEN z > 0 AND k > 1 THEN least(mean, 0.58) ELSE mean END AS score FROM m) SELECT dialogue_id, node_id, round(score, 6) AS score, first_hit_turn, CASE WHEN score >= 0.75 THEN '已完成' WHEN score >= 0.35 THEN '部分完成' ELSE '缺失' END AS status FROM s")
 def a8_node_scores(spark, sf_dir):
     return nodes.node_scores(_values(spark, sf_dir, REQUIREMENTS)).select("dialogue_id", "node_id", F.round("score", 6).alias("score"), "first_hit_turn", "status")
 
@@ -574,13 +576,24 @@ def a10_edge_penalties(spark, sf_dir):
 
 
 
-@query(f"""WITH m AS (SELECT *, coalesce(lag(first_hit_turn) OVER (PARTITION BY dialogue_id, group_id ORDER BY position) > first_hit_turn, false) AS turned FROM {MEMBERS}),
+@query(f"""WITH m AS (SELECT *, coalesce(lag(first_hit_turn) OVER (PARTITION BY dialogue_id, group_id ORDER BY position) > first_hit_turn, false) AS turned FROM {MEMBERS} WHERE active),
 g AS (SELECT dialogue_id, group_id, group_type, 100 * avg(score) AS mean, 100 * max(score) AS best, count(*) FILTER (turned) AS n, count(*) FILTER (first_hit_turn IS NOT NULL OR status IN ('已完成', '部分完成')) AS c FROM m GROUP BY ALL)
-SELECT dialogue_id, group_id, round(CASE group_type WHEN 'exclusive_branch' THEN greatest(0, best - 10 * greatest(0, c - 1)) WHEN 'sequential' THEN greatest(0, mean - 8 * n) ELSE mean END, 6)::DOUBLE AS score FROM g""")
+SELECT dialogue_id, group_id, round(CASE group_type WHEN 'exclusive_branch' THEN greatest(0, best - 10 * greatest(0, c - 1)) WHEN 'sequential' THEN greatest(0, mean - 8 * n) ELSE mean END, 6)::DOUBLE AS score FROM g
+UNION ALL SELECT dialogue_id, group_id, 100e0 FROM {MEMBERS} GROUP BY ALL HAVING NOT bool_or(active)""")
 def a11_group_scores(spark, sf_dir):
     return relations.group_scores(_values(spark, sf_dir, MEMBERS)).select("dialogue_id", "group_id", F.round("score", 6).alias("score"))
 
 
+@query(f"""WITH g AS (SELECT dialogue_id, group_id, group_type, count(*) AS n, count(*) FILTER (status = '已完成') AS done, count(*) FILTER (turned) AS t, count(*) FILTER (first_hit_turn IS NOT NULL OR status IN ('已完成', '部分完成')) AS c
+ FROM (SELECT *, coalesce(lag(first_hit_turn) OVER (PARTITION BY dialogue_id, group_id ORDER BY position) > first_hit_turn, false) AS turned FROM {MEMBERS} WHERE active) AS m GROUP BY ALL)
+SELECT dialogue_id, group_id, CASE group_type WHEN 'sequential' THEN 'group:ordered' WHEN 'all_of' THEN 'group:all_of' ELSE CASE WHEN c > 1 THEN 'group:exclusive_branch' ELSE 'group:any_of' END END AS relation,
+ (CASE group_type WHEN 'sequential' THEN 8 * t WHEN 'all_of' THEN 6 ELSE CASE WHEN c > 1 THEN 10 * (c - 1) ELSE 8 END END)::DOUBLE AS penalty
+FROM g WHERE CASE group_type WHEN 'sequential' THEN t > 0 WHEN 'all_of' THEN done < n ELSE c > 1 OR done = 0 END""")
+def a11_group_events(spark, sf_dir):
+    groups = local_table(spark, [("g1", True, None), ("g2", True, 3), ("g3", True, None)], "group_id string, required boolean, least int")
+    return relations.group_events(relations.group_scores(_values(spark, sf_dir, MEMBERS)), groups)
+
+
 
 @query(f"""WITH f AS (SELECT *, (missing_nodes > 0 OR missing_required > 0) AS flow, (missing_nodes >= 2 OR missing_required >= 2 OR missing_required / n_required >= 0.25) AS many,
  CASE knowledge_worst WHEN 1 THEN 68 WHEN 2 THEN 60 WHEN 3 THEN 52 WHEN 4 THEN 48 END AS k, CASE constraint_worst WHEN 1 THEN 62 WHEN 2 THEN 54 WHEN 3 THEN 46 WHEN 4 THEN 38 END AS c FROM {SCORES}),

@@ -153,8 +153,8 @@ RELATIONS = """(VALUES ('n', 'r1', 'any_of', array(), array(), array('c'), NULL)
 @query(f"""WITH l(node_id, relation_id, type, a, b, opts, own) AS (VALUES ('n', 'r1', 'any', [], [], ['c'], NULL), ('n', 'r2', 'all', [], [], ['a', 'c', 'zz'], NULL), ('n', 'r3', 'cond', ['a'], ['c'], [], 9), ('n', 'r4', 'before', ['a'], ['b'], [], NULL),
  ('n', 'r5', 'same', ['a'], ['e'], [], NULL), ('n', 'r6', 'before', ['a'], ['e'], [], NULL), ('n', 'r7', 'before', ['c'], ['a'], [], NULL), ('n', 'r8', 'block', ['b'], ['a', 'c'], [], NULL), ('n', 'r9', 'any', ['a'], [], [], NULL), ('m', 'r10', 'any', [], [], ['a'], NULL)),
 f AS (SELECT * FROM {FOUND}),
-s AS (SELECT f.dialogue_id, node_id, list(requirement_id) AS known, list(requirement_id) FILTER (matched) AS ok, max(turn_index) FILTER (matched AND requirement_id = 'a') AS ta, max(turn_index) FILTER (matched AND requirement_id = 'b') AS tb,
-  max(turn_index) FILTER (matched AND requirement_id = 'c') AS tc, max(turn_index) FILTER (matched AND requirement_id = 'e') AS te FROM f JOIN (SELECT * FROM {ACTIVE_NODES}) x USING (dialogue_id, node_id) WHERE x.active GROUP BY ALL),
+s AS (SELECT f.dialogue_id, node_id, list(requirement_id) AS known, list(requirement_id) FILTER (matched) AS ok, max(turn_index) FILTER (requirement_id = 'a') AS ta, max(turn_index) FILTER (requirement_id = 'b') AS tb,
+  max(turn_index) FILTER (requirement_id = 'c') AS tc, max(turn_index) FILTER (requirement_id = 'e') AS te FROM f JOIN (SELECT * FROM {ACTIVE_NODES}) x USING (dialogue_id, node_id) WHERE x.active GROUP BY ALL),
 t AS (SELECT *, CASE a[1] WHEN 'a' THEN ta WHEN 'b' THEN tb WHEN 'c' THEN tc WHEN 'e' THEN te END AS t1, CASE b[1] WHEN 'a' THEN ta WHEN 'b' THEN tb WHEN 'c' THEN tc WHEN 'e' THEN te END AS t2, coalesce(ok, []) AS m FROM s JOIN l USING (node_id)),
 p AS (SELECT dialogue_id, node_id, relation_id, CASE type
  WHEN 'any' THEN CASE WHEN len(list_intersect(CASE WHEN len(opts) > 0 THEN opts ELSE a END, m)) = 0 THEN coalesce(own, 6) END

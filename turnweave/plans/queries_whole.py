@@ -61,12 +61,12 @@ def _settled(spark, sf_dir):
 
 @query(_sql("a2_settle", base.GROUPS, TURN_GROUPS))
 def a2_settle_turns(spark, sf_dir):
-    return _settled(spark, sf_dir).select(*matching.KEY, F.round("score", 6).alias("score"), "verdict")
+    return _settled(spark, sf_dir).select(*matching.KEY, F.round("score", 12).alias("score"), "verdict")
 
 
 @query(_sql("a3_best_match", base.GROUPS, TURN_GROUPS))
 def a3_best_match_turns(spark, sf_dir):
-    return matching.best_matches(_settled(spark, sf_dir)).select("dialogue_id", "rule_id", "verdict", F.round("score", 6).alias("score"), "turn_index", "seq")
+    return matching.best_matches(_settled(spark, sf_dir)).select("dialogue_id", "rule_id", "verdict", F.round("score", 12).alias("score"), "turn_index", "seq")
 
 
 @query(_sql("a8_node_scores", base.REQUIREMENTS, TURN_REQUIREMENTS))

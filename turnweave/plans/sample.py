@@ -22,15 +22,21 @@ def _group(*main: str, other: tuple[str, ...] = (), fact: tuple[str, ...] = ())
     return [{"elements": [{"value": x, "main": True} for x in main] + [{"value": x} for x in other] + [{"value": x, "fact": True} for x in fact]}]
 
 
-def _step(name: str, *requirements: list[dict], **more) -> dict:
-    return {"id": name, "name": name, "requirements": [{"id": f"{name}.{k}", "text": name, "element_groups": g} for k, g in enumerate(requirements)], **more}
+def _step(name: str, *requirements: list[dict] | dict, **more) -> dict:
+    own = [g if isinstance(g, dict) else {"element_groups": g} for g in requirements]
+    return {"id": name, "name": name, "requirements": [{"id": f"{name}.{k}", "text": name, **r} for k, r in enumerate(own)], **more}
+
+
+#: A requirement that holds where no user stops early.
+_GOES_ON = {"required": False, "match_policy": {"conditional_required_when_no_early_user_stop": True}}
 
 
 GRAPH = {
     "nodes": [
         _step("greet", _group("the", other=("and",)), _group("er"), type="start", atom_relations=[{"id": "greet.order", "type": "before", "left": "greet.0", "right": "greet.1"}]),
-        _step("explain", _group("tion", "ing", other=("of",)), type="main"),
+        _step("explain", _group("tion", "ing", other=("of",)), {"element_groups": _group("con"), **_GOES_ON}, {"element_groups": _group("ier"), "required": False}, type="main"),
         _step("answers", _group("que"), _group("und"), _group("los"), type="faq", activation={"mode": "optional", "trigger_groups": _group("est")}),
+        _step("extra", {"element_groups": _group("ent"), "required": False}, type="faq", activation={"mode": "optional", "trigger_groups": _group("ons")}),
         _step("close", _group("that", other=("with",)), type="terminal", required=False, activation={"mode": "optional", "trigger_groups": _group("ungen")}),
     ],
     "edges": [
@@ -39,7 +45,11 @@ GRAPH = {
         {"source": "explain", "target": "close", "type": "terminal_after"},
         {"source": "close", "target": "answers", "type": "optional_after"},
     ],
-    "relation_groups": [{"id": "main", "type": "sequential", "nodes": ["greet", "explain"]}, {"id": "one", "type": "any_of", "nodes": ["answers", "close"]}],
+    "relation_groups": [
+        {"id": "main", "type": "sequential", "nodes": ["greet", "explain"], "weight": 2.0},
+        {"id": "one", "type": "any_of", "nodes": ["answers", "close"]},
+        {"id": "none", "type": "all_of", "nodes": [], "weight": 0.5},
+    ],
     "knowledge_table": [
         {"id": "fact", "severity": "medium", "selector_groups": _group("ent"), "correct_groups": _group("the", "ent"), "wrong_groups": _group("eaux")},
         {"id": "other", "severity": "high", "selector_groups": _group("er"), "correct_groups": _group("er", fact=("an",)), "wrong_groups": _group("er", fact=("schlich",))},

@@ -100,7 +100,7 @@ RESULTS = (
 )
 MEMBERS = (
     f"(SELECT {DIALOGUE}, CASE event_id % 6 WHEN 0 THEN 'g1' WHEN 1 THEN 'g1' WHEN 2 THEN 'g1' WHEN 3 THEN 'g2' ELSE 'g3' END AS group_id, CASE event_id % 6 WHEN 0 THEN 'sequential' WHEN 1 THEN 'sequential' WHEN 2 THEN 'sequential' WHEN 3 THEN 'all_of' ELSE 'exclusive_branch' END AS group_type, "
-    f"CAST(event_id % 6 AS INT) AS position, ({_FIRST} % 101) / 128e0 AS score, {pick(['已完成', '缺失', '部分完成'], 1, _FIRST)} AS status, CASE WHEN {_FIRST} % 3 > 0 THEN CAST({_FIRST} % 11 AS INT) END AS first_hit_turn {_NODE}) AS t"
+    f"CAST(event_id % 6 AS INT) AS position, {_FIRST} % 7 > 1 AS active, ({_FIRST} % 101) / 128e0 AS score, {pick(['已完成', '缺失', '部分完成'], 1, _FIRST)} AS status, CASE WHEN {_FIRST} % 3 > 0 THEN CAST({_FIRST} % 11 AS INT) END AS first_hit_turn {_NODE}) AS t"
 )
 SCORES = (
     f"(SELECT CAST(event_id AS STRING) AS dialogue_id, CAST(event_id % 101 AS DOUBLE) AS node_completion, CAST(event_id * 7 % 101 AS DOUBLE) AS relation_score, CAST(event_id * 11 % 101 AS DOUBLE) AS knowledge_score, CAST(event_id * 13 % 101 AS DOUBLE) AS constraint_score, "
@@ -122,7 +122,7 @@ ANSWERS = f"(SELECT event_id AS id, {pick(['Yes', '问题不成立', '不确定'
 NAMES = f"(SELECT event_id AS id, {pick(['Flow', 'boundary', '', 'odd', None, 'x', '知识错误', ' context '])} AS name, {pick(['', '知识冲突', None, '上下文', '限制', 'requirement'], 8)} AS kind FROM events) AS t"
 FOUND = (
     f"(SELECT {DIALOGUE}, CASE WHEN event_id % 8 < 5 THEN 'n' ELSE 'm' END AS node_id, CASE event_id % 8 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'c' WHEN 3 THEN 'e' WHEN 5 THEN 'a' WHEN 6 THEN 'b' WHEN 7 THEN 'c' ELSE 'd' END AS requirement_id, "
-    f"{_FIRST} % 3 > 0 AS matched, CASE WHEN {_FIRST} % 3 > 0 THEN CAST({_FIRST} % 7 AS INT) END AS turn_index FROM events GROUP BY user_id, event_id % 8) AS t"
+    f"{_FIRST} % 3 > 0 AS matched, CASE WHEN {_FIRST} % 3 > 0 OR {_FIRST} % 2 > 0 THEN CAST({_FIRST} % 7 AS INT) END AS turn_index FROM events GROUP BY user_id, event_id % 8) AS t"
 )
 ACTIVE_NODES = f"(SELECT {DIALOGUE}, 'n' AS node_id, {_FIRST} % 4 > 0 AS active FROM events GROUP BY user_id) AS t"
 FLAT = f"(SELECT {pick(['r', 's'])} AS rule_id, user_id AS span_id, {pick([1.0, 0.01, 3.0, 2.0], 2)} AS weight, {flag(5)} AS is_role, {flag(3, 2)} AS is_hit, user_id % 9 AS n_pool_hits FROM events) AS t"
