@@ -23,6 +23,8 @@ PRECISE_WORDS = (
 )
 COUNTED = "[一二三四五六七八九十百千万两]+(?:点|时|秒|分钟|小时|天|日|单|元|块)"
 MAX_GAP = 18
+# Characters that a loosely met term and its text have in common, at least, and their share of the term's.
+COMMON_LEAST, COMMON_SHARE = 4, 0.90
 
 
 def _c(x: Column | str) -> Column:
@@ -55,25 +57,29 @@ def characters(text: Column) -> Column:
 
 
 def form(text: Column | str) -> Column:
-    """What ``form_hit`` needs of a term or a text, made once: its compact form, that without fillers, its
-    characters, and whether it has to be met literally."""
-    a = compact(text)
+    """What ``form_hit`` needs of a text, made once: its compact form, and that without fillers."""
+    return F.struct(compact(text).alias("tight"), without_fillers(text).alias("rest"))
+
+
+def term_form(term: Column | str) -> Column:
+    """What ``form_hit`` needs of a term: its form, its characters, and whether it has to be met literally."""
+    a = compact(term)
     exact = a.rlike(r"(?U)\d") | any_of(a, EXACT_MARKS) | (F.length(a) < 5)
-    return F.struct(a.alias("tight"), without_fillers(text).alias("rest"), characters(a).alias("chars"), exact.alias("exact"))
+    return F.struct(a.alias("tight"), without_fillers(term).alias("rest"), characters(a).alias("chars"), exact.alias("exact"))
 
 
 def form_hit(a: Column, b: Column) -> Column:
     """``text_hit`` of the forms of a term and a text."""
     literal = F.contains(b["tight"], a["tight"]) | ((a["rest"] != "") & F.contains(b["rest"], a["rest"]))
     own = F.size(a["chars"])
-    common = F.size(F.array_intersect(a["chars"], b["chars"]))
-    loose = ~a["exact"] & (common >= 4) & (common / own >= 0.90)
+    common = F.size(F.filter(a["chars"], lambda x: F.contains(b["tight"], x)))
+    loose = ~a["exact"] & (common >= COMMON_LEAST) & (common / own >= COMMON_SHARE)
     return (a["tight"] != "") & (b["tight"] != "") & (literal | loose)
 
 
 def text_hit(term: Column | str, text: Column | str) -> Column:
     """Whether the text expresses the term: literally, but for fillers, or by nearly all of its characters."""
-    return form_hit(form(term), form(text))
+    return form_hit(term_form(term), form(text))
 
 
 def strict_hit(term: Column | str, text: Column | str) -> Column:

@@ -74,6 +74,11 @@ def tags(text: Column, tight: Column, speaker: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(*found)))
 
 
+def spread(turns: DataFrame) -> DataFrame:
+    """``turns`` dealt evenly, those of a long dialogue too: cutting and matching are work per turn, and files may be few."""
+    return turns.repartition("dialogue_id", "turn_index")
+
+
 def atoms(turns: DataFrame) -> DataFrame:
     """(dialogue_id, turn_index, seq, speaker, text, compact, span_type, is_evidence) of every span.
 

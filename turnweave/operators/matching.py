@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnweave.functions.text import MODAL_MARKS, any_of, compact, form, form_hit, tight_ordered_hit
+from turnweave.functions.text import MODAL_MARKS, any_of, compact, form
 from turnweave.operators.atoms import tags
 from turnweave.operators.requirements import flat_score
-from turnweave.plans.catalogue import ROLES
+from turnweave.operators.term_index import Term, mark_terms
+from turnweave.plans.catalogue import MAX_STATES, ROLES, STATE_BITS
+from turnweave.plans.local import local_table
 from turnweave.sources.shared import stored
 
 # Factors of windows, in the order in which they are tried.
@@ -27,6 +29,19 @@ WINDOWS = (
 SPAN = ["dialogue_id", "turn_index", "seq"]
 
 
+def spot(turn: str = "turn_index", seq: str = "seq") -> Column:
+    """A place in a dialogue as one number, in order: aggregates of numbers are hashed, those of structs have to be sorted."""
+    return F.shiftleft(F.col(turn).cast("bigint"), 32) + F.col(seq)
+
+
+def turn_of(place: str) -> Column:
+    return F.shiftright(F.col(place), 32).cast("int")
+
+
+def seq_of(place: str) -> Column:
+    return F.col(place).bitwiseAND(F.lit(2**32 - 1)).cast("int")
+
+
 def _is_role() -> Column:
     return F.col("type").isin(*ROLES)
 
@@ -39,39 +54,33 @@ def element_terms(elements: DataFrame) -> DataFrame:
     return each.withColumn("in_order", in_order & (F.col("rule_type") == "node_positive"))
 
 
-def span_keys(of: Column) -> Column:
-    """What a text may share with the keys of a term: its characters, and its pairs of characters with and without fillers."""
+def term_list(rows: list) -> list[Term]:
+    """The terms of collected rows of ``element_terms``, in their order; metadata."""
+    return [Term(r.t.tight, r.t.rest, tuple(r.t.chars), r.t.exact, r.in_order) for r in rows]
 
-    def pairs(text: Column, mark: str) -> Column:
-        # Both arrays are arguments, not parts of the lambda: that would make the text again for each pair.
-        letters = F.filter(F.split(text, ""), lambda x: x != "")
-        n = F.greatest(F.size(letters) - 1, F.lit(0))
-        return F.zip_with(F.slice(letters, F.lit(1), n), F.slice(letters, F.lit(2), n), lambda x, y: F.concat(F.lit(mark), x, y))
 
-    chars = F.transform(of["chars"], lambda x: F.concat(F.lit("c"), x))
-    return F.array_distinct(F.concat(chars, pairs(of["tight"], "b"), pairs(of["rest"], "r")))
+def _said(texts: DataFrame, elements: DataFrame, ordered: bool = False) -> DataFrame:
+    """``texts`` (with form) joined with the elements of whose terms one is expressed: rule_id, group_id, element_id, term; a row a term.
 
-
-def _sharing_keys(spans: DataFrame, terms: DataFrame) -> DataFrame:
-    """``spans`` (with form) joined with the terms that share a key with them."""
-    keyed = terms.withColumn("key", F.explode("t.keys"))
-    # The outer form: for the other, the optimizer would filter on the size of all that makes the keys.
-    each = spans.withColumn("keys", span_keys(F.col("form"))).withColumn("key", F.explode_outer("keys")).drop("keys").where("key IS NOT NULL")
-    return each.join(F.broadcast(keyed), "key")
+    ``ordered``: the characters of a long term may follow each other in gaps.
+    """
+    rows = element_terms(elements).collect()
+    names = [(i, r.rule_id, r.group_id, r.element_id, r.t.tight) for i, r in enumerate(rows)]
+    named = F.broadcast(local_table(texts.sparkSession, names, "mark int, rule_id string, group_id string, element_id string, term string"))
+    found = mark_terms(texts, term_list(rows), ordered)
+    return found.withColumn("mark", F.explode("marks")).drop("marks").join(named, "mark").drop("mark")
 
 
 def element_hits(atoms: DataFrame, elements: DataFrame) -> DataFrame:
     """(span, element) of every hit: an equal general tag, or a term that the text expresses.
 
-    Both are hash joins with the broadcast catalogue: tags meet elements, and a span meets the terms that
-    share one of its keys, and only with these is it compared.
+    Tags meet elements in a hash join with the broadcast catalogue; the terms of all elements are found in one pass over a span.
     """
     names = [*SPAN, "speaker", "rule_id", "group_id", "element_id"]
     tag = F.concat(F.col("type"), F.lit(":"), compact("value")).alias("tag")
     tagged = atoms.select(*SPAN, "speaker", F.explode(tags(F.col("text"), F.col("compact"), F.col("speaker"))).alias("tag"))
     same = tagged.join(F.broadcast(elements.select(tag, "rule_id", "group_id", "element_id")), "tag").select(*names)
-    near = _sharing_keys(atoms.select(*SPAN, "speaker", form("text").alias("form")), element_terms(elements))
-    said = near.where(form_hit(F.col("t"), F.col("form"))).select(*names)
+    said = _said(atoms.select(*SPAN, "speaker", form("text").alias("form")), elements).select(*names)
     return said.union(same).distinct()
 
 
@@ -109,7 +118,7 @@ def with_places(atoms: DataFrame) -> DataFrame:
     in_turn = Window.partitionBy("dialogue_id", "turn_index")
     by_speaker = Window.partitionBy("dialogue_id", "speaker").orderBy("turn_index")
     counts, part = F.col("is_evidence").cast("int"), (F.col("span_type") == "atom").cast("int")
-    at = F.struct("turn_index", "seq")
+    at = spot()
     inside = lambda r: F.min(F.when(F.col("is_evidence"), at)).over(in_turn.orderBy("seq").rowsBetween(-r, 0))
     around = lambda r: F.min(F.when(F.col("span_type") == "atom", at)).over(by_speaker.rangeBetween(-r, r))
     return atoms.repartition("dialogue_id").select(
@@ -131,14 +140,15 @@ def windows(candidates: DataFrame, atoms: DataFrame, rules: DataFrame) -> DataFr
 
     Constraints have only the span itself; nodes also spans of the same speaker in
     neighbouring turns. A window of one span is left out. Members are not listed: their
-    number follows from the span's place.
+    number follows from the span's place. With a column lead, only anchors with it have windows over several turns.
     """
+    lead = F.col("lead") if "lead" in candidates.columns else F.lit(True)
     anchors = candidates.drop("speaker").join(_evidence(atoms), SPAN).join(F.broadcast(rules), "rule_id")
     place, n = F.col("place"), F.col("n_turn")
     around = lambda r: F.least(n, place + r) - F.greatest(F.lit(1), place - r) + 1
     free, node = ~F.col("rule_type").startswith("constraint_"), F.col("rule_type") == "node_positive"
-    sizes = [F.lit(1), F.when(free, around(1)), F.when(free, around(2)), F.when(node, F.col("near_1")), F.when(node, F.col("near_2"))]
-    firsts = [F.struct("turn_index", "seq"), *[F.col(f"first_{i}") for i in range(1, 5)]]
+    sizes = [F.lit(1), F.when(free, around(1)), F.when(free, around(2)), F.when(node & lead, F.col("near_1")), F.when(node & lead, F.col("near_2"))]
+    firsts = [spot(), *[F.col(f"first_{i}") for i in range(1, 5)]]
     listed = [
         F.when(F.lit(i == 0) | (size > 1), F.struct(F.lit(i).alias("window_ord"), F.lit(name).alias("window"), F.lit(factor).alias("factor"), size.cast("bigint").alias("size"), firsts[i].alias("first")))
         for i, (size, (name, factor)) in enumerate(zip(sizes, WINDOWS, strict=True))
@@ -148,19 +158,24 @@ def windows(candidates: DataFrame, atoms: DataFrame, rules: DataFrame) -> DataFr
 
 
 def _inside(wins: DataFrame, hits: DataFrame, atoms: DataFrame) -> DataFrame:
-    """(window, element, at): elements that a member of the window hits, and the first such span. The turn is a part of the join's key."""
+    """(window, element, at): elements that a member of the window hits, and the first such span. The turn is a part of the join's keys.
+
+    Rows of windows that do not exist (of one span) may be there: what has the windows joins them to these.
+    """
     spans = _evidence(atoms).select(*SPAN, "speaker", "place", "span_type")
     held = hits.select("rule_id", *SPAN, "element_id").join(spans, SPAN)
-    anchors = wins.select("rule_id", "rule_type", "dialogue_id", "a_turn", "a_seq", "a_place", "a_speaker").distinct()
-    node = F.col("rule_type") == "node_positive"
-    turns = F.when(node, F.sequence(F.col("a_turn") - 2, F.col("a_turn") + 2)).otherwise(F.array("a_turn"))
-    pairs = anchors.withColumn("turn_index", F.explode_outer(turns)).join(held, ["rule_id", "dialogue_id", "turn_index"])
-    same, near, far = F.col("turn_index") == F.col("a_turn"), F.abs(F.col("place") - F.col("a_place")), F.abs(F.col("turn_index") - F.col("a_turn"))
-    spoken = node & (F.col("speaker") == F.col("a_speaker")) & (F.col("span_type") == "atom")
-    holds = [same & (near == 0), same & (near <= 1), same & (near <= 2), spoken & (far <= 1), spoken]
-    ords = F.array_compact(F.array(*[F.when(x, F.lit(i)) for i, x in enumerate(holds)]))
-    found = pairs.select("rule_id", "dialogue_id", "a_turn", "a_seq", F.explode_outer(ords).alias("window_ord"), "element_id", F.struct("turn_index", "seq").alias("at")).where("window_ord IS NOT NULL")
-    return found.groupBy(*KEY, "element_id").agg(F.min("at").alias("at")).join(wins.select(*KEY), KEY, "left_semi")
+    # In the anchor's turn, by places. Every anchor has a window of itself.
+    anchors = wins.where("window_ord = 0").select("rule_id", "rule_type", "dialogue_id", "a_turn", "a_seq", "a_place")
+    near = F.abs(F.col("place") - F.col("a_place"))
+    reach = F.when(F.col("rule_type").startswith("constraint_"), 0).otherwise(2)
+    pairs = anchors.withColumn("turn_index", F.col("a_turn")).join(held, ["rule_id", "dialogue_id", "turn_index"]).where(near <= reach)
+    narrow = pairs.select("rule_id", "dialogue_id", "a_turn", "a_seq", F.explode(F.sequence(near.cast("int"), reach)).alias("window_ord"), "element_id", spot().alias("at"))
+    # In neighbouring turns of the speaker, by turns: what a turn's spans hit is taken together first.
+    by_turn = held.where("span_type = 'atom'").groupBy("rule_id", "dialogue_id", "speaker", "turn_index", "element_id").agg(F.min("seq").alias("seq"))
+    r = F.col("window_ord") - 2
+    asked = wins.where("window_ord > 2").select(*KEY, F.col("a_speaker").alias("speaker"), F.explode(F.sequence(F.col("a_turn") - r, F.col("a_turn") + r)).alias("turn_index"))
+    wide = asked.join(by_turn, ["rule_id", "dialogue_id", "speaker", "turn_index"]).select(*KEY, "element_id", spot().alias("at"))
+    return narrow.unionByName(wide).groupBy(*KEY, "element_id").agg(F.min("at").alias("at"))
 
 
 def _texts(atoms: DataFrame) -> DataFrame:
@@ -192,10 +207,8 @@ def window_hits(wins: DataFrame, hits: DataFrame, atoms: DataFrame, elements: Da
         & asked["t_seq"].eqNullSafe(texts["a_seq"]) & asked["t_speaker"].eqNullSafe(texts["a_speaker"])
     )
     prepared = asked.join(texts, same).select(*[asked[c] for c in place], "rules", form("joined").alias("form"))
-    needed = prepared.select(*place, "form", F.explode("rules").alias("rule_id"))
-    small = F.broadcast(element_terms(elements).where("rule_type = 'node_positive'").select("rule_id", "element_id", "t", "in_order"))
-    said = form_hit(F.col("t"), F.col("form")) | (F.col("in_order") & tight_ordered_hit(F.col("t.tight"), F.col("form.tight")))
-    over = needed.join(small, "rule_id").where(said).select("rule_id", "dialogue_id", "a_turn", "window_ord", "t_seq", "t_speaker", "element_id").distinct()
+    over = _said(prepared, elements.where("rule_type = 'node_positive'"), ordered=True).where(F.array_contains("rules", F.col("rule_id")))
+    over = over.select("rule_id", "dialogue_id", "a_turn", "window_ord", "t_seq", "t_speaker", "element_id").distinct()
     at = several.select(*KEY, F.when(narrow, F.col("a_seq")).alias("w_seq"), F.when(~narrow, F.col("a_speaker")).alias("w_speaker"), "first")
     back = at.join(over, ["rule_id", "dialogue_id", "a_turn", "window_ord"]).where(F.col("w_seq").eqNullSafe(F.col("t_seq")) & F.col("w_speaker").eqNullSafe(F.col("t_speaker")))
     either = inside.withColumn("later", F.lit(False)).unionByName(back.select(*KEY, "element_id", F.col("first").alias("at"), F.lit(True).alias("later")))
@@ -211,6 +224,13 @@ def with_core(elements: DataFrame) -> DataFrame:
     return elements.withColumn("core", core).withColumn("n_clusters", F.size(F.collect_set("cluster").over(of)))
 
 
+def _cluster_bits(hit: Column) -> list[Column]:
+    """The state that a hit element stands for as a bit, in words of ``STATE_BITS``; few enough are allowed where rules are compiled."""
+    number = F.col("cluster")
+    words = range(0, MAX_STATES, STATE_BITS)
+    return [F.when(hit & (number >= low) & (number < low + STATE_BITS), F.expr(f"shiftleft(1L, cluster - {low})")) for low in words]
+
+
 def group_measures(hit_rows: DataFrame) -> DataFrame:
     """Of each (window, group) with one row per element of ``with_core`` and ``is_hit``: coverages and missing parts."""
     plain = ~_is_role()
@@ -228,7 +248,7 @@ def group_measures(hit_rows: DataFrame) -> DataFrame:
         F.coalesce(F.bool_or(F.col("fact") & hit), F.lit(False)).alias("fact_hit"),
         count(F.col("main") & ~F.col("fact") & plain & ~hit).alias("n_trunk_missing"),
         count(plain & (F.col("main") | F.col("fact")) & F.col("precise") & ~hit).alias("n_precise_missing"),
-        (F.max("n_clusters") - F.size(F.collect_set(F.when(hit, F.col("cluster"))))).alias("n_cluster_missing"),
+        (F.max("n_clusters") - sum((F.bit_count(F.coalesce(F.bit_or(x), F.lit(0).cast("bigint"))) for x in _cluster_bits(hit)), F.lit(0))).alias("n_cluster_missing"),
     )
 
 
@@ -283,7 +303,7 @@ def settle(groups: DataFrame) -> DataFrame:
     out = out.withColumn("verdict", verdict)
     if not placed:
         return out.withColumns({"m_turn": F.col("a_turn"), "m_seq": F.col("a_seq"), "first_turn": F.col("a_turn")})
-    return out.withColumns({"m_turn": F.coalesce("at.turn_index", "a_turn"), "m_seq": F.coalesce("at.seq", "a_seq"), "first_turn": F.col("first.turn_index")}).drop("at", "first")
+    return out.withColumns({"m_turn": F.coalesce(turn_of("at"), "a_turn"), "m_seq": F.coalesce(seq_of("at"), "a_seq"), "first_turn": turn_of("first")}).drop("at", "first")
 
 
 def verdict_rank(verdict: Column) -> Column:
@@ -309,20 +329,21 @@ def settled_windows(atoms: DataFrame, elements: DataFrame) -> DataFrame:
     """The verdict of each rule in each window where anything was recalled, with fact_hit: whether a group that was hit has a fact hit.
 
     Spans, hits and windows are each read several times, with few of their columns: they
-    are stored.
+    are stored. Windows over several turns are the same for all anchors of a turn: the first one has them.
     """
     atoms = stored(with_places(atoms))
     hits = stored(element_hits(atoms, elements))
     rules = elements.select("rule_id", "rule_type").distinct()
-    wins = stored(windows(recall(atoms, elements, hits), atoms, rules))
+    recalled = recall(atoms, elements, hits)
+    leads = F.col("seq") == F.min("seq").over(Window.partitionBy("rule_id", "dialogue_id", "turn_index"))
+    wins = stored(windows(recalled.withColumn("lead", leads), atoms, rules))
     return settle(evaluate_windows(wins, hits, atoms, elements))
 
 
 def pool_hits(atoms: DataFrame, elements: DataFrame) -> DataFrame:
     """(span, rule_id, term) of the pool terms (all but an element's value) that evidence spans express."""
     pooled = elements.withColumn("forms", F.slice("forms", 2, F.greatest(F.lit(0), F.size("forms") - 1)))
-    near = _sharing_keys(atoms.where("is_evidence").select(*SPAN, form("text").alias("form")), element_terms(pooled))
-    return near.where(form_hit(F.col("t"), F.col("form"))).select(*SPAN, "rule_id", F.col("t.tight").alias("term")).distinct()
+    return _said(atoms.where("is_evidence").select(*SPAN, form("text").alias("form")), pooled).select(*SPAN, "rule_id", "term").distinct()
 
 
 def flat_matches(atoms: DataFrame, elements: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from dataclasses import dataclass
 from typing import Any
 
@@ -59,6 +58,9 @@ WEAK = ("可以", "需要", "进行", "这个", "那个", "一下", "今天")
 PARTICIPANTS = ("我", "你", "您", "他", "她", "对方", "用户", "客户", "老板", "负责人", "客服")
 PRONOUNS = ("我", "你", "您", "对方")
 
+#: States that the main elements of one group may stand for, and how many are one number's bits.
+MAX_STATES, STATE_BITS = 126, 63
+
 ELEMENT = (
     "rule_id string, rule_type string, rule_ord int, group_id string, group_ord int, role string, decisive boolean, require_all boolean, "
     "element_id string, element_ord int, type string, value string, terms array<string>, surface array<string>, main boolean, fact boolean, cluster int, scope string, fallback boolean, flat boolean"
@@ -66,7 +68,7 @@ ELEMENT = (
 
 WEIGHTED = ELEMENT + (
     ", weight double, precise boolean, hit_main double, hit_group double, review_main double, review_group double, "
-    "forms array<struct<tight:string,rest:string,chars:array<string>,exact:boolean,keys:array<string>>>"
+    "forms array<struct<tight:string,rest:string,chars:array<string>,exact:boolean>>"
 )
 
 
@@ -148,6 +150,8 @@ def rule_rows(rules: list[dict[str, Any]]) -> list[tuple]:
                 shown = terms if of in SURFACE else [t for t in terms if _tight(t) != _tight(value)]
                 elements.append({"type": of, "value": value, "terms": terms, "surface": shown, "main": bool(e.get("main", False)), "fact": bool(e.get("fact", False))})
             clusters = _clusters(elements)
+            if len(set(clusters.values())) > MAX_STATES:
+                raise ValueError(f"a group of {rule['id']} names more than {MAX_STATES} states")
             for k, e in enumerate(elements):
                 rows.append(
                     (rule["id"], kind, r, f"{rule['id']}.g{g}", g, roles[g], decisive[g], bool(group.get("require_all", False)))
@@ -207,28 +211,6 @@ def _form(text: str) -> dict[str, Any]:
     return {"tight": tight, "rest": rest, "chars": list(dict.fromkeys(tight)), "exact": exact}
 
 
-def _pairs(text: str) -> list[str]:
-    return [text[i : i + 2] for i in range(len(text) - 1)]
-
-
-def _with_keys(forms: list[dict[str, Any]], often: Counter) -> list[dict[str, Any]]:
-    """Forms with keys, one of which every text has that expresses the term (``matching.span_keys``).
-
-    A text that holds the term has its rarest pair of characters, or its one character; and one with nine tenths of its characters has
-    one of the rarest tenth and one more.
-    """
-    for form in forms:
-        keys = []
-        for mark, text in (("b", form["tight"]), ("r", form["rest"])):
-            if text:
-                keys.append(min((f"{mark}{x}" for x in _pairs(text)), key=lambda x: often[x[1:]]) if len(text) > 1 else f"c{text}")
-        if not form["exact"]:
-            rare = sorted(form["chars"], key=lambda x: often[x])
-            keys += [f"c{x}" for x in rare[: len(rare) // 10 + 1]]
-        form["keys"] = list(dict.fromkeys(keys))
-    return forms
-
-
 def _special(value: str, terms: list[str]) -> float:
     """How much more or less a term's form says."""
     joined, own = " ".join(terms), _tight(value)
@@ -248,7 +230,6 @@ def _weighted(rows: list[tuple]) -> list[tuple]:
         for term in terms:
             df[term] = df.get(term, 0) + 1
     n = max(1, len(documents))
-    often = Counter(x for row in rows for t in row[13] for text in [_tight(t)] for x in [*_pairs(text), *text])
     out = []
     for row in rows:
         kind, value, terms, surface, main, fact = row[1], row[11], row[12], row[13], row[14], row[15]
@@ -257,5 +238,5 @@ def _weighted(rows: list[tuple]) -> list[tuple]:
         tight = _tight(" ".join(terms))
         precise = bool(re.search(r"\d", tight) or re.search(COUNTED, tight)) or any(x in tight for x in PRECISE_WORDS)
         profile = PROFILES.get(kind, PROFILES["default"])
-        out.append((*row, max(0.2, min(4.0, weight)), precise, *profile, _with_keys([_form(t) for t in surface], often)))
+        out.append((*row, max(0.2, min(4.0, weight)), precise, *profile, [_form(t) for t in surface]))
     return out

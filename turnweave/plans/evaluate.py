@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from turnweave.functions.cues import allows_continue, loose_hit
 from turnweave.functions.text import any_of
 from turnweave.operators import activation, judges, matching, nodes, patterns, relations, requirements, scoring, values
-from turnweave.operators.atoms import NEGATION, atoms
+from turnweave.operators.atoms import NEGATION, atoms, spread
 from turnweave.plans.graph import Graph
 from turnweave.plans.local import local_table
 from turnweave.sources.shared import stored
@@ -257,6 +257,7 @@ def evaluate(turns: DataFrame, graph: Graph, given_satisfies: bool = False) -> d
     """
     spark = turns.sparkSession
     catalogue = graph.catalogue
+    turns = stored(spread(turns.select("dialogue_id", "turn_index", "speaker", "text")))
     spans = stored(atoms(turns))
     settled = stored(matching.settled_windows(spans, catalogue.elements))
     matches = stored(matching.best_matches(settled))

@@ -16,12 +16,13 @@ from turnweave.functions import facts as ff
 from turnweave.functions import numbers as fn
 from turnweave.functions import text as ft
 from turnweave.operators import acceptance, context, judges, matching, nodes, relations, reports, routing, scoring
-from turnweave.operators.atoms import CLAUSE_ENDS, EDGES, GUARANTEE, NO_GUARANTEE, QUESTION, SENTENCE_ENDS, TAGS, atoms, tags
+from turnweave.operators.atoms import CLAUSE_ENDS, EDGES, GUARANTEE, NO_GUARANTEE, QUESTION, SENTENCE_ENDS, TAGS, atoms, spread, tags
 from turnweave.plans import catalogue as cat
 from turnweave.plans import sample, spoken
 from turnweave.plans.local import local_table
 from turnweave.plans.spoken import BAD, CALLS, CANDIDATES, ERRORS, EVENTS, FACTS, FAMILIES, GROUPS, LISTED, MEASURES, MEMBERS, NUMBERED, ORDERED, PAIRS, POSITIVE, RECORDED, REQUIREMENTS, RESULTS, SCORES, TAGGED, TEXTS
 from turnweave.sources.dialogues import turns_of_table
+from turnweave.sources.shared import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -394,7 +395,7 @@ TERMS = "(VALUES ('r1', 'the'), ('r1', 'thing'), ('r2', 'ungen'), ('r2', 'schlic
 
 @query(f"WITH {ATOMS} SELECT DISTINCT rule_id, dialogue_id, turn_index, seq FROM atoms, {TERMS} WHERE (seq > 0 OR n_spans = 1) AND {q_text_hit('term', 'text')}")
 def j1_theta_recall(spark, sf_dir):
-    return matching.recall(atoms(_turns(spark, sf_dir)), sample.latin_rules(spark, TERMS).elements).select("rule_id", "dialogue_id", "turn_index", "seq")
+    return matching.recall(stored(atoms(spread(_turns(spark, sf_dir)))), sample.latin_rules(spark, TERMS).elements).select("rule_id", "dialogue_id", "turn_index", "seq")
 
 
 @query(f"WITH {ATOMS}, h AS (SELECT DISTINCT rule_id, dialogue_id FROM atoms, {TERMS} WHERE (seq > 0 OR n_spans = 1) AND {q_text_hit('term', 'text')}) SELECT dialogue_id, count(*) AS n_rules FROM h GROUP BY 1")
@@ -508,7 +509,7 @@ m AS (SELECT c.rule_id, c.dialogue_id, c.turn_index AS a_turn, c.seq AS a_seq, x
   WHERE CASE WHEN x.w <= 2 THEN e.turn_index = c.turn_index AND abs(e.place - c.place) <= x.w ELSE e.speaker = c.speaker AND e.seq > 0 AND abs(e.turn_index - c.turn_index) <= x.w - 2 END)
 SELECT rule_id, dialogue_id, a_turn, a_seq, window_ord::INTEGER AS window_ord, count(*) AS size FROM m GROUP BY ALL HAVING count(*) > 1 OR window_ord = 0""")
 def w2_windows(spark, sf_dir):
-    spans = atoms(_turns(spark, sf_dir))
+    spans = stored(atoms(spread(_turns(spark, sf_dir))))
     elements = sample.latin_rules(spark, TERMS).elements
     return matching.windows(matching.recall(spans, elements), spans, elements.select("rule_id", "rule_type").distinct()).select(*matching.KEY, "size")
 
