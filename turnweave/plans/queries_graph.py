@@ -561,3 +561,16 @@ def e1_evaluate(spark, sf_dir):
 
     columns = ("node_completion", "relation_score", "knowledge_score", "constraint_score", "soft_score", "total")
     return sample.evaluated(spark, _turns(spark, sf_dir))["scores"].select("dialogue_id", *[F.round(c, 6).alias(c) for c in columns], "missing_nodes", "context_problem")
+
+
+def _run(spark, sf_dir):
+    from turnweave.plans import graph, run, sample
+    from turnweave.sources.shared import new_folder
+
+    return run.run(_turns(spark, sf_dir), sample.graph(spark), graph.version(sample.GRAPH), new_folder(spark))
+
+
+@query(whole_sql.R1)
+def r1_run(spark, sf_dir):
+    """A whole run into an empty store."""
+    return _run(spark, sf_dir)["decisions"].withColumn("total", F.round("total", 6))

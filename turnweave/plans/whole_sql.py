@@ -158,3 +158,13 @@ z AS (SELECT dialogue_id, missing_nodes, context_problem, soft_score, least(node
   least(fl, k, c, CASE WHEN context_problem THEN CASE WHEN n >= 2 THEN 52 ELSE 62 END END, CASE WHEN n >= 2 THEN 42 END) AS cap FROM g)
 SELECT dialogue_id, round(node_completion, 6)::DOUBLE AS node_completion, round(relation_score, 6)::DOUBLE AS relation_score, round(knowledge_score, 6)::DOUBLE AS knowledge_score, round(constraint_score, 6)::DOUBLE AS constraint_score, round(soft_score, 6)::DOUBLE AS soft_score,
  missing_nodes, context_problem, round(least(0.5 * node_completion + 0.1 * relation_score + 0.2 * knowledge_score + 0.15 * constraint_score + 0.05 * soft_score, cap), 6)::DOUBLE AS total FROM z"""
+
+
+#: Acceptance of every dialogue as a positive sample: the floors of its capped components, and what else speaks against it.
+R1 = E1[: E1.rindex("SELECT dialogue_id, round(node_completion")] + """,
+bad AS (SELECT dialogue_id, count(*) AS n_bad FROM (SELECT dialogue_id FROM conflicts UNION ALL SELECT dialogue_id FROM broken) GROUP BY 1),
+held AS (SELECT z.*, s.missing_required, coalesce(n_bad, 0) AS n_bad, least(0.5 * node_completion + 0.1 * relation_score + 0.2 * knowledge_score + 0.15 * constraint_score + 0.05 * soft_score, cap) AS total
+  FROM z JOIN (SELECT dialogue_id, missing_required FROM summed) s USING (dialogue_id) LEFT JOIN bad USING (dialogue_id)),
+said AS (SELECT *, array_to_string(list_filter([CASE WHEN total < 90 THEN 'total' END, CASE WHEN node_completion < 78 THEN 'node_completion' END, CASE WHEN relation_score < 70 THEN 'relation_score' END, CASE WHEN knowledge_score < 98 THEN 'knowledge_score' END,
+  CASE WHEN constraint_score < 98 THEN 'constraint_score' END, CASE WHEN n_bad > 0 THEN 'bad_event' END, CASE WHEN missing_nodes > 0 THEN 'missing_node' END, CASE WHEN missing_required > 0 THEN 'missing_requirement' END, CASE WHEN context_problem THEN 'context' END], lambda x: x IS NOT NULL), ',') AS reasons FROM held)
+SELECT dialogue_id, round(total, 6)::DOUBLE AS total, reasons = '' AS passed, reasons, CASE WHEN reasons = '' THEN 'accepted' WHEN n_bad > 0 OR context_problem THEN 'blocked' ELSE 'incomplete' END AS decision FROM said"""

@@ -27,13 +27,19 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own in the shared one; deleted when the session's JVM ends."""
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared folder, and read again."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
