@@ -9,14 +9,18 @@ in math; a dialog that is not open) or are not displayed (``hidden``, ``display:
 style's declarations for one property the last counts; style sheets are not read.
 
 Blocks start on a line of their own, paragraphs and headings stand between empty lines, br
-breaks a line, pre and textarea keep their white space, each option is a line, list items
-get "- " or their number, and lists, dd and blockquote two spaces of indent a level, up to
+breaks a line, pre, listing, xmp, plaintext and textarea keep their white space, each option
+is a line, list items get "- " or their number (start, reversed and value count), and lists, dd
+and blockquote two spaces of indent a level, up to
 ``MAX_INDENT`` levels. Table cells start where their column starts; a column is as wide
-as its cells, and those that span several columns widen the last of them. Cells are found
+as its cells (East Asian wide characters are two columns, combining ones none), and those
+that span several columns widen the last of them. Cells are found
 below any wrapper in a table; what stands in a table, row group or row outside of cells
 comes before the rows. In tables nested ``MAX_TABLES`` deep, cells are blocks.
 
 Tags follow the standard's tokenizer: a quote opens a quoted value right behind "=" only.
+Text that is not white space ends the head, as a tag of the body does. The content of xmp and
+plaintext is no markup, and plaintext goes on to the end of the page.
 Trees of any depth are built and walked without recursion, but for nested tables.
 
 Edge cases: null html gives null, no tags give the text itself, unclosed and misnested
@@ -28,6 +32,7 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -42,11 +47,14 @@ MAX_INDENT, MAX_TABLES = 40, 20
 MAX_COLSPAN, MAX_ROWSPAN = 1000, 65_534
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER_SHOWN = frozenset("head script style template noscript title iframe object canvas audio video datalist rp".split())
+NEVER_SHOWN = frozenset("head script style template noscript title iframe object canvas audio video datalist rp noframes noembed".split())
 #: Not shown within the element named.
 _NOT_SHOWN_IN = {"desc": "svg", "metadata": "svg", "annotation": "math", "annotation-xml": "math"}
-RAW = frozenset("script style textarea title iframe noscript".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure ul ol dl table".split())
+RAW = frozenset("script style textarea title iframe noscript noframes noembed xmp plaintext".split())
+PRE = frozenset("pre listing xmp plaintext".split())
+#: What may stand in the head.
+_IN_HEAD = frozenset("base link meta title style script noscript noframes template".split())
+SPACED = PRE | frozenset("p h1 h2 h3 h4 h5 h6 blockquote figure ul ol dl table".split())
 BLOCK = SPACED | frozenset("address article aside body center dd details dialog div dt fieldset figcaption footer form header hgroup html legend li main menu nav section summary tr caption hr option".split())
 #: A start tag of the key ends an open element of the value, up to the given bounds.
 _CLOSES = {
@@ -72,17 +80,35 @@ _WHITE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Element:
-    """``shown``: whether it is displayed; ``visible``: what its own style says of visibility, or None."""
+    """``shown``: whether it is displayed; ``visible``: what its own style says of visibility, or None.
 
-    __slots__ = ("children", "columns", "name", "rows", "shown", "start", "visible")
+    ``start``: the first number of an ol, or the own number of an item, or None; ``step``: from number to number.
+    """
+
+    __slots__ = ("children", "columns", "name", "rows", "shown", "start", "step", "visible")
 
     def __init__(self, name: str, shown: bool = True, visible: bool | None = None) -> None:
         self.name, self.shown, self.visible = name, shown, visible
-        self.start = self.columns = self.rows = 1
+        self.columns = self.rows = self.step = 1
+        self.start: int | None = None
         self.children: list[Element | str] = []
 
 
-def _number(text: str, least: int, most: int, default: int = 1) -> int:
+def _width(text: str) -> int:
+    """The columns that a text takes."""
+    if text.isascii():
+        return len(text)
+    return sum(0 if unicodedata.category(c) in ("Mn", "Me", "Cf") else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
+
+
+def _first_number(element: Element) -> int:
+    """The number of a list's first item; of a reversed one that has none, how many items it has."""
+    if element.start is not None:
+        return element.start
+    return sum(isinstance(x, Element) and x.name == "li" and x.shown for x in element.children) if element.step < 0 else 1
+
+
+def _number(text: str, least: int, most: int, default: int | None = 1) -> int | None:
     found = re.match(r"\s*([+-]?\d{1,9})", text)
     return min(max(int(found[1]), least), most) if found else default
 
@@ -96,8 +122,9 @@ def _element(name: str, attributes: dict[str, str]) -> Element:
     hidden = hidden or (name == "dialog" and "open" not in attributes)
     visible = {"visible": True, "hidden": False, "collapse": False}.get(style.get("visibility", ""))
     out = Element(name, not hidden and name not in NEVER_SHOWN, visible)
-    if name == "ol":
-        out.start = _number(attributes.get("start", ""), -(10**9), 10**9)
+    if name in ("ol", "li"):
+        out.start = _number(attributes.get("start" if name == "ol" else "value", ""), -(10**9), 10**9, None)
+        out.step = -1 if "reversed" in attributes and name == "ol" else 1
     elif name in ("td", "th"):
         out.columns = _number(attributes.get("colspan", ""), 1, MAX_COLSPAN)
         out.rows = _number(attributes.get("rowspan", ""), 0, MAX_ROWSPAN) or MAX_ROWSPAN  # 0: to the end
@@ -141,14 +168,19 @@ def build_tree(page: str) -> Element:
         if last(names) > bound:
             cut(min(own[bisect_right(own, bound)] for x in names if (own := places.get(x)) and own[-1] > bound))
 
+    def say(text: str) -> None:
+        if stack[-1].name == "head" and _WHITE.sub("", text):
+            cut(len(stack) - 1)
+        stack[-1].children.append(html.unescape(text))
+
     at, size = 0, len(page)
     while at < size:
         found = _TOKEN.search(page, at)
         if not found:
-            stack[-1].children.append(html.unescape(page[at:]))
+            say(page[at:])
             break
         if found.start() > at:
-            stack[-1].children.append(html.unescape(page[at : found.start()]))
+            say(page[at : found.start()])
         at = found.end()
         if not found[2]:
             continue
@@ -170,18 +202,20 @@ def build_tree(page: str) -> Element:
         element = _element(name, attributes)
         if places.get(_NOT_SHOWN_IN.get(name, "")):
             element.shown = False
-        if stack[-1].name == "head" and name not in ("base", "link", "meta", "title", "style", "script", "noscript", "template"):
+        if stack[-1].name == "head" and name not in _IN_HEAD:
             cut(len(stack) - 1)
         stack[-1].children.append(element)
         if name in VOID or (closed and (name in ("svg", "math") or places.get("svg") or places.get("math"))):
             continue
         if name in RAW and not (places.get("svg") or places.get("math")):
-            end = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            end = None if name == "plaintext" else re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             text = page[at : end.start() if end else size]
             element.children.append(html.unescape(text.removeprefix("\n")) if name == "textarea" else text)
             at = end.end() if end else size
         else:
             push(element)
+            if name in ("pre", "listing") and page.startswith("\n", at):
+                at += 1  # a line feed right behind the tag is none of the text
     return root
 
 
@@ -274,7 +308,7 @@ def _dealt(table: Element, visible: bool) -> tuple[list[list[tuple[Element, bool
             loose.children.append(child)
         else:
             own = Element(child.name, True, child.visible)
-            own.start = child.start
+            own.start, own.step = child.start, child.step
             loose.children.append(own)
             inner = row
             if child.name in ("tr", "thead", "tbody", "tfoot"):
@@ -315,7 +349,7 @@ def _table(table: Element, visible: bool, out: _Lines, depth: int) -> None:
     widths: dict[int, int] = {}
     cells = sorted(((n, at, lines) for row in placed for at, n, lines in row), key=lambda x: x[:2])
     for n, at, lines in cells:  # those of one column first
-        need = max(map(len, lines), default=0)
+        need = max(map(_width, lines), default=0)
         own = [widths[c] for c in range(at, at + n) if widths.get(c)]
         short = need - sum(own) - 2 * max(0, len(own) - 1)
         if n == 1:
@@ -332,7 +366,7 @@ def _table(table: Element, visible: bool, out: _Lines, depth: int) -> None:
             line = ""
             for at, _, lines in row:
                 if k < len(lines) and lines[k]:
-                    line = line.ljust(starts[at]) + lines[k]
+                    line += " " * (starts[at] - _width(line)) + lines[k]
             out.add(line, pre=True)
             out.break_()
 
@@ -341,7 +375,7 @@ def _laid(element: Element, visible: bool = True, depth: int = 0) -> list[str]:
     """The lines of an element's content."""
     out = _Lines()
     # Open elements: children left, white space kept, visible, the number of the next item, what to do at the end.
-    stack: list[list] = [[iter(element.children), element, False, visible, element.start, None]]
+    stack: list[list] = [[iter(element.children), element, False, visible, _first_number(element), None]]
     while stack:
         frame = stack[-1]
         children, parent, pre, seen, number, ending = frame
@@ -379,13 +413,14 @@ def _laid(element: Element, visible: bool = True, depth: int = 0) -> list[str]:
         level = len(out.prefix)
         own = ""
         if name == "li":
+            number = number if child.start is None else child.start
             own = f"{number}. " if parent.name == "ol" else "- "
-            frame[4] += 1
+            frame[4] = number + parent.step
         elif name in ("dd", "blockquote"):
             own = "  "
         if own and level < MAX_INDENT:
             out.prefix.append(own)
-        stack.append([iter(child.children), child, pre or name == "pre", inside, child.start, (gap, level)])
+        stack.append([iter(child.children), child, pre or name in PRE, inside, _first_number(child), (gap, level)])
     return out.done()
 
 
