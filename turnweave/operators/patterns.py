@@ -15,6 +15,8 @@ from turnweave.functions.numbers import number_in_range, numbers
 from turnweave.functions.text import any_of, char_overlap, characters, compact
 from turnweave.operators.context import previous_user_turn, replies_within
 from turnweave.operators.requirements import window_union
+from turnweave.operators.term_index import word_marks
+from turnweave.plans.local import local_table
 
 # Bounds of broad patterns, similarities, and words that show a structure.
 BROAD, SIMILAR, SLOT_SHARE, SLOT_COMMON = 4, 0.82, 0.86, 3
@@ -129,6 +131,51 @@ def pattern_turns(turns: DataFrame, pattern: dict, fuzzy: bool = False, node_tex
     return rows.where(holds).select("dialogue_id", "turn_index")
 
 
+def indexable(pattern: dict) -> bool:
+    """Whether a pattern is words of one turn, so that ``indexed_turns`` can find it."""
+    special = ("cross_turn", "window_union", "reply_to_user_any", "number", "kinds_any", "polarity", "loose_any", "loose_all", "weak")
+    return bool(pattern["any"] or pattern["all"]) and not any(pattern.get(x) for x in special)
+
+
+def indexed_turns(turns: DataFrame, listed: list[tuple[str, dict]]) -> DataFrame:
+    """(dialogue, turn_index, pattern_id) of all turns in which one of many ``indexable`` patterns is met: ``pattern_turns`` of each.
+
+    One pass over a turn finds the words of all patterns. A turn meets the patterns of which it has a word that they need (one of
+    all, or any of any), and only these are counted; the number of patterns makes no plan longer.
+    """
+    spark = turns.sparkSession
+    number = {w: i for i, w in enumerate(dict.fromkeys(w.lower() for _, p in listed for w in (*p["any"], *p["all"], *p["none"])))}
+    numbers_of = lambda words: [number[w.lower()] for w in words]
+    rows, keys = [], []
+    for k, (_, p) in enumerate(listed):
+        regex = "(?i)" + "|".join(f"(?:{x})" for x in p["regex_any"]) if p["regex_any"] else None
+        rows.append((k, p["speaker"] or "", numbers_of(p["any"]), numbers_of(p["all"]), numbers_of(p["none"]), int(p["least"]), regex))
+        need = {max(p["all"], key=len)} if p["all"] else set(p["any"])
+        keys += [(k, number[w.lower()]) for w in need]
+    known = F.broadcast(local_table(spark, rows, "pattern int, asked string, some array<int>, all array<int>, none array<int>, least int, regex string"))
+    keyed = F.broadcast(local_table(spark, sorted(set(keys)), "pattern int, mark int"))
+    marked = word_marks(turns, list(number), ["dialogue_id", "turn_index", "speaker"])
+    pairs = marked.withColumn("mark", F.explode("marks")).join(keyed, "mark").drop("mark").distinct().join(known, "pattern")
+    held = lambda c: F.size(F.filter(c, lambda x: F.array_contains("marks", x)))
+    enough = (F.size("some") == 0) | (held("some") >= F.col("least"))
+    met = pairs.where(F.col("asked").isin("") | (F.col("asked") == F.col("speaker"))).where(enough & (held("all") == F.size("all")) & (held("none") == 0))
+    if any(p["regex_any"] for _, p in listed):
+        plain, with_regex = met.where("regex IS NULL"), met.where("regex IS NOT NULL").join(turns.select("dialogue_id", "turn_index", "text"), ["dialogue_id", "turn_index"])
+        met = plain.select("dialogue_id", "turn_index", "pattern").unionByName(with_regex.where(F.rlike("text", F.col("regex"))).select("dialogue_id", "turn_index", "pattern"))
+    names = F.broadcast(local_table(spark, [(k, name) for k, (name, _) in enumerate(listed)], "pattern int, pattern_id string"))
+    return met.select("dialogue_id", "turn_index", "pattern").join(names, "pattern").drop("pattern")
+
+
+def all_turns(turns: DataFrame, listed: list[tuple[str, dict]]) -> DataFrame:
+    """(dialogue, turn_index, pattern_id) of many patterns: those of words together, the others one by one."""
+    plain = [x for x in listed if indexable(x[1])]
+    out = indexed_turns(turns, plain) if plain else local_table(turns.sparkSession, [], "dialogue_id string, turn_index int, pattern_id string")
+    for name, p in listed:
+        if not indexable(p):
+            out = out.unionByName(pattern_turns(turns, p).withColumn("pattern_id", F.lit(name)))
+    return out
+
+
 def slot_hit(term: Column, text: Column) -> Column:
     """A term of a slot: contained, or from four characters on nearly all of its characters."""
     a, b = compact(term), compact(text)

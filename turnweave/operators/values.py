@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnweave.functions import facts as ff
-from turnweave.functions.text import any_of, compact, text_hit
-from turnweave.operators.judges import DIRECTIONS
+from turnweave.functions.numbers import DAYS
+from turnweave.functions.text import any_of, compact, form, text_hit
+from turnweave.operators.judges import DIRECTIONS, HIGH_LOW
+from turnweave.operators.term_index import Term, mark_terms
+from turnweave.plans.catalogue import term_forms
+from turnweave.plans.local import local_table
 
 #: All words of directions.
 DIRECTION_WORDS = tuple(dict.fromkeys(word for wanted, opposite, _ in DIRECTIONS for word in (*wanted, *opposite)))
@@ -22,16 +26,65 @@ VALUE_FACT = (
 )
 
 
+def fact_words(facts: DataFrame) -> tuple[list[tuple[str, Term]], list[str]]:
+    """(fact_id, word) of what a span has to hold to speak of a fact of ``VALUE_FACT``, and the facts that any value may speak of.
+
+    Beside a value, the first two characters of a special term name a fact's object; where it is allowed, a short term does.
+    """
+    words, any_value = [], []
+    for f in facts.collect():
+        special = [t for g in f.groups for e in g if not e.general for t in e.terms]
+        forms = [term_forms(t) for t in special]
+        words += [(f.fact_id, Term(a[:2] if len(a) >= 4 else a, rest, (), True)) for a, rest in forms if a]
+        if f.allowed:
+            words += [(f.fact_id, Term(a, "", (), True)) for a, _ in map(term_forms, f.short_terms) if a]
+        if not f.groups:
+            any_value.append(f.fact_id)
+    return words, any_value
+
+
+def direction_words(facts: DataFrame) -> list[tuple[str, Term]]:
+    """(fact_id, word) of what a span has to hold to turn a fact (fact_id, subjects, expected) round: for high and low one of its
+    subjects, otherwise a word of the other direction."""
+    words = []
+    for f in facts.collect():
+        named = [t for t in f.subjects or [] if len(t) >= 3]
+        for wanted, opposite, label in DIRECTIONS:
+            if any(w in t for t in f.expected or [] for w in wanted):
+                words += [(f.fact_id, Term(term_forms(t)[0], "", (), True)) for t in (named if label == HIGH_LOW and named else opposite)]
+    return words
+
+
+def spans_of_facts(spans: DataFrame, words: list[tuple[str, Term]], any_value: list[str] = ()) -> DataFrame:
+    """``spans`` (with text) and the fact_id of each fact of which a span has a word; one pass over a span finds the words of all facts.
+
+    Facts without an object of their own (``any_value``) meet the spans that have a value: each of these is a comparison asked for.
+    """
+    names = F.broadcast(local_table(spans.sparkSession, [(i, fact) for i, (fact, _) in enumerate(words)], "mark int, fact_id string"))
+    marked = mark_terms(spans.withColumn("form", form("text")), [t for _, t in words])
+    found = marked.withColumn("mark", F.explode("marks")).drop("marks").join(names, "mark").drop("mark").distinct()
+    if any_value:
+        # A digit, a numeral or a day: all that a value can be made of.
+        valued = spans.where(F.col("text").rlike(r"(?U)\d|[" + "".join(sorted({c for w in (*ff.NUMERALS, *(w for words in DAYS.values() for w in words)) for c in w})) + "]"))
+        found = found.unionByName(valued.withColumn("fact_id", F.explode(F.array(*map(F.lit, any_value))))).distinct()
+    return found
+
+
+def with_profiles(facts: DataFrame) -> DataFrame:
+    """``facts`` whose checks have the profile of what they expect, parsed here, once a fact."""
+    profiled = F.transform("checks", lambda c: F.struct(c["expected"].alias("expected"), c["anchors"].alias("anchors"), c["condition"].alias("condition"), ff.fact_profile(c["expected"], c["unit"]).alias("profile")))
+    made = facts.withColumn("checks", profiled)
+    return local_table(facts.sparkSession, made.collect(), made.schema)
+
+
 def value_results(spans: DataFrame, facts: DataFrame) -> DataFrame:
     """(dialogue, fact, turn_index, seq, check_ord, result) of spans that state a value of a fact: conflict or support.
 
-    ``spans``: dialogue_id, turn_index, seq, text and, where a selector chose them, fact_id; without it every span meets
-    every fact. ``facts``: ``VALUE_FACT``, metadata that is broadcast.
+    ``spans``: dialogue_id, turn_index, seq, text and, where a selector chose them, fact_id; without it a span meets the facts of
+    which it has a word. ``facts``: ``VALUE_FACT``, metadata that is broadcast; expected values are parsed once a fact.
     """
-    known = F.broadcast(facts)
-    rows = spans.join(known, "fact_id") if "fact_id" in spans.columns else spans.crossJoin(known)
-    profiled = F.transform("checks", lambda c: F.struct(c["expected"].alias("expected"), c["anchors"].alias("anchors"), c["condition"].alias("condition"), ff.fact_profile(c["expected"], c["unit"]).alias("profile")))
-    rows = rows.withColumn("checks", profiled)
+    met = spans if "fact_id" in spans.columns else spans_of_facts(spans, *fact_words(facts))
+    rows = met.join(F.broadcast(with_profiles(facts)), "fact_id")
     text = F.col("text")
     trunk = (F.size("groups") == 0) | ff.names_trunk(F.col("groups"), text, DIRECTION_WORDS)
     rows = rows.withColumn("trunk", trunk)

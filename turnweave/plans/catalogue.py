@@ -202,11 +202,17 @@ def idf(elements: DataFrame) -> DataFrame:
     return counted.crossJoin(F.broadcast(n)).select("term", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
-def _form(text: str) -> dict[str, Any]:
-    """What ``form_hit`` compares of a term."""
+def term_forms(text: str) -> tuple[str, str]:
+    """A term's compact form, and that without fillers."""
     tight = rest = _tight(text)
     for word in FILLERS:
         rest = rest.replace(word, "")
+    return tight, rest
+
+
+def _form(text: str) -> dict[str, Any]:
+    """What ``form_hit`` compares of a term."""
+    tight, rest = term_forms(text)
     exact = bool(re.search(r"\d", tight)) or any(x in tight for x in EXACT_MARKS) or len(tight) < 5
     return {"tight": tight, "rest": rest, "chars": list(dict.fromkeys(tight)), "exact": exact}
 

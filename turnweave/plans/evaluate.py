@@ -104,7 +104,9 @@ def _fact_checks(spans: DataFrame, settled: DataFrame, graph: Graph) -> DataFram
     opened = rows.where("selector_m.verdict IN ('hit', 'review')").select("dialogue_id", "fact_id")
     # Only facts with values or directions to compare.
     judged = graph.facts.join(graph.values.select("fact_id", F.lit(True).alias("valued")), "fact_id", "left").where("valued OR size(expected) > 0").select("fact_id")
-    wide = own.select("dialogue_id", "turn_index", "seq", "text").join(F.broadcast(judged), F.lit(True)).join(opened, ["dialogue_id", "fact_id"], "left_anti").withColumn("scope_ord", F.lit(0))
+    words, any_value = values.fact_words(graph.values)
+    words += values.direction_words(graph.facts.join(judged, "fact_id", "left_semi").select("fact_id", "subjects", "expected"))
+    wide = values.spans_of_facts(own.select("dialogue_id", "turn_index", "seq", "text"), words, any_value).join(opened, ["dialogue_id", "fact_id"], "left_anti").withColumn("scope_ord", F.lit(0))
     narrow = own.select("dialogue_id", "turn_index", "seq", "text").join(scope, ["dialogue_id", "turn_index"])
     checked = narrow.select("dialogue_id", "fact_id", "turn_index", "seq", "text", "scope_ord").unionByName(wide.select("dialogue_id", "fact_id", "turn_index", "seq", "text", "scope_ord"))
     if any(f["checks"] for f in graph.parts.facts):
@@ -178,11 +180,9 @@ def _limit_checks(turns: DataFrame, spans: DataFrame, settled: DataFrame, graph:
             score = scoring.soft_ratio(F.coalesce("h", F.lit(0)), F.col("n"), direction, low if direction != "higher" else 0.0, good if direction == "higher" else high)
             rows = share.withColumn("s", score)
             found.append(rows.select("dialogue_id", F.lit(c["id"]).alias("constraint_id"), F.lit("soft").alias("enforcement"), F.lit(c["severity"]).alias("severity"), F.when(F.col("s") >= 1, judges.SAFE).otherwise("软问题").alias("verdict"), F.col("s").alias("score"), "turn_index"))
-        for k, p in enumerate(c["prohibited"]):
-            hit = patterns.pattern_turns(turns.where("speaker = 'assistant'"), p)
-            for q in c["safe_context"]:
-                hit = hit.join(patterns.pattern_turns(turns, q), ["dialogue_id", "turn_index"], "left_anti")
-            found.append(own(hit.groupBy("dialogue_id").agg(F.min("turn_index").alias("turn_index")), F.lit(None).cast("double")))
+    forbidden = [c for c in graph.parts.constraints if c["prohibited"]]
+    if forbidden:
+        found.append(_prohibited(turns, forbidden))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -191,6 +191,24 @@ def _limit_checks(turns: DataFrame, spans: DataFrame, settled: DataFrame, graph:
     return best.select("dialogue_id", "constraint_id", "enforcement", "severity", "b.*")
 
 
+def _prohibited(turns: DataFrame, constraints: list[dict]) -> DataFrame:
+    """Rows of ``_limit_checks`` for constraints of which the assistant says a prohibited pattern, outside of their safe contexts."""
+    spark = turns.sparkSession
+    named = [(c["id"], c["enforcement"], c["severity"], "软问题" if c["enforcement"] == "soft" else judges.VIOLATION) for c in constraints]
+    known = F.broadcast(local_table(spark, named, "constraint_id string, enforcement string, severity string, verdict string"))
+
+    def met(rows: DataFrame, listed: list[tuple[str, dict]]) -> DataFrame:
+        owners = F.broadcast(local_table(spark, [(str(i), name) for i, (name, _) in enumerate(listed)], "pattern_id string, constraint_id string"))
+        return patterns.all_turns(rows, [(str(i), p) for i, (_, p) in enumerate(listed)]).join(owners, "pattern_id").select("dialogue_id", "constraint_id", "turn_index").distinct()
+
+    hit = met(turns.where("speaker = 'assistant'"), [(c["id"], p) for c in constraints for p in c["prohibited"]])
+    safe = [(c["id"], q) for c in constraints for q in c["safe_context"]]
+    if safe:
+        hit = hit.join(met(turns, safe), ["dialogue_id", "constraint_id", "turn_index"], "left_anti")
+    first = hit.groupBy("dialogue_id", "constraint_id").agg(F.min("turn_index").alias("turn_index")).join(known, "constraint_id")
+    return first.select("dialogue_id", "constraint_id", "enforcement", "severity", "verdict", F.lit(None).cast("double").alias("score"), "turn_index")
+
+
 def _routed(turns: DataFrame, found: DataFrame, graph: Graph, results: DataFrame, triggers: DataFrame) -> DataFrame:
     """``results`` in which sibling answers that nothing asked for count as given, at turn 0, and are not required."""
     asked = [n for n in graph.parts.nodes if n["type"] == "faq" and len(n["requirements"]) > 1]
@@ -268,10 +286,18 @@ def evaluate(turns: DataFrame, graph: Graph, given_satisfies: bool = False) -> d
     fired = matches.where("verdict = 'hit'").join(F.broadcast(catalogue.nodes.select("node_id", F.col("trigger_rule").alias("rule_id"))), "rule_id").select("dialogue_id", "node_id", "turn_index")
     none = local_table(spark, [], "dialogue_id string, node_id string, pattern_ord int, turn_index int")
     by_pattern, scanned = none, none.drop("pattern_ord")
+    listed = []
     for n in graph.parts.nodes:
         for k, p in enumerate(n["activation"]["patterns"]):
-            met = patterns.pattern_turns(turns, {**p, "speaker": p["speaker"] or "user"}, node_text=_node_text(n)).select("dialogue_id", F.lit(n["id"]).alias("node_id"), F.lit(k).alias("pattern_ord"), "turn_index")
-            by_pattern = by_pattern.unionByName(met)
+            asked = {**p, "speaker": p["speaker"] or "user"}
+            if patterns.asks_for_repair(_node_text(n), [*p["any"], *p["all"]]):
+                met = patterns.pattern_turns(turns, asked, node_text=_node_text(n)).select("dialogue_id", F.lit(n["id"]).alias("node_id"), F.lit(k).alias("pattern_ord"), "turn_index")
+                by_pattern = by_pattern.unionByName(met)
+            else:
+                listed.append((n["id"], k, asked))
+    if listed:
+        names = F.broadcast(local_table(spark, [(str(i), node_id, k) for i, (node_id, k, _) in enumerate(listed)], "pattern_id string, node_id string, pattern_ord int"))
+        by_pattern = by_pattern.unionByName(patterns.all_turns(turns, [(str(i), p) for i, (_, _, p) in enumerate(listed)]).join(names, "pattern_id").select(*by_pattern.columns))
     objects = [(n["id"], "user", *_object_terms(n["activation"]["object"])) for n in graph.parts.nodes if n["activation"]["object"]]
     if objects:
         listed = local_table(spark, objects, "object_id string, speaker string, direct array<string>, slots array<array<string>>, none array<string>, least int")
