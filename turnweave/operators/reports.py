@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnweave.functions.text import compact
+from turnweave.sources.shared import stored, stored_with
 
 COMPONENTS = ("total", "node_completion", "relation_score", "knowledge_score", "constraint_score")
 
@@ -50,41 +55,106 @@ def usage(calls: DataFrame) -> DataFrame:
     return out.withColumn("purpose", F.coalesce("purpose", F.lit("total")))
 
 
-#: Passages of this number at most are broadcast; more are joined by a shuffle. Passages without an inner word: this many at most.
-MAX_BROADCAST, MAX_SHORT = 1_000_000, 1_000
+#: Passages of this number at most are broadcast; more are joined by a shuffle.
+MAX_BROADCAST = 1_000_000
+#: Passages of so many characters at least: characters of a gram, and grams of a window of which the least hash is kept. A text
+#: that holds such a passage holds a whole window of it. Long passages have few keys, and their texts too.
+WINNOWS = ((40, 9, 32), (8, 5, 4))
+#: Characters of the one gram of passages that have no window; words of a run of passages with spaces.
+GRAM, RUN = 5, 3
 
 
-def _runs(words: Column, n: int) -> Column:
-    """Hashes of the runs of n words."""
-    made = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.xxhash64(*[F.element_at(words, i + k) for k in range(n)]))
-    return F.when(F.size(words) >= n, made).otherwise(F.array().cast("array<bigint>"))
+def _with(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), lambda x: then(x)), F.lit(0))
 
 
-def leaks(documents: DataFrame, passages: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, item_id) of documents that hold a passage.
+def grams(text: Column, n: int = GRAM) -> Column:
+    """The hashes of a text's runs of n characters, in order."""
+
+    def joined(letters: Column) -> Column:
+        # Shifted arrays are zipped: to cut each run from the text would be to count its characters each time.
+        m = F.greatest(F.size(letters) - (n - 1), F.lit(0))
+        runs = F.slice(letters, F.lit(1), m)
+        for k in range(1, n):
+            runs = F.zip_with(runs, F.slice(letters, F.lit(k + 1), m), lambda x, y: F.concat(x, y))
+        return F.transform(runs, lambda x: F.xxhash64(x))
+
+    return _with(F.filter(F.split(text, ""), lambda x: x != ""), joined)
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, r"\s+"), lambda x: x != "")
+
+
+def word_runs(words: Column, n: int = RUN) -> Column:
+    """The hashes of the runs of n words."""
+
+    def made(w: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.xxhash64(*[F.element_at(w, i + k) for k in range(n)]))
+        return F.when(F.size(w) >= n, runs).otherwise(F.array().cast("array<bigint>"))
 
-    A text that holds a passage holds the passage's inner words (all but its first and last, which may be parts of words there) as words.
-    So documents and passages meet by the hash of three neighbouring inner words, or of one where there are fewer, and are then compared.
+    return _with(words, made)
+
+
+def winnowed(hashes: Column, window: int) -> Column:
+    """The least hash of each window (a power of two) of consecutive ones, each once; of fewer than a window none."""
+
+    def halved(h: Column, k: int) -> Column:
+        """Of windows of k the least, from those of half of it."""
+        rest = F.greatest(F.size(h) - k // 2, F.lit(0))
+        return F.zip_with(F.slice(h, F.lit(1), rest), F.slice(h, F.lit(k // 2 + 1), rest), lambda x, y: F.least(x, y))
+
+    out, k = hashes, 2
+    while k <= window:
+        out = _with(out, partial(halved, k=k))
+        k *= 2
+    return F.array_distinct(out)
+
+
+def leaks(documents: DataFrame, passages: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, item_id) of documents that hold a passage, in any script; one row a document's row and passage's row.
+
+    A text that holds a passage with spaces holds its inner words (all but the first and last, which may be parts of words there) as
+    words; with three of these they meet by the hash of three neighbours, which are fewer than characters. Other passages, as of scripts
+    without spaces, meet by winnowing: of each window of neighbouring character grams the least hash is a key, so that a text that
+    holds a passage with a window has that window's key. Shorter passages meet by one gram, or, below its length, by all runs of
+    their length: every text that holds one has that run. Keys meet without the texts; a text is fetched once for each document that met
+    a passage, and compared.
     """
-    known = passages.select("item_id", F.col("text").alias("passage")).where("passage <> ''")
-    words = F.filter(F.split("passage", r"\s+"), lambda x: x != "")
+    known = passages.select("item_id", F.col("text").alias("passage")).where("passage <> ''").withColumn("p", F.monotonically_increasing_id())
+    size = F.length("passage")
+    bounds = [2**31, *[low for low, _, _ in WINNOWS], GRAM, 1]
+    words = _words(F.col("passage"))
     inner = F.slice(words, 2, F.greatest(F.lit(0), F.size(words) - 2))
-    keyed = known.withColumn("inner", inner).withColumn("n", F.when(F.size("inner") >= 3, 3).when(F.size("inner") >= 1, 1).otherwise(0))
-    keyed = keyed.withColumn("key", F.when(F.col("n") == 3, F.array_min(_runs(F.col("inner"), 3))).when(F.col("n") == 1, F.array_min(_runs(F.col("inner"), 1)))).drop("inner")
-    sizes = {row.n: row["count"] for row in keyed.groupBy("n").count().collect()}
-    small = F.broadcast if sum(sizes.values()) <= MAX_BROADCAST else (lambda x: x)
-    own = documents.select("doc_id", F.col(text).alias("body")).withColumn("own", F.filter(F.split("body", r"\s+"), lambda x: x != ""))
-    found = None
-    for n in (3, 1):
-        if sizes.get(n):
-            rows = own.select("doc_id", "body", F.explode(F.array_distinct(_runs(F.col("own"), n))).alias("key"))
-            met = rows.join(small(keyed.where(F.col("n") == n)), "key").where(F.contains("body", F.col("passage"))).select("doc_id", "item_id")
-            found = met if found is None else found.unionByName(met)
-    if sizes.get(0):
-        if sizes[0] > MAX_SHORT:
-            raise ValueError(f"more than {MAX_SHORT} passages of one or two words")
-        met = own.join(F.broadcast(keyed.where("n = 0")), F.contains("body", F.col("passage"))).select("doc_id", "item_id")
-        found = met if found is None else found.unionByName(met)
-    if found is None:
+    wordy = F.size(words) >= RUN + 2
+    classes = [~wordy & (size >= low) & (size < high) for high, low in zip(bounds, bounds[1:])]
+    known, seen = stored_with(known, F.count("*").alias("n"), F.max(wordy).alias("wordy"), *[F.max(c).alias(f"k{k}") for k, c in enumerate(classes)], F.collect_set(F.when(size < GRAM, size)).alias("sizes"))
+    if not seen["n"]:
         return documents.limit(0).select("doc_id").join(known.limit(0).select("item_id"), F.lit(True))
-    return found
+    small = F.broadcast if seen["n"] <= MAX_BROADCAST else (lambda x: x)
+    own = stored(documents.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("body")).withColumn("d", F.monotonically_increasing_id()))
+    body, met = F.col("body"), None
+    # Passages of a window and more: one of their keys is enough. The rarest is not known; the least hash is as good as any.
+    asked = [(classes[k], winnowed(grams(F.col("passage"), n), w), winnowed(grams(body, n), w)) for k, (_, n, w) in enumerate(WINNOWS) if seen[f"k{k}"]]
+    asked += [(wordy, word_runs(inner), word_runs(_words(body)))] if seen["wordy"] else []
+    asked += [(classes[-2], F.slice(grams(F.col("passage")), 1, 1), grams(body))] if seen[f"k{len(WINNOWS)}"] else []
+    asked += [(classes[-1] & (size == n), F.array(F.xxhash64("passage")), grams(body, n)) for n in sorted(seen["sizes"] or [])]
+    for which, of_passage, of_body in asked:
+        keyed = known.where(which).select("p", F.array_min(of_passage).alias("key"))
+        each = own.select("d", F.explode_outer(F.array_distinct(of_body)).alias("key")).where("key IS NOT NULL")
+        pairs = each.join(small(keyed), "key").select("d", "p")
+        met = pairs if met is None else met.unionByName(pairs)
+    by_document = met.groupBy("d").agg(F.collect_set("p").alias("ps"))
+    texts = own.join(by_document, "d").select("doc_id", "body", F.explode("ps").alias("p"))
+    return texts.join(small(known), "p").where(F.contains("body", F.col("passage"))).select("doc_id", "item_id")
+
+
+def span_leaks(spans: DataFrame, patterns: DataFrame, least: int = 6) -> DataFrame:
+    """(span, pattern) of label spans of ``least`` compact characters or more that a graph's pattern texts hold: answers in the rules.
+
+    ``spans``: span; ``patterns``: pattern; both are compared in their compact form, each once.
+    """
+    wanted = spans.select(compact("span").alias("item_id")).where(F.length("item_id") >= least).distinct().withColumn("text", F.col("item_id"))
+    texts = patterns.select(compact("pattern").alias("doc_id")).distinct().withColumn("text", F.col("doc_id"))
+    return leaks(texts, wanted).select(F.col("item_id").alias("span"), F.col("doc_id").alias("pattern"))

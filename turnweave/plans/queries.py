@@ -783,3 +783,15 @@ def a28_usage(spark, sf_dir):
 @query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON b.text <> '' AND contains(d.text, b.text)")
 def q2_leaks(spark, sf_dir):
     return reports.leaks(_documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+# Label spans: what users say in the conversations, cut; patterns: all that assistants say. Both without spaces, as in scripts that have none.
+_LEAK_SPANS = "SELECT substr(text, 1 + CAST(turn % 5 AS INTEGER), 6 + CAST(turn % 9 AS INTEGER)) AS span FROM {conversations} WHERE role = 'user'"
+
+
+@query(f"""WITH s AS (SELECT DISTINCT {q_compact('span')} AS span FROM ({_LEAK_SPANS.replace('{conversations}', 'conversations')})), p AS (SELECT DISTINCT {q_compact('text')} AS pattern FROM conversations WHERE role <> 'user')
+SELECT span, pattern FROM s JOIN p ON length(span) >= 6 AND contains(pattern, span)""")
+def q2_span_leaks(spark, sf_dir):
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    spans = spark.sql(_LEAK_SPANS, conversations=conversations)
+    return reports.span_leaks(spans, conversations.where("role <> 'user'").select(F.col("text").alias("pattern")))
