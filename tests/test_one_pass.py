@@ -47,7 +47,7 @@ WORDS = ["ab", "B", "c", "abc", "x", "é"]
 
 def pattern_of(rng):
     some = lambda most: [rng.choice(WORDS) for _ in range(rng.randint(0, most))]
-    raw = {"any": some(3), "all": some(2), "none": some(1), "speaker": rng.choice(["", "user", "assistant"]), "min_hits": rng.randint(1, 2)}
+    raw = {"any": some(3), "all": some(2), "none": some(1), "speaker": rng.choice(["", "user", "assistant"]), "min_any_hits": rng.randint(1, 2)}
     if rng.random() < 0.3:
         raw["regex_any"] = [rng.choice(["a.c", "^x", "B$"])]
     return gr.pattern(raw)

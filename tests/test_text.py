@@ -6,8 +6,9 @@ import re
 from pyspark.sql import functions as F
 
 from turnweave.functions import text as ft
-from turnweave.operators import context
+from turnweave.operators import patterns
 from turnweave.operators.routing import arbitrate, diverse_budget
+from turnweave.plans import graph
 from turnweave.sources.dialogues import read_dialogues, turns_of
 
 ALPHABET = "取消生效次日的会就可以 3单"
@@ -101,7 +102,8 @@ def test_dialogue_files(spark, tmp_path):
 
 def test_pattern_parts(spark):
     df = spark.createDataFrame([("abc",), ("abx",), ("bcz",)], "text string")
-    hit = context.pattern_hit(F.col("text"), ("b",), ("a", "c", "z"), ("x",), 2, ("^a", "z$"))
+    pattern = graph.pattern({"all": ["b"], "any": ["a", "c", "z"], "none": ["x"], "min_any_hits": 2, "regex_any": ["^a", "z$"]})
+    hit = patterns.turn_matches(pattern, F.col("text"), F.lit(""))
     assert [r.text for r in df.where(hit).collect()] == ["abc", "bcz"]
 
 

@@ -30,38 +30,12 @@ def after_trigger(turns: DataFrame, trigger: Column) -> DataFrame:
     return turns.withColumn("trigger_turn", first).where("turn_index > trigger_turn")
 
 
-def terminal_policies(turns: DataFrame, trigger: Column, safe: Column, forbidden: Column) -> DataFrame:
-    """(dialogue, trigger_turn, safe_turn, forbidden_turn, status) of dialogues in which a policy was triggered."""
-    later = after_trigger(turns, trigger)
-    own = F.col("speaker") == "assistant"
-    safe_turn = F.min(F.when(own & safe, F.col("turn_index")))
-    out = later.groupBy("dialogue_id", "trigger_turn").agg(safe_turn.alias("safe_turn"), F.collect_list(F.when(own & forbidden, F.col("turn_index"))).alias("f"))
-    bad = F.array_min(F.filter("f", lambda x: F.col("safe_turn").isNull() | (x > F.col("safe_turn"))))
-    out = out.withColumn("forbidden_turn", bad).drop("f")
-    return out.withColumn("status", F.when(F.col("safe_turn").isNull(), "触发但未处理").when(F.col("forbidden_turn").isNotNull(), "已处理但后续违背转场").otherwise("已处理"))
-
-
 def band_members(turns: DataFrame, reach: int) -> DataFrame:
     """``turns`` with band: the number of turns of the same speaker at most ``reach`` away."""
     by = Window.partitionBy("dialogue_id", "speaker").orderBy("turn_index").rangeBetween(-reach, reach)
     return turns.withColumn("band", F.count("*").over(by))
 
 
-def pattern_hit(text: Column, all_of: tuple[str, ...] = (), any_of: tuple[str, ...] = (), none_of: tuple[str, ...] = (), least_any: int = 1, regex_any: tuple[str, ...] = ()) -> Column:
-    """Whether a text holds all words, enough of some, none of others, and one of the expressions."""
-    holds = lambda w: F.contains(text, F.lit(w))
-    out = F.lit(True)
-    for word in all_of:
-        out = out & holds(word)
-    if any_of:
-        out = out & (sum((holds(w).cast("int") for w in any_of), F.lit(0)) >= least_any)
-    for word in none_of:
-        out = out & ~holds(word)
-    if regex_any:
-        out = out & text.rlike("|".join(f"(?:{x})" for x in regex_any))
-    return out
-
-
 def across_turns(turns: DataFrame, words: tuple[str, ...], least: int) -> DataFrame:
     """(dialogue, speaker, n_words, reached_turn): where the turns of a speaker together hold ``least`` of the words, and the turn that completes them."""
     found = F.array(*[F.when(F.contains(F.col("text"), F.lit(w)), F.lit(w)) for w in words])

@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from turnweave.functions import facts as ff
 from turnweave.functions import numbers as fn
 from turnweave.functions import text as ft
-from turnweave.operators import acceptance, context, judges, matching, nodes, relations, reports, routing, scoring
+from turnweave.operators import acceptance, context, judges, matching, nodes, patterns, relations, reports, routing, scoring
 from turnweave.operators.atoms import CLAUSE_ENDS, EDGES, GUARANTEE, NO_GUARANTEE, QUESTION, SENTENCE_ENDS, TAGS, atoms, spread, tags
 from turnweave.plans import catalogue as cat
-from turnweave.plans import sample, spoken
+from turnweave.plans import graph, sample, spoken
 from turnweave.plans.local import local_table
 from turnweave.plans.spoken import BAD, CALLS, CANDIDATES, ERRORS, EVENTS, FACTS, FAMILIES, GROUPS, LISTED, MEASURES, MEMBERS, NUMBERED, ORDERED, PAIRS, POSITIVE, RECORDED, REQUIREMENTS, RESULTS, SCORES, TAGGED, TEXTS
 from turnweave.sources.dialogues import turns_of_table
@@ -172,10 +172,21 @@ def p9_precise(spark, sf_dir):
     return _values(spark, sf_dir, PAIRS).select("id", ft.is_precise(F.array("a")).alias("precise"))
 
 
-@query(f"WITH {TURNS} SELECT dialogue_id, turn_index FROM turns WHERE contains(text, 'the') AND (contains(text, 'ing')::INT + contains(text, 'on')::INT + contains(text, 'er')::INT) >= 2 AND NOT contains(text, 'ß') AND regexp_matches(text, '(?:^A)|(?:ea)')")
+@query(f"WITH {TURNS} SELECT dialogue_id, turn_index FROM turns WHERE contains(lower(text), 'the') AND (contains(lower(text), 'ing')::INT + contains(lower(text), 'on')::INT + contains(lower(text), 'er')::INT) >= 2 AND NOT contains(lower(text), 'ß') AND regexp_matches(text, '(?:^A)|(?:ea)', 'i')")
 def p18_pattern(spark, sf_dir):
-    hit = context.pattern_hit(F.col("text"), ("the",), ("ing", "on", "er"), ("ß",), 2, ("^A", "ea"))
-    return _turns(spark, sf_dir).where(hit).select("dialogue_id", "turn_index")
+    pattern = graph.pattern({"all": ["the"], "any": ["ing", "on", "er"], "none": ["ß"], "min_any_hits": 2, "regex_any": ["^A", "ea"]})
+    return patterns.pattern_turns(_turns(spark, sf_dir), pattern)
+
+
+# Patterns of every pair of syllables: one that has to be there, two of which one has to, one that must not.
+SYLLABLES = ("the", "ing", "on", "er", "que", "eau", "ung", "lich", "ción", "re", "tion", "keit")
+MANY = [(f"{a}.{b}", a, b, SYLLABLES[(i + 2 * k + 1) % 12], SYLLABLES[(3 * i + k + 5) % 12]) for i, a in enumerate(SYLLABLES) for k, b in enumerate(SYLLABLES)]
+
+
+@query(f"WITH {TURNS}, p(pattern_id, w1, w2, w3, w4) AS (VALUES {', '.join(map(str, MANY))}), t AS (SELECT dialogue_id, turn_index, lower(text) AS x FROM turns WHERE speaker = 'assistant') SELECT dialogue_id, turn_index, pattern_id FROM t JOIN p ON contains(x, w1) AND (contains(x, w2) OR contains(x, w3)) AND NOT contains(x, w4)")
+def p18_many_patterns(spark, sf_dir):
+    listed = [(name, graph.pattern({"speaker": "assistant", "all": [a], "any": [b, c], "none": [d]})) for name, a, b, c, d in MANY]
+    return patterns.indexed_turns(_turns(spark, sf_dir), listed)
 
 
 
@@ -447,13 +458,6 @@ def j15_repeated_replies(spark, sf_dir):
     return judges.repeated_replies(_turns(spark, sf_dir), 0.8, 3).withColumn("similarity", F.round("similarity", 6))
 
 
-@query(f"WITH {TURNS}, f AS (SELECT dialogue_id, min(turn_index) AS trigger_turn FROM turns WHERE speaker = 'user' AND contains(text, 'th') GROUP BY 1), l AS (SELECT t.*, trigger_turn FROM turns t JOIN f USING (dialogue_id) WHERE t.turn_index > f.trigger_turn), s AS (SELECT dialogue_id, trigger_turn, min(turn_index) FILTER (speaker = 'assistant' AND contains(text, 'er')) AS safe_turn FROM l GROUP BY ALL), b AS (SELECT s.*, (SELECT min(l.turn_index) FROM l WHERE l.dialogue_id = s.dialogue_id AND l.speaker = 'assistant' AND contains(l.text, 'in') AND (s.safe_turn IS NULL OR l.turn_index > s.safe_turn)) AS forbidden_turn FROM s) SELECT *, CASE WHEN safe_turn IS NULL THEN '触发但未处理' WHEN forbidden_turn IS NOT NULL THEN '已处理但后续违背转场' ELSE '已处理' END AS status FROM b")
-def j11_terminal_policies(spark, sf_dir):
-    holds = lambda w: F.contains("text", F.lit(w))
-    return context.terminal_policies(_turns(spark, sf_dir), holds("th"), holds("er"), holds("in"))
-
-
-
 def q_aligned(span: str, text: str, least: float) -> str:
     x, y = q_bigrams(q_compact(span)), q_bigrams(q_compact(text))
     return f"(({span} <> '' AND {text} <> '' AND (contains({text}, {span}) OR contains({span}, {text}))) OR (least(len({x}), len({y})) > 0 AND len(list_intersect({x}, {y})) / least(len({x}), len({y})) >= {least}))"

@@ -574,3 +574,10 @@ def _run(spark, sf_dir):
 def r1_run(spark, sf_dir):
     """A whole run into an empty store."""
     return _run(spark, sf_dir)["decisions"].withColumn("total", F.round("total", 6))
+
+
+@query(whole_sql.E1[: whole_sql.E1.index("ended AS (")].rstrip().rstrip(",") + " SELECT * FROM events")
+def j11_terminal_policies(spark, sf_dir):
+    from turnweave.plans import evaluate, sample
+
+    return evaluate.policy_events(_turns(spark, sf_dir), sample.graph(spark).parts.policies).select("dialogue_id", "safe_turn", "status")
