@@ -1,4 +1,4 @@
-"""JSON as language models write it: a tolerant reader of one object, for metadata on the driver.
+"""JSON as language models write it: a tolerant reader, of one object or of all that a text holds.
 
 Accepted besides JSON: text and fences around the object, comments, single quotes, bare keys
 and words, missing and trailing commas, quotes inside strings, and an end that was cut off.
@@ -12,6 +12,8 @@ from typing import Any
 
 _WORD = re.compile(r"[^\s,:{}\[\]\"']+")
 _SPACE = re.compile(r"(?:\s|//[^\n]*|/\*.*?\*/)+", re.S)
+#: What stands behind the quote that ends a string.
+_CLOSES = re.compile(r"\s*(?:[,:}\]]|$|\n\s*[\"'])")
 _NAMES = {"true": True, "false": False, "null": None, "none": None, "nan": None}
 
 
@@ -62,7 +64,7 @@ class _Reader:
                 self.at += size
                 continue
             self.at += 1
-            if c == quote and re.match(r"\s*(?:[,:}\]]|$|\n\s*[\"'])", self.text[self.at :]):
+            if c == quote and _CLOSES.match(self.text, self.at):
                 return "".join(out)
             out.append(c)
         return "".join(out)
@@ -116,3 +118,35 @@ def read_object(text: str) -> dict[str, Any]:
     reader = _Reader(source)
     reader.at = start
     return reader.members()
+
+
+def read_any(text: str) -> Any:
+    """The first object or array of a text; strict JSON is taken as it is. ``ValueError`` if there is none, or none that can be read."""
+    source = re.sub(r"^\s*```[a-zA-Z]*\s*|```\s*$", "", text or "").strip()
+    try:
+        strict = json.loads(source)
+        if isinstance(strict, (dict, list)):
+            return strict
+    except (ValueError, RecursionError):
+        pass
+    start = re.search(r"[\[{]", source)
+    if not start:
+        raise ValueError("no JSON in the text")
+    reader = _Reader(source)
+    reader.at = start.start()
+    try:
+        return reader.value()
+    except RecursionError:
+        raise ValueError("JSON of too many levels") from None
+
+
+def records_with(found: Any, key: str) -> list[dict[str, Any]]:
+    """All objects below a value that have the key, in order; what is inside of one is not searched."""
+    out, waiting = [], [found]
+    while waiting:
+        now = waiting.pop()
+        if isinstance(now, dict) and key in now:
+            out.append(now)
+        elif isinstance(now, (dict, list)):
+            waiting += reversed(list(now.values()) if isinstance(now, dict) else now)
+    return out

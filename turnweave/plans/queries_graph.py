@@ -581,3 +581,20 @@ def j11_terminal_policies(spark, sf_dir):
     from turnweave.plans import evaluate, sample
 
     return evaluate.policy_events(_turns(spark, sf_dir), sample.graph(spark).parts.policies).select("dialogue_id", "safe_turn", "status")
+
+
+# Answers as models write them: in text and fences, with commas too many, cut off, in arrays and wrappers; every tenth is none.
+# Braces are written as < and >, as the text of a query names its tables in braces.
+RAW = (
+    f"(SELECT CAST(event_id AS STRING) AS file, CAST(event_id % 64 AS DOUBLE) / 64 AS c, {pick(['hit', 'miss', 'review'], 3)} AS v, event_id % 10 = 0 AS broken, "
+    f"{pick(['', 'Here it is: ', '<"results": [', '[', '// note '], 2)} AS head, {pick(['>', ',>', '', '> is all', ' /* so */ >'], 7)} AS tail FROM events) AS t"
+)
+_RAW_TEXT = """CASE WHEN broken THEN 'I cannot say.' ELSE translate(head || '<"candidate_id": "c' || file || '", verdict: "' || v || '", "confidence": ' || CAST(c AS STRING) || tail, '<>', '{}') END"""
+
+
+@query(f"SELECT file, CASE WHEN NOT broken THEN 'c' || file END AS candidate_id, CASE WHEN NOT broken THEN v END AS verdict, CASE WHEN NOT broken THEN c END AS confidence, CASE WHEN broken THEN 'no JSON in the text' END AS problem FROM {RAW}")
+def s12_raw_answers(spark, sf_dir):
+    from turnweave.sources import packs
+
+    rows = _values(spark, sf_dir, RAW).select("file", F.expr(_RAW_TEXT).alias("raw"))
+    return packs.parsed_answers(rows).select("file", "candidate_id", "verdict", "confidence", "problem")

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnweave.functions.loose_json import read_any, records_with
 from turnweave.functions.text import clip
 from turnweave.operators.ledger import domain_scores
 from turnweave.sources.dialogues import write_tables
@@ -15,6 +18,7 @@ from turnweave.sources.dialogues import write_tables
 # The least lead of a domain's score over the second.
 LEAD = 1.45
 HINTS = 64
+ANSWER = ["file", "candidate_id", "verdict", "confidence", "reason", "problem"]
 
 
 def pack_folder(base: str, sample_type: str | None) -> str:
@@ -72,6 +76,51 @@ def replayed_answers(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(folder).where("candidate_id IS NOT NULL")
 
 
+def _share(x) -> float | None:
+    """A confidence as a number, or null."""
+    try:
+        return float(x)
+    except (TypeError, ValueError):
+        return None
+
+
+def parsed_answers(rows: DataFrame) -> DataFrame:
+    """(file, candidate_id, verdict, confidence, reason, problem) of raw answers (file, raw) as models wrote them.
+
+    Each text is read in the tasks by the tolerant reader; it may hold one answer or many, in any wrapper. A text without an answer
+    gives one row with its problem, so that none is lost; empty and null texts are such texts.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text = lambda x: x if x is None or isinstance(x, str) else json.dumps(x, ensure_ascii=False)
+        for batch in batches:
+            out = []
+            for file, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                try:
+                    found = records_with(read_any(raw.as_py() or ""), "candidate_id")
+                    problem = None if found else "no answer in the JSON"
+                except ValueError as error:
+                    found, problem = [], str(error)
+                out += [(file, text(x["candidate_id"]), text(x.get("verdict")), _share(x.get("confidence")), text(x.get("reason")), None) for x in found]
+                if not found:
+                    out.append((file, None, None, None, None, problem))
+            columns = list(zip(*out)) if out else [()] * 6
+            kinds = (pa.string(),) * 3 + (pa.float64(),) + (pa.string(),) * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=ANSWER)
+
+    schema = ", ".join(f"{name} {'double' if name == 'confidence' else 'string'}" for name in ANSWER)
+    return rows.select(F.col("file").cast("string"), F.col("raw").cast("string")).mapInArrow(read, schema)
+
+
+def raw_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """``parsed_answers`` of the text files of a folder, one answer or several each; a file is one row and read as a whole.
+
+    A file of no bytes is none to Spark's readers, and gives no row.
+    """
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True)
+    return parsed_answers(files.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("raw")))
+
+
 def case_pages(spark: SparkSession, records: DataFrame, folder: str) -> None:
     """An HTML page a dialogue, as text files written where the rows are: dialogue_id, title and lines (array of strings)."""
     escape = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
