@@ -25,6 +25,7 @@ GRAPH = {
         step("stop", main("祝您生活愉快"), type="terminal", required=False, activation={"mode": "condition", "trigger_groups": main("我要挂了")}),
         step("after", main("后续安排"), type="main"),
         step("kept", main("留下方式"), type="main"),
+        step("bare", type="faq", activation={"mode": "optional", "trigger_groups": main("在哪里上课")}),
     ],
     "edges": [
         {"source": "open", "target": "detail", "type": "before"},
@@ -77,6 +78,10 @@ def test_optional_requirements_and_triggers(steps):
     assert not steps["window", "price"].active
 
 
+def test_a_step_without_requirements_has_no_score(steps):
+    assert all(not r.active for (_, node), r in steps.items() if node == "bare") and ("window", "bare") in steps
+
+
 def test_duties_of_calls_that_go_on(steps, found):
     required = {(r.dialogue_id, r.requirement_id): r.required for r in found["requirements"].itertuples()}
     assert not required["stops", "detail.1"] and required["late", "detail.1"] and required["asked", "detail.1"]

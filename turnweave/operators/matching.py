@@ -325,18 +325,18 @@ def evaluate_windows(wins: DataFrame, hits: DataFrame, atoms: DataFrame, element
     return group_verdicts(group_measures(rows))
 
 
-def settled_windows(atoms: DataFrame, elements: DataFrame) -> DataFrame:
+def settled_windows(atoms: DataFrame, elements: DataFrame, every: bool = False) -> DataFrame:
     """The verdict of each rule in each window where anything was recalled, with fact_hit: whether a group that was hit has a fact hit.
 
     Spans, hits and windows are each read several times, with few of their columns: they
-    are stored. Windows over several turns are the same for all anchors of a turn: the first one has them.
+    are stored. Windows over several turns are the same for all anchors of a turn: the first one has them, with ``every`` all.
     """
     atoms = stored(with_places(atoms))
     hits = stored(element_hits(atoms, elements))
     rules = elements.select("rule_id", "rule_type").distinct()
     recalled = recall(atoms, elements, hits)
     leads = F.col("seq") == F.min("seq").over(Window.partitionBy("rule_id", "dialogue_id", "turn_index"))
-    wins = stored(windows(recalled.withColumn("lead", leads), atoms, rules))
+    wins = stored(windows(recalled if every else recalled.withColumn("lead", leads), atoms, rules))
     return settle(evaluate_windows(wins, hits, atoms, elements))
 
 
@@ -385,6 +385,9 @@ def scoped(atoms: DataFrame, speaker: str | None, fallback: bool = True) -> Data
 
 
 def candidate_audit(settled: DataFrame, k: int = 5) -> DataFrame:
-    """(dialogue, rule, place, ...): the ``k`` best windows of each rule in each dialogue, by verdict and score, the first of equal ones."""
+    """(dialogue, rule, place, ...): the ``k`` best windows of each rule in each dialogue, by verdict and score, the first of equal ones.
+
+    ``settled``: of ``settled_windows`` with ``every``, where windows over several turns are to be listed for each of their anchors.
+    """
     by = Window.partitionBy("dialogue_id", "rule_id").orderBy(verdict_rank(F.col("verdict")).desc(), F.desc("score"), "a_turn", "a_seq", "window_ord")
     return settled.withColumn("place", F.row_number().over(by)).where(F.col("place") <= k)

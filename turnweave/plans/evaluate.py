@@ -6,7 +6,7 @@ constraints start from what matched: a dialogue and an item that never met make
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnweave.functions.cues import allows_continue, loose_hit
@@ -251,6 +251,12 @@ def _branches(turns: DataFrame, triggers: DataFrame, graph: Graph) -> DataFrame:
     return asked.join(taken, ["dialogue_id", "node_id"], "left")
 
 
+def _with_bare_nodes(spark: SparkSession, graph: Graph) -> DataFrame:
+    """The requirements, and for each node that has none a row without one, so that it has a score."""
+    bare = [(n["id"], None, 0.0, False, "", False) for n in graph.parts.nodes if not n["requirements"]]
+    return graph.requirements.unionByName(local_table(spark, bare, graph.requirements.schema)) if bare else graph.requirements
+
+
 def _with_conditional(turns: DataFrame, results: DataFrame, graph: Graph) -> DataFrame:
     """``results`` in which requirements that hold for calls that go on are required where no user stops early."""
     stopped = requirements.early_stops(turns).withColumn("stopped", F.lit(True))
@@ -304,7 +310,7 @@ def evaluate(turns: DataFrame, graph: Graph, given_satisfies: bool = False) -> d
         scanned = patterns.scan_objects(turns, listed).where("matched").select("dialogue_id", F.col("object_id").alias("node_id"), "turn_index")
     triggers = stored(activation.first_triggers(by_pattern, fired, scanned))
 
-    raw = nodes.requirement_results(found, graph.requirements)
+    raw = nodes.requirement_results(found, _with_bare_nodes(spark, graph))
     clear = raw.where(F.col("matched") & (F.col("score") >= nodes.LOCAL_HIT)).select("dialogue_id", "node_id").distinct()
     if any(r["conditional"] for n in graph.parts.nodes for r in n["requirements"]):
         raw = _with_conditional(turns, raw, graph)

@@ -647,8 +647,6 @@ def graph_rows(source: dict) -> tuple[Parts, list[dict], dict[str, list]]:
         for r in n["requirements"]:
             rule(r["id"], "node_positive", r["groups"], requested_speaker(r["groups"], "assistant"), True)
             requirement_rows.append((n["id"], r["id"], r["weight"], r["required"], r["text"], r["conditional"]))
-        if not n["requirements"]:
-            requirement_rows.append((n["id"], None, 0.0, False, "", False))
         relation_rows += [(x["node_id"], x["id"], x["type"], x["left"], x["right"], x["options"], float(x["own"]) if isinstance(x["own"], (int, float)) else None) for x in n["relations"]]
     fact_rows, value_rows = [], []
     for f in parts.facts:

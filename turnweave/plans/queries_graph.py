@@ -280,7 +280,7 @@ def t5_kept_evidence(spark, sf_dir):
 
 @query(f"WITH {SETTLED}, r AS (SELECT *, row_number() OVER (PARTITION BY dialogue_id, rule_id ORDER BY CASE verdict WHEN 'hit' THEN 3 WHEN 'review' THEN 2 ELSE 1 END DESC, score DESC, a_turn, a_seq, window_ord)::INTEGER AS place FROM settled) SELECT dialogue_id, rule_id, place, verdict, score FROM r WHERE place <= 3")
 def t2_candidate_audit(spark, sf_dir):
-    return matching.candidate_audit(base._settled(spark, sf_dir), 3).select("dialogue_id", "rule_id", "place", "verdict", F.round("score", 6).alias("score"))
+    return matching.candidate_audit(base._settled(spark, sf_dir), 3).select("dialogue_id", "rule_id", "place", "verdict", F.round("score", 12).alias("score"))
 
 
 # ------------------------------------------------------------------ diagnoses and bindings
@@ -437,7 +437,7 @@ def j23_dangling(spark, sf_dir):
 
 @query(f"""SELECT coalesce(e->>'source', e->>'from') AS source, coalesce(e->>'target', e->>'to') AS target, CASE coalesce(e->>'relation', e->>'type') WHEN 'strict_order' THEN 'strict_before' WHEN 'terminal' THEN 'terminal_after' ELSE coalesce(e->>'relation', e->>'type') END AS kind, coalesce((e->>'weight')::DOUBLE, 1) AS weight FROM {q_table('edges', 'e')}""")
 def c4_edges(spark, sf_dir):
-    return gr.compile_graph(spark, RAW).catalogue.edges
+    return gr.compile_graph(spark, RAW).catalogue.edges.select("source", "target", "kind", "weight")
 
 
 @query(f"""SELECT n->>'id' AS node_id, r->>'id' AS requirement_id, 1::DOUBLE AS weight, true AS required FROM (SELECT n, unnest(coalesce(nullif(json_extract(n, '$.atoms[*]'), []), json_extract(n, '$.requirements[*]'))) AS r FROM {q_table('nodes', 'n')})""")
@@ -585,16 +585,16 @@ def j11_terminal_policies(spark, sf_dir):
 
 # Answers as models write them: in text and fences, with commas too many, cut off, in arrays and wrappers; every tenth is none.
 # Braces are written as < and >, as the text of a query names its tables in braces.
-RAW = (
+WRITTEN = (
     f"(SELECT CAST(event_id AS STRING) AS file, CAST(event_id % 64 AS DOUBLE) / 64 AS c, {pick(['hit', 'miss', 'review'], 3)} AS v, event_id % 10 = 0 AS broken, "
     f"{pick(['', 'Here it is: ', '<"results": [', '[', '// note '], 2)} AS head, {pick(['>', ',>', '', '> is all', ' /* so */ >'], 7)} AS tail FROM events) AS t"
 )
-_RAW_TEXT = """CASE WHEN broken THEN 'I cannot say.' ELSE translate(head || '<"candidate_id": "c' || file || '", verdict: "' || v || '", "confidence": ' || CAST(c AS STRING) || tail, '<>', '{}') END"""
+_WRITTEN_TEXT = """CASE WHEN broken THEN 'I cannot say.' ELSE translate(head || '<"candidate_id": "c' || file || '", verdict: "' || v || '", "confidence": ' || CAST(c AS STRING) || tail, '<>', '{}') END"""
 
 
-@query(f"SELECT file, CASE WHEN NOT broken THEN 'c' || file END AS candidate_id, CASE WHEN NOT broken THEN v END AS verdict, CASE WHEN NOT broken THEN c END AS confidence, CASE WHEN broken THEN 'no JSON in the text' END AS problem FROM {RAW}")
+@query(f"SELECT file, CASE WHEN NOT broken THEN 'c' || file END AS candidate_id, CASE WHEN NOT broken THEN v END AS verdict, CASE WHEN NOT broken THEN c END AS confidence, CASE WHEN broken THEN 'no JSON in the text' END AS problem FROM {WRITTEN}")
 def s12_raw_answers(spark, sf_dir):
     from turnweave.sources import packs
 
-    rows = _values(spark, sf_dir, RAW).select("file", F.expr(_RAW_TEXT).alias("raw"))
+    rows = _values(spark, sf_dir, WRITTEN).select("file", F.expr(_WRITTEN_TEXT).alias("raw"))
     return packs.parsed_answers(rows).select("file", "candidate_id", "verdict", "confidence", "problem")
