@@ -30,3 +30,9 @@ def test_settled_events_have_scores_without_noise(spark):
     from turnweave.plans import queries
 
     assert queries._settled(spark, "/root/testdata/sf0.01").where(F.col("score") != F.round("score", 12)).count() == 0
+
+
+def test_settled_turns_have_scores_without_noise(spark):
+    from turnweave.plans import queries_whole
+
+    assert queries_whole._settled(spark, "/root/testdata/sf0.01").where(F.col("score") != F.round("score", 12)).count() == 0
