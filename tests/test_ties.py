@@ -36,3 +36,16 @@ def test_settled_turns_have_scores_without_noise(spark):
     from turnweave.plans import queries_whole
 
     assert queries_whole._settled(spark, "/root/testdata/sf0.01").where(F.col("score") != F.round("score", 12)).count() == 0
+
+
+def test_the_order_of_elements_decides_no_flat_score(spark):
+    from itertools import permutations
+
+    from turnweave.operators import requirements
+
+    # 5.7 of 12.8 is 0.4453125: half of the sixth place, and each order of the rows is a span of its own.
+    parts = [(3.0, True), (2.0, True), (0.1, True), (0.6, True), (7.0, False), (0.1, False)]
+    rows = [("r", n, w, False, hit, 0) for n, order in enumerate(permutations(parts)) for w, hit in order]
+    spans = spark.createDataFrame(rows, "rule_id string, span_id int, weight double, is_role boolean, is_hit boolean, n_pool_hits int").coalesce(1)
+    found = requirements.flat_score(spans, 0.4453125, 0.22).select("score", F.round("score", 6).alias("shown"), "verdict").distinct().collect()
+    assert [tuple(r) for r in found] == [(0.4453125, 0.445313, "hit")]
