@@ -139,9 +139,13 @@ def char_overlap(a: Column | str, b: Column | str, of: str = "min", min_common:
 
 def bigrams(text: Column | str) -> Column:
     """The set of neighbouring pairs of characters of the compact text."""
-    a = compact(text)
-    pairs = F.transform(F.sequence(F.lit(1), F.length(a) - 1), lambda i: F.substring(a, i, F.lit(2)))
-    return F.when(F.length(a) >= 2, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+
+    def pairs(a: Column) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.length(a) - 1), lambda i: F.substring(a, i, F.lit(2)))
+        return F.when(F.length(a) >= 2, F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
+
+    # The compact text is worked out once, not once a pair.
+    return F.get(F.transform(F.array(compact(text)), pairs), F.lit(0))
 
 
 def overlap_coefficient(a: Column, b: Column) -> Column:

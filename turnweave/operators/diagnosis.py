@@ -19,21 +19,29 @@ def label_tokens(text: Column | str) -> Column:
     a = F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
     parts = F.filter(F.split(a, r"[^A-Za-z0-9一-鿿]+"), lambda x: x != "")
     runs = F.regexp_extract_all(a, F.lit("[一-鿿]+"), F.lit(0))
-    pairs = F.flatten(F.transform(runs, bigrams))
-    single = F.flatten(F.transform(F.filter(runs, lambda x: F.length(x) <= 4), lambda x: F.split(x, "")))
-    return F.array_distinct(F.filter(F.concat(parts, pairs, single, F.regexp_extract_all(a, F.lit("[a-z0-9]+"), F.lit(0))), lambda x: x != ""))
+    # Of a run its pairs, and if it is short its characters; runs are cut out once.
+    cut = F.transform(runs, lambda x: F.concat(bigrams(x), F.when(F.length(x) <= 4, F.split(x, "")).otherwise(F.array().cast("array<string>"))))
+    return F.array_distinct(F.filter(F.concat(parts, F.flatten(cut), F.regexp_extract_all(a, F.lit("[a-z0-9]+"), F.lit(0))), lambda x: x != ""))
+
+
+def label_profile(text: Column | str) -> Column:
+    """What labels are compared by: tokens and pairs of characters. It is to be a column of each side before they are joined, so that it is
+    worked out once a label and not once a pair."""
+    return F.struct(label_tokens(text).alias("tokens"), bigrams(text).alias("pairs"))
 
 
 def label_similarity(a: Column | str, b: Column | str) -> Column:
-    """Common tokens by the smaller set; without a common one, common pairs of characters."""
-    x, y = label_tokens(a), label_tokens(b)
+    """Of two columns of ``label_profile``: common tokens by the smaller set; without a common one, common pairs of characters."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    x, y = a["tokens"], b["tokens"]
     own = overlap_coefficient(x, y)
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).when(own > 0, own).otherwise(overlap_coefficient(bigrams(a), bigrams(b)))
+    return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).when(own > 0, own).otherwise(overlap_coefficient(a["pairs"], b["pairs"]))
 
 
 def nearest(errors: DataFrame, rows: DataFrame, k: int, key: str = "dialogue_id") -> DataFrame:
     """(error_id, place, target, verdict, similarity): of each error the ``k`` rows of its dialogue (target, verdict, label) most like its hint."""
-    met = errors.select(key, "error_id", "hint").join(rows, key).withColumn("similarity", label_similarity("hint", "label"))
+    hints, labels = errors.select(key, "error_id", label_profile("hint").alias("h")), rows.select(key, "target", "verdict", label_profile("label").alias("l"))
+    met = hints.join(labels, key).select("error_id", "target", "verdict", label_similarity("h", "l").alias("similarity"))
     by = Window.partitionBy("error_id").orderBy(F.desc("similarity"), "target", "verdict")
     return met.withColumn("place", F.row_number().over(by)).where(F.col("place") <= k).select("error_id", "place", "target", "verdict", "similarity")
 
@@ -62,7 +70,9 @@ def miss_causes(errors: DataFrame, checks: DataFrame, limits: DataFrame, flows:
 
 def assistant_sayings(errors: DataFrame, turns: DataFrame, k: int = SAYINGS) -> DataFrame:
     """(error_id, place, turn_index, similarity): the assistant's turns most like an error's hint."""
-    met = errors.select("dialogue_id", "error_id", "hint").join(turns.where("speaker = 'assistant'"), "dialogue_id").withColumn("similarity", label_similarity("hint", "text")).where("similarity > 0")
+    hints = errors.select("dialogue_id", "error_id", label_profile("hint").alias("h"))
+    said = turns.where("speaker = 'assistant'").select("dialogue_id", "turn_index", label_profile("text").alias("t"))
+    met = hints.join(said, "dialogue_id").select("error_id", "turn_index", label_similarity("h", "t").alias("similarity")).where("similarity > 0")
     by = Window.partitionBy("error_id").orderBy(F.desc("similarity"), "turn_index")
     return met.withColumn("place", F.row_number().over(by)).where(F.col("place") <= k).select("error_id", "place", "turn_index", "similarity")
 
@@ -86,12 +96,13 @@ def nearby_lines(points: DataFrame, turns: DataFrame, reach: int = 2) -> DataFra
 def bound_labels(labels: DataFrame, targets: DataFrame) -> DataFrame:
     """(label_id, target_id, score) of labels (label_id, node, core, hint) and what they are most like of targets (metadata: target_id,
     node, anchor): a sure one, or with a hint a fair one that leads the second clearly. A label that names a target is bound to it."""
-    known = F.broadcast(targets.select("target_id", F.col("node").alias("t_node"), "anchor"))
-    rows = labels.join(known, F.lit(True))
-    score = F.greatest(label_similarity("node", "anchor"), 0.8 * label_similarity("core", "anchor"), label_similarity("hint", "anchor"))
-    rows = rows.withColumn("score", F.when(F.col("node") == F.col("target_id"), F.lit(2.0)).otherwise(score))
+    known = F.broadcast(targets.select("target_id", label_profile("anchor").alias("t")))
+    hinted = F.coalesce("hint", F.lit("")) != ""
+    rows = labels.select("label_id", "node", hinted.alias("hinted"), *[label_profile(c).alias(c[0]) for c in ("node", "core", "hint")]).join(known, F.lit(True))
+    score = F.greatest(label_similarity("n", "t"), 0.8 * label_similarity("c", "t"), label_similarity("h", "t"))
+    rows = rows.select("label_id", "target_id", "hinted", F.when(F.col("node") == F.col("target_id"), F.lit(2.0)).otherwise(score).alias("score"))
     by = Window.partitionBy("label_id").orderBy(F.desc("score"), "target_id")
     rows = rows.withColumn("place", F.row_number().over(by)).withColumn("second", F.lead("score").over(by)).where("place = 1")
     clear = (F.coalesce("second", F.lit(0.0)) <= 1e-4) | (F.col("score") >= F.col("second") * LEAD)
-    held = (F.col("score") >= SURE) | ((F.coalesce("hint", F.lit("")) != "") & (F.col("score") >= HINTED) & clear)
+    held = (F.col("score") >= SURE) | (F.col("hinted") & (F.col("score") >= HINTED) & clear)
     return rows.where(held).select("label_id", "target_id", F.least("score", F.lit(1.0)).alias("score"))
