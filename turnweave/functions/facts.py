@@ -78,13 +78,16 @@ def number_units(text: Column | str, unit: Column | str) -> Column:
     late = lambda n: F.when(hours & (n == 6) & any_of(text, EVENING), F.lit(18.0)).otherwise(n)
     all_of = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), 0)
 
+    def parts(pattern: str, *names: str) -> Column:
+        """The groups of each match, cut out once: what reads them several times reads fields."""
+        return F.transform(all_of(pattern), lambda x: F.struct(*[F.regexp_extract(x, pattern, i).alias(name) for i, name in enumerate(names, 1)]))
+
     def ranges(pattern: str, value) -> Column:
-        part = lambda x, i: F.regexp_extract(x, pattern, i)
-        held = F.filter(all_of(pattern), lambda x: fits(part(x, 3)))
-        return F.flatten(F.transform(held, lambda x: F.array(pair(value(part(x, 1)), short(part(x, 3))), pair(value(part(x, 2)), short(part(x, 3))))))
+        held = F.filter(parts(pattern, "low", "high", "unit"), lambda x: fits(x["unit"]))
+        return F.flatten(F.transform(held, lambda x: F.array(pair(value(x["low"]), short(x["unit"])), pair(value(x["high"]), short(x["unit"])))))
 
     def single(x: Column) -> Column:
-        number, raw = F.regexp_extract(x, _SINGLE, 1), F.regexp_extract(x, _SINGLE, 2)
+        number, raw = x["number"], x["unit"]
         own = F.when(F.contains(raw, F.lit(":")), F.lit("点")).otherwise(raw)
         bare = (own == "") & (compact(text) == number)
         near_hour = hours & (number.isin("18", "6") | F.contains(text, F.lit(":")))
@@ -92,10 +95,10 @@ def number_units(text: Column | str, unit: Column | str) -> Column:
         shown = F.when(known == "", unit).otherwise(known)
         return F.when(known.isNotNull(), pair(late(of_digits(number)), shown))
 
-    words = F.filter(all_of(_WORD_SINGLE), lambda x: fits(F.regexp_extract(x, _WORD_SINGLE, 2)))
-    words = F.transform(words, lambda x: pair(late(of_word(F.regexp_extract(x, _WORD_SINGLE, 1))), short(F.regexp_extract(x, _WORD_SINGLE, 2))))
+    words = F.filter(parts(_WORD_SINGLE, "number", "unit"), lambda x: fits(x["unit"]))
+    words = F.transform(words, lambda x: pair(late(of_word(x["number"])), short(x["unit"])))
     six = F.when(hours & any_of(text, SIX), F.struct(F.lit("18").alias("number"), F.lit("点").alias("unit")))
-    singles = F.array_compact(F.transform(all_of(_SINGLE), single))
+    singles = F.array_compact(F.transform(parts(_SINGLE, "number", "unit"), single))
     return F.array_distinct(F.concat(ranges(_RANGE, of_digits), singles, ranges(_WORD_RANGE, of_word), words, F.array_compact(F.array(six))))
 
 
@@ -103,7 +106,23 @@ def fact_profile(text: Column | str, unit: Column | str = "") -> Column:
     """struct<unit, numbers, days>: what of a text can be compared, by the asked unit or the text's own."""
     text, unit = _c(text), F.lit("") if isinstance(unit, str) and not unit else _c(unit)
     own = F.when(unit != "", unit).otherwise(unit_of(text))
-    return F.struct(own.alias("unit"), F.transform(number_units(text, own), lambda x: x["number"]).alias("numbers"), day_words(text).alias("days"))
+    made = lambda u: F.struct(u.alias("unit"), F.transform(number_units(text, u), lambda x: x["number"]).alias("numbers"), day_words(text).alias("days"))
+    # The unit is worked out once, not at each of its uses.
+    return F.get(F.transform(F.array(own), made), F.lit(0))
+
+
+def may_assert(anchors: Column, expected: Column, text: Column) -> Column:
+    """What ``asserts_fact`` and a comparison ask of a text that can be told without its numbers; the costly part is these."""
+    named = (F.size(anchors) == 0) | F.exists(anchors, lambda a: F.contains(text, a))
+    numeral = "[" + "".join(sorted({c for word in NUMERALS for c in word})) + "]"
+    days = F.size(day_words(text)) > 0
+    return ~any_of(text, DENIED) & F.when(F.size(expected["numbers"]) == 0, days & named).otherwise(text.rlike(r"(?U)\d|" + numeral) | any_of(text, SIX))
+
+
+def asked_profile(expected: Column, text: Column) -> Column:
+    """The ``fact_profile`` of a text for a comparison: without numbers where none are expected, as they decide nothing there."""
+    bare = F.struct(expected["unit"].alias("unit"), F.array().cast("array<string>").alias("numbers"), day_words(text).alias("days"))
+    return F.when(F.size(expected["numbers"]) == 0, bare).otherwise(fact_profile(text, expected["unit"]))
 
 
 def comparable(profile: Column) -> Column:
@@ -126,9 +145,8 @@ def slot_anchors(text: Column | str) -> Column:
     return F.slice(F.array_distinct(parts), 1, 4)
 
 
-def asserts_fact(expected_text: Column, expected: Column, actual_text: Column, actual: Column) -> Column:
-    """Whether a text with these values states the expected fact's slot, and not only names or denies a value."""
-    anchors = slot_anchors(expected_text)
+def asserts_fact(anchors: Column, expected: Column, actual_text: Column, actual: Column) -> Column:
+    """Whether a text with these values states the expected fact's slot (``slot_anchors`` of its text), and not only names or denies a value."""
     named = (F.size(anchors) == 0) | F.exists(anchors, lambda a: F.contains(actual_text, a))
     only_days = (F.size(expected["numbers"]) == 0) & (F.size(expected["days"]) > 0) & (F.size(actual["days"]) > 0)
     counted = (F.size(expected["numbers"]) == 0) | (F.size(actual["numbers"]) > 0)

@@ -72,7 +72,7 @@ def spans_of_facts(spans: DataFrame, words: list[tuple[str, Term]], any_value: l
 
 def with_profiles(facts: DataFrame) -> DataFrame:
     """``facts`` whose checks have the profile of what they expect, parsed here, once a fact."""
-    profiled = F.transform("checks", lambda c: F.struct(c["expected"].alias("expected"), c["anchors"].alias("anchors"), c["condition"].alias("condition"), ff.fact_profile(c["expected"], c["unit"]).alias("profile")))
+    profiled = F.transform("checks", lambda c: F.struct(c["expected"].alias("expected"), c["anchors"].alias("anchors"), c["condition"].alias("condition"), ff.fact_profile(c["expected"], c["unit"]).alias("profile"), ff.slot_anchors(c["expected"]).alias("slots")))
     made = facts.withColumn("checks", profiled)
     return local_table(facts.sparkSession, made.collect(), made.schema)
 
@@ -93,10 +93,12 @@ def value_results(spans: DataFrame, facts: DataFrame) -> DataFrame:
     each = rows.select("dialogue_id", "fact_id", "turn_index", "seq", "text", "trunk", F.posexplode("checks").alias("check_ord", "check"))
     check = F.col("check")
     each = each.where(ff.comparable(check["profile"]) & ff.slot_applies(check["anchors"], check["condition"], F.col("trunk"), text))
-    each = each.withColumn("actual", ff.fact_profile(text, check["profile"]["unit"]))
-    each = each.where(ff.asserts_fact(check["expected"], check["profile"], text, F.col("actual")))
-    each = each.withColumn("result", ff.compare_profiles(check["profile"], F.col("actual"))).where("result <> 'unknown'")
-    return each.select("dialogue_id", "fact_id", "turn_index", "seq", "check_ord", "result")
+    # A text's profile is the costly part. It is made once a row: a filter on it would be given a copy of all that makes it, and so would the
+    # inner form of the explode.
+    each = each.where(ff.may_assert(check["slots"], check["profile"], text))
+    actual = F.array(ff.asked_profile(check["profile"], text))
+    told = F.transform(actual, lambda a: F.when(ff.asserts_fact(check["slots"], check["profile"], text, a), ff.compare_profiles(check["profile"], a)))
+    return each.select("dialogue_id", "fact_id", "turn_index", "seq", "check_ord", F.explode_outer(told).alias("result")).where("result <> 'unknown'")
 
 
 def first_value(results: DataFrame, order: tuple[str, ...] = ("turn_index", "seq", "check_ord")) -> DataFrame:
