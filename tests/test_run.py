@@ -132,3 +132,16 @@ def test_grey_zones_and_planted_errors(spark, graph, folder, first):
     rows = out["candidates"].collect()
     assert {r.decision for r in rows} <= {"route_to_arbiter", "keep_local_low_value", "merged_local_no_issue", "ignore_noise"}
     assert out["ledger"].where("effect = 'against' AND family = 'knowledge'").count() == 1 and out["losses"].count() > 0
+
+
+def test_digests_are_not_in_the_rows_of_the_evaluation(spark, graph, tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr(rn, "evaluate", lambda turns, g: seen.append({r.dialogue_id for r in turns.select("dialogue_id").distinct().collect()}) or {name: turns for name in rn.KEPT})
+    turns = turns_of(spark, {"good": DIALOGUES["good"], "copy": DIALOGUES["good"], "wrong": DIALOGUES["wrong"]})
+    digests = rn.dialogue_digests(turns)
+    store = rn.Store(spark, str(tmp_path), "v")
+    assert rn.evaluate_missing(turns, digests, graph, store) == 2
+    assert seen == [{"copy", "wrong"}]
+    of = {r.dialogue_id: r.digest for r in digests.collect()}
+    kept = store.table("scores").groupBy("dialogue_id").count().collect()
+    assert {r.dialogue_id: r["count"] for r in kept} == {of["good"]: len(DIALOGUES["good"]), of["wrong"]: len(DIALOGUES["wrong"])}

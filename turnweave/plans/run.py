@@ -76,9 +76,10 @@ class Store:
         return None if rows is None else rows.groupBy("digest").agg(F.min("batch").alias("batch"))
 
     def write(self, tables: dict[str, DataFrame], digests: DataFrame) -> None:
+        """Write ``tables`` as a batch, by the digest that ``digests`` (dialogue_id, digest) has for their dialogues."""
         batch = _new_batch()
         for name, table in tables.items():
-            table.withColumnRenamed("dialogue_id", "digest").write.parquet(f"{self.root}/{name}/batch={batch}")
+            table.join(digests.select("dialogue_id", "digest"), "dialogue_id").drop("dialogue_id").write.parquet(f"{self.root}/{name}/batch={batch}")
         digests.select("digest").write.parquet(f"{self.root}/done/batch={batch}")
 
     def table(self, name: str) -> DataFrame:
@@ -88,13 +89,16 @@ class Store:
 
 
 def evaluate_missing(turns: DataFrame, digests: DataFrame, graph: Graph, store: Store) -> int:
-    """Evaluate what has no results yet and return how many digests that were; without any no evaluation is started."""
+    """Evaluate what has no results yet and return how many digests that were; without any no evaluation is started.
+
+    One dialogue of each digest is evaluated, by its own id: that of a digest is long, and would be in every row that is shuffled.
+    """
     done = store.done()
     wanted = digests.groupBy("digest").agg(F.min("dialogue_id").alias("dialogue_id"))
     wanted, seen = stored_with(wanted if done is None else wanted.join(done, "digest", "left_anti"), F.count("*").alias("n"))
     if not seen["n"]:
         return 0
-    fresh = turns.join(wanted, "dialogue_id").select(F.col("digest").alias("dialogue_id"), "turn_index", "speaker", "text")
+    fresh = turns.join(wanted, "dialogue_id", "left_semi").select("dialogue_id", "turn_index", "speaker", "text")
     found = evaluate(fresh, graph)
     store.write({name: found[name] for name in KEPT}, wanted)
     return seen["n"]
