@@ -41,3 +41,20 @@ def test_windows_share_keys(spark):
     text = "abcdefghijklmnopqrstuvwxyz" * 3
     rows = spark.createDataFrame([(text,), (text[20:63],)], "t string").select(reports.winnowed(reports.grams(F.col("t"), 9), 32).alias("k")).collect()
     assert set(rows[1].k) and set(rows[1].k) <= set(rows[0].k)
+
+
+def test_short_passages_are_found_without_a_shuffle(spark, capsys):
+    texts = ["thatthe" * 9 + chr(97 + i) for i in range(20)]
+    passages = ["thattheth" + chr(98 + i) for i in range(20)] + ["thethatt"] * 3 + ["theb", "c"]
+    documents, known = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(passages)), "item_id long, text string")
+    found = reports.leaks(documents, known)
+    assert sorted((r.doc_id, r.item_id) for r in found.collect()) == sorted((i, k) for i, t in enumerate(texts) for k, p in enumerate(passages) if p in t)
+    found.explain()
+    assert "MapInArrow" in (plan := capsys.readouterr().out) and "Exchange" not in plan
+
+
+def test_short_passages_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(reports, "HELD_AT_ONCE", 3)
+    documents = spark.createDataFrame([(0, "abcdefgh"), (1, None), (2, "xx" * 40)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, "abcdefgh"[i : i + 2]) for i in range(8)] + [(9, "x" * 50), (10, "x" * 90)], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in reports.leaks(documents, known).collect()) == [*((0, i) for i in range(8)), (2, 9)]

@@ -1,28 +1,15 @@
-"""What the operators of this subpackage share: reading, batch bounds, checkpoints; stored tables come from the sources."""
+"""What the operators of this subpackage share: reading, checkpoints; stored tables and batch bounds come from the sources."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnweave.sources.shared import HOT_KEYS, HOT_ROWS, join_counted, shared_folder, stored, stored_with  # noqa: F401
-
-#: Rows and bytes of one Arrow batch between the JVM and Python. Texts can be long, so
-#: that the library default of 10,000 rows could need gigabytes for one batch.
-BATCH_ROWS, BATCH_BYTES = 500, 64 << 20
-
+from turnweave.sources.shared import BATCH_BYTES, BATCH_ROWS, HOT_KEYS, HOT_ROWS, bound_batches, join_counted, shared_folder, stored, stored_with  # noqa: F401
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def bound_batches(df: DataFrame, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
-    """Bound the Arrow batches of the session that will run ``df``; the bounds stay set, as the plan runs later."""
-    conf = df.sparkSession.conf
-    for name, value in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
-        if int(conf.get(f"spark.sql.execution.arrow.{name}").rstrip("b")) != value:
-            conf.set(f"spark.sql.execution.arrow.{name}", str(value))
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by files in the shared folder."""
     shared_folder(df.sparkSession)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import partial
+from collections.abc import Callable, Iterator
+from functools import partial, reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from turnweave.functions.text import compact
-from turnweave.sources.shared import stored, stored_with
+from turnweave.operators.passages import Passages
+from turnweave.sources.shared import bound_batches, stored, stored_with
 
 COMPONENTS = ("total", "node_completion", "relation_score", "knowledge_score", "constraint_score")
 
@@ -57,10 +60,12 @@ def usage(calls: DataFrame) -> DataFrame:
 
 #: Passages of this number at most are broadcast; more are joined by a shuffle.
 MAX_BROADCAST = 1_000_000
-#: Passages of so many characters at least: characters of a gram, and grams of a window of which the least hash is kept. A text
-#: that holds such a passage holds a whole window of it. Long passages have few keys, and their texts too.
-WINNOWS = ((40, 9, 32), (8, 5, 4))
-#: Characters of the one gram of passages that have no window; words of a run of passages with spaces.
+#: Passages of fewer characters are found in the texts themselves, so many at a time: their grams are in too many texts to be keys.
+SHORT, HELD_AT_ONCE = 40, 400_000
+#: Others: characters of a gram, and grams of a window of which the least hash is kept. A text that holds such a passage holds a whole
+#: window of it. Long passages have few keys, and their texts too.
+LONG_GRAM, WINDOW = 9, 32
+#: Characters of a gram; words of a run of passages with spaces.
 GRAM, RUN = 5, 3
 
 
@@ -112,42 +117,62 @@ def winnowed(hashes: Column, window: int) -> Column:
     return F.array_distinct(out)
 
 
+def _held(documents: DataFrame, passages: DataFrame) -> DataFrame:
+    """(doc_id, item_id) of documents (doc_id, body) that hold one of ``passages`` (item_id, passage), by a pass over the texts where they are."""
+    listed = passages.select("passage", "item_id").toArrow()
+    column = lambda name: pa.concat_arrays(listed[name].chunks) if listed[name].chunks else pa.array([], listed[name].type)
+    shared = documents.sparkSession.sparkContext.broadcast(Passages(column("passage"), column("item_id")))
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, items in shared.value.rows(batch.column(0), batch.column(1)):
+                yield pa.RecordBatch.from_arrays([ids, items], names=["doc_id", "item_id"])
+
+    bound_batches(documents)
+    schema = StructType([documents.schema["doc_id"], passages.schema["item_id"]])
+    return documents.select("doc_id", "body").mapInArrow(met, schema)
+
+
 def leaks(documents: DataFrame, passages: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, item_id) of documents that hold a passage, in any script; one row a document's row and passage's row.
 
-    A text that holds a passage with spaces holds its inner words (all but the first and last, which may be parts of words there) as
+    Short passages are found in one pass over the texts, for so many of them at a time that a task can have them all. Of the others,
+    a text that holds a passage with spaces holds its inner words (all but the first and last, which may be parts of words there) as
     words; with three of these they meet by the hash of three neighbours, which are fewer than characters. Other passages, as of scripts
     without spaces, meet by winnowing: of each window of neighbouring character grams the least hash is a key, so that a text that
-    holds a passage with a window has that window's key. Shorter passages meet by one gram, or, below its length, by all runs of
-    their length: every text that holds one has that run. Keys meet without the texts; a text is fetched once for each document that met
+    holds a passage with a window has that window's key. Keys meet without the texts; a text is fetched once for each document that met
     a passage, and compared.
     """
     known = passages.select("item_id", F.col("text").alias("passage")).where("passage <> ''").withColumn("p", F.monotonically_increasing_id())
-    size = F.length("passage")
-    bounds = [2**31, *[low for low, _, _ in WINNOWS], GRAM, 1]
+    short = F.length("passage") < SHORT
     words = _words(F.col("passage"))
     inner = F.slice(words, 2, F.greatest(F.lit(0), F.size(words) - 2))
-    wordy = F.size(words) >= RUN + 2
-    classes = [~wordy & (size >= low) & (size < high) for high, low in zip(bounds, bounds[1:])]
-    known, seen = stored_with(known, F.count("*").alias("n"), F.max(wordy).alias("wordy"), *[F.max(c).alias(f"k{k}") for k, c in enumerate(classes)], F.collect_set(F.when(size < GRAM, size)).alias("sizes"))
+    wordy = ~short & (F.size(words) >= RUN + 2)
+    plain = ~short & ~wordy
+    known, seen = stored_with(known, F.count("*").alias("n"), F.count(F.when(short, 1)).alias("n_short"), F.max(wordy).alias("wordy"), F.max(plain).alias("plain"))
     if not seen["n"]:
         return documents.limit(0).select("doc_id").join(known.limit(0).select("item_id"), F.lit(True))
+    parts = -(-seen["n_short"] // HELD_AT_ONCE)
+    own = documents.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("body"))
+    if parts > 1 or seen["n_short"] < seen["n"]:
+        own = stored(own.withColumn("d", F.monotonically_increasing_id()))
+    # Their number grows with the passages: what is held at once is bounded, for the driver too.
+    out = [_held(own, known.where(short & (F.pmod(F.xxhash64("p"), F.lit(parts)) == k))) for k in range(parts)]
     small = F.broadcast if seen["n"] <= MAX_BROADCAST else (lambda x: x)
-    own = stored(documents.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("body")).withColumn("d", F.monotonically_increasing_id()))
     body, met = F.col("body"), None
-    # Passages of a window and more: one of their keys is enough. The rarest is not known; the least hash is as good as any.
-    asked = [(classes[k], winnowed(grams(F.col("passage"), n), w), winnowed(grams(body, n), w)) for k, (_, n, w) in enumerate(WINNOWS) if seen[f"k{k}"]]
+    # One of a passage's keys is enough. The rarest is not known; the least hash is as good as any.
+    asked = [(plain, winnowed(grams(F.col("passage"), LONG_GRAM), WINDOW), winnowed(grams(body, LONG_GRAM), WINDOW))] if seen["plain"] else []
     asked += [(wordy, word_runs(inner), word_runs(_words(body)))] if seen["wordy"] else []
-    asked += [(classes[-2], F.slice(grams(F.col("passage")), 1, 1), grams(body))] if seen[f"k{len(WINNOWS)}"] else []
-    asked += [(classes[-1] & (size == n), F.array(F.xxhash64("passage")), grams(body, n)) for n in sorted(seen["sizes"] or [])]
     for which, of_passage, of_body in asked:
         keyed = known.where(which).select("p", F.array_min(of_passage).alias("key"))
         each = own.select("d", F.explode_outer(F.array_distinct(of_body)).alias("key")).where("key IS NOT NULL")
         pairs = each.join(small(keyed), "key").select("d", "p")
         met = pairs if met is None else met.unionByName(pairs)
-    by_document = met.groupBy("d").agg(F.collect_set("p").alias("ps"))
-    texts = own.join(by_document, "d").select("doc_id", "body", F.explode("ps").alias("p"))
-    return texts.join(small(known), "p").where(F.contains("body", F.col("passage"))).select("doc_id", "item_id")
+    if met is not None:
+        by_document = met.groupBy("d").agg(F.collect_set("p").alias("ps"))
+        texts = own.join(by_document, "d").select("doc_id", "body", F.explode("ps").alias("p"))
+        out.append(texts.join(small(known), "p").where(F.contains("body", F.col("passage"))).select("doc_id", "item_id"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def span_leaks(spans: DataFrame, patterns: DataFrame, least: int = 6) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Tables between steps: written once to the folder that all machines share, and read again; and joins with counted keys.
+"""Tables between steps: written once to the folder that all machines share, and read again; joins with counted keys; bounds of batches.
 
 What follows a stored table has a short plan, reads only the columns it needs, and starts
 from files when an executor is lost. Stored tables are deleted when the session's JVM ends.
@@ -50,6 +50,19 @@ def stored_with(df: DataFrame, *measures: Column) -> tuple[DataFrame, dict]:
     return out, seen.get
 
 
+#: Rows and bytes of one Arrow batch between the JVM and Python. Texts can be long, so
+#: that the library default of 10,000 rows could need gigabytes for one batch.
+BATCH_ROWS, BATCH_BYTES = 500, 64 << 20
+
+
+def bound_batches(df: DataFrame, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Bound the Arrow batches of the session that will run ``df``; the bounds stay set, as the plan runs later."""
+    conf = df.sparkSession.conf
+    for name, value in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        if int(conf.get(f"spark.sql.execution.arrow.{name}").rstrip("b")) != value:
+            conf.set(f"spark.sql.execution.arrow.{name}", str(value))
+
+
 #: No more keys than this are hot in any table; a key of fewer rows than the second is never.
 HOT_KEYS, HOT_ROWS = 10_000, 1000
 
