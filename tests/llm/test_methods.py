@@ -154,6 +154,16 @@ def test_filters_learned_in_tasks_are_those_of_the_sample(spark):
         langid.learn_filters(spark.createDataFrame([(i, "t", f"l{i}") for i in range(65)], "doc_id long, text string, lang string"), F.lit(False))
 
 
+def test_filters_learn_from_all_documents(spark):
+    rows = [(i, "common words " + ("late ones" if i >= 300 else ""), "x") for i in range(600)] + [(1000 + i, "other " + ("common" if i < 2 else "text"), "y") for i in range(600)]
+    learned = langid.learn_filters(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), F.lit(False))
+    # Half of the texts have "late", whatever their order; 2 of 600 are less than one in 250.
+    plain = langid.LanguageFilters.learn({"x": ["common words ", "common words late ones"], "y": ["other text"]})
+    other = set(langid.gram_hashes("other common").tolist()) - set(langid.gram_hashes("other text").tolist())
+    assert np.array_equal(learned.rows, plain.rows) and other
+    assert learned.predict("late ones")[0] == "x" and learned.predict("common")[0] == "x"
+
+
 def test_foreign_texts_go_and_short_ones_stay(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.learn_filters(docs, F.lit(False), with_floor=True)

@@ -2,15 +2,15 @@
 
 All languages' filters have one size and one set of hash functions and are stored bit
 by bit: row r of the table holds, as a mask of languages, the bit r of every filter. The
-AND of an n-gram's rows is the mask of all languages that contain it. A filter holds all
-n-grams of its language's sample. A text's n-grams are counted per language, those of
+AND of an n-gram's rows is the mask of all languages that contain it. A filter holds the
+n-grams that some part of its language's texts have (``ONE_IN``), so that what a few texts
+have, such as those with a wrong label, fills no filter, however many texts there are. A text's n-grams are counted per language, those of
 several languages as an equal part for each; the share is corrected for the language's
 rate of false positives (fill ** hashes), and the highest corrected share decides.
 
-The model is learned from labelled documents only: ``sample_per_language`` of each
-language (the first by a hash of doc_id), whole texts. N-grams of letters with
-one space at word bounds, lower-cased. Where the texts are read, each becomes the rows of
-the table that its n-grams set; what reaches the driver is the table, of 2 ** ``BITS`` rows.
+The model is learned from labelled documents only, from all of them and their whole texts.
+N-grams of letters with one space at word bounds, lower-cased. Where the texts are read,
+their n-grams are counted; what reaches the driver is the table, of 2 ** ``BITS`` rows.
 
 ``keep_identified`` rejects texts that are in none of the learned languages: those whose
 share of n-grams in the best filter is below a floor, beyond doubt (``DOUBT`` standard
@@ -20,7 +20,7 @@ of the median share of labelled texts that were kept aside from the filters.
 Edge cases: a null text or one without any letter is ``und`` with score 0, and so is
 every text if nothing was learned; ties go to the language that sorts first; labels
 that are null teach nothing; more than ``MAX_LANGUAGES`` languages are refused. Texts with
-no known n-gram get the first of the languages, score 0. Rows that repeat a chosen id teach
+no known n-gram get the first of the languages, score 0. Rows that repeat an id teach
 too, rows without an id do not. Repeated rows are judged alike; extra columns are not read.
 """
 
@@ -31,18 +31,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnweave.llm.common import bound_batches
+from turnweave.llm.common import bound_batches, stored
 
 UNKNOWN = "und"
-#: Bounds of the sample that the filters are fitted on.
-SAMPLE_PER_LANGUAGE, MAX_LANGUAGES = 250, 64
+#: An n-gram is in a language's filter if one in so many of its texts has it; more languages are refused.
+ONE_IN, MAX_LANGUAGES = 250, 64
 #: Bits of a filter, as a power of two; hash functions; characters of an n-gram.
 BITS, HASHES, N = 18, 2, 4
-#: One in so many of the sample is kept aside for the floor; the floor's part of the median share; deviations.
-ASIDE, FLOOR, DOUBT = 5, 0.5, 4.0
+#: One in so many texts is kept aside for the floor; the floor's part of the median share; deviations; steps in which shares are counted.
+ASIDE, FLOOR, DOUBT, STEPS = 5, 0.5, 4.0, 10_000
+#: N-grams of texts that a task merges at once, and counts that it holds.
+COUNTED_AT_ONCE = 1 << 21
 
 _STEPS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646D], np.uint32)
 
@@ -160,46 +162,90 @@ def set_rows(text: str, bits: int = BITS, hashes: int = HASHES, n: int = N) -> n
     return np.unique(np.concatenate([LanguageFilters.places(grams, i, bits) for i in range(hashes)])).astype(np.int64)
 
 
-def learn_filters(documents: DataFrame, held_out: Column, sample_per_language: int = SAMPLE_PER_LANGUAGE, with_floor: bool = False) -> LanguageFilters:
+def _count_grams(documents: DataFrame, languages: list[str]) -> DataFrame:
+    """(language, gram, n): in how many of the texts (lang, text) of each language, by number, an n-gram is; gram -1: of how many texts."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[int, list[np.ndarray]] = {}
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def merge() -> None:
+            for k, parts in waiting.items():
+                grams, n = np.unique(np.concatenate(parts), return_counts=True)
+                if k in held:
+                    grams, at = np.unique(np.concatenate([held[k][0], grams]), return_inverse=True)
+                    n = np.bincount(at, np.concatenate([held[k][1], n])).astype(np.int64)
+                held[k] = grams, n
+            waiting.clear()
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            for k, (grams, n) in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), k, np.int32)), pa.array(grams), pa.array(n, pa.int64())], names=["language", "gram", "n"])
+            held.clear()
+
+        size = 0
+        for batch in batches:
+            for language, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                grams = np.append(np.unique(gram_hashes(text.as_py() or "")).astype(np.int64), -1)
+                waiting.setdefault(languages.index(language), []).append(grams)
+                size += len(grams)
+                if size > COUNTED_AT_ONCE:
+                    merge()
+                    size = 0
+                    # Counts of parts are summed where they meet: a task need not hold all of its n-grams.
+                    if sum(len(grams) for grams, _ in held.values()) > COUNTED_AT_ONCE:
+                        yield from emit()
+        merge()
+        yield from emit()
+
+    bound_batches(documents)
+    return documents.select("lang", "text").mapInArrow(counted, "language int, gram bigint, n bigint").groupBy("language", "gram").agg(F.sum("n").alias("n"))
+
+
+def learn_filters(documents: DataFrame, held_out: Column, one_in: int = ONE_IN, with_floor: bool = False) -> LanguageFilters:
     """Filters of the languages of the labelled documents that are not held out.
 
-    ``sample_per_language`` ids of each of at most ``MAX_LANGUAGES`` languages are chosen, and
-    joined back to their texts by a broadcast of this size. ``with_floor``: one in ``ASIDE``
-    of them does not teach, but gives the floor.
+    A filter holds the n-grams that are in one in ``one_in`` or more of all texts of its language; of up to so many texts all. What
+    comes from the texts are counts by n-gram. ``with_floor``: one in ``ASIDE`` of the texts, by a hash of their ids, do not teach, but
+    give the floor; one of each language teaches always.
     """
     known = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out).select("doc_id", "lang", F.col("text").cast("string"))
-    languages = sorted(row.lang for row in known.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
+    place = F.xxhash64("lang", "doc_id")
+    found = known.groupBy("lang").agg(F.min(place).alias("least")).limit(MAX_LANGUAGES + 1).collect()
+    languages = sorted(row.lang for row in found)
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not languages:
         return LanguageFilters.learn({})
-    by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("lang", "doc_id").withColumn("place", F.row_number().over(by)).where(F.col("place") <= sample_per_language)
-    chosen = chosen.groupBy("lang", "doc_id").agg(F.min("place").alias("place"))
-    aside = F.col("place") % ASIDE == 0 if with_floor else F.lit(False)
-    sample = known.join(F.broadcast(chosen), ["lang", "doc_id"]).select("lang", "text", aside.alias("aside"))
+    aside = (F.pmod(place, F.lit(ASIDE)) == 0) & ~place.isin([row.least for row in found]) if with_floor else F.lit(False)
+    counts = stored(_count_grams(known.where(~aside), languages))
+    texts = {row.language: row.n for row in counts.where("gram = -1").collect()}
+    enough = F.element_at(F.array(*[F.lit(-(-texts.get(k, 0) // one_in)) for k in range(len(languages))]), F.col("language") + 1)
 
     def rows_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << BITS, np.uint64)
         for batch in batches:
-            for language, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                table[set_rows(text.as_py() or "")] |= np.uint64(1 << languages.index(language))
+            masks, grams = np.uint64(1) << batch.column(0).to_numpy().astype(np.uint64), batch.column(1).to_numpy().astype(np.uint32)
+            for i in range(HASHES):
+                np.bitwise_or.at(table, LanguageFilters.places(grams, i, BITS), masks)
         places = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(table[places].view(np.int64), pa.int64())], names=["place", "mask"])
 
-    bound_batches(documents)
-    taught = sample.where("NOT aside").select("lang", "text").mapInArrow(rows_set, "place bigint, mask bigint")
-    found = taught.groupBy("place").agg(F.bit_or("mask").alias("mask")).toArrow()
-    model = LanguageFilters.of_rows(languages, found["place"].to_numpy(), found["mask"].to_numpy().view(np.uint64))
+    taught = counts.where((F.col("gram") >= 0) & (F.col("n") >= enough)).select("language", "gram").mapInArrow(rows_set, "place bigint, mask bigint")
+    rows = taught.groupBy("place").agg(F.bit_or("mask").alias("mask")).toArrow()
+    model = LanguageFilters.of_rows(languages, rows["place"].to_numpy(), rows["mask"].to_numpy().view(np.uint64))
     if with_floor:
         shared = documents.sparkSession.sparkContext.broadcast(model)
 
         def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield pa.RecordBatch.from_arrays([pa.array([shared.value.known(x.as_py() or "")[0] for x in batch.column(0)], pa.float64())], names=["share"])
+                step = [round(shared.value.known(x.as_py() or "")[0] * STEPS) for x in batch.column(0)]
+                yield pa.RecordBatch.from_arrays([pa.array(step, pa.int64())], names=["step"])
 
-        median = sample.where("aside").select("text").mapInArrow(shares, "share double").agg(F.median("share")).first()[0]
-        model.floor = FLOOR * (median or 0.0)
+        # Shares are counted in steps, so that what is sorted is no more than the steps.
+        seen = sorted((row.step, row["count"]) for row in known.where(aside).select("text").mapInArrow(shares, "step bigint").groupBy("step").count().collect())
+        until = np.cumsum([n for _, n in seen])
+        model.floor = FLOOR * seen[int(np.searchsorted(until, until[-1] / 2))][0] / STEPS if seen else 0.0
     return model
 
 
