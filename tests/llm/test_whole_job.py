@@ -6,7 +6,7 @@ import pytest
 
 from turnweave.llm import html_text, langid, token_counts, topk
 from turnweave.llm.queries import QUERIES
-from turnweave.llm.word_tokens import word_tokens
+from turnweave.llm.word_tokens import WordTokens, word_tokens
 
 
 def test_html_tables_keep_what_is_not_a_cell():
@@ -81,3 +81,9 @@ def test_token_counts_come_from_one_table_of_prefixes(monkeypatch):
     n_bytes, n_tokens, over, fit = token_counts.measure(text, tokens, 10)
     assert (n_bytes, n_tokens, over) == (len(text), total, True) and tokens.count(text[:fit]) <= 10 < tokens.count(text[: fit + 2])
     assert asked == [text, text]
+
+
+def test_ids_of_texts_need_no_tables_of_prefixes():
+    tokens = WordTokens(public_tokenizers.path("word_bpe_49k.json"), True)
+    assert tokens.ids("the cat") and "merges" not in vars(tokens)
+    assert token_counts.UnitTables(tokens).merges is tokens.merges

@@ -43,8 +43,8 @@ ONE_IN, MAX_LANGUAGES = 250, 64
 BITS, HASHES, N = 18, 2, 4
 #: One in so many texts is kept aside for the floor; the floor's part of the median share; deviations; steps in which shares are counted.
 ASIDE, FLOOR, DOUBT, STEPS = 5, 0.5, 4.0, 10_000
-#: N-grams of texts that a task merges at once, and counts that it holds.
-COUNTED_AT_ONCE = 1 << 21
+#: N-grams of texts that a task merges at once, and counts that it holds; merging needs a few times their memory in each Python worker.
+COUNTED_AT_ONCE = 1 << 19
 
 _STEPS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646D], np.uint32)
 

@@ -28,11 +28,12 @@ import os
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 
-#: Entries of each table of a Python worker, and the longest unit or chunk kept.
-CACHE_UNITS, CACHE_CHUNKS, CACHE_CHARS = 800_000, 100_000, 40
+#: Entries of each table of a Python worker (about 160 bytes each), and the longest unit or chunk kept.
+CACHE_UNITS, CACHE_CHUNKS, CACHE_CHARS = 250_000, 100_000, 40
 #: Chunks of other texts that are given to the library in one call.
 GROUP = 20_000
 
@@ -215,9 +216,14 @@ class WordTokens:
 
             ranks, ids, _ = _merge_ranks(path)
             self.merge = tiktoken.Encoding("units", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
-            self.merges = Merges(ranks, self.merge)
+            self.ranks = ranks
             self.id_of = {rank: np.array(i, "<u4").tobytes() for rank, i in ids.items()}
 
+    @cached_property
+    def merges(self) -> Merges:
+        """Made when first used: its tables of all tokens' ends are larger than the tokens, and ids need none of them."""
+        return Merges(self.ranks, self.merge)
+
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
