@@ -51,6 +51,18 @@ def test_top_k_with_many_rows_of_a_query_id():
     assert sorted(int(i) for _, i, _ in few) == [1, 2, 3]
 
 
+def test_top_k_bounds_many_queries_at_once():
+    random_ = np.random.default_rng(6)
+    vectors = random_.integers(-90, 91, (3000, 16)).astype(float)
+    vectors[5] = 0
+    lists = topk.SortedLists(np.arange(3000), vectors)
+    found, read = lists.top_of_all(np.arange(200), vectors[:200], 5)
+    for q in range(200):
+        assert found[q] == [(i, -s) for s, i in sorted((-int(vectors[i] @ vectors[q]), i) for i in range(3000) if i != q)[:5]]
+        assert (found[q], read[q]) == lists.top(q, vectors[q], 5)
+    assert ((read > 0) & (read <= 1)).all()
+
+
 def test_language_filters_hold_shared_grams():
     model = langid.LanguageFilters.learn({"a": ["same abcd " * 9], "b": ["same wxyz " * 9], "c": ["other " * 9]})
     gram = langid.gram_hashes("same")[1:2]

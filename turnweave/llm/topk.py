@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 CANDIDATES, QUERIES = 8192, 1024
 #: Shares of the lists that are read before bounds are compared, and the number of rows left at which reading stops.
 DEPTHS, RESOLVE = (0.125, 0.5, 0.75, 0.875, 0.9375, 1.0), 64
+#: Queries whose bounds are worked out together: two doubles for each of them and each row of a block.
+TOGETHER = 64
 _LEAST, _MOST = -(2**63), 2**63 - 1
 
 
@@ -53,56 +55,76 @@ def exact_scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
 
 
 class SortedLists:
-    """A block's lists: of each dimension the rows in the order of their values, and these values."""
+    """A block's lists: of each dimension the rows in the order of their values, and these values.
+
+    What was read of a list to some depth is kept as a column: a met row's own value, for the others the bound that the list gives.
+    The bounds of all rows are then products with queries, many of them at once.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         self.ids, self.vectors = ids, vectors
-        rows = np.argsort(vectors, axis=0, kind="stable").T
-        values = np.take_along_axis(vectors.T, rows, axis=1)
-        # Of each dimension the list upwards, and behind those of all dimensions the lists downwards.
-        self.rows = np.concatenate([rows, rows[:, ::-1]])
-        self.values = np.concatenate([values, values[:, ::-1]])
-        self.places = self.rows + np.tile(np.arange(rows.shape[0]) * len(ids), 2)[:, None]
-        self.met = np.zeros(vectors.T.shape)  # of a dimension and a row, whether the row was met in that list
-
-    def _of(self, lists: np.ndarray, values: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(self.met))
-        out[lists] = values
-        return out
+        n = len(ids)
+        rows = np.argsort(vectors, axis=0, kind="stable")
+        self.values = np.take_along_axis(vectors, rows, axis=0)
+        # A row's place in each list upwards; in the list downwards it is the same from the other end.
+        self.places = np.empty(vectors.shape, np.int64)
+        np.put_along_axis(self.places, rows, np.arange(n)[:, None], axis=0)
+
+    def _bounds(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Upper and lower bounds of each row's part of a score, for positive weights (lists downwards) and behind these for negative ones."""
+        n, up, down = len(self.ids), self.places < depth, self.places >= len(self.ids) - depth
+        best = [np.where(down, self.vectors, self.values[n - depth]), np.where(up, self.vectors, self.values[depth - 1])]
+        least = [np.where(down, self.vectors, self.values[0]), np.where(up, self.vectors, self.values[-1])]
+        return np.concatenate(best, axis=1), np.concatenate(least, axis=1)
 
     def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[list[tuple[int, int]], float]:
         """(id, score) of the query's k best, best first, and the part of the lists that was read."""
-        n = len(self.ids)
-        other = self.ids != query_id
-        lists = np.flatnonzero(query)
-        weights = query[lists]
-        own = lists + np.where(weights > 0, len(query), 0)
-        first, worst = (weights * self.values[own, i] if n and len(lists) else np.zeros(len(lists)) for i in (0, -1))
+        found, read = self.top_of_all(np.array([query_id]), query[None, :], k)
+        return found[0], float(read[0])
+
+    def top_of_all(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[list[list[tuple[int, int]]], np.ndarray]:
+        """Of each query its k best as (id, score), best first, and the part of the lists that was read."""
+        n, found, read = len(self.ids), [[] for _ in query_ids], np.zeros(len(query_ids))
+        if not n:
+            return found, read
+        weights = np.concatenate([np.maximum(queries, 0), np.minimum(queries, 0)], axis=1)
         # Room for the rounding of sums of doubles; none of the bounds is beyond what a long holds.
-        slack = float(np.maximum(np.abs(first), np.abs(worst)).sum()) * max(1, len(query)) * 2.0**-50
-        known, met, met_at = np.zeros(n), self.met, self.met.ravel()
-        met[:] = 0
-        left, cursor, depths = np.flatnonzero(other), 0, iter(DEPTHS)
-        while len(left) > max(RESOLVE, k) and cursor < n and len(lists):
-            until = max(cursor + 1, int(n * next(depths)))
-            at = self.rows[own, cursor:until]
-            known += np.bincount(at.ravel(), (self.values[own, cursor:until] * weights[:, None]).ravel(), n)
-            met_at[self.places[own, cursor:until].ravel()] = 1
-            cursor = until
-            last = weights * self.values[own, cursor - 1]
-            upper = np.minimum(known + (last.sum() - self._of(lists, last) @ met) + slack, float(_MOST))[left]
-            lower = np.clip(known + (worst.sum() - self._of(lists, worst) @ met) - slack, float(_LEAST), float(_MOST))[left]
-            least = np.partition(lower, len(left) - k)[len(left) - k]
-            left = left[upper >= least]
+        slack = np.abs(weights) @ np.tile(np.abs(self.vectors).max(axis=0), 2) * max(1, 2 * queries.shape[1]) * 2.0**-49
+        waiting, cursor = np.arange(len(query_ids)), 0
+        for depth in (DEPTHS if n > max(RESOLVE, k) and queries.shape[1] else ()):
+            if cursor == n or not len(waiting):
+                break
+            cursor = max(cursor + 1, int(n * depth))
+            best, least = self._bounds(cursor)
+            still = []
+            for i in range(0, len(waiting), TOGETHER):
+                asked = waiting[i : i + TOGETHER]
+                other = self.ids != query_ids[asked, None]
+                upper = np.minimum(weights[asked] @ best.T + slack[asked, None], float(_MOST))
+                lower = np.clip(weights[asked] @ least.T - slack[asked, None], float(_LEAST), float(_MOST))
+                lower[~other] = -np.inf
+                left = other & ~(upper < np.partition(lower, n - k, axis=1)[:, n - k, None])
+                for j, q in enumerate(asked):
+                    rows = np.flatnonzero(left[j])
+                    if len(rows) > max(RESOLVE, k) and cursor < n and queries[q].any():
+                        still.append(q)
+                    else:
+                        found[q], read[q] = self._resolved(rows, queries[q], k), cursor / n
+            waiting = np.array(still, np.int64)
+        for q in waiting:
+            found[q] = self._resolved(np.flatnonzero(self.ids != query_ids[q]), queries[q], k)
+        return found, read
+
+    def _resolved(self, left: np.ndarray, query: np.ndarray, k: int) -> list[tuple[int, int]]:
         scores = exact_scores(self.vectors[left], query)
         best = np.lexsort((self.ids[left], -scores.astype(object) if (scores == _LEAST).any() else -scores))[:k]
-        return [(int(self.ids[left[j]]), int(scores[j])) for j in best], cursor / n if n else 0.0
+        return [(int(self.ids[left[j]]), int(scores[j])) for j in best]
 
 
 def block_top_k(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, int]]:
     """(query id, id, score) of each query's k best of one block of vectors of whole numbers."""
-    lists = SortedLists(ids, np.asarray(vectors, float))
-    return [(int(q), i, s) for q, query in zip(query_ids, np.asarray(queries, float), strict=True) for i, s in lists.top(q, query, k)[0]]
+    found, _ = SortedLists(ids, np.asarray(vectors, float)).top_of_all(np.asarray(query_ids), np.asarray(queries, float), k)
+    return [(int(q), i, s) for q, rows in zip(query_ids, found, strict=True) for i, s in rows]
 
 
 def top_k(embeddings: DataFrame, *, k: int = 5, scale: int = 256, every: int = 50, candidates: int = CANDIDATES, queries: int = QUERIES) -> DataFrame:
