@@ -99,3 +99,17 @@ def test_directions_meet_their_words(spark, expected, text):
     turned = spans.crossJoin(facts).where(direction_conflict(F.col("text"), F.col("subjects"), F.col("expected")).isNotNull()).count()
     met = values.spans_of_facts(spans, values.direction_words(facts)).count()
     assert met >= turned
+
+
+def test_tags_are_worked_out_only_where_an_element_is_one(spark, monkeypatch):
+    from turnweave.operators import atoms as spans
+    from turnweave.operators import matching
+    from turnweave.plans.catalogue import compile_rules
+
+    made = []
+    monkeypatch.setattr(matching, "tags", lambda *a: made.append(1) or spans.tags(*a))
+    rows = spans.atoms(spark.createDataFrame([("d", 1, "user", "the cat?"), ("d", 2, "assistant", "a dog")], "dialogue_id string, turn_index int, speaker string, text string"))
+    element = lambda value, kind: {"value": value, "main": True, "type": kind}
+    hits = lambda *own: {(r.rule_id, r.turn_index) for r in matching.element_hits(rows, compile_rules(spark, [{"id": f"r{i}", "type": "node_positive", "groups": [{"elements": [x]}]} for i, x in enumerate(own)]).elements).collect()}
+    assert hits(element("cat", "surface")) == {("r0", 1)} and not made
+    assert hits(element("cat", "surface"), element("question", "form"), element("Assistant", "speaker_role")) == {("r0", 1), ("r1", 1), ("r2", 2)} and made

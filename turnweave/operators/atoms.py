@@ -60,11 +60,16 @@ def with_spans(turns: DataFrame) -> DataFrame:
     return keyed.withColumn("spans", F.filter("whole", first)).drop("raw", "parts", "cut", "whole", "keys")
 
 
+#: All tags of spans but those of speakers, which begin with ``SPEAKER``.
+SPEAKER = "speaker_role:"
+NAMED = ("form:question", "intent:ask", "intent:greet", *sorted({x for _, named in TAGS for x in named}), "intent:promise", "modality:certain")
+
+
 def tags(text: Column, tight: Column, speaker: Column) -> Column:
     """General tags "type:value" of a span; ``tight``: its compact form."""
     raw = F.coalesce(text, F.lit(""))
     asked = any_of(raw, QUESTION)
-    found = [F.concat(F.lit("speaker_role:"), speaker), F.when(asked, "form:question"), F.when(asked, "intent:ask")]
+    found = [F.concat(F.lit(SPEAKER), speaker), F.when(asked, "form:question"), F.when(asked, "intent:ask")]
     found.append(F.when(any_of(raw, ("您好", "你好", "早上好", "下午好")), "intent:greet"))
     for words, named in TAGS:
         held = any_of(tight, words)
